@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_text, decode_entities, let
+from .text import DECODE, clean_text, decode_entities, let, let_sql
 
 TAG = r"</?[a-z][^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')?+[^>=]*+)*+>"
 COMMENT = r"<!--.*?(?:-->|\z)"
@@ -75,15 +75,19 @@ def token_tag(tok: Column) -> Column:
     return F.lower(F.regexp_extract(tok, r"^</?([a-zA-Z][^\s/>]*)", 1))
 
 
+def _attr_sql(name: str) -> str:
+    lead = r"(?is)^<[^\s>/]+(?:[^>=\"\x27]*=\s*(?:\"[^\"]*\"|\x27[^\x27]*\x27|[^\s\"\x27>]+))*?[^>=\"\x27]*?[\s\"\x27/]"
+    value = rf"{lead}{name}\s*=\s*(\"[^\"]*\"|\x27[^\x27]*\x27|[^\s\"\x27>]+)"
+    bare = rf"{lead}{name}(\s*=)?\s*[/>\s]"
+    unquoted = "if(left(v, 1) IN ('\"', '\\''), substring(v, 2, length(v) - 2), v)"
+    return f"""t -> CASE WHEN contains(lower(t), '{name}') THEN
+      element_at(transform(array(regexp_extract(t, r'{value}', 1)), v ->
+        CASE WHEN v <> '' THEN element_at(transform(array({unquoted}), {DECODE}), 1) WHEN t rlike r'{bare}' THEN '' END), 1) END"""
+
+
 def attr(tok: Column, name: str) -> Column:
     """Decoded attribute value of an open tag; NULL when absent, '' when empty."""
-    lead = r"(?is)^<[^\s>/]+(?:[^>=\"']*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))*?[^>=\"']*?[\s\"'/]"
-    with_value = rf"{lead}{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]*)"
-    bare = rf"{lead}{name}[\s/>]"
-    raw = F.regexp_extract(tok, with_value, 1)
-    value = F.regexp_replace(raw, r"(?s)^([\"'])(.*)\1$", "$2")
-    found = F.contains(F.lower(tok), F.lit(name))
-    return F.when(found & tok.rlike(with_value), decode_entities(value)).when(found & tok.rlike(bare), F.lit(""))
+    return let_sql(tok, _attr_sql(name))
 
 
 def class_list(tok: Column) -> Column:

@@ -23,6 +23,7 @@ EMAIL = rf"(?:\G|(?<!{EMAIL_LOCAL})){EMAIL_LOCAL}++@{EMAIL_DOMAIN}"
 # because the Unicode mode of \s is much slower. Single spaces are not matched: they stay.
 SPACE = r"\t-\r\x1c-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 SPACES = rf"[{SPACE}]{{2,}}|[{SPACE}&&[^ ]]"
+CLEAN = f"x -> trim(regexp_replace(coalesce(x, ''), r'{SPACES}', ' '))"
 EDGE_SPACES = rf"\A[{SPACE}]+|[{SPACE}]+\z"
 
 # Character references of the HTML standard that occur in page text.
@@ -49,7 +50,7 @@ def let(value: Column, body) -> Column:
 
 def clean_text(c: Column) -> Column:
     """NULL becomes '', white-space runs become one space, ends are trimmed."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACES, " "))
+    return let_sql(c, CLEAN)
 
 
 def strip_text(c: Column) -> Column:
@@ -57,33 +58,36 @@ def strip_text(c: Column) -> Column:
     return F.regexp_replace(c, EDGE_SPACES, "")
 
 
+def let_sql(value: Column, function: str) -> Column:
+    """Like ``let`` with the body as a SQL lambda, for the larger expressions.
+
+    The text is parsed in one step, while a Column body costs a driver round trip per operator.
+    """
+    return F.element_at(F.call_function("transform", F.array(value), F.expr(function)), 1)
+
+
+def _decode_sql() -> str:
+    pairs = "\n".join(f"{k}\t{v}" for k, v in NAMED_ENTITIES.items()).replace("'", "\\'")
+    # more than seven digits is never a code point (and would overflow conv)
+    code = "conv(substring(r, if(substring(r, 2, 1) in ('x', 'X'), 3, 2)), if(substring(r, 2, 1) in ('x', 'X'), 16, 10), 10)"
+    char = f"""
+      CASE WHEN NOT startswith(r, '#') THEN try_element_at(str_to_map('{pairs}', '\n', '\t'), r)
+           WHEN length(r) <= 9 THEN element_at(transform(array(cast({code} AS int)), n ->
+             CASE WHEN n BETWEEN 1 AND 55295 OR n BETWEEN 57344 AND 1114111
+                  THEN decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') END), 1) END"""
+    piece = f"""
+      element_at(transform(array(regexp_extract(p, '^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);', 1)), r ->
+        coalesce(concat({char}, substring(p, length(r) + 2)), concat('&', p))), 1)"""
+    return f"""x -> CASE WHEN contains(x, '&') THEN
+      array_join(transform(split(x, '&'), (p, i) -> CASE WHEN i = 0 THEN p ELSE {piece} END), '') ELSE x END"""
+
+
+DECODE = _decode_sql()
+
+
 def decode_entities(c: Column) -> Column:
     """Resolve named and numeric character references once, left to right."""
-    names = F.create_map(*[F.lit(x) for kv in NAMED_ENTITIES.items() for x in kv])
-
-    def code_point(digits: Column, base: int) -> Column:
-        # conv() wraps above 64 bits; more than seven digits is never a code point
-        n = F.when(F.length(digits) <= 7, F.conv(digits, base, 10).cast("int"))
-        usable = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
-        return F.when(usable, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
-
-    def char(ref: Column) -> Column:
-        return (
-            F.when(~F.startswith(ref, F.lit("#")), F.try_element_at(names, ref))
-            .when(F.substring(ref, 2, 1).isin("x", "X"), code_point(F.substring(ref, 3, 20), 16))
-            .otherwise(code_point(F.substring(ref, 2, 20), 10))
-        )
-
-    def piece(p: Column) -> Column:
-        ref = F.regexp_extract(p, r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);", 1)
-        return let(ref, lambda r: F.coalesce(
-            F.concat(char(r), F.substring(p, F.length(r) + 2, F.lit(1 << 30))), F.concat(F.lit("&"), p)))
-
-    def decode(text: Column) -> Column:
-        pieces = F.transform(F.split(text, "&"), lambda p, i: F.when(i == 0, p).otherwise(piece(p)))
-        return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
-
-    return let(c, decode)
+    return let_sql(c, DECODE)
 
 
 def extract_emails(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let
+from .text import let_sql
 
 SCHEME = r"[a-zA-Z][a-zA-Z0-9+.\-]*:"
 
@@ -40,43 +40,38 @@ def normalize_url(url: Column) -> Column:
     return F.when(path_of(u).isin("", "/"), F.rtrim(u, F.lit("/"))).otherwise(u)
 
 
-def _remove_dots(path: Column) -> Column:
+def _remove_dots_sql(path: str) -> str:
     """Resolve '.' and '..' segments of an absolute path; the root has no parent."""
-    segments = F.split(F.substring(path, 2, 1 << 30), "/")
-    kept = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == ".", acc)
-        .when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .otherwise(F.array_append(acc, s)),
-    )
-    closing = F.when(path.rlike(r"(^|/)\.\.?$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    resolved = F.concat(F.lit("/"), F.array_join(F.concat(kept, closing), "/"))
-    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), resolved).otherwise(path)
+    kept = f"""aggregate(split(substring({path}, 2), '/'), cast(array() AS array<string>), (acc, s) ->
+      CASE WHEN s = '.' THEN acc WHEN s = '..' THEN slice(acc, 1, greatest(size(acc) - 1, 0)) ELSE array_append(acc, s) END)"""
+    closing = rf"if({path} rlike r'(^|/)\.\.?$', array(''), cast(array() AS array<string>))"
+    return rf"""CASE WHEN {path} rlike r'(^|/)\.\.?(/|$)' THEN concat('/', array_join(concat({kept}, {closing}), '/'))
+      ELSE {path} END"""
+
+
+def _resolve_sql() -> str:
+    scheme, origin = f"regexp_extract(u.base, r'^{SCHEME}', 0)", f"regexp_extract(u.base, r'^{SCHEME}//[^/?#]*', 0)"
+    base_path = rf"regexp_extract(u.base, r'^(?:{SCHEME})?(?://[^/?#]*)?([^?#]*)', 1)"
+    rel, rest = "regexp_extract(u.ref, '^[^?#]*', 0)", "regexp_extract(u.ref, '^[^?#]*(.*)$', 1)"
+    merged = f"regexp_replace(concat('/', regexp_replace(regexp_replace({base_path}, '[^/]*$', ''), '^/', ''), {rel}), '//+', '/')"
+    return rf"""u -> CASE
+      WHEN u.ref = '' THEN u.base
+      WHEN u.ref rlike r'^{SCHEME}' THEN u.ref
+      WHEN startswith(u.ref, '//') THEN concat({scheme}, u.ref)
+      WHEN startswith(u.ref, '#') THEN concat(regexp_replace(u.base, '(?s)#.*$', ''), u.ref)
+      WHEN startswith(u.ref, '?') THEN concat(regexp_replace(u.base, '(?s)[?#].*$', ''), u.ref)
+      WHEN startswith(u.ref, '/') THEN concat({origin},
+        element_at(transform(array({rel}), q -> {_remove_dots_sql("q")}), 1), {rest})
+      ELSE concat({origin}, element_at(transform(array({merged}), q -> {_remove_dots_sql("q")}), 1), {rest}) END"""
+
+
+RESOLVE = _resolve_sql()
 
 
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute URL of a reference found on page ``base`` (RFC 3986 joining)."""
-    h = F.regexp_replace(F.regexp_replace(F.coalesce(href, F.lit("")), r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
-
-    def join(r: Column) -> Column:
-        scheme = F.regexp_extract(base, rf"^{SCHEME}", 0)
-        origin = F.regexp_extract(base, rf"^{SCHEME}//[^/?#]*", 0)
-        rel_path = F.regexp_extract(r, r"^[^?#]*", 0)
-        rest = F.regexp_extract(r, r"^[^?#]*(.*)$", 1)
-        folder = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(path_of(base), r"[^/]*$", ""), r"^/", ""))
-        merged = F.regexp_replace(F.concat(folder, rel_path), r"//+", "/")
-        return (
-            F.when(r == "", base)
-            .when(r.rlike(rf"^{SCHEME}"), r)
-            .when(F.startswith(r, F.lit("//")), F.concat(scheme, r))
-            .when(F.startswith(r, F.lit("#")), F.concat(F.regexp_replace(base, r"(?s)#.*$", ""), r))
-            .when(F.startswith(r, F.lit("?")), F.concat(F.regexp_replace(base, r"(?s)[?#].*$", ""), r))
-            .when(F.startswith(r, F.lit("/")), F.concat(origin, _remove_dots(rel_path), rest))
-            .otherwise(F.concat(origin, _remove_dots(merged), rest))
-        )
-
-    return let(h, join)
+    ref = F.regexp_replace(F.regexp_replace(F.coalesce(href, F.lit("")), r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
+    return let_sql(F.struct(base.alias("base"), ref.alias("ref")), RESOLVE)
 
 
 def is_followable(url: Column, site: Column) -> Column:

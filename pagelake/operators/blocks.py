@@ -1,7 +1,8 @@
 """Entities that need element containment: addresses, services, product cards, next-page links.
 
 Pages are first narrowed by a plain text test that every possible hit passes, so only
-candidate pages are partitioned by url and exploded into elements.
+candidate pages are partitioned by url and exploded into elements. What follows works on
+one row per page, and only finished entities leave the row.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.prices import price_and_currency
-from ..functions.text import clean_text
+from ..functions.text import clean_text, let
 from ..functions.urls import normalize_url, resolve_url
 from . import dom as D
 from .keys import first_wins
@@ -26,6 +27,7 @@ DESCRIPTION_WIDTH = 400
 TEMPLATE_CARDS = ("catalog-block-view__item", "catalog-block-view-item")
 TEMPLATE_NAME_CLASS = r"(?iU)\bitem.?title\b|\bname\b"
 TEMPLATE_CURRENCY = "₽"
+TEMPLATE_MARK = "catalog-block-view"
 CARD_CLASSES = ("catalog-item", "product-card", "product-item", "goods-item", "item-card")
 CARD_CLASS_PARTS = ("product-card", "catalog-item")
 CARD_ITEMTYPE = "schema.org/Product"
@@ -37,141 +39,149 @@ HEADINGS = ("h2", "h3", "h4", "h5")
 NEXT_WORDS = ("»", "›", "следующая", "далее", "next", "вперёд")
 
 
-def _toks(pages: DataFrame) -> DataFrame:
-    return D.tokenized(pages).select("url", "toks")
+def _page_url() -> Column:
+    return F.col("url")
 
 
-def _node_text(node: str) -> Column:
-    return D.slice_text(F.col("toks"), F.col(f"{node}.s"), F.col(f"{node}.e"))
+def _text(node: Column) -> Column:
+    return clean_text(D.node_text(F.col("toks"), node))
+
+
+def _entities(dom: DataFrame, outers: Column, fields) -> DataFrame:
+    """One row per outer element: ``fields(outer, descendants)`` names its columns."""
+    rows = F.transform(outers, lambda o: let(
+        D.inside(F.col("els"), o), lambda els: F.struct(*[c.alias(n) for n, c in fields(o, els).items()])))
+    return dom.select("site", "url", F.explode(rows).alias("r")).select("site", "url", "r.*")
 
 
 def page_addresses(pages: DataFrame) -> DataFrame:
     """(site, page_url, type, value): first address tag, itemprop and address-like class per page."""
-    candidates = pages.where(F.col("html").rlike(ADDRESS_CLASS))
-    elements = D.page_elements(candidates)
-    rules = {"tag": F.col("tag") == "address", "prop": D.has_attr("itemprop", "address"),
-             "cls": D.class_like(ADDRESS_CLASS)}
-    node = F.struct(F.col("start_pos").alias("s"), F.col("end_pos").alias("e"))
-    firsts = elements.groupBy("site", "url").agg(*[F.min(F.when(c, node)).alias(r) for r, c in rules.items()])
-    texts = F.array_distinct(F.array(*[clean_text(_node_text(r)) for r in rules]))
-    return firsts.join(_toks(candidates), "url").select(
-        "site", F.col("url").alias("page_url"), F.lit("address").alias("type"), F.explode(texts).alias("value")
-    ).where(F.length("value") > ADDRESS_MIN_CHARS)
+    dom = D.page_dom(pages.where(F.col("html").rlike(ADDRESS_CLASS)))
+    els = F.col("els")
+    firsts = F.array(
+        D.first_match(els, lambda e: e["tag"] == "address"),
+        D.first_match(els, lambda e: D.has_attr(e, "itemprop", "address")),
+        D.first_match(els, lambda e: D.class_like(e, ADDRESS_CLASS)))
+    texts = F.array_distinct(F.transform(firsts, _text))
+    return dom.select("site", F.col("url").alias("page_url"), F.lit("address").alias("type"), F.explode(texts).alias("value")) \
+        .where(F.length("value") > ADDRESS_MIN_CHARS)
 
 
 def page_services(pages: DataFrame) -> DataFrame:
     """(site, page_url, name, description): first heading and paragraph of service-like blocks."""
-    candidates = pages.where(F.col("html").rlike(SERVICE_CLASS))
-    elements = D.page_elements(candidates)
-    sections = D.select_elements(elements, F.col("tag").isin("section", "div") & D.class_like(SERVICE_CLASS)) \
-        .select("site", "url", "start_pos", "end_pos")
-    found = D.first_inside(sections, elements, {"head": F.col("tag").isin(*HEADINGS), "para": F.col("tag") == "p"})
-    rows = found.where("head is not null").join(_toks(candidates), "url").select(
-        "site", F.col("url").alias("page_url"), clean_text(_node_text("head")).alias("name"),
-        F.left(clean_text(_node_text("para")), F.lit(DESCRIPTION_WIDTH)).alias("description"),
-        F.col("start_pos").alias("seq"))
-    return first_wins(rows.where(F.length("name") > SERVICE_NAME_MIN), ["site", "page_url", "name"], ["seq"]).drop("seq")
+    dom = D.page_dom(pages.where(F.col("html").rlike(SERVICE_CLASS)))
+    sections = D.matching(F.col("els"), lambda e: e["tag"].isin("section", "div") & D.class_like(e, SERVICE_CLASS))
+    rows = _entities(dom, sections, lambda o, els: {
+        "name": _text(D.first_match(els, lambda e: e["tag"].isin(*HEADINGS))),
+        "description": F.left(_text(D.first_match(els, lambda e: e["tag"] == "p")), F.lit(DESCRIPTION_WIDTH)),
+        "seq": o["s"]})
+    usable = rows.where(F.length("name") > SERVICE_NAME_MIN).withColumnRenamed("url", "page_url")
+    return first_wins(usable, ["site", "page_url", "name"], ["seq"]).drop("seq")
+
+
+def _image_url(node: Column) -> Column:
+    src = F.coalesce(F.nullif(H.attr(node["tok"], "data-src"), F.lit("")), H.attr(node["tok"], "src"), F.lit(""))
+    return F.when(node.isNotNull(), resolve_url(_page_url(), src)).otherwise(F.lit(""))
 
 
-def _image_url(node: str) -> Column:
-    tok = F.col(f"{node}.tok")
-    src = F.coalesce(F.nullif(H.attr(tok, "data-src"), F.lit("")), H.attr(tok, "src"), F.lit(""))
-    return F.when(tok.isNotNull(), resolve_url(F.col("url"), src)).otherwise(F.lit(""))
+def _link_url(node: Column) -> Column:
+    href = F.coalesce(H.attr(node["tok"], "href"), F.lit(""))
+    return F.when(node.isNotNull(), resolve_url(_page_url(), href)).otherwise(F.lit(""))
 
 
-def _link_url(tok: Column) -> Column:
-    return F.when(tok.isNotNull(), resolve_url(F.col("url"), F.coalesce(H.attr(tok, "href"), F.lit("")))).otherwise(F.lit(""))
+def _is_link(e: Column) -> Column:
+    return (e["tag"] == "a") & D.has_attr(e, "href")
 
 
-def _without_spaces(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", "")
+def _is_dark_link(e: Column) -> Column:
+    return (e["tag"] == "a") & D.has_class(e, "dark_link")
+
+
+def _template_prices(els: Column) -> Column:
+    """Price blocks of a card that hold an amount: array<struct(discount, amount, currency)>."""
+    def block(b: Column) -> Column:
+        return let(D.inside(els, b), lambda inner: let(
+            D.first_match(inner, lambda e: D.has_class(e, "price_value")), lambda amount: F.when(
+                amount.isNotNull(), F.struct(
+                    D.class_contains(b, "discount").alias("discount"),
+                    F.regexp_replace(_text(amount), " ", "").alias("amount"),
+                    let(D.first_match(inner, lambda e: D.has_class(e, "price_currency")),
+                        lambda c: F.when(c.isNotNull(), _text(c))).alias("currency")))))
+
+    return F.filter(F.transform(D.matching(els, lambda e: D.has_class(e, "price")), block), lambda b: b.isNotNull())
 
 
 def template_cards(pages: DataFrame) -> DataFrame:
     """Product rows of the shop-template card markup."""
-    candidates = pages.where(F.col("html").contains("catalog-block-view"))
-    nodes = D.page_elements(candidates)
-    cards = D.select_elements(nodes, D.has_class(*TEMPLATE_CARDS)) \
-        .select("site", "url", "start_pos", "end_pos", H.attr(F.col("tok"), "data-id").alias("sku"))
-    dark_link = (F.col("tag") == "a") & D.has_class("dark_link")
-    found = D.first_inside(cards, nodes, {
-        "title": D.has_class("item-title"), "dark": dark_link, "named": D.class_like(TEMPLATE_NAME_CLASS),
-        "img": F.col("tag") == "img", "link": (F.col("tag") == "a") & D.has_attr("href")})
-    stock_nodes = D.select_within(nodes.where(D.has_class("item-stock")), nodes.where(D.has_class("value"))) \
-        .unionByName(nodes.where(D.has_class("sa_block")))
-    stock = D.first_inside(cards, stock_nodes, {"stock": F.lit(True)}).select("url", "start_pos", "stock")
-
-    blocks = D.first_inside(
-        nodes.where(D.has_class("price")).select(
-            "url", "start_pos", "end_pos",
-            F.contains(F.array_join("classes", " "), F.lit("discount")).alias("discount")),
-        nodes, {"amount": D.has_class("price_value"), "cur": D.has_class("price_currency")},
-    ).where("amount is not null").select(
-        F.col("url").alias("b_url"), F.struct(F.col("start_pos").alias("at"), "discount", "amount", "cur").alias("b"))
-    in_card = cards.select("url", "start_pos", "end_pos").join(
-        blocks, (F.col("url") == F.col("b_url")) & (F.col("b.at") > F.col("start_pos")) & (F.col("b.at") <= F.col("end_pos")))
-    prices = in_card.groupBy("url", "start_pos").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
-
-    def amount(b: Column) -> Column:
-        return _without_spaces(D.slice_text(F.col("toks"), b["amount"]["s"], b["amount"]["e"]))
-
-    current = F.filter(F.transform(F.filter("blocks", lambda b: ~b["discount"]), amount), lambda x: x != "")
-    discounts = F.filter("blocks", lambda b: b["discount"])
-    currencies = F.filter("blocks", lambda b: b["cur"].isNotNull())
-    last_cur = F.try_element_at(currencies, F.lit(-1))["cur"]
-    name = F.coalesce(*[_node_text(r) for r in ("title", "dark", "named")])
-    rows = (
-        found.join(stock, ["url", "start_pos"]).join(prices, ["url", "start_pos"], "left").join(_toks(candidates), "url")
-        .select(
-            "site", F.col("url").alias("source_url"), clean_text(name).alias("name"),
-            F.coalesce(F.try_element_at(current, F.lit(1)), F.lit("")).alias("price"),
-            F.coalesce(amount(F.try_element_at(discounts, F.lit(-1))), F.lit("")).alias("old_price"),
-            clean_text(D.slice_text(F.col("toks"), last_cur["s"], last_cur["e"])).alias("_cur"),
-            F.coalesce(F.size(currencies), F.lit(0)).alias("_cur_count"),
-            F.coalesce("sku", F.lit("")).alias("sku"), F.lit("").alias("brand"), F.lit("").alias("category"),
-            F.lit("").alias("description"), _image_url("img").alias("image_url"),
-            _link_url(F.coalesce(F.col("dark.tok"), F.col("link.tok"))).alias("product_url"),
-            clean_text(_node_text("stock")).alias("in_stock"), F.lit("card").alias("origin"),
-            F.col("start_pos").cast("bigint").alias("seq"))
-    )
-    priced = rows.withColumn(
-        "currency", F.when(F.col("_cur_count") > 0, F.col("_cur")).otherwise(F.lit(TEMPLATE_CURRENCY)))
-    usable = priced.where(F.length("name") >= NAME_MIN_CHARS).select(*PRODUCT_COLUMNS)
+    dom = D.page_dom(pages.where(F.col("html").contains(TEMPLATE_MARK)))
+
+    def name(els: Column) -> Column:
+        return _text(F.coalesce(
+            D.first_match(els, lambda e: D.has_class(e, "item-title")), D.first_match(els, _is_dark_link),
+            D.first_match(els, lambda e: D.class_like(e, TEMPLATE_NAME_CLASS))))
+
+    def stock(els: Column) -> Column:
+        boxes = D.matching(els, lambda e: D.has_class(e, "item-stock"))
+        return _text(D.first_match(els, lambda e: D.has_class(e, "sa_block") | (
+            D.has_class(e, "value") & F.exists(boxes, lambda b: (e["s"] > b["s"]) & (e["s"] <= b["e"])))))
+
+    def price_of(blocks: Column) -> Column:
+        amounts = F.filter(blocks, lambda b: ~b["discount"] & (b["amount"] != ""))
+        discounts = F.filter(blocks, lambda b: b["discount"])
+        currencies = F.filter(blocks, lambda b: b["currency"].isNotNull())
+        empty = F.lit("")
+        return F.struct(
+            F.coalesce(F.try_element_at(amounts, F.lit(1))["amount"], empty).alias("price"),
+            F.coalesce(F.try_element_at(discounts, F.lit(-1))["amount"], empty).alias("old_price"),
+            F.coalesce(F.try_element_at(currencies, F.lit(-1))["currency"], F.lit(TEMPLATE_CURRENCY)).alias("currency"))
+
+    cards = D.matching(F.col("els"), lambda e: D.has_class(e, *TEMPLATE_CARDS))
+    rows = _entities(dom, cards, lambda o, els: {
+        "name": name(els), "p": let(_template_prices(els), price_of), "sku": F.coalesce(H.attr(o["tok"], "data-id"), F.lit("")),
+        "image_url": let(D.first_match(els, lambda e: e["tag"] == "img"), _image_url),
+        "product_url": let(F.coalesce(D.first_match(els, _is_dark_link), D.first_match(els, _is_link)), _link_url),
+        "in_stock": stock(els), "seq": o["s"].cast("bigint")})
+    return _card_products(rows)
+
+
+def _card_products(rows: DataFrame) -> DataFrame:
+    usable = rows.where(F.length("name") >= NAME_MIN_CHARS).withColumnRenamed("url", "source_url").select(
+        "*", "p.*", *[F.lit("").alias(c) for c in ("brand", "category", "description")], F.lit("card").alias("origin")
+    ).select(*PRODUCT_COLUMNS)
     return first_wins(usable, ["site", "source_url", "name"], ["seq"])
 
 
-def generic_cards(pages: DataFrame, template_pages: DataFrame | None = None) -> DataFrame:
+def generic_cards(pages: DataFrame, template_products: DataFrame | None = None) -> DataFrame:
     """Product rows of common card markup, on pages where the template markup gave none.
 
-    ``template_pages`` (a table with source_url) saves computing the template cards again.
+    Only pages that mention the template can hold template products, so the others skip the
+    anti join. ``template_products`` saves computing those products again.
     """
     marks = [*CARD_CLASSES, CARD_ITEMTYPE]
     candidates = pages.where(F.col("html").rlike("|".join(m.replace(".", r"\.") for m in marks)))
-    covered = template_cards(candidates) if template_pages is None else template_pages
-    nodes = D.page_elements(candidates)
-    rules = [*[D.has_class(c) for c in CARD_CLASSES], *[D.class_contains(p) for p in CARD_CLASS_PARTS],
-             D.has_attr("itemtype", contains=CARD_ITEMTYPE)]
-    selector_no = F.coalesce(*[F.when(r, i) for i, r in enumerate(rules)])
-    cards = nodes.withColumn("selector_no", selector_no).where("selector_no is not null") \
-        .select("site", "url", "start_pos", "end_pos", "selector_no") \
-        .join(covered.select(F.col("source_url").alias("url")).distinct(), "url", "left_anti")
-    found = D.first_inside(cards, nodes, {
-        "prop": D.has_attr("itemprop", "name"), "head": F.col("tag").isin(*HEADINGS), "named": D.class_like(CARD_NAME_CLASS),
-        "price_prop": D.has_attr("itemprop", "price"), "price_cls": D.class_like(CARD_PRICE_CLASS),
-        "old": D.class_like(CARD_OLD_PRICE_CLASS), "img": F.col("tag") == "img",
-        "link": (F.col("tag") == "a") & D.has_attr("href")})
-    price = price_and_currency(F.coalesce(_node_text("price_prop"), _node_text("price_cls")))
-    empty = F.lit("")
-    rows = found.join(_toks(candidates), "url").select(
-        "site", F.col("url").alias("source_url"),
-        clean_text(F.coalesce(_node_text("prop"), _node_text("head"), _node_text("named"))).alias("name"),
-        price.alias("_p"), clean_text(_node_text("old")).alias("old_price"), empty.alias("sku"), empty.alias("brand"),
-        empty.alias("category"), empty.alias("description"), _image_url("img").alias("image_url"),
-        _link_url(F.col("link.tok")).alias("product_url"), empty.alias("in_stock"), F.lit("card").alias("origin"),
-        (F.col("selector_no").cast("bigint") * (1 << 31) + F.col("start_pos")).alias("seq"))
-    usable = rows.where(F.length("name") >= NAME_MIN_CHARS) \
-        .withColumns({"price": F.col("_p.price"), "currency": F.col("_p.currency")}).select(*PRODUCT_COLUMNS)
-    return first_wins(usable, ["site", "source_url", "name"], ["seq"])
+    mixed = candidates.where(F.col("html").contains(TEMPLATE_MARK))
+    covered = template_cards(mixed) if template_products is None else template_products
+    dom = D.page_dom(candidates).join(covered.select(F.col("source_url").alias("url")).distinct(), "url", "left_anti")
+    rules = [*[lambda e, c=c: D.has_class(e, c) for c in CARD_CLASSES],
+             *[lambda e, p=p: D.class_contains(e, p) for p in CARD_CLASS_PARTS],
+             lambda e: D.has_attr(e, "itemtype", contains=CARD_ITEMTYPE)]
+
+    def selector_no(e: Column) -> Column:
+        return F.coalesce(*[F.when(r(e), i) for i, r in enumerate(rules)])
+
+    def text_of(els: Column, *choices) -> Column:
+        return _text(F.coalesce(*[D.first_match(els, c) for c in choices]))
+
+    rows = _entities(dom, D.matching(F.col("els"), lambda e: selector_no(e).isNotNull()), lambda o, els: {
+        "name": text_of(els, lambda e: D.has_attr(e, "itemprop", "name"), lambda e: e["tag"].isin(*HEADINGS),
+                        lambda e: D.class_like(e, CARD_NAME_CLASS)),
+        "price_text": text_of(els, lambda e: D.has_attr(e, "itemprop", "price"), lambda e: D.class_like(e, CARD_PRICE_CLASS)),
+        "old_price": text_of(els, lambda e: D.class_like(e, CARD_OLD_PRICE_CLASS)),
+        "image_url": let(D.first_match(els, lambda e: e["tag"] == "img"), _image_url),
+        "product_url": let(D.first_match(els, _is_link), _link_url),
+        "sku": F.lit(""), "in_stock": F.lit(""),
+        "seq": selector_no(o).cast("bigint") * (1 << 31) + o["s"]})
+    return _card_products(rows.withColumn("p", price_and_currency(F.col("price_text"))))
 
 
 def next_page(pages: DataFrame) -> DataFrame:
@@ -189,14 +199,14 @@ def next_page(pages: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("rule"), H.attr(F.try_element_at("rel", F.lit(1)), "href").alias("href")),
         F.struct(F.lit(3).alias("rule"), F.try_element_at("worded", F.lit(1))["href"].alias("href")))).alias("c"))
 
-    candidates = pages.where(F.col("html").rlike(r"paginat[\s\S]*\bnext\b"))
-    nodes = D.page_elements(candidates)
-    nexts = nodes.where(D.has_class("next"))
-    boxed = None
-    for rule, box in ((1, D.has_class("pagination")), (2, D.class_contains("paginat"))):
-        first = D.first_per_page(D.select_within(nodes.where(box), nexts))
-        rows = first.select("site", "url", F.struct(F.lit(rule).alias("rule"), H.attr(F.col("tok"), "href").alias("href")).alias("c"))
-        boxed = rows if boxed is None else boxed.unionByName(rows)
+    dom = D.page_dom(pages.where(F.col("html").rlike(r"paginat") & F.col("html").contains("next")))
+    els = F.col("els")
+    boxes = {1: lambda e: D.has_class(e, "pagination"), 2: lambda e: D.class_contains(e, "paginat")}
+    nexts = D.matching(els, lambda e: D.has_class(e, "next"))
+    boxed = dom.select("site", "url", F.explode(F.array(*[
+        F.struct(F.lit(rule).alias("rule"), H.attr(
+            F.try_element_at(D.inside_any(nexts, D.matching(els, box)), F.lit(1))["tok"], "href").alias("href"))
+        for rule, box in boxes.items()])).alias("c"))
     best = quick.unionByName(boxed).where(F.col("c.href").isNotNull() & ((F.col("c.href") != "") | (F.col("c.rule") == 3)))
     return best.groupBy("site", "url").agg(F.min("c").alias("c")).select(
         "site", "url", normalize_url(resolve_url(F.col("url"), F.col("c.href"))).alias("next_url"))

@@ -8,33 +8,34 @@ Every group is one page, so its size is bounded by the size of an input row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from ..functions.text import clean_text, decode_entities
+from ..functions.text import decode_entities
+from ..functions.urls import site_of
 
 # elements that end where the next one of the same kind starts
 IMPLIED_END = ("p", "li", "dt", "dd", "option", "tr", "td", "th")
 
 
 def tokenized(pages: DataFrame) -> DataFrame:
-    """(site, url, toks): one row per page with its token array, partitioned by url."""
-    return pages.select("site", "url", "html").repartition("url").select(
-        "site", "url", H.html_token_array(F.col("html")).alias("toks"))
+    """(url, toks): one row per page with its token array, partitioned by url."""
+    return pages.select("url", "html").repartition("url").select(
+        "url", H.html_token_array(F.col("html")).alias("toks"))
 
 
 def html_tokens(pages: DataFrame) -> DataFrame:
-    """(site, url, pos, kind, tag, tok) in page order."""
-    exploded = tokenized(pages).select("site", "url", F.posexplode("toks").alias("pos", "tok"))
+    """(url, pos, kind, tag, tok) in page order."""
+    exploded = tokenized(pages).select("url", F.posexplode("toks").alias("pos", "tok"))
     return exploded.select(
-        "site", "url", "pos", H.token_kind(F.col("tok")).alias("kind"), H.token_tag(F.col("tok")).alias("tag"), "tok")
+        "url", "pos", H.token_kind(F.col("tok")).alias("kind"), H.token_tag(F.col("tok")).alias("tag"), "tok")
 
 
 def html_elements(tokens: DataFrame) -> DataFrame:
-    """(site, url, start_pos, end_pos, tag, closed, tok) for every element.
+    """(url, start_pos, end_pos, tag, void, closed, tok) for every element.
 
     A close tag matches the latest open tag of its kind at the same nesting level. An element
     that is never closed ends before the next element of the same kind where HTML implies
@@ -74,33 +75,42 @@ def html_elements(tokens: DataFrame) -> DataFrame:
         .otherwise(F.least(implied, F.col("ancestor_close") - 1, F.col("last_pos") + 1))
     )
     return ended.where(F.col("kind") != "close").select(
-        "site", "url", F.col("pos").alias("start_pos"), end_pos.alias("end_pos"), "tag",
+        "url", F.col("pos").alias("start_pos"), end_pos.alias("end_pos"), "tag",
         (F.col("kind") == "void").alias("void"), F.col("close_pos").isNotNull().alias("closed"), "tok")
 
 
-def page_elements(pages: DataFrame) -> DataFrame:
-    """Elements of pages with their class names."""
-    return html_elements(html_tokens(pages)).withColumn("classes", H.class_list(F.col("tok")))
+def page_dom(pages: DataFrame) -> DataFrame:
+    """(site, url, toks, els): one row per page with its tokens and its elements in page order.
+
+    ``els`` is array<struct(s, e, tag, tok, classes)>. Element extents are computed once; whatever
+    is then selected, nested or read from them happens inside the row.
+    """
+    elements = html_elements(html_tokens(pages))
+    node = F.struct(F.col("start_pos").alias("s"), F.col("end_pos").alias("e"), "tag", "tok",
+                    H.class_list(F.col("tok")).alias("classes"))
+    els = elements.groupBy("url").agg(F.array_sort(F.collect_list(node)).alias("els"))
+    # same columns as below the token table, so the shuffled pages are reused
+    return tokenized(pages).join(els, "url").select(site_of(F.col("url")).alias("site"), "url", "toks", "els")
 
 
-# --- selector predicates over an element table -------------------------------------------
+# --- predicates over one element struct ----------------------------------------------------
 
-def has_class(*names: str) -> Column:
-    return F.arrays_overlap(F.col("classes"), F.array(*[F.lit(n) for n in names]))
+def has_class(e: Column, *names: str) -> Column:
+    return F.arrays_overlap(e["classes"], F.array(*[F.lit(n) for n in names]))
 
 
-def class_like(regex: str) -> Column:
+def class_like(e: Column, regex: str) -> Column:
     """A single class name, or the whole class attribute, contains a match."""
-    return F.exists("classes", lambda c: c.rlike(regex)) | F.array_join("classes", " ").rlike(regex)
+    return F.exists(e["classes"], lambda c: c.rlike(regex)) | F.array_join(e["classes"], " ").rlike(regex)
 
 
-def class_contains(part: str) -> Column:
+def class_contains(e: Column, part: str) -> Column:
     """[class*='part']"""
-    return F.contains(F.array_join("classes", " "), F.lit(part))
+    return F.contains(F.array_join(e["classes"], " "), F.lit(part))
 
 
-def has_attr(name: str, value: str | None = None, contains: str | None = None) -> Column:
-    a = H.attr(F.col("tok"), name)
+def has_attr(e: Column, name: str, value: str | None = None, contains: str | None = None) -> Column:
+    a = H.attr(e["tok"], name)
     if value is not None:
         return F.coalesce(a == value, F.lit(False))
     if contains is not None:
@@ -108,57 +118,58 @@ def has_attr(name: str, value: str | None = None, contains: str | None = None) -
     return a.isNotNull()
 
 
-def select_elements(elements: DataFrame, condition: Column) -> DataFrame:
-    return elements.where(condition)
+# --- selection inside a row ----------------------------------------------------------------
 
+Predicate = Callable[[Column], Column]
 
-def select_within(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """Elements of ``inner`` that lie inside an element of ``outer``, one row per element."""
-    o = outer.select("url", F.col("start_pos").alias("o_start"), F.col("end_pos").alias("o_end"))
-    return inner.join(
-        o, (inner["url"] == o["url"]) & (F.col("start_pos") > F.col("o_start")) & (F.col("start_pos") <= F.col("o_end")),
-        "left_semi")
 
+def matching(els: Column, predicate: Predicate) -> Column:
+    return F.filter(els, lambda e: predicate(e))
 
-def first_per_page(elements: DataFrame) -> DataFrame:
-    """First element of every page."""
-    rest = [c for c in elements.columns if c not in ("site", "url")]
-    return elements.groupBy("site", "url").agg(F.min_by(F.struct(*rest), F.col("start_pos")).alias("_e")) \
-        .select("site", "url", "_e.*")
 
+def first_match(els: Column, predicate: Predicate) -> Column:
+    """First element in page order that matches, NULL when none does."""
+    return F.try_element_at(F.filter(els, lambda e: predicate(e)), F.lit(1))
 
-def first_inside(outer: DataFrame, nodes: DataFrame, roles: dict[str, Column]) -> DataFrame:
-    """For each outer element the first descendant of every role, as struct columns.
 
-    A role is a predicate over the node table. One join and one aggregate serve all roles.
-    """
-    marked = nodes.select(
-        F.col("url").alias("n_url"), F.col("start_pos").alias("n_start"), F.col("end_pos").alias("n_end"),
-        F.col("tok").alias("n_tok"), *[c.alias(f"is_{r}") for r, c in roles.items()])
-    wanted = marked.where(" or ".join(f"is_{r}" for r in roles))
-    joined = outer.join(
-        wanted,
-        (F.col("url") == F.col("n_url")) & (F.col("n_start") > F.col("start_pos")) & (F.col("n_start") <= F.col("end_pos")),
-        "left")
-    node = F.struct(F.col("n_start").alias("s"), F.col("n_end").alias("e"), F.col("n_tok").alias("tok"))
-    rest = [c for c in outer.columns if c not in ("url", "start_pos")]
-    return joined.groupBy("url", "start_pos").agg(
-        *[F.first(c).alias(c) for c in rest],
-        *[F.min(F.when(F.col(f"is_{r}"), node)).alias(r) for r in roles])
-
-
-def slice_text(toks: Column, start: Column, end: Column, separator: str = "") -> Column:
-    """Text of the tokens from ``start`` to ``end`` (inclusive); NULL when start is NULL."""
-    part = F.slice(toks, start + 1, end - start + 1)
+def inside(els: Column, outer: Column) -> Column:
+    """Descendants of an element."""
+    return F.filter(els, lambda e: (e["s"] > outer["s"]) & (e["s"] <= outer["e"]))
+
+
+def inside_any(els: Column, outers: Column) -> Column:
+    """Elements that lie inside at least one of the given elements."""
+    return F.filter(els, lambda e: F.exists(outers, lambda o: (e["s"] > o["s"]) & (e["s"] <= o["e"])))
+
+
+def node_text(toks: Column, node: Column, separator: str = "") -> Column:
+    """Text of an element; NULL when the element is NULL."""
+    part = F.slice(toks, node["s"] + 1, node["e"] - node["s"] + 1)
     texts = F.filter(part, lambda t: ~t.rlike(r"^<[a-zA-Z/!?]"))
-    return F.when(start.isNotNull(), decode_entities(F.array_join(texts, separator)))
+    return F.when(node.isNotNull(), decode_entities(F.array_join(texts, separator)))
 
 
-def subtree_text(elements: DataFrame, pages: DataFrame, separator: str = "") -> DataFrame:
-    """Elements with a ``text`` column; the token array of the page is joined by url and sliced."""
-    toks = tokenized(pages).select("url", "toks")
-    return elements.join(toks, "url").withColumn(
-        "text", slice_text(F.col("toks"), F.col("start_pos"), F.col("end_pos"), separator)).drop("toks")
+def explode_nodes(dom: DataFrame, nodes: Column, separator: str | None = None) -> DataFrame:
+    """(site, url, start_pos, end_pos, tag, tok, classes[, text]): one row per selected element."""
+    shaped = nodes if separator is None else F.transform(nodes, lambda e: F.struct(
+        e["s"].alias("s"), e["e"].alias("e"), e["tag"].alias("tag"), e["tok"].alias("tok"),
+        e["classes"].alias("classes"), node_text(F.col("toks"), e, separator).alias("text")))
+    out = dom.select("site", "url", F.explode(shaped).alias("n"))
+    return out.select(
+        "site", "url", F.col("n.s").alias("start_pos"), F.col("n.e").alias("end_pos"), "n.tag", "n.tok", "n.classes",
+        *([] if separator is None else ["n.text"]))
+
+
+def select_elements(pages: DataFrame, predicate: Predicate, within: Predicate | None = None) -> DataFrame:
+    """Elements of the pages that match, optionally only inside elements matching ``within``."""
+    dom = page_dom(pages)
+    els = F.col("els")
+    return explode_nodes(dom, matching(els if within is None else inside_any(els, matching(els, within)), predicate))
+
+
+def subtree_text(pages: DataFrame, predicate: Predicate, separator: str = "") -> DataFrame:
+    """Matching elements with the text of their subtrees."""
+    return explode_nodes(page_dom(pages), matching(F.col("els"), predicate), separator)
 
 
 def drop_subtrees(tokens: DataFrame, tags: Sequence[str] = H.FURNITURE) -> DataFrame:
@@ -175,7 +186,3 @@ def drop_subtrees(tokens: DataFrame, tags: Sequence[str] = H.FURNITURE) -> DataF
         .where((F.col("_sum") == F.col("_low")) & ~(is_drop & (F.col("kind") == "close")))
     )
     return kept.drop("_sum", "_low")
-
-
-def cleaned_subtree_text(elements: DataFrame, pages: DataFrame, separator: str = "") -> DataFrame:
-    return subtree_text(elements, pages, separator).withColumn("text", clean_text(F.col("text")))

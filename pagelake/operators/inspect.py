@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from ..functions.text import decode_entities, strip_text
+from ..functions.text import decode_entities, let, strip_text
 from . import dom as D
 from .groups import top_per_group
 
@@ -36,49 +36,59 @@ def class_frequency(pages: DataFrame, tags=CATALOG_TAGS, top: int = 40, above: i
 
 def price_like_nodes(pages: DataFrame, pattern: str = CATALOG_PRICE, need_class: bool = True, width: int = 60) -> DataFrame:
     """(site, url, pos, tag, classes, text): price-like text nodes with their parent element."""
-    tokens = D.html_tokens(pages.where(F.col("html").rlike(pattern)))
-    elements = D.html_elements(tokens).where(~F.col("void"))
-    texts = tokens.where(F.col("kind") == "text").withColumn("text", decode_entities(F.col("tok"))) \
-        .where(F.col("text").rlike(pattern)).select(F.col("url").alias("t_url"), "pos", "text")
-    around = texts.join(elements, (F.col("t_url") == F.col("url")) & F.col("pos").between(F.col("start_pos"), F.col("end_pos")))
-    parent = around.groupBy("site", "url", "pos").agg(
-        F.first("text").alias("text"), F.max(F.struct("start_pos", "tag", "tok")).alias("p"))
-    out = parent.select("site", "url", "pos", F.col("p.tag").alias("tag"),
-                        F.array_join(H.class_list(F.col("p.tok")), " ").alias("classes"),
-                        F.left(strip_text(F.col("text")), F.lit(width)).alias("text"))
+    dom = D.page_dom(pages.where(F.col("html").rlike(pattern)))
+
+    def node(t: Column, i: Column) -> Column:
+        around = F.filter("els", lambda e: (e["s"] <= i) & (e["e"] >= i) & ~e["tag"].isin(*H.VOID_TAGS))
+        return let(F.try_element_at(around, F.lit(-1)), lambda p: F.struct(
+            i.alias("pos"), p["tag"].alias("tag"), F.array_join(p["classes"], " ").alias("classes"),
+            F.left(strip_text(decode_entities(t)), F.lit(width)).alias("text")))
+
+    nodes = F.filter(
+        F.transform("toks", lambda t, i: F.when(~t.rlike(r"^<[a-zA-Z/!?]") & decode_entities(t).rlike(pattern), node(t, i))),
+        lambda n: n.isNotNull())
+    out = dom.select("site", "url", F.explode(nodes).alias("n")).select("site", "url", "n.*")
     return out.where(F.col("classes") != "") if need_class else out
 
 
-def catalog_selectors() -> Mapping[str, Column]:
-    return {"item, product or card": D.class_contains("item") | D.class_contains("product") | D.class_contains("card")}
+def catalog_selectors() -> Mapping[str, D.Predicate]:
+    return {"item, product or card": lambda e: D.class_contains(e, "item") | D.class_contains(e, "product") | D.class_contains(e, "card")}
 
 
-def category_selectors() -> Mapping[str, Column]:
-    return {".item": D.has_class("item"), ".product": D.has_class("product"),
-            "[class*='item']": D.class_contains("item"), "article": F.col("tag") == "article"}
+def category_selectors() -> Mapping[str, D.Predicate]:
+    return {".item": lambda e: D.has_class(e, "item"), ".product": lambda e: D.has_class(e, "product"),
+            "[class*='item']": lambda e: D.class_contains(e, "item"), "article": lambda e: e["tag"] == "article"}
 
 
-def selector_samples(pages: DataFrame, selectors: Mapping[str, Column], k: int = 5, width: int = 80,
+def selector_samples(pages: DataFrame, selectors: Mapping[str, D.Predicate], k: int = 5, width: int = 80,
                      skip_blank: bool = False) -> DataFrame:
-    """(site, selector, rank, url, tag, classes, text): the first k elements per site and selector."""
-    elements = D.page_elements(pages)
-    names = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in selectors.items()]), lambda x: x.isNotNull())
-    hits = elements.select("site", "url", "start_pos", "end_pos", "tag", "classes", F.explode(names).alias("selector"))
-    first = top_per_group(hits, ["site", "selector"], [F.asc("url"), F.asc("start_pos")], k)
-    shown = D.subtree_text(first, pages).withColumn(
-        "text", F.replace(strip_text(F.left("text", F.lit(width))), F.lit("\n"), F.lit(" ")))
-    out = shown.select("site", "selector", "rank", "url", "tag", F.array_join("classes", " ").alias("classes"), "text")
+    """(site, selector, rank, url, tag, classes, text): the first k elements per site and selector.
+
+    A page contributes at most its own first k elements, so little is left to rank per site.
+    """
+    def samples(name: str, predicate: D.Predicate) -> Column:
+        first = F.slice(D.matching(F.col("els"), predicate), 1, k)
+        return F.transform(first, lambda e: F.struct(
+            F.lit(name).alias("selector"), e["s"].alias("at"), e["tag"].alias("tag"),
+            F.array_join(e["classes"], " ").alias("classes"),
+            F.replace(strip_text(F.left(D.node_text(F.col("toks"), e), F.lit(width))), F.lit("\n"), F.lit(" ")).alias("text")))
+
+    hits = D.page_dom(pages).select(
+        "site", "url", F.explode(F.concat(*[samples(n, p) for n, p in selectors.items()])).alias("h")
+    ).select("site", "url", "h.*")
+    first = top_per_group(hits, ["site", "selector"], [F.asc("url"), F.asc("at")], k)
+    out = first.select("site", "selector", "rank", "url", "tag", "classes", "text")
     return out.where(F.col("text") != "") if skip_blank else out
 
 
 def card_structure(pages: DataFrame, card_class: str = CARD_CLASS, price_class: str = PRICE_CLASS, width: int = 50) -> DataFrame:
     """(site, url, start_pos, tag, classes, text): inside of the first card that holds a price, per page."""
-    candidates = pages.where(F.col("html").contains(card_class) & F.col("html").contains(price_class))
-    nodes = D.page_elements(candidates)
-    cards = nodes.where(D.has_class(card_class)).select("site", "url", "start_pos", "end_pos")
-    priced = D.first_inside(cards, nodes, {"price": D.has_class(price_class)}).where("price is not null")
-    first = D.first_per_page(priced.select("site", "url", "start_pos", "end_pos"))
-    inside = D.select_within(first, nodes.where(F.size("classes") > 0))
-    shown = D.subtree_text(inside, candidates).withColumn("text", F.left(strip_text(F.col("text")), F.lit(width)))
-    return shown.where(F.col("text") != "").select(
+    dom = D.page_dom(pages.where(F.col("html").contains(card_class) & F.col("html").contains(price_class)))
+    els = F.col("els")
+    prices = D.matching(els, lambda e: D.has_class(e, price_class))
+    card = D.first_match(els, lambda e: D.has_class(e, card_class) & F.exists(
+        prices, lambda p: (p["s"] > e["s"]) & (p["s"] <= e["e"])))
+    shown = let(card, lambda c: F.filter(D.inside(els, c), lambda e: F.size(e["classes"]) > 0))
+    out = D.explode_nodes(dom, shown, "").withColumn("text", F.left(strip_text(F.col("text")), F.lit(width)))
+    return out.where(F.col("text") != "").select(
         "site", "url", "start_pos", "tag", F.array_join("classes", " ").alias("classes"), "text")

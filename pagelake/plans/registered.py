@@ -274,20 +274,18 @@ def html_elements(spark, d):
 @query
 def select_elements(spark, d):
     """Product links inside template cards of the shop pages."""
-    nodes = dom.page_elements(X.shop_pages(spark, d))
-    links = dom.select_within(
-        dom.select_elements(nodes, dom.has_class(*blocks.TEMPLATE_CARDS)),
-        dom.select_elements(nodes, (F.col("tag") == "a") & dom.has_attr("href")))
+    links = dom.select_elements(
+        X.shop_pages(spark, d), lambda e: (e["tag"] == "a") & dom.has_attr(e, "href"),
+        within=lambda e: dom.has_class(e, *blocks.TEMPLATE_CARDS))
     return links.select("url", H.attr(F.col("tok"), "href").alias("href"))
 
 
 @query
 def subtree_text(spark, d):
     """Text of every product name in the template cards."""
-    pages = X.shop_pages(spark, d)
-    nodes = dom.page_elements(pages)
-    names = nodes.where(dom.has_class("item-title", "dark_link", "name") & (F.col("tag") != "div"))
-    return dom.cleaned_subtree_text(names, pages).select("url", "text")
+    names = dom.subtree_text(
+        X.shop_pages(spark, d), lambda e: dom.has_class(e, "item-title", "dark_link", "name") & (e["tag"] != "div"))
+    return names.select("url", T.clean_text(F.col("text")).alias("text"))
 
 
 @query
@@ -326,7 +324,7 @@ def price_like_nodes(spark, d):
 
 @query
 def selector_samples(spark, d):
-    return I.selector_samples(X.shop_pages(spark, d), {"card": dom.has_class(*blocks.TEMPLATE_CARDS)}, k=5, width=80) \
+    return I.selector_samples(X.shop_pages(spark, d), {"card": lambda e: dom.has_class(e, *blocks.TEMPLATE_CARDS)}, k=5, width=80) \
         .select("site", "rank", "url", "tag", "classes")
 
 
