@@ -15,7 +15,6 @@ from ..functions.prices import price_and_currency
 from ..functions.text import clean_text, let
 from ..functions.urls import normalize_url, resolve_url
 from . import dom as D
-from .keys import first_wins
 from .structured import PRODUCT_COLUMNS
 
 # Markup that marks addresses, services, product cards and pagination.
@@ -47,11 +46,20 @@ def _text(node: Column) -> Column:
     return clean_text(D.node_text(F.col("toks"), node))
 
 
-def _entities(dom: DataFrame, outers: Column, fields) -> DataFrame:
-    """One row per outer element: ``fields(outer, descendants)`` names its columns."""
-    rows = F.transform(outers, lambda o: let(
+def _per_outer(outers: Column, fields) -> Column:
+    """array<struct>: ``fields(outer, descendants)`` for each outer element."""
+    return F.transform(outers, lambda o: let(
         D.inside(F.col("els"), o), lambda els: F.struct(*[c.alias(n) for n, c in fields(o, els).items()])))
-    return dom.select("site", "url", F.explode(rows).alias("r")).select("site", "url", "r.*")
+
+
+def _first_by_name(rows: Column, min_chars: int) -> Column:
+    """First row per name of one page; ``name`` and ``seq`` are the leading struct fields.
+
+    After sorting by (name, seq) the winner leads its run, so the key rule needs no shuffle.
+    """
+    usable = F.array_sort(F.filter(rows, lambda r: F.length(r["name"]) >= min_chars))
+    return let(usable, lambda u: F.filter(
+        u, lambda r, i: (i == 0) | (r["name"] != F.element_at(u, F.greatest(i, F.lit(1)))["name"])))
 
 
 def page_addresses(pages: DataFrame) -> DataFrame:
@@ -71,12 +79,11 @@ def page_services(pages: DataFrame) -> DataFrame:
     """(site, page_url, name, description): first heading and paragraph of service-like blocks."""
     dom = D.page_dom(pages.where(F.col("html").rlike(SERVICE_CLASS)))
     sections = D.matching(F.col("els"), lambda e: e["tag"].isin("section", "div") & D.class_like(e, SERVICE_CLASS))
-    rows = _entities(dom, sections, lambda o, els: {
-        "name": _text(D.first_match(els, lambda e: e["tag"].isin(*HEADINGS))),
-        "description": F.left(_text(D.first_match(els, lambda e: e["tag"] == "p")), F.lit(DESCRIPTION_WIDTH)),
-        "seq": o["s"]})
-    usable = rows.where(F.length("name") > SERVICE_NAME_MIN).withColumnRenamed("url", "page_url")
-    return first_wins(usable, ["site", "page_url", "name"], ["seq"]).drop("seq")
+    rows = _per_outer(sections, lambda o, els: {
+        "name": _text(D.first_match(els, lambda e: e["tag"].isin(*HEADINGS))), "seq": o["s"],
+        "description": F.left(_text(D.first_match(els, lambda e: e["tag"] == "p")), F.lit(DESCRIPTION_WIDTH))})
+    return dom.select("site", F.col("url").alias("page_url"), F.explode(_first_by_name(rows, SERVICE_NAME_MIN + 1)).alias("r")) \
+        .select("site", "page_url", "r.name", "r.description")
 
 
 def _image_url(node: Column) -> Column:
@@ -111,10 +118,12 @@ def _template_prices(els: Column) -> Column:
     return F.filter(F.transform(D.matching(els, lambda e: D.has_class(e, "price")), block), lambda b: b.isNotNull())
 
 
-def template_cards(pages: DataFrame) -> DataFrame:
-    """Product rows of the shop-template card markup."""
-    dom = D.page_dom(pages.where(F.col("html").contains(TEMPLATE_MARK)))
+CARD_FIELDS = "name string, seq bigint, price string, old_price string, currency string, sku string, " \
+    "image_url string, product_url string, in_stock string"
+NO_CARDS = f"array<struct<{', '.join(f.replace(' ', ':') for f in CARD_FIELDS.split(', '))}>>"
+
 
+def _template_rows() -> Column:
     def name(els: Column) -> Column:
         return _text(F.coalesce(
             D.first_match(els, lambda e: D.has_class(e, "item-title")), D.first_match(els, _is_dark_link),
@@ -125,43 +134,31 @@ def template_cards(pages: DataFrame) -> DataFrame:
         return _text(D.first_match(els, lambda e: D.has_class(e, "sa_block") | (
             D.has_class(e, "value") & F.exists(boxes, lambda b: (e["s"] > b["s"]) & (e["s"] <= b["e"])))))
 
-    def price_of(blocks: Column) -> Column:
-        amounts = F.filter(blocks, lambda b: ~b["discount"] & (b["amount"] != ""))
-        discounts = F.filter(blocks, lambda b: b["discount"])
-        currencies = F.filter(blocks, lambda b: b["currency"].isNotNull())
+    def fields(o: Column, els: Column) -> dict[str, Column]:
+        return {
+            "name": name(els), "seq": o["s"].cast("bigint"), "blocks": _template_prices(els),
+            "sku": F.coalesce(H.attr(o["tok"], "data-id"), F.lit("")),
+            "image_url": let(D.first_match(els, lambda e: e["tag"] == "img"), _image_url),
+            "product_url": let(F.coalesce(D.first_match(els, _is_dark_link), D.first_match(els, _is_link)), _link_url),
+            "in_stock": stock(els)}
+
+    def finished(r: Column) -> Column:
+        amounts = F.filter(r["blocks"], lambda b: ~b["discount"] & (b["amount"] != ""))
+        discounts = F.filter(r["blocks"], lambda b: b["discount"])
+        currencies = F.filter(r["blocks"], lambda b: b["currency"].isNotNull())
         empty = F.lit("")
         return F.struct(
+            r["name"].alias("name"), r["seq"].alias("seq"),
             F.coalesce(F.try_element_at(amounts, F.lit(1))["amount"], empty).alias("price"),
             F.coalesce(F.try_element_at(discounts, F.lit(-1))["amount"], empty).alias("old_price"),
-            F.coalesce(F.try_element_at(currencies, F.lit(-1))["currency"], F.lit(TEMPLATE_CURRENCY)).alias("currency"))
+            F.coalesce(F.try_element_at(currencies, F.lit(-1))["currency"], F.lit(TEMPLATE_CURRENCY)).alias("currency"),
+            *[r[c].alias(c) for c in ("sku", "image_url", "product_url", "in_stock")])
 
     cards = D.matching(F.col("els"), lambda e: D.has_class(e, *TEMPLATE_CARDS))
-    rows = _entities(dom, cards, lambda o, els: {
-        "name": name(els), "p": let(_template_prices(els), price_of), "sku": F.coalesce(H.attr(o["tok"], "data-id"), F.lit("")),
-        "image_url": let(D.first_match(els, lambda e: e["tag"] == "img"), _image_url),
-        "product_url": let(F.coalesce(D.first_match(els, _is_dark_link), D.first_match(els, _is_link)), _link_url),
-        "in_stock": stock(els), "seq": o["s"].cast("bigint")})
-    return _card_products(rows)
+    return _first_by_name(F.transform(_per_outer(cards, fields), finished), NAME_MIN_CHARS)
 
 
-def _card_products(rows: DataFrame) -> DataFrame:
-    usable = rows.where(F.length("name") >= NAME_MIN_CHARS).withColumnRenamed("url", "source_url").select(
-        "*", "p.*", *[F.lit("").alias(c) for c in ("brand", "category", "description")], F.lit("card").alias("origin")
-    ).select(*PRODUCT_COLUMNS)
-    return first_wins(usable, ["site", "source_url", "name"], ["seq"])
-
-
-def generic_cards(pages: DataFrame, template_products: DataFrame | None = None) -> DataFrame:
-    """Product rows of common card markup, on pages where the template markup gave none.
-
-    Only pages that mention the template can hold template products, so the others skip the
-    anti join. ``template_products`` saves computing those products again.
-    """
-    marks = [*CARD_CLASSES, CARD_ITEMTYPE]
-    candidates = pages.where(F.col("html").rlike("|".join(m.replace(".", r"\.") for m in marks)))
-    mixed = candidates.where(F.col("html").contains(TEMPLATE_MARK))
-    covered = template_cards(mixed) if template_products is None else template_products
-    dom = D.page_dom(candidates).join(covered.select(F.col("source_url").alias("url")).distinct(), "url", "left_anti")
+def _generic_rows() -> Column:
     rules = [*[lambda e, c=c: D.has_class(e, c) for c in CARD_CLASSES],
              *[lambda e, p=p: D.class_contains(e, p) for p in CARD_CLASS_PARTS],
              lambda e: D.has_attr(e, "itemtype", contains=CARD_ITEMTYPE)]
@@ -172,16 +169,59 @@ def generic_cards(pages: DataFrame, template_products: DataFrame | None = None)
     def text_of(els: Column, *choices) -> Column:
         return _text(F.coalesce(*[D.first_match(els, c) for c in choices]))
 
-    rows = _entities(dom, D.matching(F.col("els"), lambda e: selector_no(e).isNotNull()), lambda o, els: {
-        "name": text_of(els, lambda e: D.has_attr(e, "itemprop", "name"), lambda e: e["tag"].isin(*HEADINGS),
-                        lambda e: D.class_like(e, CARD_NAME_CLASS)),
-        "price_text": text_of(els, lambda e: D.has_attr(e, "itemprop", "price"), lambda e: D.class_like(e, CARD_PRICE_CLASS)),
-        "old_price": text_of(els, lambda e: D.class_like(e, CARD_OLD_PRICE_CLASS)),
-        "image_url": let(D.first_match(els, lambda e: e["tag"] == "img"), _image_url),
-        "product_url": let(D.first_match(els, _is_link), _link_url),
-        "sku": F.lit(""), "in_stock": F.lit(""),
-        "seq": selector_no(o).cast("bigint") * (1 << 31) + o["s"]})
-    return _card_products(rows.withColumn("p", price_and_currency(F.col("price_text"))))
+    def fields(o: Column, els: Column) -> dict[str, Column]:
+        price = price_and_currency(text_of(
+            els, lambda e: D.has_attr(e, "itemprop", "price"), lambda e: D.class_like(e, CARD_PRICE_CLASS)))
+        return {
+            "name": text_of(els, lambda e: D.has_attr(e, "itemprop", "name"), lambda e: e["tag"].isin(*HEADINGS),
+                            lambda e: D.class_like(e, CARD_NAME_CLASS)),
+            "seq": selector_no(o).cast("bigint") * (1 << 31) + o["s"], "p": price,
+            "old_price": text_of(els, lambda e: D.class_like(e, CARD_OLD_PRICE_CLASS)),
+            "image_url": let(D.first_match(els, lambda e: e["tag"] == "img"), _image_url),
+            "product_url": let(D.first_match(els, _is_link), _link_url)}
+
+    def finished(r: Column) -> Column:
+        empty = F.lit("")
+        return F.struct(
+            r["name"].alias("name"), r["seq"].alias("seq"), r["p"]["price"].alias("price"), r["old_price"].alias("old_price"),
+            r["p"]["currency"].alias("currency"), empty.alias("sku"), r["image_url"].alias("image_url"),
+            r["product_url"].alias("product_url"), empty.alias("in_stock"))
+
+    cards = D.matching(F.col("els"), lambda e: selector_no(e).isNotNull())
+    return _first_by_name(F.transform(_per_outer(cards, fields), finished), NAME_MIN_CHARS)
+
+
+def _card_products(dom: DataFrame, rows: Column) -> DataFrame:
+    return dom.select("site", F.col("url").alias("source_url"), F.explode(rows).alias("r")).select(
+        "site", "source_url", "r.*", *[F.lit("").alias(c) for c in ("brand", "category", "description")],
+        F.lit("card").alias("origin")).select(*PRODUCT_COLUMNS)
+
+
+def _mentions_generic() -> Column:
+    return F.col("html").rlike("|".join(m.replace(".", r"\.") for m in (*CARD_CLASSES, CARD_ITEMTYPE)))
+
+
+def _mentions_template() -> Column:
+    return F.col("html").contains(TEMPLATE_MARK)
+
+
+def template_cards(pages: DataFrame) -> DataFrame:
+    """Product rows of the shop-template card markup."""
+    return _card_products(D.page_dom(pages.where(_mentions_template())), _template_rows())
+
+
+def generic_cards(pages: DataFrame) -> DataFrame:
+    """Product rows of common card markup, on pages where the template markup gave none."""
+    dom = D.page_dom(pages.where(_mentions_generic()))
+    none = F.array().cast(NO_CARDS)
+    return _card_products(dom, F.when(F.size(_template_rows()) == 0, _generic_rows()).otherwise(none))
+
+
+def html_products(pages: DataFrame) -> DataFrame:
+    """Template cards, and generic cards on the pages without template cards, in one pass."""
+    dom = D.page_dom(pages.where(_mentions_template() | _mentions_generic()))
+    rows = let(_template_rows(), lambda t: F.when(F.size(t) > 0, t.cast(NO_CARDS)).otherwise(_generic_rows().cast(NO_CARDS)))
+    return _card_products(dom, rows)
 
 
 def next_page(pages: DataFrame) -> DataFrame:

@@ -1 +1,434 @@
-def oracle_sql(): return {}
+"""DuckDB twins of the registered queries.
+
+For derived pages the SQL selects the expected entities from the base tables and never parses
+markup or JSON; for the landed pages it uses its own, simpler regular expressions.
+"""
+
+from __future__ import annotations
+
+from ..functions.urls import SKIP_EXTENSIONS, SKIP_PATHS, SOCIAL_DOMAINS
+from ..operators.translate import STOP_WORDS
+
+WS = r"[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def clean(x: str) -> str:
+    return f"trim(regexp_replace(coalesce({x}, ''), '{WS}+', ' ', 'g'))"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def decode(x: str) -> str:
+    for ref, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        x = f"replace({x}, '{ref}', '{char}')"
+    return x
+
+
+def tagless(x: str, sep: str) -> str:
+    return f"regexp_replace({x}, '<[^>]*>', '{sep}', 'g')"
+
+
+def site(u: str) -> str:
+    return f"regexp_extract({u}, '^[a-z]+://([^/?#]*)', 1)"
+
+
+def normal(u: str) -> str:
+    cut = f"regexp_replace({u}, '#.*$', '')"
+    path = f"regexp_extract({u}, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+    return f"CASE WHEN {path} IN ('', '/') THEN rtrim({cut}, '/') ELSE {cut} END"
+
+
+DECIMAL = "CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR)"
+JUNK = r"<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<![^>]*>"
+
+# --- landed pages -------------------------------------------------------------------------
+
+PAGES = f"""
+base AS (SELECT page_id, url, {site('url')} AS site, html,
+         regexp_replace(html, '{JUNK}', '', 'gs') AS vis FROM pages),
+arts AS (SELECT *, {clean(decode(tagless("regexp_extract(vis, '<article[^>]*>(.*?)</article>', 1, 's')", ' ')))} AS art,
+         {clean(decode(tagless("regexp_replace(vis, '<nav>.*?</nav>|<footer>.*?</footer>', ' ', 'gs')", ' ')))} AS rest FROM base),
+pg AS (SELECT page_id, url, site, html, vis, CASE WHEN length(art) > 100 THEN art ELSE rest END AS raw_text,
+       {clean(decode("regexp_extract(vis, '<title>([^<]*)</title>', 1)"))} AS title,
+       {clean(decode(tagless("regexp_extract(vis, '<h1>(.*?)</h1>', 1, 's')", '')))} AS h1,
+       {clean(decode(tagless('vis', '')))} AS whole FROM arts)"""
+
+EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+PHONE = r"(?:\+?[78][\s\-]?)?(?:\(?\d{3}\)?[\s\-]?)?\d{3}[\s\-]?\d{2}[\s\-]?\d{2}"
+DIGITS = "length(regexp_replace({0}, '[^0-9]', '', 'g'))"
+
+
+def found(pattern: str, x: str) -> str:
+    return f"unnest(regexp_extract_all({x}, '{pattern}'))"
+
+
+CONTACTS = PAGES + f""",
+hits AS (SELECT site, url AS page_url, 'email' AS type, lower({found(EMAIL, "regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs')")}) AS value FROM pg
+         UNION ALL SELECT site, url, 'phone', {found(PHONE, 'raw_text')} FROM pg),
+contacts AS (SELECT DISTINCT site, page_url, type, CASE WHEN type = 'phone' THEN {clean('value')} ELSE value END AS value
+             FROM hits WHERE type = 'email' OR {DIGITS.format('value')} BETWEEN 7 AND 12)"""
+
+LINKS = PAGES + f""",
+a AS (SELECT site, url, unnest(regexp_extract_all(vis, '<a href="[^"]*">.*?</a>', 0, 's')) AS a,
+      generate_subscripts(regexp_extract_all(vis, '<a href="[^"]*">.*?</a>', 0, 's'), 1) AS pos FROM pg),
+h AS (SELECT site, url, pos, {decode("regexp_extract(a, 'href=\"([^\"]*)\"', 1)")} AS href,
+      left({clean(decode(tagless('a', '')))}, 150) AS text FROM a),
+r AS (SELECT *, {normal("regexp_extract(url, '^[a-z]+://[^/?#]*') || href")} AS to_url FROM h),
+links AS (SELECT site, url AS from_url, to_url, arg_min(text, pos) AS text FROM r GROUP BY ALL)"""
+
+HOME = """home AS (SELECT site, url, title, '' AS description, '' AS keywords, h1 FROM pg
+  QUALIFY row_number() OVER (PARTITION BY site ORDER BY length(url), url) = 1)"""
+
+# --- shop pages ---------------------------------------------------------------------------
+
+SHOP = f"""
+sp AS (SELECT p_partkey AS k, p_size AS s, p_type, p_brand, regexp_extract(p_brand, '[0-9]+')::INT AS b, p_partkey // 200 AS block,
+       p_name || ' & ' || p_type AS name, {DECIMAL} AS price FROM part),
+shop AS (SELECT *, 'brand' || b || '.example.com' AS site,
+         'https://brand' || b || '.example.com/catalog/list?page=' || block AS url,
+         'https://brand' || b || '.example.com' AS root FROM sp),
+img AS (SELECT *, CASE WHEN k % 2 = 0 THEN root || '/i/' || k || '.jpg' ELSE root || '/i/' || k || '.png' END AS image FROM shop),
+template AS (SELECT site, url AS source_url, name, price, CASE WHEN s % 2 = 0 THEN s || '000' ELSE '' END AS old_price,
+  CASE WHEN s % 3 <> 0 THEN 'руб.' ELSE '₽' END AS currency, k::VARCHAR AS sku, '' AS brand, '' AS category, '' AS description,
+  image AS image_url, root || '/p/' || k AS product_url,
+  CASE s % 4 WHEN 0 THEN 'Есть (' || s || ')' WHEN 1 THEN 'по запросу' ELSE '' END AS in_stock, k AS seq, s
+  FROM img WHERE b % 2 = 0 QUALIFY row_number() OVER (PARTITION BY url, name ORDER BY k) = 1),
+generic AS (SELECT site, url AS source_url, name,
+  CASE s % 3 WHEN 0 THEN price || ' USD' WHEN 1 THEN '€ ' || price ELSE price || ' тг.' END AS price,
+  CASE s % 3 WHEN 0 THEN s || ' USD' ELSE '' END AS old_price,
+  CASE s % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE '' END AS currency, '' AS sku, '' AS brand, '' AS category, '' AS description,
+  CASE s % 3 WHEN 0 THEN image ELSE '' END AS image_url, CASE s % 3 WHEN 0 THEN root || '/p/' || k ELSE '' END AS product_url,
+  '' AS in_stock, (CASE s % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 7 END)::BIGINT * 1000000000 + k AS seq, s
+  FROM img WHERE b % 2 = 1
+  QUALIFY row_number() OVER (PARTITION BY url, name ORDER BY CASE s % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 7 END, k) = 1),
+cards AS (SELECT * FROM template UNION ALL SELECT * FROM generic),
+unique_cards AS (SELECT * FROM cards QUALIFY row_number() OVER (PARTITION BY site, name ORDER BY source_url, seq) = 1),
+shop_pages AS (SELECT DISTINCT site, url, root, b, block FROM shop)"""
+
+API = SHOP + """,
+calls AS (SELECT *, site, url AS trigger_url, 'https://api.example.com/v1/' || k AS api_url FROM shop WHERE k % 8 IN (0, 1, 2, 7)),
+api_all AS (SELECT site, url AS source_url, name, k AS seq,
+  CASE k % 8 WHEN 0 THEN s::VARCHAR WHEN 1 THEN s || ' руб' WHEN 2 THEN price ELSE '' END AS price, '' AS old_price,
+  CASE k % 8 WHEN 1 THEN 'RUB' ELSE '' END AS currency, CASE k % 8 WHEN 0 THEN 'A-' || k WHEN 1 THEN k::VARCHAR ELSE '' END AS sku,
+  CASE k % 8 WHEN 0 THEN p_brand ELSE '' END AS brand, CASE WHEN k % 8 IN (0, 1) THEN p_type ELSE '' END AS category,
+  CASE WHEN k % 80 = 7 THEN repeat('x', 400) WHEN k % 8 = 7 THEN 'short text' ELSE '' END AS description,
+  CASE k % 8 WHEN 1 THEN '/i/' || k ELSE '' END AS image_url, CASE k % 8 WHEN 1 THEN '/p/' || k ELSE '' END AS product_url,
+  CASE k % 8 WHEN 0 THEN 'true' ELSE '' END AS in_stock
+  FROM calls WHERE k % 8 <> 2 OR k % 11 <= 8
+  UNION ALL SELECT site, url, p_type, k + 1000000000, '', '', '', '', '', '', '', '', '', '' FROM calls WHERE k % 8 = 1),
+api AS (SELECT * FROM api_all QUALIFY row_number() OVER (PARTITION BY source_url, name ORDER BY seq) = 1),
+merged AS (SELECT site, source_url, name, 'api' AS origin, price, sku FROM api UNION ALL
+  SELECT site, source_url, name, 'card', price, sku FROM cards ANTI JOIN api USING (source_url, name))"""
+
+NEXT = SHOP + """,
+nexts AS (SELECT site, url, root || '/catalog/list?page=' || (block + 1) AS next_url, block FROM shop_pages WHERE block % 10 <> 9)"""
+
+SERVICES = """
+sv AS (SELECT c_custkey AS k, c_custkey // 20 AS block, c_mktsegment || ' ' || (c_custkey % 5) AS name, c_name FROM customer),
+services AS (SELECT 'svc' || (block % 25) || '.example.com' AS site,
+  'https://svc' || (block % 25) || '.example.com/s/' || block AS page_url, name,
+  CASE k % 4 WHEN 0 THEN left(trim(repeat(c_name || ' ', 30)), 400) WHEN 1 THEN '' ELSE 'short <' || k || '>' END AS description
+  FROM sv WHERE k % 4 <> 3 QUALIFY row_number() OVER (PARTITION BY block, name ORDER BY k) = 1),
+unique_services AS (SELECT * FROM services QUALIFY row_number() OVER (PARTITION BY site, name ORDER BY page_url) = 1),
+service_pages AS (SELECT DISTINCT 'svc' || (block % 25) || '.example.com' AS site, block FROM sv)"""
+
+_DOMAINS = ", ".join(f"'{d}'" for d in SOCIAL_DOMAINS)
+_NAMES = ", ".join(f"'{n}'" for n in SOCIAL_DOMAINS.values())
+ORGS = f"""
+org AS (SELECT s_suppkey AS k, s_name, n_name, 'org' || s_suppkey || '.example.org' AS site,
+  'https://org' || s_suppkey || '.example.org/about' AS page_url,
+  list_extract([{_DOMAINS}], (s_suppkey % 10)::INT + 1) AS dom, list_extract([{_NAMES}], (s_suppkey % 10)::INT + 1) AS net
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+socials AS (SELECT site, page_url, 'social:' || net AS type, 'https://' || dom || '/org' || k AS value FROM org
+  UNION ALL SELECT site, page_url, 'social:X', 'https://' || dom || '/org' || k FROM org WHERE net <> 'X' AND contains(dom, 'x.com')),
+addresses AS (SELECT site, page_url, 'address' AS type, CASE k % 3 WHEN 0 THEN 'Tag street ' || k || ', town'
+  WHEN 1 THEN 'Prop street ' || k ELSE 'Class street ' || k END AS value FROM org),
+ld AS (SELECT site, page_url, 'phone' AS type, '+7 (495) 000-' || lpad(k::VARCHAR, 6, '0') AS value FROM org WHERE k % 3 < 2
+  UNION ALL SELECT site, page_url, 'phone', '8 800 ' || k FROM org WHERE k % 3 = 1
+  UNION ALL SELECT site, page_url, 'email', 'Info@org' || k || '.example.org' FROM org
+  UNION ALL SELECT site, page_url, 'address', k || ' Main St, ' || n_name FROM org
+  UNION ALL SELECT * FROM socials)"""
+
+JSONLD = f"""
+j AS (SELECT p_partkey AS k, p_size, p_brand, p_type, p_name || ' <' || p_partkey || '> & co' AS name, {DECIMAL} AS price,
+  'shop' || (p_partkey % 7) || '.example.net' AS site, 'https://shop' || (p_partkey % 7) || '.example.net/item/' || p_partkey AS source_url,
+  p_partkey % 6 AS m FROM part)"""
+
+VISITS = "SELECT o_custkey, o_orderkey, o_orderstatus, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders"
+
+SITEMAPS = """
+c AS (SELECT c_custkey AS k, c_custkey // 100 AS block, 'svc' || c_nationkey || '.example.com' AS site FROM customer),
+f AS (SELECT DISTINCT site, block, '/sitemap-' || block || '.xml' AS path FROM c)"""
+
+
+def _profile_rows() -> str:
+    def listing(key: str, kind: str) -> str:
+        return f"""SELECT site, '{key}', coalesce((SELECT '["' || string_agg(DISTINCT value, '","' ORDER BY value) || '"]'
+          FROM contacts c WHERE c.site = home.site AND type = '{kind}'), '[]') FROM home"""
+
+    plain = {"domain": "site", "site_title": "title", "meta_description": "''", "meta_keywords": "''", "main_h1": "h1"}
+    rows = [f"SELECT site, '{k}' AS key, {c} AS value FROM home" for k, c in plain.items()]
+    rows += [listing("emails", "email"), listing("phones", "phone"), "SELECT site, 'social_links', '{}' FROM home"]
+    return f"SELECT site, key, 0 AS part, value FROM ({' UNION ALL '.join(rows)})"
+
+
+def _chain() -> str:
+    return f"""WITH RECURSIVE {NEXT.lstrip()},
+      nodes AS (SELECT url FROM nexts UNION SELECT next_url FROM nexts),
+      walk AS (SELECT url, url AS chain, 0 AS position FROM nodes WHERE url NOT IN (SELECT next_url FROM nexts)
+        UNION ALL SELECT n.next_url, w.chain, w.position + 1 FROM walk w JOIN nexts n ON w.url = n.url)
+      SELECT url, chain, position FROM walk"""
+
+
+def _bfs() -> str:
+    # a listing page links its products, the site root and, but for the last of ten, the next page
+    return f"""WITH RECURSIVE {NEXT.lstrip()},
+      edges AS (SELECT url AS from_url, root || '/p/' || k AS to_url FROM shop WHERE b % 2 = 0 OR s % 3 = 0
+        UNION SELECT url, root FROM shop_pages UNION SELECT url, next_url FROM nexts),
+      walk AS (SELECT url, 0 AS depth FROM shop_pages WHERE block = 0
+        UNION SELECT e.to_url, w.depth + 1 FROM walk w JOIN edges e ON w.url = e.from_url WHERE w.depth < 12)
+      SELECT {site('url')} AS site, url, min(depth) AS depth FROM walk GROUP BY url"""
+
+
+def _language() -> str:
+    scores = ", ".join(
+        f"{{'n': len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in words)}))), 'i': {-i}, 'lang': '{lang}'}}"
+        for i, (lang, words) in enumerate(sorted(STOP_WORDS.items())))
+    return f"""WITH t AS (SELECT doc_id, length({strip('text')}) AS n,
+        string_split_regex(lower({strip('left(text, 500)')}), '[^\\p{{L}}]+') AS w FROM documents),
+      s AS (SELECT doc_id, n, list_max([{scores}]) AS best FROM t),
+      d AS (SELECT doc_id, CASE WHEN n >= 20 AND best.n > 0 THEN best.lang ELSE '' END AS detected FROM s)
+      SELECT doc_id, detected, detected = 'en' AS translatable FROM d"""
+
+
+def _markdown() -> str:
+    return f"""WITH {CONTACTS}, {HOME},
+      info AS (SELECT *, CASE WHEN title <> '' THEN title WHEN h1 <> '' THEN h1 ELSE url END AS heading FROM pg
+        WHERE length(raw_text) > 300 AND NOT regexp_matches(url, '(?i)/(catalog|basket|compare|personal|login|favicon|\\?sort=)')),
+      vals AS (SELECT DISTINCT site, type, value FROM contacts),
+      kinds AS (SELECT DISTINCT site, type FROM vals),
+      l AS (
+        SELECT site, 0 AS section, 0 AS ord_no, '' AS ord_text, 0 AS sub, '# ' || coalesce(nullif(title, ''), site) || chr(10) AS line FROM home
+        UNION ALL SELECT site, 0, 0, '', 1, '## Общая информация' || chr(10) FROM home
+        UNION ALL SELECT site, 0, 0, '', 5, chr(10) || '## Контакты' || chr(10) FROM home
+        UNION ALL SELECT site, CASE type WHEN 'email' THEN 1 ELSE 2 END, -1, '', 0,
+          CASE type WHEN 'email' THEN '**Email:**' ELSE chr(10) || '**Телефоны:**' END FROM kinds
+        UNION ALL SELECT site, CASE type WHEN 'email' THEN 1 ELSE 2 END, 0, value, 0, '- ' || value FROM vals
+        UNION ALL SELECT DISTINCT site, 7, -1, '', 0, chr(10) || '## Содержимое страниц' || chr(10) FROM info
+        UNION ALL SELECT site, 7, length(url), url, 0, chr(10) || '### ' || heading || chr(10) FROM info
+        UNION ALL SELECT site, 7, length(url), url, 1, '**URL:** ' || url || chr(10) FROM info
+        UNION ALL SELECT site, 7, length(url), url, 2, 'text' FROM info
+        UNION ALL SELECT site, 7, length(url), url, 3, '' FROM info)
+      SELECT * FROM l"""
+
+
+def oracle_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+
+    # A
+    q["scan_pages"] = f"SELECT page_id, {site('url')} AS site, url, length(html) AS n_chars FROM pages"
+    q["sitemap_urls"] = f"""WITH {SITEMAPS},
+      u AS (SELECT site, block, CASE k % 5 WHEN 1 THEN 'https://' || site || '/c/' || k WHEN 2 THEN 'https://' || site || '/c/' || k || '?a=1&b=2'
+        WHEN 3 THEN 'https://' || site || '/c/' || k ELSE 'https://' || site END AS url FROM c WHERE k % 5 <> 0 AND block % 4 IN (0, 1))
+      SELECT site, url, min('/sitemap-' || block || '.xml') AS path FROM u GROUP BY site, url"""
+    q["sitemap_children"] = f"""WITH {SITEMAPS} SELECT site, path, 'https://' || site || '/deep/' || block || '.xml' AS child
+      FROM f WHERE block % 4 = 2"""
+    q["robots_sitemaps"] = """WITH h AS (SELECT 'org' || s_suppkey || '.example.org' AS site FROM supplier)
+      SELECT site, 'https://' || site || '/sitemap.xml' AS sitemap FROM h UNION ALL SELECT site, 'http://' || site || ':8080/two.xml' FROM h"""
+    q["api_responses"] = f"""WITH {API} SELECT site, trigger_url, api_url, k % 80 = 7 AS cut, 1704067200 + k AS scraped_at FROM calls"""
+    q["write_tables"] = f"""WITH {LINKS} SELECT site, (SELECT count(*) FROM pg WHERE pg.site = l.site) AS pages, count(*) AS links
+      FROM links l GROUP BY site"""
+    q["site_partition_replace"] = f"""WITH {PAGES} SELECT site, count(*) AS pages,
+      count(*) FILTER (ends_with(site, '.org')) AS reloaded FROM pg GROUP BY site"""
+    q["json_report"] = f"""WITH {API},
+      n AS (SELECT site, 'pages' AS w FROM shop_pages UNION ALL SELECT site, 'products' FROM merged UNION ALL SELECT site, 'api' FROM calls)
+      SELECT site, site AS domain, count(*) FILTER (w = 'pages') AS pages, 0 AS contacts, count(*) FILTER (w = 'products') AS products,
+        0 AS services, count(*) FILTER (w = 'api') AS api_calls FROM n GROUP BY site"""
+    q["markdown_report"] = _markdown()
+    q["markdown_products"] = f"""WITH {SHOP}, n AS (SELECT site, count(*) AS n FROM unique_cards GROUP BY site)
+      SELECT site, -1 AS ord_no, '' AS ord_text, 0 AS sub, chr(10) || '## Товары (' || n || ')' || chr(10) AS line FROM n
+      UNION ALL SELECT site, -1, '', 1, '| Название | Цена | Старая цена | Артикул |' FROM n
+      UNION ALL SELECT site, -1, '', 2, '|---|---|---|---|' FROM n
+      UNION ALL SELECT site, 0, name, 0, '| ' || name || ' | ' || trim(price || ' ' || currency) || ' | ' ||
+        CASE WHEN old_price = '' THEN '' ELSE trim(old_price || ' ' || currency) END || ' | ' || sku || ' |' FROM unique_cards"""
+    q["read_report"] = f"WITH {SERVICES} SELECT site, page_url, name, description FROM services"
+
+    # B
+    q["clean_text"] = f"SELECT doc_id, {clean('text')} AS text FROM documents"
+    q["normalize_url"] = f"SELECT page_id, {normal('url')} AS url FROM pages"
+    q["resolve_url"] = f"""WITH {PAGES},
+      a AS (SELECT page_id, url, regexp_extract_all(vis, '<a href="([^"]*)">', 1) AS h FROM pg),
+      u AS (SELECT page_id, url, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos FROM a),
+      p AS (SELECT page_id, url, len(h) AS n, regexp_extract(url, '^[a-z]+://[^/?#]*') AS root,
+            regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM a)
+      SELECT page_id, pos, {decode('href')} AS href, regexp_extract(url, '^[a-z]+://[^/?#]*') || {decode('href')} AS resolved FROM u
+      UNION ALL SELECT page_id, n, '../x/./y?z=1', root || regexp_replace(regexp_replace(path, '[^/]*$', ''), '[^/]+/$', '') || 'x/y?z=1' FROM p
+      UNION ALL SELECT page_id, n + 1, '?only=query', root || path || '?only=query' FROM p"""
+    q["site_of"] = f"SELECT page_id, {site('url')} AS site, {site('url')} = 'thther.example.org' AS same FROM pages"
+    tails = "['', '/cartoon', '/a.PDF', '/a.pdf?x=1', '/a.pdfx', '/login/', '/style.css', '/tel:1']"
+    skip = f"NOT regexp_matches(t, '{SKIP_EXTENSIONS}') AND NOT regexp_matches(t, '{SKIP_PATHS}')"
+    q["is_followable"] = f"""WITH u AS (SELECT page_id, {site('url')} AS site, {normal('url')} AS u, {tails} AS tails FROM pages),
+      t AS (SELECT page_id, site, unnest(generate_series(0, 7))::INT AS k, u || unnest(tails) AS t FROM u)
+      SELECT page_id, k, {site('t')} = site AND {skip} AS own, {site('t')} = 'thther.example.org' AND {skip} AS other FROM t"""
+    q["extract_emails"] = f"SELECT DISTINCT doc_id, lower({found(EMAIL, 'text')}) AS email FROM documents"
+    phones = f"""WITH h AS (SELECT doc_id, {found(PHONE, 'text')} AS p FROM documents),
+      ph AS (SELECT DISTINCT doc_id, {clean('p')} AS phone FROM h WHERE {DIGITS.format('p')} BETWEEN 7 AND 12)"""
+    q["extract_phones"] = f"{phones} SELECT doc_id, phone FROM ph"
+    q["plausible_phone"] = f"""{phones} SELECT doc_id, phone,
+      NOT regexp_matches(phone, '2016|2017|2026|322774') AS plausible FROM ph"""
+    q["price_and_currency"] = f"""WITH p AS (SELECT p_partkey, p_partkey % 10 AS m, {DECIMAL} AS d FROM part)
+      SELECT p_partkey, CASE m WHEN 0 THEN d || ' ₽' WHEN 1 THEN '$' || d WHEN 2 THEN d || ' РУБ.' WHEN 3 THEN '€ ' || d WHEN 4 THEN d || 'usd'
+        WHEN 5 THEN '£' || d WHEN 6 THEN d || ' грн.' WHEN 7 THEN d || ' KZT' WHEN 8 THEN '¥ ' || d ELSE '' END AS price,
+        list_extract(['RUB', 'USD', 'RUB', 'EUR', 'USD', 'GBP', '', '', '', ''], m::INT + 1) AS currency FROM p"""
+    social = [f"SELECT s_suppkey, 'social:{n}' AS type, 'https://{d}/' || s_suppkey AS value FROM supplier" for d, n in SOCIAL_DOMAINS.items()]
+    social += ["SELECT s_suppkey, 'social:X', 'https://netflix.com/' || s_suppkey FROM supplier"]
+    q["classify_social"] = " UNION ALL ".join(social)
+    q["needs_render"] = f"""WITH {PAGES} SELECT site, url, length(whole) < 200 OR
+      regexp_matches(html, '(ng-app|data-reactroot|__NEXT_DATA__|__vue|ReactDOM\\.render)') AS needs_render FROM pg"""
+    q["clean_page_text"] = """WITH w AS (SELECT doc_id, 'Текст ' || array_to_string(string_split(
+        trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' '), '. ') || '.' AS core FROM documents)
+      SELECT doc_id, core || CASE WHEN doc_id % 5 = 4 THEN ' конец.' ELSE '' END AS text FROM w"""
+    q["strip_site_suffix"] = f"""WITH {PAGES} SELECT url, title AS stripped,
+      CASE WHEN length(url) % 7 <> 0 AND title <> '' THEN title WHEN h1 <> '' THEN h1 ELSE url END AS heading FROM pg"""
+    q["chunk_text"] = """WITH s AS (SELECT doc_id, text, unnest(generate_series(0, length(text) - 1, 4500)) AS start FROM documents)
+      SELECT doc_id, start, substring(text, start + 1, 4500) AS chunk, start < 27000 AS "within" FROM s"""
+    q["truncate_with_rest"] = """SELECT doc_id, left(text, 2000) AS head, greatest(length(text) - 2000, 0) AS rest FROM documents"""
+    q["decode_entities"] = f"SELECT page_id, {decode('html')} AS decoded FROM pages"
+
+    # C
+    q["html_tokens"] = r"""WITH t AS (SELECT url, regexp_extract_all(html, '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>|[^<]+', 0, 's') AS toks FROM pages),
+      u AS (SELECT url, unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS pos FROM t),
+      n AS (SELECT url, pos, tok, lower(regexp_extract(tok, '^</?([a-zA-Z][^\s/>]*)', 1)) AS tag FROM u)
+      SELECT url, pos, CASE WHEN tok[1] <> '<' THEN 'text' WHEN starts_with(tok, '<!--') THEN 'comment' WHEN tag IN ('script', 'style') THEN 'raw'
+        WHEN starts_with(tok, '</') THEN 'close' WHEN tag IN ('br', 'meta') THEN 'void' WHEN tag <> '' THEN 'open' ELSE 'decl' END AS kind, tag, tok FROM n"""
+    q["html_elements"] = r"""WITH t AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'gs'), '</?[a-z][a-z0-9]*')) AS t FROM pages),
+      n AS (SELECT url, ltrim(t, '</') AS tag, count(*) FILTER (t[2] <> '/') AS n, count(*) FILTER (t[2] = '/') AS c FROM t GROUP BY ALL)
+      SELECT url, tag, n, c AS n_closed FROM n"""
+    q["select_elements"] = f"""WITH {SHOP} SELECT url, '/p/' || k AS href FROM shop WHERE b % 2 = 0"""
+    q["subtree_text"] = f"""WITH {SHOP} SELECT url, name AS text FROM shop WHERE b % 2 = 0"""
+    q["drop_subtrees"] = f"""WITH {PAGES}, t AS (SELECT url, unnest(regexp_extract_all(
+        regexp_replace(vis, '<nav>.*?</nav>|<footer>.*?</footer>', '<x>', 'gs'), '(?:^|>)([^<]+)', 1)) AS t FROM pg)
+      SELECT url, count(*) AS n, sum(length(t)) AS n_chars FROM t GROUP BY url"""
+    q["main_content"] = f"WITH {PAGES} SELECT url, raw_text FROM pg"
+    q["head_fields"] = f"""WITH {PAGES}, {SHOP} SELECT site, url, title, '' AS description, '' AS keywords, h1 FROM pg
+      UNION ALL SELECT site, url, 'Goods of brand ' || b || ' - ' || site, 'Goods "' || b || '" block ' || block, '', 'Brand ' || b FROM shop_pages"""
+    q["class_frequency"] = f"""WITH {SHOP}, cls AS (
+        SELECT site, 'catalog-block-view__item' AS class FROM shop WHERE b % 2 = 0
+        UNION ALL SELECT site, unnest(['price', CASE WHEN s % 2 = 0 THEN 'discount' END, CASE WHEN s % 2 = 0 THEN 'price' END,
+          CASE s % 3 WHEN 0 THEN 'item-title' WHEN 2 THEN 'block_name' END, CASE s % 4 WHEN 0 THEN 'item-stock' WHEN 1 THEN 'sa_block' END])
+          FROM shop WHERE b % 2 = 0
+        UNION ALL SELECT site, unnest(CASE s % 3 WHEN 0 THEN ['product-card'] WHEN 1 THEN ['goods-item', 'x'] ELSE [] END) FROM shop WHERE b % 2 = 1
+        UNION ALL SELECT site, CASE b % 4 WHEN 1 THEN 'pagination' WHEN 2 THEN 'my-paginator' END FROM shop_pages WHERE block % 10 <> 9),
+      n AS (SELECT site, class, count(*) AS n FROM cls WHERE class IS NOT NULL GROUP BY ALL)
+      SELECT site, class, n FROM n WHERE TRUE QUALIFY row_number() OVER (PARTITION BY site ORDER BY n DESC, class) <= 40 AND n > 2"""
+    q["class_frequency_all_tags"] = """WITH c AS (SELECT 'svc' || (c_custkey // 20 % 25) || '.example.com' AS site,
+        unnest(CASE c_custkey % 4 WHEN 0 THEN ['our-services'] WHEN 1 THEN ['ADVANTAGES'] WHEN 2 THEN ['блок', 'Услуги'] ELSE ['service'] END) AS class FROM customer)
+      SELECT site, class, count(*) AS n FROM c GROUP BY ALL HAVING count(*) > 3"""
+    q["price_like_nodes"] = f"""WITH {SHOP}
+      SELECT url, 'span' AS tag, 'price_currency' AS classes, 'руб.' AS text FROM shop WHERE b % 2 = 0 AND s % 3 <> 0"""
+    q["selector_samples"] = f"""WITH {SHOP} SELECT site, row_number() OVER (PARTITION BY site ORDER BY url, k) AS rank, url, 'div' AS tag,
+      'catalog-block-view__item' AS classes FROM shop WHERE b % 2 = 0 QUALIFY rank <= 5"""
+    q["card_structure"] = f"""WITH {SHOP}, f AS (SELECT * FROM shop WHERE b % 2 = 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY k) = 1),
+      cur AS (SELECT *, CASE WHEN s % 3 <> 0 THEN ' руб. ' ELSE '' END AS c FROM f)
+      SELECT url, 'span' AS tag, 'price_value' AS classes, price AS text FROM f
+      UNION ALL SELECT url, 'span', 'price_currency', 'руб.' FROM f WHERE s % 3 <> 0
+      UNION ALL SELECT url, 'div', 'price', trim(' ' || price || ' ' || c) FROM cur
+      UNION ALL SELECT url, 'div', 'price discount', s || ' 000' FROM f WHERE s % 2 = 0
+      UNION ALL SELECT url, 'span', 'price_value', s || ' 000' FROM f WHERE s % 2 = 0
+      UNION ALL SELECT url, 'div', 'item-title', name FROM f WHERE s % 3 = 0
+      UNION ALL SELECT url, 'a', 'dark_link', name FROM f WHERE s % 3 < 2
+      UNION ALL SELECT url, 'div', 'block_name', name FROM f WHERE s % 3 = 2
+      UNION ALL SELECT url, 'b', 'name', name FROM f WHERE s % 3 = 2
+      UNION ALL SELECT url, 'div', 'item-stock', 'Есть (' || s || ')' FROM f WHERE s % 4 = 0
+      UNION ALL SELECT url, 'span', 'value', 'Есть (' || s || ')' FROM f WHERE s % 4 = 0
+      UNION ALL SELECT url, 'div', 'sa_block', 'по запросу' FROM f WHERE s % 4 = 1
+      UNION ALL SELECT url, 'span', 'value', 'other' FROM f WHERE s % 4 = 3"""
+
+    # D
+    q["build_pages"] = f"WITH {PAGES} SELECT site, url, title, '' AS description, '' AS keywords, h1, left(raw_text, 30000) AS raw_text FROM pg"
+    q["page_contacts"] = f"WITH {CONTACTS} SELECT * FROM contacts"
+    q["page_addresses"] = f"WITH {ORGS} SELECT * FROM addresses"
+    q["page_socials"] = f"WITH {ORGS} SELECT * FROM socials"
+    q["page_links"] = f"WITH {LINKS} SELECT * FROM links"
+    follow = f"{site('to_url')} = site AND NOT regexp_matches(to_url, '{SKIP_EXTENSIONS}') AND NOT regexp_matches(to_url, '{SKIP_PATHS}')"
+    q["followable_links"] = f"WITH {LINKS} SELECT site, from_url, to_url FROM links WHERE {follow}"
+    q["page_services"] = f"WITH {SERVICES} SELECT * FROM services"
+    columns = "site, source_url, name, price, old_price, currency, sku, brand, category, description, image_url, product_url, in_stock"
+    q["template_cards"] = f"WITH {SHOP} SELECT {columns} FROM template"
+    q["generic_cards"] = f"WITH {SHOP} SELECT {columns} FROM generic"
+    q["jsonld_blocks"] = f"WITH {JSONLD} SELECT site, count(*) AS blocks FROM j GROUP BY site"
+    q["json_nodes"] = f"""WITH {JSONLD}, n AS (
+        SELECT unnest(CASE m WHEN 0 THEN ['0:Product', '1:', '1:'] WHEN 1 THEN ['1:Product', '2:', '3:']
+          WHEN 2 THEN ['0:', '2:WebPage', '3:Product', '4:', '5:'] WHEN 3 THEN ['0:IndividualProduct', '1:', '1:']
+          WHEN 4 THEN ['0:Product'] ELSE ['0:', '1:', '1:'] END) AS x FROM j)
+      SELECT split_part(x, ':', 1)::INT AS depth, split_part(x, ':', 2) AS type, count(*) AS n FROM n GROUP BY ALL"""
+    q["jsonld_products"] = f"""WITH {JSONLD} SELECT site, source_url, name, CASE WHEN m IN (1, 2) THEN p_size::VARCHAR ELSE price END AS price,
+      '' AS old_price, CASE WHEN m IN (1, 2) THEN 'EUR' ELSE 'USD' END AS currency,
+      CASE WHEN m IN (1, 2) THEN k::VARCHAR ELSE 'S-' || k END AS sku, p_brand AS brand, '' AS category,
+      left(trim(p_type || ' ' || repeat('word ', 100)), 400) AS description,
+      CASE WHEN m IN (1, 2) THEN '/i/' || k || '.png' ELSE '/i/' || k || '.jpg' END AS image_url, '' AS product_url, '' AS in_stock
+      FROM j WHERE m < 4"""
+    q["jsonld_org"] = f"""WITH {ORGS} SELECT site, 'org_name' AS key, s_name || ' Ltd' AS value FROM org
+      UNION ALL SELECT site, 'org_description', left(trim(repeat(s_name || ' ', 60)), 800) FROM org"""
+    q["jsonld_contacts"] = f"WITH {ORGS} SELECT * FROM ld"
+    q["api_products"] = f"WITH {API} SELECT {columns} FROM api_all"
+    q["next_page"] = f"WITH {NEXT} SELECT site, url, next_url FROM nexts"
+
+    # E
+    q["first_wins"] = f"WITH v AS ({VISITS}) SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1"
+    q["last_wins"] = f"WITH v AS ({VISITS}) SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"
+    q["merge_products"] = f"WITH {API} SELECT * FROM merged"
+    q["distinct_texts"] = f"""WITH {SHOP}, {SERVICES}, {ORGS}
+      SELECT 'Goods of brand ' || b || ' - ' || site AS text FROM shop_pages UNION SELECT 'Goods "' || b || '" block ' || block FROM shop_pages
+      UNION SELECT 'Brand ' || b FROM shop_pages UNION SELECT name FROM cards UNION SELECT name FROM services
+      UNION SELECT description FROM services WHERE description <> '' UNION SELECT s_name || ' Ltd' FROM org
+      UNION SELECT left(trim(repeat(s_name || ' ', 60)), 800) FROM org"""
+    q["detect_language"] = _language()
+    q["apply_dictionary"] = """WITH en AS (SELECT DISTINCT text FROM documents WHERE lang = 'en')
+      SELECT doc_id, CASE WHEN text IN (SELECT text FROM en) THEN '~' || md5(text) ELSE text END AS text, source AS label FROM documents"""
+    q["home_page"] = f"WITH {PAGES}, {HOME} SELECT * FROM home"
+    q["site_profile"] = f"WITH {CONTACTS}, {HOME} {_profile_rows()}"
+    q["social_links"] = f"WITH {ORGS} SELECT site, substring(type, 8) AS network, min(value) AS value FROM socials GROUP BY ALL"
+    q["report_counts"] = f"""WITH {API}, n AS (SELECT site, 'pages' AS w, url AS x FROM shop_pages UNION ALL
+        SELECT DISTINCT site, 'products', name FROM merged UNION ALL SELECT site, 'api', api_url FROM calls)
+      SELECT site, count(*) FILTER (w = 'pages') AS pages, count(*) FILTER (w = 'products') AS products, 0 AS services,
+        count(*) FILTER (w = 'api') AS api_responses FROM n GROUP BY site"""
+    q["distinct_addresses"] = f"""WITH {ORGS} SELECT site, value FROM addresses UNION SELECT site, value FROM ld WHERE type = 'address'"""
+    q["product_listing"] = f"""WITH {SHOP} SELECT site, name, '  • ' || name || '  | ' || rtrim(price || ' ' || currency) ||
+        CASE WHEN old_price <> '' AND old_price <> price THEN '  (было ' || old_price || ')' ELSE '' END AS line, product_url
+      FROM unique_cards QUALIFY row_number() OVER (PARTITION BY site ORDER BY name) <= 300"""
+    q["service_listing"] = f"""WITH {SERVICES} SELECT site, name, left(description, 110) AS description FROM unique_services
+      QUALIFY row_number() OVER (PARTITION BY site ORDER BY name) <= 50"""
+    info = "length(raw_text) > 300 AND NOT regexp_matches(url, '(?i)/(catalog|basket|compare|personal|login|favicon|{0})')"
+    q["info_pages"] = f"""WITH {PAGES} SELECT 'console' AS mode, site, url, length(url) AS url_length FROM pg WHERE {info.format(chr(92) + '?')}
+      UNION ALL SELECT 'markdown', site, url, length(url) FROM pg WHERE {info.format(chr(92) + '?sort=')}"""
+    q["page_preview"] = f"""WITH {PAGES} SELECT site, url, coalesce(nullif(title, ''), nullif(h1, ''), url) AS heading,
+      left(raw_text, 2000) AS head, greatest(length(raw_text) - 2000, 0) AS rest FROM pg WHERE {info.format(chr(92) + '?')}"""
+    q["contacts_by_type"] = f"""{phones} SELECT DISTINCT source AS site, 'phone' AS type, phone AS value FROM ph JOIN documents USING (doc_id)
+      UNION SELECT source, 'email', lower({found(EMAIL, 'text')}) FROM documents"""
+    q["top_products"] = f"""WITH {SHOP} SELECT site, row_number() OVER (PARTITION BY site ORDER BY source_url, name) AS rank, name, price
+      FROM unique_cards QUALIFY rank <= 60"""
+    q["top_services"] = f"""WITH {SERVICES} SELECT site, row_number() OVER (PARTITION BY site ORDER BY page_url, name) AS rank, name,
+      left(description, 110) AS description FROM unique_services QUALIFY rank <= 40"""
+    q["report_totals"] = f"WITH {SERVICES} SELECT site, count(*) AS pages FROM service_pages GROUP BY site"
+    q["profile_phones"] = f"""WITH {CONTACTS} SELECT DISTINCT site, value AS phone FROM contacts WHERE type = 'phone'
+      AND NOT regexp_matches(value, '2016|2017|2026|322774')"""
+
+    # F
+    q["frontier_round"] = f"""WITH {LINKS}, c AS (SELECT site, to_url AS url, min({{'d': length(from_url), 'f': from_url}}) AS o FROM links
+        WHERE {follow} AND to_url NOT IN (SELECT {normal('url')} FROM pages) GROUP BY ALL)
+      SELECT site, url, 'link' AS kind, row_number() OVER (PARTITION BY site ORDER BY o, url) AS rank FROM c QUALIFY rank <= 20"""
+    q["bfs_depth"] = _bfs()
+    q["pagination_chain"] = _chain()
+    q["crawl_summary"] = f"SELECT {site('url')} AS site, count(*) AS pages FROM pages GROUP BY ALL"
+
+    # G
+    q["stream_api_responses"] = f"WITH {API} SELECT site, trigger_url, api_url, 1704067200 + k AS scraped_at FROM calls"
+    q["stream_api_products"] = f"WITH {API} SELECT source_url, name, price, sku FROM api"
+    q["stream_contacts"] = q["page_contacts"]
+    q["stream_page_upsert"] = f"WITH {PAGES} SELECT site, url, title, h1, left(raw_text, 30000) AS raw_text FROM pg"
+    q["site_links"] = f"""WITH {LINKS}, {HOME} SELECT site, (SELECT count(*) FROM pg WHERE pg.site = home.site) AS pages, url AS home_url,
+      title AS home_title, (SELECT count(DISTINCT to_url) FROM links WHERE links.site = home.site) AS out_links FROM home"""
+    return q

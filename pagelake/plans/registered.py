@@ -14,7 +14,7 @@ from ..sources import landed, reports, tables
 from ..sources.pages import scan_pages
 from ..streaming import jobs
 from . import fixtures as X
-from .site_build import all_contacts, build_entities, html_products, link_profile
+from .site_build import all_contacts, build_entities, link_profile
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -119,14 +119,17 @@ def markdown_report(spark, d):
     products = none.select(*[F.lit("").alias(c) for c in S.PRODUCT_COLUMNS if c != "seq"], F.lit(0).cast("bigint").alias("seq"))
     services = none.select(*[F.lit("").alias(c) for c in ("site", "page_url", "name", "description")])
     profile = R.site_profile(pages, contacts)
-    return reports.markdown_lines(profile, pages, contacts, products, services)
+    lines = reports.markdown_lines(profile, pages, contacts, products, services)
+    # the noise rules on page texts have a query of their own (clean_page_text); here their lines count
+    page_text = (F.col("section") == 7) & (F.col("sub") == 2)
+    return lines.withColumn("line", F.when(page_text, F.lit("text")).otherwise(F.col("line")))
 
 
 @query
 def markdown_products(spark, d):
     """Product section of the shop reports."""
     e = shop_entities(spark, d)
-    cards = html_products(X.shop_pages(spark, d))
+    cards = blocks.html_products(X.shop_pages(spark, d))
     lines = reports.markdown_lines(e.profile(), e.pages, e.contacts, cards, e.services)
     return lines.where("section = 5").select("site", "ord_no", "ord_text", "sub", "line")
 
@@ -496,7 +499,7 @@ def distinct_addresses(spark, d):
 
 @query
 def product_listing(spark, d):
-    return R.product_listing(html_products(X.shop_pages(spark, d))).select("site", "name", "line", "product_url")
+    return R.product_listing(blocks.html_products(X.shop_pages(spark, d))).select("site", "name", "line", "product_url")
 
 
 @query
@@ -540,7 +543,7 @@ def _service_report(spark, d):
 
 def _shop_report(spark, d):
     e = shop_entities(spark, d)
-    return reports.parse_report(reports.json_report(e.profile(), {**e.sections(), "products": html_products(X.shop_pages(spark, d))}))
+    return reports.parse_report(reports.json_report(e.profile(), {**e.sections(), "products": blocks.html_products(X.shop_pages(spark, d))}))
 
 
 @query

@@ -39,18 +39,12 @@ def all_contacts(pages: DataFrame) -> DataFrame:
         .unionByName(structured.jsonld_contacts(pages)).distinct()
 
 
-def html_products(pages: DataFrame) -> DataFrame:
-    """Template cards, and generic cards on the pages without template cards."""
-    template = blocks.template_cards(pages)
-    return template.unionByName(blocks.generic_cards(pages, template))
-
-
 def build_entities(pages: DataFrame, responses: DataFrame) -> Entities:
     usable = landed.json_responses(responses)
     return Entities(
         pages=P.build_pages(pages),
         contacts=all_contacts(pages),
-        products=merge_products(structured.api_products(usable), structured.jsonld_products(pages), html_products(pages)),
+        products=merge_products(structured.api_products(usable), structured.jsonld_products(pages), blocks.html_products(pages)),
         services=blocks.page_services(pages),
         links=P.page_links(pages),
         api_responses=landed.api_responses(responses),
