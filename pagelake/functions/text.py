@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,6 +68,24 @@ def let_sql(value: Column, function: str) -> Column:
     return F.element_at(F.call_function("transform", F.array(value), F.expr(function)), 1)
 
 
+def built_once(make):
+    """Keep the Column of a parameterless builder for the lifetime of the JVM it lives in.
+
+    A Column over named columns can serve any number of plans; building a large one takes
+    thousands of driver round trips.
+    """
+    kept: dict[int, Column] = {}
+
+    @functools.wraps(make)
+    def column() -> Column:
+        gateway = id(SparkContext._gateway)
+        if gateway not in kept:
+            kept[gateway] = make()
+        return kept[gateway]
+
+    return column
+
+
 def _decode_sql() -> str:
     pairs = "\n".join(f"{k}\t{v}" for k, v in NAMED_ENTITIES.items()).replace("'", "\\'")
     # more than seven digits is never a code point (and would overflow conv)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.prices import price_and_currency
-from ..functions.text import clean_text, let
+from ..functions.text import built_once, clean_text, let
 from ..functions.urls import normalize_url, resolve_url
 from . import dom as D
 from .structured import PRODUCT_COLUMNS
@@ -123,6 +123,7 @@ CARD_FIELDS = "name string, seq bigint, price string, old_price string, currency
 NO_CARDS = f"array<struct<{', '.join(f.replace(' ', ':') for f in CARD_FIELDS.split(', '))}>>"
 
 
+@built_once
 def _template_rows() -> Column:
     def name(els: Column) -> Column:
         return _text(F.coalesce(
@@ -158,6 +159,7 @@ def _template_rows() -> Column:
     return _first_by_name(F.transform(_per_outer(cards, fields), finished), NAME_MIN_CHARS)
 
 
+@built_once
 def _generic_rows() -> Column:
     rules = [*[lambda e, c=c: D.has_class(e, c) for c in CARD_CLASSES],
              *[lambda e, p=p: D.class_contains(e, p) for p in CARD_CLASS_PARTS],

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from ..functions.text import decode_entities
+from ..functions.text import DECODE, let_sql
 from ..functions.urls import site_of
 
 # elements that end where the next one of the same kind starts
@@ -22,8 +22,13 @@ IMPLIED_END = ("p", "li", "dt", "dd", "option", "tr", "td", "th")
 
 
 def tokenized(pages: DataFrame) -> DataFrame:
-    """(url, toks): one row per page with its token array, partitioned by url."""
-    return pages.select("url", "html").repartition("url").select(
+    """(url, toks): one row per page with its token array, partitioned by url.
+
+    The partition count is given, so that adaptive execution does not merge partitions by the
+    compressed size of the source: tokens and elements are far larger than what was shuffled.
+    """
+    count = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pages.select("url", "html").repartition(count, "url").select(
         "url", H.html_token_array(F.col("html")).alias("toks"))
 
 
@@ -96,17 +101,19 @@ def page_dom(pages: DataFrame) -> DataFrame:
 # --- predicates over one element struct ----------------------------------------------------
 
 def has_class(e: Column, *names: str) -> Column:
+    if len(names) == 1:
+        return F.array_contains(e["classes"], names[0])
     return F.arrays_overlap(e["classes"], F.array(*[F.lit(n) for n in names]))
 
 
 def class_like(e: Column, regex: str) -> Column:
     """A single class name, or the whole class attribute, contains a match."""
-    return F.exists(e["classes"], lambda c: c.rlike(regex)) | F.array_join(e["classes"], " ").rlike(regex)
+    return let_sql(e["classes"], f"c -> exists(c, x -> x rlike r'{regex}') OR array_join(c, ' ') rlike r'{regex}'")
 
 
 def class_contains(e: Column, part: str) -> Column:
     """[class*='part']"""
-    return F.contains(F.array_join(e["classes"], " "), F.lit(part))
+    return let_sql(e["classes"], f"c -> contains(array_join(c, ' '), '{part}')")
 
 
 def has_attr(e: Column, name: str, value: str | None = None, contains: str | None = None) -> Column:
@@ -144,9 +151,9 @@ def inside_any(els: Column, outers: Column) -> Column:
 
 def node_text(toks: Column, node: Column, separator: str = "") -> Column:
     """Text of an element; NULL when the element is NULL."""
-    part = F.slice(toks, node["s"] + 1, node["e"] - node["s"] + 1)
-    texts = F.filter(part, lambda t: ~t.rlike(r"^<[a-zA-Z/!?]"))
-    return F.when(node.isNotNull(), decode_entities(F.array_join(texts, separator)))
+    text = f"array_join(filter(slice(x.toks, x.n.s + 1, x.n.e - x.n.s + 1), t -> NOT t rlike '^<[a-zA-Z/!?]'), '{separator}')"
+    return let_sql(F.struct(toks.alias("toks"), node.alias("n")),
+                   f"x -> CASE WHEN x.n IS NOT NULL THEN element_at(transform(array({text}), {DECODE}), 1) END")
 
 
 def explode_nodes(dom: DataFrame, nodes: Column, separator: str | None = None) -> DataFrame:

@@ -10,36 +10,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from ..functions.text import extract_emails, extract_phones
+from ..functions.text import built_once, extract_emails, extract_phones
 from ..functions.urls import classify_social, is_followable, normalize_url, resolve_url
 
 LINK_TEXT_WIDTH = 150
 
 
+@built_once
+def _main_content() -> Column:
+    return H.main_content(F.col("html"))
+
+
+@built_once
+def _anchors() -> Column:
+    return H.anchors(H.visible_html(F.col("html")))
+
+
+@built_once
+def _head() -> Column:
+    m = F.col("_m")
+    return F.struct(H.page_title(m).alias("title"), H.meta_content(m, "description").alias("description"),
+                    H.meta_content(m, "keywords").alias("keywords"), H.first_heading(m).alias("h1"))
+
+
 def head_fields(pages: DataFrame) -> DataFrame:
     """(site, url, title, description, keywords, h1)"""
-    m = F.col("_m")
     return pages.select("site", "url", H.visible_html(F.col("html")).alias("_m")).select(
-        "site", "url", H.page_title(m).alias("title"), H.meta_content(m, "description").alias("description"),
-        H.meta_content(m, "keywords").alias("keywords"), H.first_heading(m).alias("h1"))
+        "site", "url", _head().alias("h")).select("site", "url", "h.*")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(site, url, raw_text): whole main text."""
-    return pages.select("site", "url", H.main_content(F.col("html")).alias("raw_text"))
+    return pages.select("site", "url", _main_content().alias("raw_text"))
 
 
 def build_pages(pages: DataFrame, raw_text_width: int | None = H.RAW_TEXT_WIDTH) -> DataFrame:
     """The pages entity table. ``raw_text_width`` is the width of the stored text column."""
-    m = F.col("_m")
     scraped = F.col("fetched_at").cast("timestamp") if "fetched_at" in pages.columns else F.lit(None).cast("timestamp")
-    text = H.main_content(F.col("html"))
+    text = _main_content()
     return pages.select(
         "site", "url", "html", scraped.alias("scraped_at"), H.visible_html(F.col("html")).alias("_m")
     ).select(
-        "site", "url", H.page_title(m).alias("title"), H.meta_content(m, "description").alias("description"),
-        H.meta_content(m, "keywords").alias("keywords"), H.first_heading(m).alias("h1"),
-        (text if raw_text_width is None else F.left(text, F.lit(raw_text_width))).alias("raw_text"), "scraped_at")
+        "site", "url", _head().alias("h"),
+        (text if raw_text_width is None else F.left(text, F.lit(raw_text_width))).alias("raw_text"), "scraped_at"
+    ).select("site", "url", "h.*", "raw_text", "scraped_at")
 
 
 def _typed(kind: str, values: Column) -> Column:
@@ -53,13 +67,13 @@ def page_contacts(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """
     markup = F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), H.SCRIPT_BLOCKS, "")
     found = F.concat(
-        _typed("email", extract_emails(markup)), _typed("phone", extract_phones(H.main_content(F.col("html")))))
+        _typed("email", extract_emails(markup)), _typed("phone", extract_phones(_main_content())))
     return pages.select("site", F.col("url").alias("page_url"), *keep, F.explode(found).alias("c")) \
         .select("site", "page_url", "c.type", "c.value", *keep)
 
 
 def _anchor_rows(pages: DataFrame) -> DataFrame:
-    return pages.select("site", "url", H.anchors(H.visible_html(F.col("html"))).alias("anchors"))
+    return pages.select("site", "url", _anchors().alias("anchors"))
 
 
 def page_socials(pages: DataFrame, match: str = "contains") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from ..sources import landed, reports, tables
 from ..sources.pages import scan_pages
 from ..streaming import jobs
 from . import fixtures as X
-from .site_build import all_contacts, build_entities, link_profile
+from .site_build import all_contacts, build_entities, link_profile, store_entities
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -45,6 +46,10 @@ def shop_entities(spark: SparkSession, d: str):
     return build_entities(X.shop_pages(spark, d), X.api_landed(X.shop_parts(spark, d)))
 
 
+def stored_shop_entities(spark: SparkSession, d: str, **changes: DataFrame):
+    return store_entities(replace(shop_entities(spark, d), **changes), tables.scratch_path(spark, "shop"))
+
+
 def org_contacts(spark: SparkSession, d: str) -> DataFrame:
     return all_contacts(X.org_pages(spark, d))
 
@@ -104,7 +109,7 @@ def site_partition_replace(spark, d):
 @query
 def json_report(spark, d):
     """Report documents of the shop sites, shown as their section sizes and a product total."""
-    e = shop_entities(spark, d)
+    e = stored_shop_entities(spark, d)
     parsed = reports.parse_report(reports.json_report(e.profile(), e.sections()))
     return parsed.groupBy("site").agg(
         F.max(F.try_element_at("company", F.lit("domain"))).alias("domain"),
@@ -128,9 +133,8 @@ def markdown_report(spark, d):
 @query
 def markdown_products(spark, d):
     """Product section of the shop reports."""
-    e = shop_entities(spark, d)
-    cards = blocks.html_products(X.shop_pages(spark, d))
-    lines = reports.markdown_lines(e.profile(), e.pages, e.contacts, cards, e.services)
+    e = stored_shop_entities(spark, d, products=blocks.html_products(X.shop_pages(spark, d)))
+    lines = reports.markdown_lines(e.profile(), e.pages, e.contacts, e.products, e.services)
     return lines.where("section = 5").select("site", "ord_no", "ord_text", "sub", "line")
 
 
@@ -450,7 +454,7 @@ def merge_products(spark, d):
 def distinct_texts(spark, d):
     shop = X.shop_pages(spark, d)
     out = L.distinct_texts(
-        {"pages": P.head_fields(shop).withColumn("raw_text", F.lit("")), "products": html_products(shop),
+        {"pages": P.head_fields(shop).withColumn("raw_text", F.lit("")), "products": blocks.html_products(shop),
          "services": blocks.page_services(X.service_pages(spark, d))}, S.jsonld_org(X.org_pages(spark, d)))
     return out
 
@@ -542,8 +546,8 @@ def _service_report(spark, d):
 
 
 def _shop_report(spark, d):
-    e = shop_entities(spark, d)
-    return reports.parse_report(reports.json_report(e.profile(), {**e.sections(), "products": blocks.html_products(X.shop_pages(spark, d))}))
+    e = stored_shop_entities(spark, d, products=blocks.html_products(X.shop_pages(spark, d)))
+    return reports.parse_report(reports.json_report(e.profile(), e.sections()))
 
 
 @query

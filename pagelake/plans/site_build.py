@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +52,20 @@ def build_entities(pages: DataFrame, responses: DataFrame) -> Entities:
     )
 
 
+def store_entities(entities: Entities, path: str) -> Entities:
+    """Write the entity tables and return them read back.
+
+    Profile and reports read every table several times; from storage that costs a scan, from
+    the lazy plans it would parse the pages again each time.
+    """
+    def stored(name: str) -> DataFrame:
+        df = getattr(entities, name)
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    return Entities(**{f.name: stored(f.name) for f in fields(Entities)})
+
+
 def link_profile(pages: DataFrame) -> DataFrame:
     """(site, pages, home_url, home_title, out_links): first look at landed sites.
 
