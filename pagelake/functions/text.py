@@ -185,7 +185,7 @@ HOME_WORD = "Главная"
 TAIL_LINKS = r"Условия\s+оплаты|Условия\s+доставки|Возврат|Главная|Наверх"
 MORE_WORDS = r"Показать\s+еще"
 MENU_FIRST = "А-ЯA-ZЁ№"
-MENU_CHARS = "а-яa-zА-ЯA-ZЁ«»\"№\\d"
+MENU_CHARS = "а-яa-zА-ЯA-ZЁ«»\"№\\p{Nd}"
 MENU_MIN_ITEMS = 4
 MENU_MAX_REST = 30
 
@@ -198,7 +198,9 @@ def _menu_tail_length(text: Column) -> Column:
     of items that fit between it and the end, so the work is linear in the length of the tail
     (a nested-quantifier pattern would try every way of splitting it).
     """
-    tail = F.regexp_extract(text, rf"(?U) [ {MENU_CHARS}]*\z", 0)
+    # a run may only be tried from its first character, which keeps the search linear
+    run = F.regexp_extract(text, rf"(?<![ {MENU_CHARS}])[ {MENU_CHARS}]++\z", 0)
+    tail = F.regexp_replace(run, r"\A[^ ]*", "")
     words = F.reverse(F.split(F.substring(tail, 2, 1 << 30), " "))
     state = F.struct(
         F.lit(0).alias("behind"),  # characters to the right of the current word

@@ -23,19 +23,18 @@ def string_at(v: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(node_at(v, path)) == "STRING", scalar_text(v, path))
 
 
-def is_object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+NODE = "struct<node:variant,is_object:boolean,kids:array<variant>>"
 
 
-def children(v: Column) -> Column:
-    """Values of an object or items of a list; empty for scalars."""
-    return F.coalesce(
-        F.map_values(F.try_variant_get(v, "$", "map<string,variant>")),
-        F.try_variant_get(v, "$", "array<variant>"),
-        F.array().cast("array<variant>"))
+def _opened(v: Column) -> Column:
+    """struct(node, is_object, kids) of an object or a list, NULL for scalars; each node is opened once."""
+    return let(F.try_variant_get(v, "$", "map<string,variant>"), lambda m: let(
+        F.coalesce(F.map_values(m), F.try_variant_get(v, "$", "array<variant>")),
+        lambda kids: F.when(kids.isNotNull(), F.struct(
+            v.alias("node"), m.isNotNull().alias("is_object"), kids.alias("kids")).cast(NODE))))
 
 
-def json_objects(text: Column, max_depth: int | None, descend=lambda v: F.lit(True)) -> Column:
+def json_objects(text: Column, max_depth: int | None, descend=None) -> Column:
     """struct(objects array<struct(depth, node)>, cut): every JSON object reachable in ``text``.
 
     Level by level inside the row: the frontier of one step is replaced by its children.
@@ -44,30 +43,26 @@ def json_objects(text: Column, max_depth: int | None, descend=lambda v: F.lit(Tr
     ``cut`` counts the containers left below ``max_depth``. ``descend(v)`` can stop the walk at
     an object (which is still reported). Invalid JSON yields no objects.
     """
-    kind = "struct<frontier:array<variant>,objects:array<struct<depth:int,node:variant>>>"
+    kind = f"struct<frontier:array<{NODE}>,objects:array<struct<depth:int,node:variant>>>"
     none = F.array().cast("array<struct<depth:int,node:variant>>")
 
-    def container(v: Column) -> Column:
-        return is_object(v) | F.try_variant_get(v, "$", "array<variant>").isNotNull()
-
-    def expand(v: Column) -> Column:
-        return F.when(~is_object(v) | descend(v), children(v)).otherwise(F.array().cast("array<variant>"))
+    def opened(values: Column) -> Column:
+        return F.filter(F.transform(values, _opened), lambda n: n.isNotNull())
 
     def step(s: Column, d: Column) -> Column:
         found = F.transform(
-            F.filter(s["frontier"], is_object), lambda v: F.struct(d.cast("int").alias("depth"), v.alias("node")))
-        below = F.filter(F.flatten(F.transform(s["frontier"], expand)), container)
+            F.filter(s["frontier"], lambda n: n["is_object"]),
+            lambda n: F.struct(d.cast("int").alias("depth"), n["node"].alias("node")))
+        entered = s["frontier"] if descend is None else F.filter(
+            s["frontier"], lambda n: ~n["is_object"] | descend(n["node"]))
+        below = opened(F.flatten(F.transform(entered, lambda n: n["kids"])))
         return F.when(F.size(s["frontier"]) == 0, s).otherwise(
             F.struct(below.alias("frontier"), F.concat(s["objects"], found).alias("objects")).cast(kind))
 
     steps = F.lit(max_depth) if max_depth is not None else F.length(F.regexp_replace(text, r"[^\[{]", ""))
-
-    def walk(root: Column) -> Column:
-        start = F.struct(F.filter(F.array(root), container).alias("frontier"), none.alias("objects")).cast(kind)
-        done = F.aggregate(F.sequence(F.lit(0), steps), start, step)
-        return let(done, lambda s: F.struct(s["objects"].alias("objects"), F.size(s["frontier"]).alias("cut")))
-
-    return let(F.try_parse_json(text), walk)
+    start = F.struct(opened(F.array(F.try_parse_json(text))).alias("frontier"), none.alias("objects")).cast(kind)
+    done = F.aggregate(F.sequence(F.lit(0), steps), start, step)
+    return let(done, lambda s: F.struct(s["objects"].alias("objects"), F.size(s["frontier"]).alias("cut")))
 
 
 def first_present(v: Column, names) -> Column:

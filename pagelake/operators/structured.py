@@ -62,29 +62,39 @@ def jsonld_blocks(pages: DataFrame) -> DataFrame:
         .where(F.try_parse_json("body").isNotNull())
 
 
-def _page_objects(pages: DataFrame, max_depth: int | None) -> DataFrame:
-    """(site, url, objs, cut): JSON-LD objects per page; a product without a name is not entered."""
-    def enter(v: Column) -> Column:
-        return ~(_is_product(v) & (clean_text(V.string_at(v, "$.name")) == ""))
+def _enter(v: Column) -> Column:
+    """A product without a name is not entered."""
+    return ~(_is_product(v) & (clean_text(V.string_at(v, "$.name")) == ""))
 
-    walked = F.transform(jsonld_bodies(F.col("html")), lambda b: V.json_objects(b, max_depth, enter))
-    numbered = F.flatten(F.transform("_w", lambda w, i: F.transform(
+
+def _walked(pages: DataFrame, max_depth: int | None) -> DataFrame:
+    """(site, url, walks): the walk of every JSON-LD block of a page."""
+    walks = F.transform(jsonld_bodies(F.col("html")), lambda b: V.json_objects(b, max_depth, _enter))
+    return pages.select("site", "url", walks.alias("walks"))
+
+
+def _numbered() -> Column:
+    """array<struct(seq, depth, node)>: objects of all blocks in block and level order."""
+    return F.flatten(F.transform("walks", lambda w, i: F.transform(
         w["objects"],
         lambda o, j: F.struct(
             (i.cast("bigint") * SEQ_STEP + j).alias("seq"), o["depth"].alias("depth"), o["node"].alias("node")))))
-    cut = F.aggregate("_w", F.lit(0), lambda a, w: a + w["cut"])
-    return pages.select("site", "url", walked.alias("_w")).select("site", "url", numbered.alias("objs"), cut.alias("cut"))
 
 
 def json_nodes(pages: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(site, url, seq, depth, type, node): every object of every JSON-LD block."""
-    return _page_objects(pages, max_depth).select("site", "url", F.explode("objs").alias("o")).select(
+    """(site, url, seq, depth, type, node): every object of every JSON-LD block.
+
+    The array is exploded as an expression: exploding a column of it would let the optimizer
+    add an emptiness filter that walks the documents again.
+    """
+    return _walked(pages, max_depth).select("site", "url", F.explode(_numbered()).alias("o")).select(
         "site", "url", "o.seq", "o.depth", _node_type(F.col("o.node")).alias("type"), "o.node")
 
 
 def json_nodes_cut(pages: DataFrame, max_depth: int) -> DataFrame:
-    """(site, url, cut): pages whose JSON-LD goes deeper than ``max_depth``."""
-    return _page_objects(pages, max_depth).where("cut > 0").select("site", "url", "cut")
+    """(site, url, cut): containers below ``max_depth`` per page, 0 when the walk is complete."""
+    cut = F.aggregate("walks", F.lit(0), lambda a, w: a + w["cut"])
+    return _walked(pages, max_depth).select("site", "url", cut.alias("cut"))
 
 
 def jsonld_products(pages: DataFrame) -> DataFrame:
@@ -152,9 +162,9 @@ def _org_contacts(n: Column) -> Column:
 
 def jsonld_contacts(pages: DataFrame) -> DataFrame:
     """(site, page_url, type, value) of JSON-LD organizations."""
-    orgs = F.filter("objs", lambda o: _is_org(o["node"]))
+    orgs = F.filter(_numbered(), lambda o: _is_org(o["node"]))
     rows = F.array_distinct(F.flatten(F.transform(orgs, lambda o: _org_contacts(o["node"]))))
-    return _page_objects(pages, None).select("site", F.col("url").alias("page_url"), F.explode(rows).alias("c")) \
+    return _walked(pages, None).select("site", F.col("url").alias("page_url"), F.explode(rows).alias("c")) \
         .select("site", "page_url", "c.type", "c.value")
 
 

@@ -11,6 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import SOCIAL_DOMAINS, site_of
+from ..sources.pages import spread
+
+def _evaluated(df: DataFrame, **columns: Column) -> DataFrame:
+    """Select columns through a one-element explode.
+
+    Filters are not pushed through it, so a long markup expression is evaluated once per row,
+    as it would be if the pages had been read from storage.
+    """
+    return df.select(F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("r")).select("r.*")
+
 
 PARTS_PER_BLOCK = 200
 CHAIN_LENGTH = 10
@@ -20,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are expensive to process, spread over all cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def _esc(c: Column) -> Column:
     for raw, ref in (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;")):
         c = F.replace(c, F.lit(raw), F.lit(ref))
@@ -39,7 +54,7 @@ def _pick(selector: Column, *options: Column) -> Column:
 
 def shop_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with the listing page they are shown on."""
-    return shop_parts_of(table(spark, sf_dir, "part"))
+    return shop_parts_of(texts(spark, sf_dir, "part"))
 
 
 def shop_parts_of(parts: DataFrame) -> DataFrame:
@@ -97,12 +112,12 @@ def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("cards", lambda c: c["card"]), "\n"), "</main>",
         F.when(F.col("block") % CHAIN_LENGTH != CHAIN_LENGTH - 1, following).otherwise(F.lit("")),
         "<aside><p>aside</p></aside><footer>&copy; shop</footer></body></html>")
-    return cards.select(site_of(F.col("url")).alias("site"), "url", html.alias("html"))
+    return _evaluated(cards, site=site_of(F.col("url")), url=F.col("url"), html=html)
 
 
 def jsonld_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(site, url, html): one page per part with JSON-LD in six shapes."""
-    p = table(spark, sf_dir, "part")
+    p = texts(spark, sf_dir, "part")
     key = F.col("p_partkey")
     url = _cat("https://shop", key % 7, ".example.net/item/", key)
     name = _cat(F.col("p_name"), " <", key, "> & co")
@@ -125,12 +140,12 @@ def jsonld_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         nameless, F.replace(a, F.lit('"Product"'), F.lit('["Product","Thing"]')))
     html = _cat("<html><head><!-- <script type=\"application/ld+json\">{\"@type\":\"Product\",\"name\":\"no\"}</script> -->",
                 "<script type='application/ld+json' data-x=\"1\">", block, "</script></head><body><p>item</p></body></html>")
-    return p.select(site_of(url).alias("site"), url.alias("url"), html.alias("html"))
+    return _evaluated(p, site=site_of(url), url=url, html=html)
 
 
 def org_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(site, url, html): one about page per supplier with JSON-LD, address blocks and social links."""
-    s = table(spark, sf_dir, "supplier")
+    s = texts(spark, sf_dir, "supplier")
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
     key = F.col("s_suppkey")
     url = _cat("https://org", key, ".example.org/about")
@@ -153,12 +168,12 @@ def org_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         _cat('<p class="My-Location big">Class street ', key, "</p>"))
     html = _cat('<html><head><title>About</title><script type="application/ld+json">', ld, "</script></head><body>",
                 blocks, '<a href="', link, '">follow us</a><a href="', link, '">again</a></body></html>')
-    return s.join(n, "s_nationkey").select(site_of(url).alias("site"), url.alias("url"), html.alias("html"))
+    return _evaluated(s.join(n, "s_nationkey"), site=site_of(url), url=url, html=html)
 
 
 def service_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(site, url, html): pages of 20 customers each, shown as service blocks."""
-    c = table(spark, sf_dir, "customer")
+    c = texts(spark, sf_dir, "customer")
     key = F.col("c_custkey")
     block = F.floor(key / 20)
     name = _cat(F.col("c_mktsegment"), " ", key % 5)
@@ -173,7 +188,7 @@ def service_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("k", "box"))).alias("boxes"))
     url = _cat("https://svc", F.col("block") % 25, ".example.com/s/", F.col("block"))
     html = _cat("<html><body><main>", F.array_join(F.transform("boxes", lambda b: b["box"]), ""), "</main></body></html>")
-    return pages.select(site_of(url).alias("site"), url.alias("url"), html.alias("html"))
+    return _evaluated(pages, site=site_of(url), url=url, html=html)
 
 
 def api_landed(parts: DataFrame) -> DataFrame:
@@ -193,10 +208,10 @@ def api_landed(parts: DataFrame) -> DataFrame:
                              .otherwise(F.lit("short text")).alias("about")))
     body = _pick(key % 8, plain, listed, nested, plain, plain, F.lit('{"n":1}'), F.lit('{"name": "broken'), big)
     api = F.when(key % 8 == 3, _cat("https://mc.yandex.example.com/watch/", key)).otherwise(_cat("https://api.example.com/v1/", key))
-    return parts.select(
-        F.col("url").alias("trigger_url"), api.alias("api_url"),
-        F.when(key % 8 == 4, "text/html").otherwise("application/json; charset=utf-8").alias("content_type"),
-        body.alias("body"), F.timestamp_seconds(F.lit(1704067200) + key).alias("fetched_at"))
+    return _evaluated(
+        parts, trigger_url=F.col("url"), api_url=api,
+        content_type=F.when(key % 8 == 4, "text/html").otherwise("application/json; charset=utf-8"),
+        body=body, fetched_at=F.timestamp_seconds(F.lit(1704067200) + key))
 
 
 def sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +224,7 @@ def sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         _cat("https://", host, "/c/", key, "?a=1&amp;b=2"), _cat("https://", host, "/c/", key, "#part"),
         _cat("https://", host, "/"))
     entry = F.when(key % 7 == 0, F.repeat(_cat("<url><loc>", loc, "</loc></url>"), 2)).otherwise(_cat("<url><loc>", loc, "</loc></url>"))
-    files = table(spark, sf_dir, "customer").select(
+    files = texts(spark, sf_dir, "customer").select(
         host.alias("site"), F.floor(key / 100).alias("block"), key.alias("k"), entry.alias("e")
     ).groupBy("site", "block").agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("es"))
     body = F.array_join(F.transform("es", lambda e: e["e"]), "")
@@ -220,14 +235,14 @@ def sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         _cat(f'<?xml version="1.0"?><urlset{ns}>', body, "</urlset>"), _cat(f"<urlset{ns}>", body, "</urlset>"),
         _cat(f"<sitemapindex{ns}><sitemap><loc> https://", F.col("site"), "/deep/", F.col("block"), ".xml </loc></sitemap></sitemapindex>"),
         _cat(f"<urlset{ns}>", body))
-    return files.select("site", path.alias("path"), xml.alias("xml"))
+    return _evaluated(files, site=F.col("site"), path=path, xml=xml)
 
 
 def robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(site, txt): one robots.txt per supplier."""
     key = F.col("s_suppkey")
     host = _cat("org", key, ".example.org")
-    return table(spark, sf_dir, "supplier").select(host.alias("site"), _cat(
+    return texts(spark, sf_dir, "supplier").select(host.alias("site"), _cat(
         "User-agent: *\nSITEMAP: https://", host, "/sitemap.xml\r\nDisallow: /x\nsitemap:http://", host,
         ":8080/two.xml  \n# Sitemap: no").alias("txt"))
 
@@ -240,7 +255,7 @@ def raw_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
         _cat("Цена: ", price, " ₽ за штуку"), _cat("$", price), _cat("от ", price, " РУБ."), _cat("€ ", price, "!"),
         _cat(price, "usd"), _cat("£", price), _cat(price, " грн."), _cat(price, " KZT"), _cat("¥ ", price),
         _cat("price on request ", price))
-    return table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"))
+    return texts(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"))
 
 
 def noisy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,4 +267,4 @@ def noisy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         i, _cat("Магазин Главная — Каталог ", core), _cat(core, " Условия оплаты Условия доставки Возврат"),
         _cat(core, " Акции Бренды Магазины Контакты Блог"), _cat(core, " Показать еще 1 2 3 4"),
         _cat(core, " Подробнее Подробнее Подробнее конец."))
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return _evaluated(texts(spark, sf_dir, "documents"), doc_id=F.col("doc_id"), text=text)

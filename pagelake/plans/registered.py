@@ -34,11 +34,11 @@ def registered() -> dict[str, Query]:
 
 
 def pages_of(spark: SparkSession, d: str) -> DataFrame:
-    return scan_pages(X.table(spark, d, "pages"))
+    return scan_pages(X.texts(spark, d, "pages"))
 
 
 def documents_of(spark: SparkSession, d: str) -> DataFrame:
-    return X.table(spark, d, "documents")
+    return X.texts(spark, d, "documents")
 
 
 def shop_entities(spark: SparkSession, d: str):

@@ -9,6 +9,16 @@ from ..functions.urls import site_of
 from ..operators.keys import last_wins
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a scan that has fewer tasks than there are cores.
+
+    Parsing is CPU-bound, and a table in one small file is one task whatever the cluster size.
+    Scans with enough tasks, as of any large table, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_pages(df: DataFrame) -> DataFrame:
     """Add ``site`` and drop failed fetches (status 400 and above; unknown status stays)."""
     kept = df.where(F.coalesce(F.col("status"), F.lit(200)) < 400) if "status" in df.columns else df
@@ -16,7 +26,7 @@ def scan_pages(df: DataFrame) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return scan_pages(spark.read.parquet(path))
+    return scan_pages(spread(spark.read.parquet(path)))
 
 
 def latest_pages(df: DataFrame, order: str = "fetched_at") -> DataFrame:
