@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.llm import quality
+from pagelake.llm import bpe, decontaminate, neardup, pii, quality
 from pagelake.llm.common import stored, table
+from pagelake.llm.queries import tokens_digest
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +14,32 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return neardup.without_near_duplicates(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that they share with the benchmark."""
+    return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the kind in place of every personal identifier."""
+    return pii.redacted(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and the digests that op10_bpe gives."""
+    return tokens_digest(bpe.encode_texts(docs, bpe.vocabulary_path(), "doc_id"), "ids")
+
+
 STAGES = [
     ("quality", good_quality),
+    ("near_copies", without_near_copies),
+    ("benchmark", without_benchmark),
+    ("personal_data", without_personal_data),
+    ("tokens", token_ids),
 ]
 
 # Learned rules, sketches and tokenizer output are not expressible in SQL; tests/llm holds brute-force versions.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, neardup, quality
+from . import bpe, decontaminate, neardup, pii, quality
 from .common import table
 
 
@@ -16,6 +16,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"), "doc_id")
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.KINDS]
+    base = pii.spans_text(F.col("base"))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), pii.spans_text(pii.all_spans()).alias("spans"))
+
+
 def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,8 +34,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def tokens_digest(encoded: DataFrame) -> DataFrame:
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+def tokens_digest(encoded: DataFrame, *more: str) -> DataFrame:
+    return encoded.select("doc_id", *more, F.size("ids").cast("long").alias("n_tokens"),
                           F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -40,6 +47,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_pii": op2_pii,
         "op3_dart_minhash": op3_dart_minhash,
         "op6_decontaminate": op6_decontaminate,
         "op10_bpe": op10_bpe,
