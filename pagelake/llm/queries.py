@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, neardup, pii, quality
+from . import bpe, decontaminate, fingerprint, language, language_model, neardup, pii, quality
 from .common import table
 
 
@@ -40,6 +40,14 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.document_scores(table(spark, sf_dir, "documents"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
 def tokens_digest(encoded: DataFrame, *more: str) -> DataFrame:
     return encoded.select("doc_id", *more, F.size("ids").cast("long").alias("n_tokens"),
                           F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
@@ -57,6 +65,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_dart_minhash": op3_dart_minhash,
         "op5_fingerprint": op5_fingerprint,
         "op6_decontaminate": op6_decontaminate,
+        "op8_recurrent_lm": op8_recurrent_lm,
+        "op9_language": op9_language,
         "op10_bpe": op10_bpe,
     }
 
