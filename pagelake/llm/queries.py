@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, language, language_model, neardup, pii, quality
+from . import bpe, chat, decontaminate, fingerprint, language, language_model, neardup, oracles, pii, quality, revisits
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
@@ -40,6 +44,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolved(revisits.captures(table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", revisits.headers_text(F.col("headers")))
+
+
 def op8_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.document_scores(table(spark, sf_dir, "documents"))
 
@@ -63,8 +72,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op2_pii": op2_pii,
         "op3_dart_minhash": op3_dart_minhash,
+        "op4_role_repair": op4_role_repair,
         "op5_fingerprint": op5_fingerprint,
         "op6_decontaminate": op6_decontaminate,
+        "op7_revisits": op7_revisits,
         "op8_recurrent_lm": op8_recurrent_lm,
         "op9_language": op9_language,
         "op10_bpe": op10_bpe,
@@ -72,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
