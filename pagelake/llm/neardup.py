@@ -9,10 +9,11 @@ with equal density, each aimed at one coordinate of the signature. Only darts up
 signature are thrown; each coordinate keeps its earliest one. Signatures of 384 coordinates are cut into 48 bands
 of 8, so a pair at 0.8 shares a band with probability above 0.9998.
 
-Work stays linear in the members of a bucket: each is compared with one member drawn by hash, and the pairs found
-are joined into components. Only buckets that still hold several components compare members across components;
-the comparison runs inside the join on packed low-order codes, so only likely pairs leave it. Estimates within five
-standard errors of the bound are settled on the texts themselves.
+Work stays linear in the members of a bucket: each is compared with one member drawn by hash, first on packed
+low-order codes; pairs within five standard errors of the bound are settled on the shingle sets. The pairs found
+are joined into components. Only buckets that still hold several components are looked at again: members outside
+the component of the drawn one visit that component, and each component's visitors are compared with all that
+share such a bucket, in cells of bounded size that give at most one link of a visitor to a component.
 
 Defined results: null, empty and blank texts have no words and form one class of equal texts; equal texts are
 one class however many there are; repeated rows each get a result row; a class is named by its least ``doc_id``
@@ -27,6 +28,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,8 @@ CODE_BITS = 4
 PACKED = COORDINATES * CODE_BITS // 64
 MARGIN = 0.11  # five standard errors of an estimate at the bound
 THROWN_UNITS = 500_000
+CELL_UNITS = 100_000  # shingles on either side of a cell, about
+SLOTS = 1 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x2545F4914F6CDD1D)
@@ -152,16 +156,40 @@ def signatures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return sizes, filled, keys.view(np.int64), np.bitwise_or.reduce(codes << shift, axis=2).view(np.int64)
 
 
+def packed_units(words: bytes) -> bytes:
+    """The weighted set of a text as sorted 32-bit hashes of its unit cells."""
+    elements, counts = np.unique(shingle_hashes(words), return_counts=True)
+    return np.unique((units(elements, counts.astype(float))[0] >> np.uint64(32)).astype(np.uint32)).tobytes()
+
+
 def similarity(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard similarity of two texts."""
-    both, sign = [], []
-    for words in (a, b):
-        elements, counts = np.unique(shingle_hashes(words), return_counts=True)
-        both.append(elements)
-        sign.append(counts)
-    common, i, j = np.intersect1d(*both, assume_unique=True, return_indices=True)
-    shared = int(np.minimum(sign[0][i], sign[1][j]).sum())
-    return shared / max(1, int(sign[0].sum() + sign[1].sum()) - shared)
+    """Weighted Jaccard similarity of two packed sets."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared / max(1, len(x) + len(y) - shared)
+
+
+def links_between(left: list[bytes], right: list[bytes], left_label: list[bytes], right_label: list[bytes]) -> list[tuple[int, int]]:
+    """Similar pairs with different labels, one for each set on the left and label on the right."""
+    sets = [np.frombuffer(x, np.uint32) for x in right]
+    sizes = np.array([len(x) for x in sets])
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    out = []
+    for i, x in enumerate(left):
+        own = np.frombuffer(x, np.uint32)
+        lo, hi = np.searchsorted(every, own), np.searchsorted(every, own, side="right")
+        n = hi - lo
+        places = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        shared = np.bincount(owner[places], minlength=len(sets))
+        found = np.flatnonzero(shared >= SIMILARITY * (len(own) + sizes - shared) - 1e-9)
+        done = {left_label[i]}
+        for j in found.tolist():
+            if right_label[j] not in done:
+                done.add(right_label[j])
+                out.append((i, j))
+    return out
 
 
 # -- Spark -----------------------------------------------------------------------------------------------------------
@@ -209,24 +237,82 @@ def estimate(a: str, b: str) -> Column:
     return 1 - differ / F.lit(COORDINATES * (1 - chance))
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Edges ``a, b`` (nodes) among pairs with ``node_*, key_*, likely``; doubtful pairs are settled on the texts."""
-    pairs = stored(pairs, "pairs")
+def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` texts (``node, short, n, codes, row_key``) with their packed sets.
+
+    Rows that cannot be wanted are left out before the shuffle, by a table of at most SLOTS numbers.
+    """
+    slots = wanted.select(F.pmod("row_key", F.lit(SLOTS)).alias("slot")).distinct()
+    texts = with_row_key(docs.select("doc_id", "text")).withColumn("slot", F.pmod("__row_key", F.lit(SLOTS))) \
+        .join(F.broadcast(slots), "slot", "left_semi").select(F.col("__row_key").alias("row_key"), "text")
+    both = wanted.join(texts, "row_key").dropDuplicates(["node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = pa.array([packed_units(normal(t)) for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "short", "n", "codes")), sets], names=["node", "short", "n", "codes", "units"])
+
+    return map_texts(both.select("node", "short", "n", "codes", "text"), run, "node binary, short bigint, n bigint, codes array<bigint>, units binary")
+
+
+def star_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges ``a, b`` (nodes) between the members of a bucket and its drawn one."""
+    def side(name: str) -> DataFrame:
+        return texts.select(F.col("short").alias(f"short_{name}"), F.col("node").alias(f"node_{name}"), F.col("n").alias(f"n_{name}"),
+                            F.col("codes").alias(f"codes_{name}"))
+
+    pairs = members.where(~F.col("drawn")).join(members.where("drawn").select("key", F.col("short").alias("center")), "key") \
+        .select(F.least("short", "center").alias("short_a"), F.greatest("short", "center").alias("short_b")).distinct()
+    pairs = stored(pairs.join(side("a"), "short_a").join(side("b"), "short_b")
+                   .where(F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b"))
+                   .select("node_a", "node_b", estimate("codes_a", "codes_b").alias("likely"))
+                   .where(F.col("likely") >= SIMILARITY - MARGIN), "pairs")
     sure = pairs.where(F.col("likely") >= SIMILARITY + MARGIN).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    doubt = pairs.where(F.col("likely") < SIMILARITY + MARGIN)
-    needed = doubt.select(F.explode(F.array("key_a", "key_b")).alias("__row_key")).distinct()
-    texts = with_row_key(docs.select("doc_id", "text")).join(needed, "__row_key").dropDuplicates(["__row_key"]) \
-        .select("__row_key", "text")
-    both = doubt.join(texts.toDF("key_a", "text_a"), "key_a").join(texts.toDF("key_b", "text_b"), "key_b") \
-        .select("node_a", "node_b", "text_a", "text_b")
+    sets = texts.select("node", "units")
+    doubt = pairs.where(F.col("likely") < SIMILARITY + MARGIN).join(sets.toDF("node_a", "units_a"), "node_a") \
+        .join(sets.toDF("node_b", "units_b"), "node_b").select("node_a", "node_b", "units_a", "units_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = pa.array([similarity(normal(x), normal(y)) >= SIMILARITY for x, y in
-                             zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True)], pa.bool_())
+            keep = pa.array([similarity(x, y) >= SIMILARITY for x, y in
+                             zip(b.column("units_a").to_pylist(), b.column("units_b").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("node_a").filter(keep), b.column("node_b").filter(keep)], names=["a", "b"])
 
-    return sure.unionByName(map_texts(both, run, "a binary, b binary", "text_a"))
+    return sure.unionByName(map_texts(doubt, run, "a binary, b binary", "units_a"))
+
+
+def visitor_links(members: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges across components among the members of buckets that hold several."""
+    known = texts.select("short", "node").join(labels, "node", "left").select("short", "node", F.coalesce("label", "node").alias("label"))
+    placed = members.join(known, "short").select("key", "drawn", "node", "label")
+    several = placed.groupBy("key").agg(F.min(F.xxhash64("label")).alias("lo"), F.max(F.xxhash64("label")).alias("hi")).where("lo < hi").select("key")
+    placed = stored(placed.join(several, "key", "left_semi"), "placed")
+    at = placed.join(placed.where("drawn").select("key", F.col("label").alias("group")), "key").select("group", "node", "label").distinct() \
+        .withColumn("visits", F.col("group") != F.col("label")).join(texts.select("node", "n"), "node")
+    sizes = at.groupBy("group").agg(
+        F.ceil(F.sum("n") / F.lit(CELL_UNITS)).cast("int").alias("n_all"),
+        F.ceil(F.sum(F.when(F.col("visits"), F.col("n")).otherwise(0)) / F.lit(CELL_UNITS)).cast("int").alias("n_visiting")).where("n_visiting > 0")
+    sized = at.join(sizes, "group").join(texts.select("node", "units"), "node")
+
+    def dealt(n: str, others: str, left: bool) -> DataFrame:
+        own = F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col(others) - 1))
+        rows = (sized.where("visits") if left else sized).withColumn("own", own).withColumn("other", other)
+        return rows.select("group", F.col("own" if left else "other").alias("i"), F.col("other" if left else "own").alias("j"),
+                           F.lit(left).alias("left"), "node", "label", "units")
+
+    def compare(cell: pa.Table) -> pa.Table:
+        left = cell.filter(cell.column("left"))
+        right = cell.filter(pa.compute.invert(cell.column("left")))
+        found = []
+        if left.num_rows and right.num_rows:
+            names = [left.column("node").to_pylist(), right.column("node").to_pylist()]
+            found = [(names[0][i], names[1][j]) for i, j in links_between(
+                left.column("units").to_pylist(), right.column("units").to_pylist(), left.column("label").to_pylist(), right.column("label").to_pylist())]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    cells = dealt("n_visiting", "n_all", True).unionByName(dealt("n_all", "n_visiting", False))
+    return cells.groupBy("group", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -254,38 +340,14 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sketches of all rows, and ``node, label`` for the texts that have a near copy."""
     rows = stored(sketches(docs), "sketches")
     buckets = rows.select("short", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("short").alias("lo"), F.max("short").alias("hi"),
-                                        F.min(F.xxhash64("short", "key")).alias("drawn")).where("lo < hi").select("key", "drawn")
-    members = stored(buckets.join(shared, "key").select("key", "short", (F.xxhash64("short", "key") == F.col("drawn")).alias("drawn"))
-                     .distinct(), "members")
-    texts = stored(rows.join(members.select("short").distinct(), "short", "left_semi")
-                   .select("short", "node", "n", "codes", "row_key").dropDuplicates(["node"]), "candidates")
-
-    def side(name: str) -> DataFrame:
-        return texts.select(F.col("short").alias(f"short_{name}"), F.col("node").alias(f"node_{name}"), F.col("n").alias(f"n_{name}"),
-                            F.col("codes").alias(f"codes_{name}"), F.col("row_key").alias(f"key_{name}"))
-
-    near = (F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")) & (estimate("codes_a", "codes_b") >= SIMILARITY - MARGIN)
-    columns = ["node_a", "node_b", "key_a", "key_b", estimate("codes_a", "codes_b").alias("likely")]
-
-    star = members.where(~F.col("drawn")).join(members.where("drawn").select("key", F.col("short").alias("center")), "key") \
-        .select(F.least("short", "center").alias("short_a"), F.greatest("short", "center").alias("short_b")).distinct()
-    star = star.join(side("a"), "short_a").join(side("b"), "short_b").where(near).select(*columns)
-    edges = stored(similar_pairs(docs, star), "links")
+    draw = F.xxhash64("short", "key")
+    shared = buckets.groupBy("key").agg(F.min(draw).alias("drawn"), F.max(draw).alias("last")).where("drawn < last").select("key", "drawn")
+    members = stored(buckets.join(shared, "key").select("key", "short", (draw == F.col("drawn")).alias("drawn")).distinct(), "members")
+    wanted = rows.select("node", "short", "n", "codes", "row_key").join(members.select("short").distinct(), "short", "left_semi").dropDuplicates(["node"])
+    texts = stored(candidate_sets(docs, stored(wanted, "wanted")), "candidates")
+    edges = stored(star_links(members, texts), "links")
     labels = components(edges)
-
-    # buckets with several components left: compare across them, inside the join
-    labelled = texts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    placed = members.join(labelled.select("short", "node", F.xxhash64("label").alias("group")), "short").select("key", "node", "group")
-    several = placed.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
-    placed = stored(placed.join(several, "key", "left_semi").join(texts.drop("short"), "node"), "placed")
-
-    def part(name: str) -> DataFrame:
-        return placed.select("key", *(F.col(x).alias(f"{y}_{name}") for x, y in (
-            ("node", "node"), ("group", "group"), ("n", "n"), ("codes", "codes"), ("row_key", "key"))))
-
-    across = part("a").join(part("b"), "key").where((F.col("group_a") < F.col("group_b")) & near).select(*columns).distinct()
-    more = stored(similar_pairs(docs, across), "links")
+    more = stored(visitor_links(members, texts, labels), "links")
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
     return rows, labels
