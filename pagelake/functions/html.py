@@ -30,6 +30,10 @@ NON_CONTENT = rf"(?is){COMMENT}|{_raw_block('script|style|noscript|svg')}|{DECLA
 # comments stay in the searched source, script-like blocks do not
 SCRIPT_BLOCKS = rf"(?is){_raw_block('script|style|noscript|svg')}"
 TOKEN = rf"(?is){COMMENT}|{_raw_block('script|style|noscript|svg')}|{TAG}|{DECLARATION}|[^<]++|<"
+OPEN_TOKEN = rf"(?is){COMMENT}|{_raw_block('script|style')}|{TAG}|{DECLARATION}|[^<]++|<"
+RAW_OPEN = r"(?i)^<(?:script|style|noscript|svg)\b(?![^>]*/>)"
+SCRIPT_OPEN = r"(?i)^<(?:script|style)\b(?![^>]*/>)"
+TAG_NAME = r"^</?([a-zA-Z][^\s/>]*)"
 ANY_TAG = rf"(?is){TAG}|<!>"
 
 VOID_TAGS = (
@@ -53,9 +57,12 @@ CATALOG_CONTAINERS = (".product-list", ".goods-list", ".catalog__items", "#catal
 CATALOG_MIN_CHARS = 30
 
 
-def html_token_array(html: Column) -> Column:
-    """Ordered tokens: comments, script-like blocks, tags, declarations and text runs."""
-    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(TOKEN), F.lit(0))
+def html_token_array(html: Column, raw_blocks: bool = True) -> Column:
+    """Ordered tokens: comments, script-like blocks, tags, declarations and text runs.
+
+    Without ``raw_blocks`` only script and style are one token, and the markup inside noscript and svg is read.
+    """
+    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(TOKEN if raw_blocks else OPEN_TOKEN), F.lit(0))
 
 
 def token_kind(tok: Column) -> Column:
@@ -72,7 +79,7 @@ def token_kind(tok: Column) -> Column:
 
 def token_tag(tok: Column) -> Column:
     """Lower-case tag name of a tag token, '' for anything else."""
-    return F.lower(F.regexp_extract(tok, r"^</?([a-zA-Z][^\s/>]*)", 1))
+    return F.lower(F.regexp_extract(tok, TAG_NAME, 1))
 
 
 def _attr_sql(name: str) -> str:

@@ -244,10 +244,9 @@ def next_page(pages: DataFrame) -> DataFrame:
     dom = D.page_dom(pages.where(F.col("html").rlike(r"paginat") & F.col("html").contains("next")))
     els = F.col("els")
     boxes = {1: lambda e: D.has_class(e, "pagination"), 2: lambda e: D.class_contains(e, "paginat")}
-    nexts = D.matching(els, lambda e: D.has_class(e, "next"))
     boxed = dom.select("site", "url", F.explode(F.array(*[
         F.struct(F.lit(rule).alias("rule"), H.attr(
-            F.try_element_at(D.inside_any(nexts, D.matching(els, box)), F.lit(1))["tok"], "href").alias("href"))
+            D.first_match(D.inside_any(els, D.matching(els, box)), lambda e: D.has_class(e, "next"))["tok"], "href").alias("href"))
         for rule, box in boxes.items()])).alias("c"))
     best = quick.unionByName(boxed).where(F.col("c.href").isNotNull() & ((F.col("c.href") != "") | (F.col("c.rule") == 3)))
     return best.groupBy("site", "url").agg(F.min("c").alias("c")).select(

@@ -1,101 +1,128 @@
 """HTML documents as tables of tokens and elements.
 
-The page source is hash-partitioned by url once, before it is exploded. All windows,
-joins and aggregates below are keyed by url, so they reuse that partitioning: the
-exploded tokens, many times larger than the source, never cross the network.
-Every group is one page, so its size is bounded by the size of an input row.
+A page is one row, and so is everything built here: its tokens, its elements with their extents, and whatever is
+selected from them. No page crosses the network, and two rows never mix, whether or not they share a url.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from ..functions.text import DECODE, let_sql
-from ..functions.urls import site_of
+from ..functions.text import DECODE, built_once, let, let_sql
 
 # elements that end where the next one of the same kind starts
 IMPLIED_END = ("p", "li", "dt", "dd", "option", "tr", "td", "th")
 
+_EVENT = "struct<p:int,next:int>"
+_PAIRS = f"struct<open:array<{_EVENT}>,pairs:array<struct<s:int,e:int>>>"
+_SWEEP = "struct<open:array<struct<i:int,e:int>>,ends:array<int>,sizes:array<struct<i:int,n:int>>>"
 
-def tokenized(pages: DataFrame) -> DataFrame:
-    """(url, toks): one row per page with its token array, partitioned by url.
 
-    The partition count is given, so that adaptive execution does not merge partitions by the
-    compressed size of the source: tokens and elements are far larger than what was shuffled.
+def tokenized(pages: DataFrame, raw_blocks: bool = True) -> DataFrame:
+    """(site, url, toks): one row per page with its token array.
+
+    The one-element explode keeps the array from being computed again for every use of it.
     """
-    count = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pages.select("url", "html").repartition(count, "url").select(
-        "url", H.html_token_array(F.col("html")).alias("toks"))
+    return pages.select("site", "url", F.explode(F.array(H.html_token_array(F.col("html"), raw_blocks))).alias("toks"))
 
 
 def html_tokens(pages: DataFrame) -> DataFrame:
     """(url, pos, kind, tag, tok) in page order."""
-    exploded = tokenized(pages).select("url", F.posexplode("toks").alias("pos", "tok"))
+    exploded = pages.select("url", F.posexplode(H.html_token_array(F.col("html"))).alias("pos", "tok"))
     return exploded.select(
         "url", "pos", H.token_kind(F.col("tok")).alias("kind"), H.token_tag(F.col("tok")).alias("tag"), "tok")
 
 
-def html_elements(tokens: DataFrame) -> DataFrame:
-    """(url, start_pos, end_pos, tag, void, closed, tok) for every element.
+def _tag_events(toks: str, raw_open: str) -> str:
+    """Tag tokens of a page: array<struct(p, kind, tag)>, in page order."""
+    return f"""filter(transform({toks}, (t, i) -> IF(t rlike '^</?[a-zA-Z]' AND NOT t rlike r'{raw_open}',
+      named_struct('p', i, 'close', startswith(t, '</'), 'tag', lower(regexp_extract(t, r'{H.TAG_NAME}', 1))), NULL)), x -> x IS NOT NULL)"""
+
 
-    A close tag matches the latest open tag of its kind at the same nesting level. An element
-    that is never closed ends before the next element of the same kind where HTML implies
-    that (p, li, ...), otherwise where its closest closed ancestor ends, else with the page.
+def _pairs_of_tag(events: str) -> str:
+    """All elements of one tag, closed ones with their close: array<struct(s, e, next)>.
+
+    A close tag belongs to the latest open one of its kind; close tags without one are ignored.
+    """
+    zero = f"CAST(named_struct('open', array(), 'pairs', array()) AS {_PAIRS})"
+    step = f"""IF(x.close,
+      IF(size(a.open) = 0, a, named_struct('open', slice(a.open, 1, size(a.open) - 1),
+        'pairs', array_append(a.pairs, named_struct('s', element_at(a.open, -1).p, 'e', x.p)))),
+      named_struct('open', array_append(a.open, named_struct('p', x.p, 'next', x.next)), 'pairs', a.pairs))"""
+    numbered = f"""transform({events}, (x, i) -> named_struct('p', x.p, 'close', x.close, 'next', get({events}, i + 1).p))"""
+    return f"""element_at(transform(array(aggregate({numbered}, {zero}, (a, x) -> CAST({step} AS {_PAIRS}))), f -> concat(
+      transform(f.pairs, q -> named_struct('s', q.s, 'e', q.e, 'next', CAST(NULL AS int))),
+      transform(f.open, q -> named_struct('s', q.p, 'e', CAST(NULL AS int), 'next', q.next)))), 1)"""
+
+
+def _nodes(events: str) -> str:
+    """Elements in page order: array<struct(s, e, next, tag, void)>; ``e`` is NULL for those that are never closed."""
+    tags = f"array_distinct(transform({events}, x -> x.tag))"
+    void = ", ".join(f"'{v}'" for v in H.VOID_TAGS)
+    one = f"""IF(g IN ({void}),
+      transform(filter(ev, x -> NOT x.close), x -> named_struct('s', x.p, 'e', x.p, 'next', CAST(NULL AS int), 'tag', g, 'void', true)),
+      transform({_pairs_of_tag('ev')}, q -> named_struct('s', q.s, 'e', q.e, 'next', q.next, 'tag', g, 'void', false)))"""
+    per_tag = f"transform({tags}, g -> element_at(transform(array(filter({events}, x -> x.tag = g)), ev -> {one}), 1))"
+    return f"sort_array(flatten({per_tag}))"
+
+
+def _swept(nodes: str, past: str) -> str:
+    """One sweep over the elements: end of every element, and how many elements lie inside it.
+
+    An element that is never closed ends before the next element of the same kind where HTML implies that (p, li, ...),
+    otherwise where its closest closed ancestor ends, else with the page.
     """
-    tags = tokens.where(F.col("kind").isin("open", "close", "void"))
-    by_tag = Window.partitionBy("url", "tag").orderBy("pos")
-    delta = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    levels = tags.withColumn("lvl", F.sum(delta).over(by_tag) + F.when(F.col("kind") == "close", 1).otherwise(0)) \
-        .withColumn("next_same", F.lead("pos").over(by_tag))
-    by_level = Window.partitionBy("url", "tag", "lvl").orderBy("pos")
-    paired = (
-        levels
-        .withColumn("_next_kind", F.lead("kind").over(by_level))
-        .withColumn("_next_pos", F.lead("pos").over(by_level))
-        .withColumn("_prev_kind", F.lag("kind").over(by_level))
-        .withColumn("close_pos", F.when((F.col("kind") == "open") & (F.col("_next_kind") == "close"), F.col("_next_pos")))
-        .withColumn("matched", F.when(F.col("kind") == "close", F.col("_prev_kind") == "open")
-                    .otherwise(F.col("close_pos").isNotNull()))
-    )
-    in_page = Window.partitionBy("url").orderBy("pos")
-    step = F.when(~F.col("matched"), 0).when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    # depth counts closed ancestors: of an element for its open tag, of the closing element for a close tag
-    depth = F.sum(step).over(in_page) + F.when(F.col("matched") & (F.col("kind") == "close"), 1).otherwise(0) \
-        - F.when(F.col("matched") & (F.col("kind") == "open"), 1).otherwise(0)
-    placed = paired.withColumn("depth", depth).withColumn("last_pos", F.max("pos").over(Window.partitionBy("url")))
-    is_close = F.col("matched") & (F.col("kind") == "close")
-    backwards = Window.partitionBy("url", "depth").orderBy(F.desc("pos"))
-    ancestor = F.last(F.when(is_close, F.col("pos")), ignorenulls=True).over(
-        backwards.rowsBetween(Window.unboundedPreceding, -1))
-    ended = placed.withColumn("ancestor_close", ancestor)
-    implied = F.when(F.col("tag").isin(*IMPLIED_END), F.col("next_same") - 1)
-    # text may follow the last tag of a page, hence "one past the last tag" for the page end
-    end_pos = (
-        F.when(F.col("kind") == "void", F.col("pos"))
-        .when(F.col("close_pos").isNotNull(), F.col("close_pos"))
-        .otherwise(F.least(implied, F.col("ancestor_close") - 1, F.col("last_pos") + 1))
-    )
-    return ended.where(F.col("kind") != "close").select(
-        "url", F.col("pos").alias("start_pos"), end_pos.alias("end_pos"), "tag",
-        (F.col("kind") == "void").alias("void"), F.col("close_pos").isNotNull().alias("closed"), "tok")
-
-
-def page_dom(pages: DataFrame) -> DataFrame:
+    implied = ", ".join(f"'{t}'" for t in IMPLIED_END)
+    zero = f"CAST(named_struct('open', array(), 'ends', array(), 'sizes', array()) AS {_SWEEP})"
+    # the ends of unclosed elements do not bound others, so only closed ones count as ancestors
+    around = "array_min(transform(filter(still, o -> element_at(n, o.i).e IS NOT NULL), o -> o.e))"
+    end = f"coalesce(x.e, least(IF(x.tag IN ({implied}), x.next - 1, NULL), {around} - 1, {past}))"
+    step = f"""element_at(transform(array(filter(a.open, o -> o.e >= x.s)), still -> element_at(transform(array({end}), e -> named_struct(
+      'open', array_append(still, named_struct('i', i, 'e', e)), 'ends', array_append(a.ends, e),
+      'sizes', concat(a.sizes, transform(filter(a.open, o -> o.e < x.s), o -> named_struct('i', o.i, 'n', i - 1 - o.i))))), 1)), 1)"""
+    fold = f"""aggregate(transform(n, (x, k) -> named_struct('x', x, 'i', k + 1)), {zero},
+      (a, y) -> CAST(element_at(transform(array(y), z -> element_at(transform(array(z.x), x -> element_at(transform(array(z.i), i -> {step}), 1)), 1)), 1) AS {_SWEEP}))"""
+    return f"""element_at(transform(array({nodes}), n -> element_at(transform(array({fold}), f -> named_struct('n', n, 'ends', f.ends,
+      'sizes', transform(sort_array(concat(f.sizes, transform(f.open, o -> named_struct('i', o.i, 'n', size(n) - o.i)))), q -> q.n))), 1)), 1)"""
+
+
+def _elements(raw_open: str) -> Column:
+    last = "coalesce(array_max(transform(ev, x -> x.p)), -1) + 1"
+    body = f"""tk -> element_at(transform(array({_tag_events('tk', raw_open)}), ev -> element_at(transform(array({_swept(_nodes('ev'), last)}), f ->
+      transform(f.n, (x, k) -> named_struct('s', x.s, 'e', f.ends[k], 'i', k + 1, 'n', f.sizes[k], 'tag', x.tag, 'void', x.void,
+        'closed', x.e IS NOT NULL AND NOT x.void, 'tok', tk[x.s]))), 1)), 1)"""
+    return let_sql(F.col("toks"), body)
+
+
+@built_once
+def _usual_elements() -> Column:
+    return _elements(H.RAW_OPEN)
+
+
+@built_once
+def _all_elements() -> Column:
+    return _elements(H.SCRIPT_OPEN)
+
+
+def page_dom(pages: DataFrame, raw_blocks: bool = True) -> DataFrame:
     """(site, url, toks, els): one row per page with its tokens and its elements in page order.
 
-    ``els`` is array<struct(s, e, tag, tok, classes)>. Element extents are computed once; whatever
-    is then selected, nested or read from them happens inside the row.
+    ``els`` is array<struct(s, e, i, n, tag, void, closed, tok, classes)>: first and last token, number in the page
+    (from 1), number of elements inside. The elements inside the i-th one are the n that follow it.
     """
-    elements = html_elements(html_tokens(pages))
-    node = F.struct(F.col("start_pos").alias("s"), F.col("end_pos").alias("e"), "tag", "tok",
-                    H.class_list(F.col("tok")).alias("classes"))
-    els = elements.groupBy("url").agg(F.array_sort(F.collect_list(node)).alias("els"))
-    # same columns as below the token table, so the shuffled pages are reused
-    return tokenized(pages).join(els, "url").select(site_of(F.col("url")).alias("site"), "url", "toks", "els")
+    els = F.transform(_usual_elements() if raw_blocks else _all_elements(), lambda e: F.struct(
+        *[e[c].alias(c) for c in ("s", "e", "i", "n", "tag", "void", "closed", "tok")], H.class_list(e["tok"]).alias("classes")))
+    return tokenized(pages, raw_blocks).select("site", "url", "toks", F.explode(F.array(els)).alias("els"))
+
+
+def html_elements(pages: DataFrame) -> DataFrame:
+    """(url, start_pos, end_pos, tag, void, closed, tok) for every element."""
+    return page_dom(pages).select("url", F.explode("els").alias("e")).select(
+        "url", F.col("e.s").alias("start_pos"), F.col("e.e").alias("end_pos"), "e.tag", "e.void", "e.closed", "e.tok")
 
 
 # --- predicates over one element struct ----------------------------------------------------
@@ -140,13 +167,14 @@ def first_match(els: Column, predicate: Predicate) -> Column:
 
 
 def inside(els: Column, outer: Column) -> Column:
-    """Descendants of an element."""
-    return F.filter(els, lambda e: (e["s"] > outer["s"]) & (e["s"] <= outer["e"]))
+    """Descendants of an element: the slice that follows it in the elements of the page, or of another element around it."""
+    return F.coalesce(F.slice(els, outer["i"] - F.get(els, F.lit(0))["i"] + 2, outer["n"]), F.slice(els, F.lit(1), F.lit(0)))
 
 
 def inside_any(els: Column, outers: Column) -> Column:
-    """Elements that lie inside at least one of the given elements."""
-    return F.filter(els, lambda e: F.exists(outers, lambda o: (e["s"] > o["s"]) & (e["s"] <= o["e"])))
+    """Elements of the page that lie inside at least one of the given ones, in page order."""
+    numbers = F.flatten(F.transform(F.filter(outers, lambda o: o["n"] > 0), lambda o: F.sequence(o["i"] + 1, o["i"] + o["n"])))
+    return F.transform(F.sort_array(F.array_distinct(numbers)), lambda i: F.element_at(els, i))
 
 
 def node_text(toks: Column, node: Column, separator: str = "") -> Column:
@@ -179,17 +207,29 @@ def subtree_text(pages: DataFrame, predicate: Predicate, separator: str = "") ->
     return explode_nodes(page_dom(pages), matching(F.col("els"), predicate), separator)
 
 
-def drop_subtrees(tokens: DataFrame, tags: Sequence[str] = H.FURNITURE) -> DataFrame:
-    """Tokens outside the subtrees of the given tags.
+def drop_subtrees(pages: DataFrame, tags: Sequence[str] = H.FURNITURE) -> DataFrame:
+    """(url, pos, kind, tag, tok): tokens outside the subtrees of the given tags.
 
-    Depth is the running balance above its own minimum, so a stray close tag cannot hide what follows.
+    A stray close tag of such a kind is left out, but hides nothing that follows.
     """
-    w = Window.partitionBy("url").orderBy("pos")
-    is_drop = F.col("tag").isin(*tags)
-    step = F.when(is_drop & (F.col("kind") == "open"), 1).when(is_drop & (F.col("kind") == "close"), -1).otherwise(0)
-    kept = (
-        tokens.withColumn("_sum", F.sum(step).over(w))
-        .withColumn("_low", F.least(F.min("_sum").over(w), F.lit(0)))
-        .where((F.col("_sum") == F.col("_low")) & ~(is_drop & (F.col("kind") == "close")))
-    )
-    return kept.drop("_sum", "_low")
+    names = "|".join(tags)
+    kind = "struct<depth:int,start:int,cuts:array<struct<s:int,e:int>>>"
+    marks = F.filter(F.transform("toks", lambda t, i: F.when(
+        t.rlike(rf"(?i)^</?(?:{names})(?:[\s/>])"), F.struct(i.alias("p"), F.startswith(t, F.lit("</")).alias("close")))), lambda m: m.isNotNull())
+
+    def step(a: Column, m: Column) -> Column:
+        ends = m["close"] & (a["depth"] <= 1)
+        cut = F.struct(F.when(a["depth"] == 0, m["p"]).otherwise(a["start"]).alias("s"), m["p"].alias("e"))
+        return F.struct(
+            F.greatest(F.lit(0), a["depth"] + F.when(m["close"], -1).otherwise(1)).alias("depth"),
+            F.when(~m["close"] & (a["depth"] == 0), m["p"]).otherwise(a["start"]).alias("start"),
+            F.when(ends, F.array_append(a["cuts"], cut)).otherwise(a["cuts"]).alias("cuts")).cast(kind)
+
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("start"), F.array().alias("cuts")).cast(kind)
+    found = let(F.aggregate(marks, zero, step), lambda a: F.when(
+        a["depth"] > 0, F.array_append(a["cuts"], F.struct(a["start"].alias("s"), F.lit(1 << 30).alias("e")))).otherwise(a["cuts"]))
+    kept = tokenized(pages).select("url", "toks", F.explode(F.array(found)).alias("cuts")).select("url", F.explode(F.filter(
+        F.transform("toks", lambda t, i: F.struct(i.alias("pos"), t.alias("tok"))),
+        lambda x: ~F.exists("cuts", lambda c: (x["pos"] >= c["s"]) & (x["pos"] <= c["e"])))).alias("x"))
+    tok = F.col("x.tok")
+    return kept.select("url", "x.pos", H.token_kind(tok).alias("kind"), H.token_tag(tok).alias("tag"), tok.alias("tok"))

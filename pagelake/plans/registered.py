@@ -273,9 +273,9 @@ def html_tokens(spark, d):
 
 @query
 def html_elements(spark, d):
-    """Per page and tag: elements and how many of them are closed."""
-    return dom.html_elements(dom.html_tokens(pages_of(spark, d))).groupBy("url", "tag").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("closed")).alias("n_closed"))
+    """Per page and tag: elements, how many of them are closed, and the sum of their last token numbers."""
+    return dom.html_elements(pages_of(spark, d)).groupBy("url", "tag").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("closed")).alias("n_closed"), F.sum("end_pos").alias("ends"))
 
 
 @query
@@ -298,7 +298,7 @@ def subtree_text(spark, d):
 @query
 def drop_subtrees(spark, d):
     """Text tokens left per page outside the page furniture."""
-    kept = dom.drop_subtrees(dom.html_tokens(pages_of(spark, d)))
+    kept = dom.drop_subtrees(pages_of(spark, d))
     return kept.where("kind = 'text'").groupBy("url").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("tok")).alias("n_chars"))
 

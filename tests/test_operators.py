@@ -44,7 +44,7 @@ def test_main_text_against_stdlib_parser(spark, sf_dir):
 
 def test_elements_of_broken_markup(page_df):
     pages = page_df(("http://a.org/", "<div><div>a</div><p>b<p>c</div></b><b>d<br>"))
-    els = dom.html_elements(dom.html_tokens(pages))
+    els = dom.html_elements(pages)
     got = {(r.tag, r.start_pos): (r.end_pos, r.closed) for r in els.collect()}
     assert got == {("div", 0): (8, True), ("div", 1): (3, True), ("p", 4): (5, False), ("p", 6): (7, False),
                    ("b", 10): (13, False), ("br", 12): (12, False)}
