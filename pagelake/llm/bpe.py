@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import map_texts, with_fields
 
 CACHED_CHUNKS = 250_000
 CACHED_PAIRS = 1_000_000
@@ -275,5 +275,4 @@ def encode_texts(docs: DataFrame, path: str, *keep: str) -> DataFrame:
             decoded = pa.array([bpe.decode(x) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), lists, decoded], names=[*keep, "ids", "decoded"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    return map_texts(source, run, ", ".join([*fields, "ids array<int>", "decoded string"]))
+    return map_texts(source, run, with_fields(docs, keep, "ids array<int>, decoded string"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BATCH_BYTES = 8 << 20
 
@@ -36,6 +37,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_fields(docs: DataFrame, keep: Sequence[str], more: str) -> StructType:
+    """Schema of the kept columns followed by further fields."""
+    return StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(more).fields])
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
@@ -55,7 +61,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BY
             yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str,
+def map_texts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType,
               column: str = "text") -> DataFrame:
     """``mapInArrow`` over batches of bounded size."""
     def run(batches):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, with_fields
 
 WINDOW = 10
 BLOCK_WINDOWS = 100_000  # windows in one broadcast block
@@ -209,11 +209,14 @@ def removal_spans(raw: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(places[a][0], places[b - 1][1]) for a, b in zip(change[::2], change[1::2], strict=True)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *keep: str, cut: bool = False, window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *keep: str, cut: bool = False, window: int = WINDOW,
+                  prefix: str = "") -> DataFrame:
     """The ``keep`` columns with ``n_words, n_hit, items array<string>, spans array<struct<start,end>>``.
 
     Spans count code points, end exclusive. With ``cut`` the kept ``text`` is returned without its spans.
+    ``prefix`` goes before the names of the four, where the kept columns have such names.
     """
+    names_out = [prefix + x for x in ("n_words", "n_hit", "items", "spans")]
     source = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
     vocabulary, items, blocks, shortest = query_blocks(benchmark, window)
     context = docs.sparkSession.sparkContext
@@ -257,7 +260,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *keep: str, cut: bool =
             yield pa.RecordBatch.from_arrays([
                 *kept, pa.array([len(unique[d]) for d in row], pa.int64()), pa.array([int(counts[d]) for d in row], pa.int64()),
                 pa.array(own, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            ], names=[*keep, "n_words", "n_hit", "items", "spans"])
+            ], names=[*keep, *names_out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = sent_words.value[0].get
@@ -275,15 +278,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *keep: str, cut: bool =
         if held:
             yield from results(held)
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    out = [*fields, "n_words bigint", "n_hit bigint", "items array<string>", "spans array<struct<start:bigint,end:bigint>>"]
-    return map_texts(source, run, ", ".join(out))
+    kinds = ("bigint", "bigint", "array<string>", "array<struct<start:bigint,end:bigint>>")
+    return map_texts(source, run, with_fields(docs, keep, ", ".join(f"{n} {k}" for n, k in zip(names_out, kinds, strict=True))))
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents without the spans that repeat the benchmark; ``n_chars`` follows the text where there is such a column."""
-    clean = contamination(docs, benchmark, *docs.columns, cut=True, window=window)
+    clean = contamination(docs, benchmark, *docs.columns, cut=True, window=window, prefix="__bm_")
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("n_hit") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed = F.when(F.col("__bm_n_hit") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         clean = clean.withColumn("n_chars", changed)
     return clean.select(*docs.columns)

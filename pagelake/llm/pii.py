@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored
+from .common import map_texts, stored, with_fields
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = 20_000  # best-supported patterns that are weighed, the width of the search
@@ -206,8 +206,11 @@ def discovered(docs: DataFrame, confidence: float = CONFIDENCE, support: int = S
     return hits.groupBy("row_key", "start", "end").agg(F.min("kind").alias("kind"))
 
 
-def personal_data(docs: DataFrame, *keep: str) -> DataFrame:
-    """The ``keep`` columns with ``base`` and ``added``, arrays of ``struct<kind,start,end>`` in code points."""
+def personal_data(docs: DataFrame, *keep: str, prefix: str = "") -> DataFrame:
+    """The ``keep`` columns with ``base`` and ``added``, arrays of ``struct<kind,start,end>`` in code points.
+
+    ``prefix`` goes before the names of these two, where the kept columns have such names.
+    """
     extra = discovered(docs)
     extra = extra.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
     keyed = with_row_key(docs.select(*keep) if {"doc_id", "text"} <= set(keep) else docs.select(*dict.fromkeys((*keep, "doc_id", "text"))))
@@ -219,11 +222,10 @@ def personal_data(docs: DataFrame, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), b.column("__row_key"), pa.array(spans, pa.list_(one))],
                                              names=[*keep, "__row_key", "__base"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
-    based = map_texts(keyed, run, ", ".join([*fields, "__row_key bigint", f"__base {span}"]))
+    based = map_texts(keyed, run, with_fields(docs, keep, f"__row_key bigint, __base {span}"))
     joined = based.join(extra.toDF("__row_key", "__added"), "__row_key", "left")
-    return joined.select(*keep, F.col("__base").alias("base"), F.coalesce("__added", F.array().cast(span)).alias("added"))
+    return joined.select(*keep, F.col("__base").alias(f"{prefix}base"), F.coalesce("__added", F.array().cast(span)).alias(f"{prefix}added"))
 
 
 def all_spans(base: str = "base", added: str = "added") -> Column:
@@ -241,7 +243,7 @@ def spans_text(spans: Column) -> Column:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """Documents with ``[KIND]`` in place of every span (of overlapping spans, the first kind); ``n_chars`` follows."""
-    found = personal_data(docs, *docs.columns).withColumnsRenamed({"base": "__base", "added": "__added"})
+    found = personal_data(docs, *docs.columns, prefix="__")
     schema = docs.schema
     place = docs.columns.index("text")
 
@@ -262,8 +264,7 @@ def redacted(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array([bool(x or y) for x, y in zip(
                 b.column("__base").to_pylist(), b.column("__added").to_pylist(), strict=True)], pa.bool_())], names=[*schema.names, "__changed"])
 
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "__changed boolean"])
-    out = map_texts(found, run, fields)
+    out = map_texts(found, run, with_fields(docs, docs.columns, "__changed boolean"))
     if "n_chars" in schema.names:
         new = F.char_length("text").cast(schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col("__changed"), new).otherwise(F.col("n_chars")))

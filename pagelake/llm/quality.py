@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, remainder, stored
+from .common import map_texts, remainder, stored, with_fields
 
 SAMPLE_ROWS = 20_000  # most labelled rows of the fit
 N_TREES, DEPTH, CUTS = 48, 3, 24
@@ -78,8 +78,7 @@ def with_stats(docs: DataFrame, *keep: str) -> DataFrame:
             cols = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(STATS))]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *cols], names=[*keep, *COLUMNS])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    return map_texts(source, run, ", ".join([*fields, *(f"{x} double" for x in COLUMNS)]))
+    return map_texts(source, run, with_fields(docs, keep, ", ".join(f"{x} double" for x in COLUMNS)))
 
 
 # -- fit (numpy, on the bounded sample) ---------------------------------------------------------------------------
