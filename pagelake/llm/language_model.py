@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -138,7 +139,8 @@ def run_states(w: dict[str, np.ndarray], x: np.ndarray, new: np.ndarray, h: np.n
     out = np.empty((*x.shape, HIDDEN), dtype=np.float32)
     inputs = w["input"][x]
     for t in range(len(x)):
-        h = np.where(new[t][:, None], np.float32(0), h)
+        if new[t].any():
+            h = np.where(new[t][:, None], np.float32(0), h)
         s = h @ w["state"]
         gates = sigmoid(inputs[t, :, : 2 * HIDDEN] + s[:, : 2 * HIDDEN])
         z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
@@ -156,6 +158,12 @@ def log_softmax(a: np.ndarray) -> np.ndarray:
     return a - np.log(np.exp(a).sum(axis=1, keepdims=True))
 
 
+def log_picked(a: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """One entry of the log-softmax of each row."""
+    a = a - a.max(axis=1, keepdims=True)
+    return a[np.arange(len(a)), places] - np.log(np.exp(a).sum(axis=1))
+
+
 def class_groups(y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Places of the targets of each symbol class."""
     order = np.argsort(y, kind="stable")
@@ -171,9 +179,9 @@ def target_classes(y: np.ndarray) -> np.ndarray:
 
 def log_probabilities(w: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log-probability of each target: its class, and its place within a symbol class."""
-    out = log_softmax(h @ w["class"] + w["class_bias"])[np.arange(len(y)), target_classes(y)].astype(float)
+    out = log_picked(h @ w["class"] + w["class_bias"], target_classes(y)).astype(float)
     for k, rows in class_groups(y):
-        out[rows] += log_softmax(h[rows] @ w["symbol"][k] + w["symbol_bias"][k])[np.arange(len(rows)), y[rows] - k * CLASS_SIZE]
+        out[rows] += log_picked(h[rows] @ w["symbol"][k] + w["symbol_bias"][k], y[rows] - k * CLASS_SIZE)
     return out
 
 
@@ -215,7 +223,9 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, new: np.nd
         to_state = np.concatenate([dz, dr, dc * r], axis=1)
         g["state"] += before.T @ to_state
         later = np.where(new[t][:, None], np.float32(0), dh * (1 - z) + to_state @ w["state"].T)
-    np.add.at(g["input"], x.ravel(), inner.reshape(-1, 3 * HIDDEN))
+    order = np.argsort(x.ravel(), kind="stable")
+    symbols, first = np.unique(x.ravel()[order], return_index=True)
+    g["input"][symbols] = np.add.reduceat(inner.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
     return g, states[-1], loss
 
 
@@ -291,7 +301,8 @@ def train_on(w: dict[str, np.ndarray], docs: list[np.ndarray], adam: Adam) -> No
 
 def symbols_of(words: list[bytes], index: dict[bytes, int], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Head numbers of the tokens (-1: none) and their symbols, end included."""
-    numbers = np.array([*(index.get(w, -1) for w in words), 0], dtype=np.int64)
+    numbers = np.zeros(len(words) + 1, dtype=np.int64)
+    numbers[:-1] = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
     symbols = np.where(numbers < SYMBOLS, numbers, SYMBOLS + classes[numbers])
     for i in np.flatnonzero(numbers < 0):
         symbols[i] = SYMBOLS + tail_class(words[i])
