@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import DECODE, clean_text, decode_entities, let, let_sql
+from .text import DECODE, clean_text, decode_entities, let, let_sql, strip_text
 
 TAG = r"</?[a-z][^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')?+[^>=]*+)*+>"
 COMMENT = r"<!--.*?(?:-->|\z)"
@@ -49,7 +49,6 @@ CONTENT_SELECTORS = (
     ".inner-content", ".body-content",
 )
 CONTENT_MIN_CHARS = 100
-RAW_TEXT_WIDTH = 30_000
 RENDER_MIN_CHARS = 200
 RENDER_MARKERS = r"(ng-app|data-reactroot|__NEXT_DATA__|__vue|ReactDOM\.render)"
 CATALOG_WORDS = r"(?i)(catalog|product-list|goods-list)"
@@ -278,5 +277,5 @@ def needs_render(html: Column) -> Column:
     for s in CATALOG_CONTAINERS:
         element = first_element(markup, F.lit(selector_pattern(s)))
         empty_box = empty_box | let(
-            element, lambda e: (e != "") & (F.length(F.trim(markup_text(e))) < CATALOG_MIN_CHARS))
+            element, lambda e: (e != "") & (F.length(strip_text(markup_text(e))) < CATALOG_MIN_CHARS))
     return F.when(needs_render_quick(html), True).when(html.rlike(CATALOG_WORDS), empty_box).otherwise(False)

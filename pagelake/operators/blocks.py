@@ -22,7 +22,6 @@ ADDRESS_CLASS = r"(?iu)address|location"
 ADDRESS_MIN_CHARS = 10
 SERVICE_CLASS = r"(?iu)service|услуг|advantage"
 SERVICE_NAME_MIN = 2
-DESCRIPTION_WIDTH = 400
 TEMPLATE_CARDS = ("catalog-block-view__item", "catalog-block-view-item")
 TEMPLATE_NAME_CLASS = r"(?iU)\bitem.?title\b|\bname\b"
 TEMPLATE_CURRENCY = "₽"
@@ -81,7 +80,7 @@ def page_services(pages: DataFrame) -> DataFrame:
     sections = D.matching(F.col("els"), lambda e: e["tag"].isin("section", "div") & D.class_like(e, SERVICE_CLASS))
     rows = _per_outer(sections, lambda o, els: {
         "name": _text(D.first_match(els, lambda e: e["tag"].isin(*HEADINGS))), "seq": o["s"],
-        "description": F.left(_text(D.first_match(els, lambda e: e["tag"] == "p")), F.lit(DESCRIPTION_WIDTH))})
+        "description": _text(D.first_match(els, lambda e: e["tag"] == "p"))})
     return dom.select("site", F.col("url").alias("page_url"), F.explode(_first_by_name(rows, SERVICE_NAME_MIN + 1)).alias("r")) \
         .select("site", "page_url", "r.name", "r.description")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,23 @@ from .keys import first_wins
 PRIORITY = {"pagination": 0, "seed": 1, "sitemap": 2, "link": 3}
 
 
+def frontier_candidates(seeds: DataFrame, sitemap: DataFrame, links: DataFrame, next_pages: DataFrame) -> DataFrame:
+    """(site, url, kind, depth, seq): everything that may be fetched next, in one table.
+
+    ``seeds`` has url; ``sitemap`` (site, url, path, pos); ``links`` (from_url, to_url); ``next_pages`` (url, next_url).
+    Links and next pages are ordered by the page that names them.
+    """
+    def shaped(df: DataFrame, kind: str, url: str, seq) -> DataFrame:
+        u = normalize_url(F.col(url))
+        return df.where(F.col(url).isNotNull()).select(site_of(u).alias("site"), u.alias("url"), F.lit(kind).alias("kind"),
+                                                       F.lit(0).alias("depth"), seq.alias("seq"))
+
+    return shaped(seeds, "seed", "url", F.lit("")) \
+        .unionByName(shaped(sitemap, "sitemap", "url", F.format_string("%s %010d", "path", "pos"))) \
+        .unionByName(shaped(links, "link", "to_url", F.col("from_url"))) \
+        .unionByName(shaped(next_pages, "pagination", "next_url", F.col("url")))
+
+
 def frontier_round(candidates: DataFrame, visited: DataFrame, budget: int) -> DataFrame:
     """Next URLs per site: (site, url, kind, depth, seq, rank).
 
@@ -30,12 +49,13 @@ def frontier_round(candidates: DataFrame, visited: DataFrame, budget: int) -> Da
     return top_per_group(fresh, ["site"], order, budget).select("site", "url", "kind", "depth", "seq", "rank")
 
 
-def bfs_depth(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int | None = None) -> DataFrame:
+def bfs_depth(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_pages: int | None = None) -> DataFrame:
     """(site, url, depth): depth at which each page is first reached over the edges.
 
     ``edges`` has from_url and to_url, ``seeds`` has url. Edges are partitioned once and kept;
     each level shuffles only the frontier and its targets, and is checkpointed to the shared
-    folder so that the plan stays short and a lost executor costs one level.
+    folder so that the plan stays short and a lost executor costs one level. The walk ends when nothing new is
+    reached, or at ``max_depth`` where one is given.
     """
     shared_dir(edges.sparkSession)
     by_source = edges.select("from_url", "to_url").distinct().repartition("from_url").persist(StorageLevel.DISK_ONLY)
@@ -43,7 +63,7 @@ def bfs_depth(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int
         frontier = seeds.select("url").distinct().withColumn("depth", F.lit(0)).checkpoint()
         levels = [frontier]
         reached = frontier
-        for depth in range(1, max_depth + 1):
+        for depth in (count(1) if max_depth is None else range(1, max_depth + 1)):
             targets = frontier.join(by_source, frontier["url"] == by_source["from_url"]) \
                 .select(F.col("to_url").alias("url")).distinct()
             frontier = targets.join(reached.select("url"), "url", "left_anti") \

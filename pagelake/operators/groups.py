@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 # up to this k Spark cuts each group to k rows before the shuffle on its own
 GROUP_LIMIT = 1000
 SALTS = 64
-MAX_ITEMS = 100_000
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -25,22 +24,3 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
         df = salted.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= k).drop("_r", "_salt")
     whole = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(whole)).where(F.col(rank) <= k)
-
-
-def with_part(df: DataFrame, keys: Sequence[str], max_items: int = MAX_ITEMS) -> DataFrame:
-    """Add ``part`` so that every (keys, part) group holds about ``max_items`` rows at most.
-
-    Groups within the bound keep part 0. Only groups above it enter the joined table, at most
-    one row per ``max_items`` input rows, so the adaptive planner can measure and broadcast it.
-    """
-    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_items)
-    parts = big.select(*keys, F.ceil(F.col("_n") / max_items).cast("int").alias("_parts"))
-    spread = F.pmod(F.xxhash64(*df.columns), F.coalesce(F.col("_parts"), F.lit(1))).cast("int")
-    return df.join(parts, list(keys), "left").select(*df.columns, spread.alias("part"))
-
-
-def bounded_lists(df: DataFrame, keys: Sequence[str], value: str, max_items: int = MAX_ITEMS) -> DataFrame:
-    """(keys, part, values): sorted distinct values per group in lists of bounded length."""
-    distinct = df.select(*keys, value).distinct()
-    return with_part(distinct, keys, max_items).groupBy(*keys, "part").agg(
-        F.array_sort(F.collect_list(value)).alias("values"))

@@ -10,11 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from ..functions.text import built_once, extract_emails, extract_phones
+from ..functions.text import built_once, decode_entities, extract_emails, extract_phones
 from ..functions.urls import classify_social, is_followable, normalize_url, resolve_url
 
-LINK_TEXT_WIDTH = 150
-
 
 @built_once
 def _main_content() -> Column:
@@ -44,8 +42,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     return pages.select("site", "url", _main_content().alias("raw_text"))
 
 
-def build_pages(pages: DataFrame, raw_text_width: int | None = H.RAW_TEXT_WIDTH) -> DataFrame:
-    """The pages entity table. ``raw_text_width`` is the width of the stored text column."""
+def build_pages(pages: DataFrame, raw_text_width: int | None = None) -> DataFrame:
+    """The pages entity table, with whole texts unless ``raw_text_width`` gives the width of the text column."""
     scraped = F.col("fetched_at").cast("timestamp") if "fetched_at" in pages.columns else F.lit(None).cast("timestamp")
     text = _main_content()
     return pages.select(
@@ -65,7 +63,7 @@ def page_contacts(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     ``keep`` names further page columns to carry along.
     """
-    markup = F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), H.SCRIPT_BLOCKS, "")
+    markup = decode_entities(F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), H.SCRIPT_BLOCKS, ""))
     found = F.concat(
         _typed("email", extract_emails(markup)), _typed("phone", extract_phones(_main_content())))
     return pages.select("site", F.col("url").alias("page_url"), *keep, F.explode(found).alias("c")) \
@@ -91,7 +89,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     """
     resolved = F.transform("anchors", lambda a: F.struct(
         normalize_url(resolve_url(F.col("url"), a["href"])).alias("to_url"), a["pos"].alias("pos"),
-        F.left(a["text"], F.lit(LINK_TEXT_WIDTH)).alias("text")))
+        a["text"].alias("text")))
     ordered = F.array_sort(F.filter(resolved, lambda r: F.startswith(r["to_url"], F.lit("http"))))
     per_page = _anchor_rows(pages).select("site", "url", ordered.alias("targets"))
     firsts = F.filter(

@@ -1,7 +1,7 @@
 """Per-site profile, counts and listings over the entity tables.
 
-Sites differ in size by orders of magnitude. Everything keyed by site is either an aggregate
-with map-side partials, a top-k, or a list cut into parts of bounded length.
+Sites differ in size by orders of magnitude. Everything keyed by site is an aggregate with map-side partials, a
+top-k or long rows; no list of a site's items is built.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import page_heading, plausible_phone, truncate_with_rest
-from .groups import MAX_ITEMS, bounded_lists, top_per_group
+from .groups import top_per_group
 from .keys import first_wins
 
 # Report limits and the pages that reports leave out.
@@ -19,8 +19,6 @@ INFO_SKIP = {
     "console": r"(?i)/(catalog|basket|compare|personal|login|favicon|\?)",
     "markdown": r"(?i)/(catalog|basket|compare|personal|login|favicon|\?sort=)",
 }
-PRODUCT_LIMIT = 300
-SERVICE_LIMIT = 50
 PREVIEW_CHARS = 2000
 SHORT_CHARS = 110
 REPORT_PRODUCTS = 60
@@ -38,54 +36,37 @@ def home_page(pages: DataFrame) -> DataFrame:
 def social_links(contacts: DataFrame) -> DataFrame:
     """(site, network, value): one link per site and network, the lowest value."""
     socials = contacts.where(F.col("type").startswith("social:"))
-    return socials.groupBy("site", F.substring("type", 8, 100).alias("network")).agg(F.min("value").alias("value"))
+    return socials.groupBy("site", F.expr("substring(type, 8)").alias("network")).agg(F.min("value").alias("value"))
 
 
 def distinct_addresses(contacts: DataFrame) -> DataFrame:
     return contacts.where(F.col("type") == "address").select("site", "value").distinct()
 
 
-def contacts_by_type(contacts: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
-    """(site, type, part, values): sorted distinct values per site and contact type."""
-    return bounded_lists(contacts, ["site", "type"], "value", max_items)
+def contacts_by_type(contacts: DataFrame) -> DataFrame:
+    """(site, type, value): distinct values per site and contact type."""
+    return contacts.select("site", "type", "value").distinct()
 
 
-def site_profile(pages: DataFrame, contacts: DataFrame, org: DataFrame | None = None,
-                 max_items: int = MAX_ITEMS) -> DataFrame:
-    """(site, key, part, value): the company table in long form, lists as JSON text.
+def site_profile(pages: DataFrame, contacts: DataFrame, org: DataFrame | None = None) -> DataFrame:
+    """(site, key, value): the company table, one row per fact.
 
-    Every site has the keys emails, phones and social_links, empty when nothing was found.
+    ``email`` and ``phone`` have a row per distinct value, ``social:<network>`` one row each, all others one per site.
     """
     home = home_page(pages)
     fields = dict(zip(PROFILE_FIELDS, ("site", "title", "description", "keywords", "h1")))
-    plain = home.select("site", F.explode(F.array(*[
+    out = home.select("site", F.explode(F.array(*[
         F.struct(F.lit(k).alias("key"), F.coalesce(F.col(c), F.lit("")).alias("value")) for k, c in fields.items()
-    ])).alias("kv")).select("site", "kv.key", F.lit(0).alias("part"), "kv.value")
-
-    keys = {"email": "emails", "phone": "phones"}
-    wanted = contacts.where(F.col("type").isin(*keys))
-    found = bounded_lists(wanted, ["site", "type"], "value", max_items).select(
-        "site", F.when(F.col("type") == "email", "emails").otherwise("phones").alias("key"), "part",
-        F.to_json("values").alias("value"))
-    networks = social_links(contacts).groupBy("site").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("network", "value")))).alias("m")
-    ).select("site", F.lit("social_links").alias("key"), F.lit(0).alias("part"), F.to_json("m").alias("value"))
-    defaults = home.select("site", F.explode(F.create_map(
-        F.lit("emails"), F.lit("[]"), F.lit("phones"), F.lit("[]"), F.lit("social_links"), F.lit("{}"))).alias("key", "value")
-    ).select("site", "key", F.lit(0).alias("part"), "value")
-    # a found list replaces the empty default of the same key and part
-    lists = found.unionByName(networks).withColumn("_o", F.lit(0)).unionByName(defaults.withColumn("_o", F.lit(1)))
-    out = plain.unionByName(first_wins(lists, ["site", "key", "part"], ["_o"]).drop("_o"))
-    if org is not None:
-        out = out.unionByName(org.select("site", "key", F.lit(0).alias("part"), "value"))
-    return out
+    ])).alias("kv")).select("site", "kv.key", "kv.value")
+    lists = contacts.where(F.col("type").isin("email", "phone")).select("site", F.col("type").alias("key"), "value").distinct()
+    networks = social_links(contacts).select("site", F.concat(F.lit("social:"), "network").alias("key"), "value")
+    out = out.unionByName(lists).unionByName(networks)
+    return out if org is None else out.unionByName(org.select("site", "key", "value"))
 
 
 def profile_phones(profile: DataFrame) -> DataFrame:
     """(site, phone): stored profile phones that look like phone numbers."""
-    listed = profile.where(F.col("key") == "phones").select(
-        "site", F.explode(F.from_json("value", "array<string>")).alias("phone"))
-    return listed.where(plausible_phone(F.col("phone")))
+    return profile.where((F.col("key") == "phone") & plausible_phone(F.col("value"))).select("site", F.col("value").alias("phone"))
 
 
 def report_counts(pages: DataFrame, products: DataFrame, services: DataFrame, api: DataFrame) -> DataFrame:
@@ -110,12 +91,20 @@ def unique_services(services: DataFrame) -> DataFrame:
     return first_wins(services, ["site", "name"], ["page_url"])
 
 
+def _short_description() -> list[Column]:
+    cut = truncate_with_rest(F.col("description"), SHORT_CHARS)
+    return [cut["head"].alias("description"), cut["rest"].alias("more")]
+
+
 def _part_of_line(c: Column, template: str) -> Column:
     return F.when(c != "", F.format_string(template, c)).otherwise(F.lit(""))
 
 
-def product_listing(products: DataFrame, limit: int | None = PRODUCT_LIMIT) -> DataFrame:
-    """One row per product name with its report line; the first ``limit`` names per site in byte order."""
+def product_listing(products: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row per product name with its report line; with ``limit`` the first names per site in byte order.
+
+    Descriptions show SHORT_CHARS characters and ``more``, the number of those left.
+    """
     unique = unique_products(products)
     listed = unique if limit is None else top_per_group(unique, ["site"], [F.asc("name")], limit).drop("rank")
     price = F.when(F.col("price") != "", F.concat(F.lit("  | "), F.rtrim(F.concat_ws(" ", "price", "currency")))) \
@@ -125,13 +114,14 @@ def product_listing(products: DataFrame, limit: int | None = PRODUCT_LIMIT) -> D
     line = F.concat(F.lit("  • "), F.col("name"), price, old,
                     _part_of_line(F.col("brand"), "  | %s"), _part_of_line(F.col("category"), "  | %s"))
     return listed.select("site", "name", "price", "old_price", "currency", "brand", "category",
-                         F.left("description", F.lit(SHORT_CHARS)).alias("description"), "product_url", line.alias("line"))
+                         *_short_description(), "product_url", line.alias("line"))
 
 
-def service_listing(services: DataFrame, limit: int | None = SERVICE_LIMIT) -> DataFrame:
+def service_listing(services: DataFrame, limit: int | None = None) -> DataFrame:
+    """(site, name, description, more): one row per service name; with ``limit`` the first names per site."""
     unique = unique_services(services)
     listed = unique if limit is None else top_per_group(unique, ["site"], [F.asc("name")], limit).drop("rank")
-    return listed.select("site", "name", F.left("description", F.lit(SHORT_CHARS)).alias("description"))
+    return listed.select("site", "name", *_short_description())
 
 
 def info_pages(pages: DataFrame, mode: str = "console") -> DataFrame:

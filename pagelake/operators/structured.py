@@ -34,9 +34,6 @@ API_ALIASES: Mapping[str, Sequence[str]] = {
     "category": ("category", "section", "group", "type"),
     "in_stock": ("in_stock", "available", "quantity", "qty", "stock"),
 }
-API_MAX_DEPTH = 8
-DESCRIPTION_WIDTH = 400
-ORG_DESCRIPTION_WIDTH = 800
 SEQ_STEP = 1 << 20  # room for the objects of one document inside the sequence number
 
 
@@ -114,7 +111,7 @@ def jsonld_products(pages: DataFrame) -> DataFrame:
         _text(sku).alias("sku"),
         clean_text(F.coalesce(V.string_at(n, "$.brand.name"), V.string_at(n, "$.brand"))).alias("brand"),
         empty.alias("category"),
-        F.left(clean_text(V.string_at(n, "$.description")), F.lit(DESCRIPTION_WIDTH)).alias("description"),
+        clean_text(V.string_at(n, "$.description")).alias("description"),
         _text(image_item).alias("image_url"), empty.alias("product_url"), empty.alias("in_stock"),
         F.lit("jsonld").alias("origin"), "seq")
     return rows.where(F.col("name") != "").select(*PRODUCT_COLUMNS)
@@ -127,7 +124,7 @@ def jsonld_org(pages: DataFrame) -> DataFrame:
         F.struct(F.lit("org_name").alias("key"), clean_text(V.string_at(n, "$.name")).alias("value"),
                  (_text(V.string_at(n, "$.name")) != "").alias("given")),
         F.struct(F.lit("org_description").alias("key"),
-                 F.left(clean_text(V.string_at(n, "$.description")), F.lit(ORG_DESCRIPTION_WIDTH)).alias("value"),
+                 clean_text(V.string_at(n, "$.description")).alias("value"),
                  (_text(V.string_at(n, "$.description")) != "").alias("given")))
     rows = json_nodes(pages).where(_is_org(n)).select("site", "url", "seq", F.explode(facts).alias("f")) \
         .where("f.given").select("site", "f.key", "f.value", "url", "seq")
@@ -168,12 +165,36 @@ def jsonld_contacts(pages: DataFrame) -> DataFrame:
         .select("site", "page_url", "c.type", "c.value")
 
 
+def api_nodes_cut(responses: DataFrame, max_depth: int) -> DataFrame:
+    """(trigger_url, api_url, cut): containers below ``max_depth`` per response, 0 when the walk is complete."""
+    return responses.select("trigger_url", "api_url", V.json_objects(F.col("body"), max_depth)["cut"].alias("cut"))
+
+
+def products_per_response(responses: DataFrame, products: DataFrame) -> DataFrame:
+    """(trigger_url, products): how many products the responses of each page gave, 0 included."""
+    counts = products.groupBy(F.col("source_url").alias("trigger_url")).agg(F.count(F.lit(1)).alias("products"))
+    return responses.select("trigger_url").distinct().join(counts, "trigger_url", "left").select(
+        "trigger_url", F.coalesce("products", F.lit(0)).alias("products"))
+
+
+def ignored_nodes(pages: DataFrame) -> DataFrame:
+    """(site, list_types, text_addresses): JSON-LD nodes that the extractors pass over, per site.
+
+    A list-valued @type never names a product or an organization, and an address counts only as an object.
+    """
+    n = F.col("node")
+    listed = F.coalesce(F.schema_of_variant(V.node_at(n, '$["@type"]')).startswith("ARRAY"), F.lit(False))
+    return json_nodes(pages).groupBy("site").agg(
+        F.count_if(listed).alias("list_types"),
+        F.count_if(_is_org(n) & V.string_at(n, "$.address").isNotNull()).alias("text_addresses"))
+
+
 def api_products(responses: DataFrame, aliases: Mapping[str, Sequence[str]] = API_ALIASES,
-                 max_depth: int = API_MAX_DEPTH) -> DataFrame:
+                 max_depth: int | None = None) -> DataFrame:
     """Product rows of every object with a usable name in API response bodies.
 
     ``responses`` has trigger_url, body and fetched_at; products belong to the page that
-    triggered the call. The depth limit is part of the rule: objects below it are not products.
+    triggered the call. With ``max_depth`` objects below it are left out; ``api_nodes_cut`` counts them.
     """
     objects = F.posexplode(V.json_objects(F.col("body"), max_depth)["objects"]).alias("idx", "o")
     rows = responses.select(F.col("trigger_url").alias("source_url"), "fetched_at", objects)
@@ -192,7 +213,7 @@ def api_products(responses: DataFrame, aliases: Mapping[str, Sequence[str]] = AP
         _text(V.first_non_blank(n, aliases["sku"])).alias("sku"),
         clean_text(V.first_string(n, aliases["brand"])).alias("brand"),
         clean_text(F.coalesce(V.string_at(category, "$"), V.string_at(category, "$.name"))).alias("category"),
-        F.left(clean_text(V.first_string(n, aliases["description"])), F.lit(DESCRIPTION_WIDTH)).alias("description"),
+        clean_text(V.first_string(n, aliases["description"])).alias("description"),
         _text(V.first_string(n, aliases["image_url"])).alias("image_url"),
         _text(V.first_string(n, aliases["product_url"])).alias("product_url"),
         _text(V.scalar_text(V.first_present(n, aliases["in_stock"]))).alias("in_stock"),

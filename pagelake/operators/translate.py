@@ -8,16 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, strip_text
+from .keys import first_wins
 
 TEXT_COLUMNS = {
     "pages": ("title", "description", "h1", "raw_text"),
     "products": ("name", "description"),
     "services": ("name", "description"),
 }
+# what identifies a row, and the translated column that is part of its key
+ROW_KEYS = {"pages": (["site", "url"], None), "products": (["site", "source_url"], "name"), "services": (["site", "page_url"], "name")}
 ORG_KEYS = ("org_name", "org_description")
 MIN_CHARS = 20
-SAMPLE_CHARS = 500
-SALTS = 16
 
 # Frequent function words per language, for telling languages apart.
 STOP_WORDS = {
@@ -47,12 +48,13 @@ def distinct_texts(tables: Mapping[str, DataFrame], company: DataFrame) -> DataF
     return union.where(F.col("text") != "").distinct()
 
 
-def detect_language(text: Column, stop_words: Mapping[str, Sequence[str]] = STOP_WORDS) -> Column:
-    """Language with the most stop words in the first 500 characters; ties go to the lower code.
+def detect_language(text: Column, stop_words: Mapping[str, Sequence[str]] = STOP_WORDS,
+                    sample_chars: int | None = None) -> Column:
+    """Language with the most stop words in the text (or its first ``sample_chars``); ties go to the lower code.
 
     NULL when the text is shorter than 20 characters or holds no stop word.
     """
-    sample = strip_text(F.left(text, F.lit(SAMPLE_CHARS)))
+    sample = strip_text(text if sample_chars is None else F.left(text, F.lit(sample_chars)))
     words = F.split(F.lower(sample), r"[^\p{L}]+")
 
     def best(w: Column) -> Column:
@@ -70,23 +72,18 @@ def is_translatable(text: Column, lang: str = "en") -> Column:
     return F.coalesce(detect_language(text) == lang, F.lit(False))
 
 
-def apply_dictionary(df: DataFrame, keys: Sequence[str], columns: Sequence[str], dictionary: DataFrame,
-                     salts: int = SALTS) -> DataFrame:
+def apply_dictionary(df: DataFrame, keys: Sequence[str], columns: Sequence[str], dictionary: DataFrame) -> DataFrame:
     """Replace the text of ``columns`` by its dictionary translation where one exists.
 
-    All text columns meet the dictionary in one join on a hash and the text; only hits go back
-    to their rows. One text may fill a third of all rows (a common title), so the text side is
-    salted and the dictionary side, which has one row per text, is repeated per salt.
-    ``keys`` must identify a row.
+    All text columns meet the dictionary in one join on a 256-bit hash, so texts themselves are not join keys; only
+    hits go back to their rows. A text that fills many rows is a skewed key, which the adaptive planner splits (the
+    dictionary has one row per text). ``keys`` must identify a row.
     """
     cells = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("col"), F.col(c).alias("src")) for c in columns])).alias("t")) \
-        .select(*keys, "t.col", "t.src").where(F.col("src") != "") \
-        .withColumn("salt", F.pmod(F.xxhash64(*keys, "col"), F.lit(salts)).cast("int")) \
-        .withColumn("h", F.xxhash64("src"))
-    lookup = dictionary.select("src", "dst").where("src <> dst").withColumn("h", F.xxhash64("src")) \
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hits = cells.join(lookup, ["h", "salt", "src"]).groupBy(*keys).agg(
+        F.struct(F.lit(c).alias("col"), F.unhex(F.sha2(c, 256)).alias("h")) for c in columns])).alias("t")) \
+        .select(*keys, "t.col", "t.h").where(F.col("h").isNotNull())
+    lookup = dictionary.where((F.col("src") != "") & (F.col("src") != F.col("dst"))).select(F.unhex(F.sha2("src", 256)).alias("h"), "dst")
+    hits = cells.join(lookup, "h").groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("col", "dst"))).alias("_hit"))
     joined = df.join(hits, list(keys), "left")
     return joined.select(*[
@@ -94,6 +91,21 @@ def apply_dictionary(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
         for c in df.columns])
 
 
+def translate_tables(tables: Mapping[str, DataFrame], company: DataFrame, dictionary: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Entity tables and company table with all their texts translated.
+
+    Two names of one page may translate alike; then the first-wins rule is applied again and the row whose original
+    name sorts first stays.
+    """
+    out = {}
+    for name, df in tables.items():
+        keys, rule = ROW_KEYS[name]
+        done = apply_dictionary(df.withColumn("_was", F.col(rule)) if rule else df, keys if not rule else [*keys, "_was"],
+                                TEXT_COLUMNS[name], dictionary)
+        out[name] = first_wins(done, [*keys, rule], ["_was"]).drop("_was") if rule else done
+    return out, translate_company(company, dictionary)
+
+
 def translate_company(company: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Company table with org_name and org_description translated."""
     org = F.col("key").isin(*ORG_KEYS)

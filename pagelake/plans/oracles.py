@@ -6,8 +6,31 @@ markup or JSON; for the landed pages it uses its own, simpler regular expression
 
 from __future__ import annotations
 
-from ..functions.urls import SKIP_EXTENSIONS, SKIP_PATHS, SOCIAL_DOMAINS
-from ..operators.translate import STOP_WORDS
+# Fixed values, written out here so that a wrong one in the library does not pass on both sides: file endings and
+# paths that are never followed, social domains, frequent function words.
+SKIP_EXTENSIONS = (
+    r"(?i)\.(pdf|docx?|xlsx?|zip|rar|7z|jpg|jpeg|png|gif|svg|webp|ico|mp4|mp3|wav|css|js|woff2?|ttf|eot)(\?.*)?$"
+)
+SKIP_PATHS = r"(?i)/(basket|cart|login|logout|register|personal|compare|favicon|captcha|tel:|mailto:)"
+SOCIAL_DOMAINS = {
+    "facebook.com": "Facebook", "instagram.com": "Instagram", "twitter.com": "Twitter",
+    "x.com": "X", "linkedin.com": "LinkedIn", "youtube.com": "YouTube", "t.me": "Telegram",
+    "vk.com": "VK", "tiktok.com": "TikTok", "ok.ru": "OK",
+}
+STOP_WORDS = {
+    "de": ("aber", "als", "auch", "auf", "aus", "bei", "das", "dem", "den", "der", "des", "die", "ein", "eine",
+           "einen", "einer", "er", "es", "für", "hat", "ich", "im", "in", "ist", "mit", "nach", "nicht", "sich",
+           "sie", "sind", "und", "vom", "von", "war", "was", "wie", "wir", "zu", "zum", "zur"),
+    "en": ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "have", "he", "her", "his",
+           "in", "is", "it", "not", "of", "on", "or", "that", "the", "their", "they", "this", "to", "was", "we",
+           "were", "which", "will", "with", "you"),
+    "es": ("al", "como", "con", "de", "del", "el", "en", "entre", "es", "esta", "fue", "ha", "la", "las", "lo", "los",
+           "más", "no", "o", "para", "pero", "por", "que", "se", "ser", "si", "sin", "sobre", "son", "su", "sus",
+           "un", "una", "y"),
+    "fr": ("à", "au", "aux", "avec", "ce", "ces", "dans", "de", "des", "du", "elle", "en", "est", "et", "il", "ils",
+           "je", "la", "le", "les", "mais", "ne", "nous", "on", "ou", "par", "pas", "plus", "pour", "qui", "que",
+           "sa", "se", "ses", "son", "sont", "sur", "un", "une", "vous"),
+}
 
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -50,11 +73,12 @@ base AS (SELECT page_id, url, {site('url')} AS site, html,
          regexp_replace(html, '{JUNK}', '', 'gs') AS vis FROM pages),
 arts AS (SELECT *, {clean(decode(tagless("regexp_extract(vis, '<article[^>]*>(.*?)</article>', 1, 's')", ' ')))} AS art,
          {clean(decode(tagless("regexp_replace(vis, '<nav>.*?</nav>|<footer>.*?</footer>', ' ', 'gs')", ' ')))} AS rest FROM base),
-pg AS (SELECT page_id, url, site, html, vis, CASE WHEN length(art) > 100 THEN art ELSE rest END AS raw_text,
+pg AS (SELECT page_id, url, site, html, vis, CASE WHEN length(art) > 100 THEN art ELSE rest END AS raw_text, length(art) <= 100 AS thin,
        {clean(decode("regexp_extract(vis, '<title>([^<]*)</title>', 1)"))} AS title,
        {clean(decode(tagless("regexp_extract(vis, '<h1>(.*?)</h1>', 1, 's')", '')))} AS h1,
        {clean(decode(tagless('vis', '')))} AS whole FROM arts)"""
 
+# The contact patterns.
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 PHONE = r"(?:\+?[78][\s\-]?)?(?:\(?\d{3}\)?[\s\-]?)?\d{3}[\s\-]?\d{2}[\s\-]?\d{2}"
 DIGITS = "length(regexp_replace({0}, '[^0-9]', '', 'g'))"
@@ -74,7 +98,7 @@ LINKS = PAGES + f""",
 a AS (SELECT site, url, unnest(regexp_extract_all(vis, '<a href="[^"]*">.*?</a>', 0, 's')) AS a,
       generate_subscripts(regexp_extract_all(vis, '<a href="[^"]*">.*?</a>', 0, 's'), 1) AS pos FROM pg),
 h AS (SELECT site, url, pos, {decode("regexp_extract(a, 'href=\"([^\"]*)\"', 1)")} AS href,
-      left({clean(decode(tagless('a', '')))}, 150) AS text FROM a),
+      {clean(decode(tagless('a', '')))} AS text FROM a),
 r AS (SELECT *, {normal("regexp_extract(url, '^[a-z]+://[^/?#]*') || href")} AS to_url FROM h),
 links AS (SELECT site, url AS from_url, to_url, arg_min(text, pos) AS text FROM r GROUP BY ALL)"""
 
@@ -113,10 +137,10 @@ api_all AS (SELECT site, url AS source_url, name, k AS seq,
   CASE k % 8 WHEN 0 THEN s::VARCHAR WHEN 1 THEN s || ' руб' WHEN 2 THEN price ELSE '' END AS price, '' AS old_price,
   CASE k % 8 WHEN 1 THEN 'RUB' ELSE '' END AS currency, CASE k % 8 WHEN 0 THEN 'A-' || k WHEN 1 THEN k::VARCHAR ELSE '' END AS sku,
   CASE k % 8 WHEN 0 THEN p_brand ELSE '' END AS brand, CASE WHEN k % 8 IN (0, 1) THEN p_type ELSE '' END AS category,
-  CASE WHEN k % 80 = 7 THEN repeat('x', 400) WHEN k % 8 = 7 THEN 'short text' ELSE '' END AS description,
+  CASE WHEN k % 80 = 7 THEN repeat('x', 90000) WHEN k % 8 = 7 THEN 'short text' ELSE '' END AS description,
   CASE k % 8 WHEN 1 THEN '/i/' || k ELSE '' END AS image_url, CASE k % 8 WHEN 1 THEN '/p/' || k ELSE '' END AS product_url,
   CASE k % 8 WHEN 0 THEN 'true' ELSE '' END AS in_stock
-  FROM calls WHERE k % 8 <> 2 OR k % 11 <= 8
+  FROM calls
   UNION ALL SELECT site, url, p_type, k + 1000000000, '', '', '', '', '', '', '', '', '', '' FROM calls WHERE k % 8 = 1),
 api AS (SELECT * FROM api_all QUALIFY row_number() OVER (PARTITION BY source_url, name ORDER BY seq) = 1),
 merged AS (SELECT site, source_url, name, 'api' AS origin, price, sku FROM api UNION ALL
@@ -129,7 +153,7 @@ SERVICES = """
 sv AS (SELECT c_custkey AS k, c_custkey // 20 AS block, c_mktsegment || ' ' || (c_custkey % 5) AS name, c_name FROM customer),
 services AS (SELECT 'svc' || (block % 25) || '.example.com' AS site,
   'https://svc' || (block % 25) || '.example.com/s/' || block AS page_url, name,
-  CASE k % 4 WHEN 0 THEN left(trim(repeat(c_name || ' ', 30)), 400) WHEN 1 THEN '' ELSE 'short <' || k || '>' END AS description
+  CASE k % 4 WHEN 0 THEN trim(repeat(c_name || ' ', 30)) WHEN 1 THEN '' ELSE 'short <' || k || '>' END AS description
   FROM sv WHERE k % 4 <> 3 QUALIFY row_number() OVER (PARTITION BY block, name ORDER BY k) = 1),
 unique_services AS (SELECT * FROM services QUALIFY row_number() OVER (PARTITION BY site, name ORDER BY page_url) = 1),
 service_pages AS (SELECT DISTINCT 'svc' || (block % 25) || '.example.com' AS site, block FROM sv)"""
@@ -165,13 +189,12 @@ f AS (SELECT DISTINCT site, block, '/sitemap-' || block || '.xml' AS path FROM c
 
 def _profile_rows() -> str:
     def listing(key: str, kind: str) -> str:
-        return f"""SELECT site, '{key}', coalesce((SELECT '["' || string_agg(DISTINCT value, '","' ORDER BY value) || '"]'
-          FROM contacts c WHERE c.site = home.site AND type = '{kind}'), '[]') FROM home"""
+        return f"SELECT DISTINCT site, '{key}', value FROM contacts WHERE type = '{kind}'"
 
     plain = {"domain": "site", "site_title": "title", "meta_description": "''", "meta_keywords": "''", "main_h1": "h1"}
     rows = [f"SELECT site, '{k}' AS key, {c} AS value FROM home" for k, c in plain.items()]
-    rows += [listing("emails", "email"), listing("phones", "phone"), "SELECT site, 'social_links', '{}' FROM home"]
-    return f"SELECT site, key, 0 AS part, value FROM ({' UNION ALL '.join(rows)})"
+    rows += [listing("email", "email"), listing("phone", "phone")]
+    return f"SELECT site, key, value FROM ({' UNION ALL '.join(rows)})"
 
 
 def _chain() -> str:
@@ -188,7 +211,7 @@ def _bfs() -> str:
       edges AS (SELECT url AS from_url, root || '/p/' || k AS to_url FROM shop WHERE b % 2 = 0 OR s % 3 = 0
         UNION SELECT url, root FROM shop_pages UNION SELECT url, next_url FROM nexts),
       walk AS (SELECT url, 0 AS depth FROM shop_pages WHERE block = 0
-        UNION SELECT e.to_url, w.depth + 1 FROM walk w JOIN edges e ON w.url = e.from_url WHERE w.depth < 12)
+        UNION SELECT e.to_url, w.depth + 1 FROM walk w JOIN edges e ON w.url = e.from_url)
       SELECT {site('url')} AS site, url, min(depth) AS depth FROM walk GROUP BY url"""
 
 
@@ -197,7 +220,7 @@ def _language() -> str:
         f"{{'n': len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in words)}))), 'i': {-i}, 'lang': '{lang}'}}"
         for i, (lang, words) in enumerate(sorted(STOP_WORDS.items())))
     return f"""WITH t AS (SELECT doc_id, length({strip('text')}) AS n,
-        string_split_regex(lower({strip('left(text, 500)')}), '[^\\p{{L}}]+') AS w FROM documents),
+        string_split_regex(lower({strip('text')}), '[^\\p{{L}}]+') AS w FROM documents),
       s AS (SELECT doc_id, n, list_max([{scores}]) AS best FROM t),
       d AS (SELECT doc_id, CASE WHEN n >= 20 AND best.n > 0 THEN best.lang ELSE '' END AS detected FROM s)
       SELECT doc_id, detected, detected = 'en' AS translatable FROM d"""
@@ -207,6 +230,11 @@ def _markdown() -> str:
     return f"""WITH {CONTACTS}, {HOME},
       info AS (SELECT *, CASE WHEN title <> '' THEN title WHEN h1 <> '' THEN h1 ELSE url END AS heading FROM pg
         WHERE length(raw_text) > 300 AND NOT regexp_matches(url, '(?i)/(catalog|basket|compare|personal|login|favicon|\\?sort=)')),
+      words AS (SELECT url, unnest(string_split(raw_text, ' ')) AS w, generate_subscripts(string_split(raw_text, ' '), 1) AS i FROM info),
+      runs AS (SELECT *, i - row_number() OVER (PARTITION BY url, w ORDER BY i) AS run, i = max(i) OVER (PARTITION BY url) AS last FROM words),
+      kept AS (SELECT * FROM runs QUALIFY last OR NOT regexp_full_match(w, '[\p{{L}}\p{{N}}_]{{4,}}')
+        OR count(*) FILTER (NOT last) OVER (PARTITION BY url, w, run) < 3),
+      shown AS (SELECT url, string_agg(w, ' ' ORDER BY i) AS text FROM kept GROUP BY url),
       vals AS (SELECT DISTINCT site, type, value FROM contacts),
       kinds AS (SELECT DISTINCT site, type FROM vals),
       l AS (
@@ -219,33 +247,45 @@ def _markdown() -> str:
         UNION ALL SELECT DISTINCT site, 7, -1, '', 0, chr(10) || '## Содержимое страниц' || chr(10) FROM info
         UNION ALL SELECT site, 7, length(url), url, 0, chr(10) || '### ' || heading || chr(10) FROM info
         UNION ALL SELECT site, 7, length(url), url, 1, '**URL:** ' || url || chr(10) FROM info
-        UNION ALL SELECT site, 7, length(url), url, 2, 'text' FROM info
+        UNION ALL SELECT site, 7, length(url), url, 2, text FROM info JOIN shown USING (url)
         UNION ALL SELECT site, 7, length(url), url, 3, '' FROM info)
       SELECT * FROM l"""
 
 
+def _sitemap_urls() -> str:
+    return """SELECT site, block, CASE k % 5 WHEN 1 THEN 'https://' || site || '/c/' || k WHEN 2 THEN 'https://' || site || '/c/' || k || '?a=1&b=2'
+        WHEN 3 THEN 'https://' || site || '/c/' || k ELSE 'https://' || site END AS url FROM c WHERE k % 5 <> 0 AND block % 4 IN (0, 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
 
     # A
     q["scan_pages"] = f"SELECT page_id, {site('url')} AS site, url, length(html) AS n_chars FROM pages"
-    q["sitemap_urls"] = f"""WITH {SITEMAPS},
-      u AS (SELECT site, block, CASE k % 5 WHEN 1 THEN 'https://' || site || '/c/' || k WHEN 2 THEN 'https://' || site || '/c/' || k || '?a=1&b=2'
-        WHEN 3 THEN 'https://' || site || '/c/' || k ELSE 'https://' || site END AS url FROM c WHERE k % 5 <> 0 AND block % 4 IN (0, 1))
+    q["sitemap_urls"] = f"""WITH {SITEMAPS}, u AS ({_sitemap_urls()})
       SELECT site, url, min('/sitemap-' || block || '.xml') AS path FROM u GROUP BY site, url"""
     q["sitemap_children"] = f"""WITH {SITEMAPS} SELECT site, path, 'https://' || site || '/deep/' || block || '.xml' AS child
       FROM f WHERE block % 4 = 2"""
     q["robots_sitemaps"] = """WITH h AS (SELECT 'org' || s_suppkey || '.example.org' AS site FROM supplier)
       SELECT site, 'https://' || site || '/sitemap.xml' AS sitemap FROM h UNION ALL SELECT site, 'http://' || site || ':8080/two.xml' FROM h"""
-    q["api_responses"] = f"""WITH {API} SELECT site, trigger_url, api_url, k % 80 = 7 AS cut, 1704067200 + k AS scraped_at FROM calls"""
+    body = """CASE k % 8 WHEN 0 THEN '{"name":"' || name || '","price":' || s || ',"sku":"A-' || k || '","brand":"' || p_brand || '","category":"' || p_type || '","in_stock":true}'
+      WHEN 1 THEN '{"items":[{"name":" ","title":"' || name || '","cost":"' || s || ' руб","sku":"","article":' || k || ',"category":{"name":"' || p_type || '"},"img":"/i/' || k || '","link":"/p/' || k || '"}]}'
+      WHEN 2 THEN repeat('{"a":', (k % 11)::INT) || '{"наименование":"' || name || '","цена":"' || price || '"}' || repeat('}', (k % 11)::INT)
+      ELSE '{"label":"' || name || '","about":"' || CASE WHEN k % 80 = 7 THEN repeat('x', 90000) ELSE 'short text' END || '"}' END"""
+    q["api_responses"] = f"WITH {API} SELECT site, trigger_url, api_url, {body} AS body, 1704067200 + k AS scraped_at FROM calls"
+    q["products_per_response"] = f"""WITH {API}, n AS (SELECT source_url, count(*) AS n FROM api_all GROUP BY ALL)
+      SELECT trigger_url, coalesce(max(n), 0) AS products FROM calls LEFT JOIN n ON source_url = trigger_url GROUP BY ALL"""
+    q["ignored_nodes"] = f"WITH {JSONLD} SELECT site, count(*) FILTER (m = 5) AS list_types, 0 AS text_addresses FROM j WHERE m <> 4 OR m = 4 GROUP BY site"
     q["write_tables"] = f"""WITH {LINKS} SELECT site, (SELECT count(*) FROM pg WHERE pg.site = l.site) AS pages, count(*) AS links
       FROM links l GROUP BY site"""
     q["site_partition_replace"] = f"""WITH {PAGES} SELECT site, count(*) AS pages,
       count(*) FILTER (ends_with(site, '.org')) AS reloaded FROM pg GROUP BY site"""
     q["json_report"] = f"""WITH {API},
-      n AS (SELECT site, 'pages' AS w FROM shop_pages UNION ALL SELECT site, 'products' FROM merged UNION ALL SELECT site, 'api' FROM calls)
-      SELECT site, site AS domain, count(*) FILTER (w = 'pages') AS pages, 0 AS contacts, count(*) FILTER (w = 'products') AS products,
-        0 AS services, count(*) FILTER (w = 'api') AS api_calls FROM n GROUP BY site"""
+      titles AS (SELECT *, 'Goods of brand ' || b || ' - ' || site AS title FROM shop_pages)
+      SELECT site, 'pages' AS section, url AS a, title AS b, 'Brand ' || b AS c FROM titles
+      UNION ALL SELECT site, 'products', source_url, name, price FROM merged
+      UNION ALL SELECT site, 'api_calls', trigger_url, api_url, '' FROM calls
+      UNION ALL SELECT DISTINCT site, 'company', 'domain', site, '' FROM titles"""
     q["markdown_report"] = _markdown()
     q["markdown_products"] = f"""WITH {SHOP}, n AS (SELECT site, count(*) AS n FROM unique_cards GROUP BY site)
       SELECT site, -1 AS ord_no, '' AS ord_text, 0 AS sub, chr(10) || '## Товары (' || n || ')' || chr(10) AS line FROM n
@@ -303,9 +343,24 @@ def oracle_sql() -> dict[str, str]:
       n AS (SELECT url, pos, tok, lower(regexp_extract(tok, '^</?([a-zA-Z][^\s/>]*)', 1)) AS tag FROM u)
       SELECT url, pos, CASE WHEN tok[1] <> '<' THEN 'text' WHEN starts_with(tok, '<!--') THEN 'comment' WHEN tag IN ('script', 'style') THEN 'raw'
         WHEN starts_with(tok, '</') THEN 'close' WHEN tag IN ('br', 'meta') THEN 'void' WHEN tag <> '' THEN 'open' ELSE 'decl' END AS kind, tag, tok FROM n"""
-    q["html_elements"] = r"""WITH t AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'gs'), '</?[a-z][a-z0-9]*')) AS t FROM pages),
-      n AS (SELECT url, ltrim(t, '</') AS tag, count(*) FILTER (t[2] <> '/') AS n, count(*) FILTER (t[2] = '/') AS c FROM t GROUP BY ALL)
-      SELECT url, tag, n, c AS n_closed FROM n"""
+    q["repeated_pages"] = f"""WITH {SHOP} SELECT 'page' AS kind, url, 'New Goods of brand ' || b || ' - ' || site AS value FROM shop_pages
+      UNION ALL SELECT 'product', source_url, name FROM cards"""
+    q["html_elements"] = r"""WITH t AS (SELECT url, regexp_extract_all(html, '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>|[^<]+', 0, 's') AS toks FROM pages),
+      u AS (SELECT url, unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS pos FROM t),
+      k AS (SELECT url, pos, lower(regexp_extract(tok, '^</?([a-zA-Z][^\s/>]*)', 1)) AS tag, starts_with(tok, '</') AS closing
+        FROM u WHERE regexp_matches(tok, '^</?[a-zA-Z]') AND NOT regexp_matches(tok, '^<(script|style)')),
+      e AS (SELECT *, tag IN ('area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'param', 'source', 'track', 'wbr') AS void FROM k),
+      g AS (SELECT *, sum(CASE WHEN void THEN 0 WHEN closing THEN -1 ELSE 1 END) OVER (PARTITION BY url, tag ORDER BY pos) + closing::INT AS lvl,
+        lead(pos) OVER (PARTITION BY url, tag ORDER BY pos) AS next_same, max(pos) OVER (PARTITION BY url) + 1 AS past FROM e),
+      m AS (SELECT *, CASE WHEN NOT closing AND NOT void AND lead(closing) OVER w THEN lead(pos) OVER w END AS close_pos
+        FROM g WINDOW w AS (PARTITION BY url, tag, lvl ORDER BY pos)),
+      o AS (SELECT * FROM m WHERE NOT closing),
+      a AS (SELECT x.url, x.pos, min(y.close_pos) AS around FROM o x JOIN o y ON x.url = y.url AND y.pos < x.pos AND y.close_pos > x.pos
+        WHERE x.close_pos IS NULL AND NOT x.void GROUP BY ALL),
+      f AS (SELECT o.*, CASE WHEN void THEN o.pos WHEN close_pos IS NOT NULL THEN close_pos
+        ELSE least(CASE WHEN tag IN ('p', 'li', 'dt', 'dd', 'option', 'tr', 'td', 'th') THEN next_same - 1 END, around - 1, past) END AS stop
+        FROM o LEFT JOIN a USING (url, pos))
+      SELECT url, tag, count(*) AS n, count(close_pos) AS n_closed, sum(stop)::BIGINT AS ends FROM f GROUP BY ALL"""
     q["select_elements"] = f"""WITH {SHOP} SELECT url, '/p/' || k AS href FROM shop WHERE b % 2 = 0"""
     q["subtree_text"] = f"""WITH {SHOP} SELECT url, name AS text FROM shop WHERE b % 2 = 0"""
     q["drop_subtrees"] = f"""WITH {PAGES}, t AS (SELECT url, unnest(regexp_extract_all(
@@ -367,11 +422,11 @@ def oracle_sql() -> dict[str, str]:
     q["jsonld_products"] = f"""WITH {JSONLD} SELECT site, source_url, name, CASE WHEN m IN (1, 2) THEN p_size::VARCHAR ELSE price END AS price,
       '' AS old_price, CASE WHEN m IN (1, 2) THEN 'EUR' ELSE 'USD' END AS currency,
       CASE WHEN m IN (1, 2) THEN k::VARCHAR ELSE 'S-' || k END AS sku, p_brand AS brand, '' AS category,
-      left(trim(p_type || ' ' || repeat('word ', 100)), 400) AS description,
+      trim(p_type || ' ' || repeat('word ', 100)) AS description,
       CASE WHEN m IN (1, 2) THEN '/i/' || k || '.png' ELSE '/i/' || k || '.jpg' END AS image_url, '' AS product_url, '' AS in_stock
       FROM j WHERE m < 4"""
     q["jsonld_org"] = f"""WITH {ORGS} SELECT site, 'org_name' AS key, s_name || ' Ltd' AS value FROM org
-      UNION ALL SELECT site, 'org_description', left(trim(repeat(s_name || ' ', 60)), 800) FROM org"""
+      UNION ALL SELECT site, 'org_description', trim(repeat(s_name || ' ', 60)) FROM org"""
     q["jsonld_contacts"] = f"WITH {ORGS} SELECT * FROM ld"
     q["api_products"] = f"WITH {API} SELECT {columns} FROM api_all"
     q["next_page"] = f"WITH {NEXT} SELECT site, url, next_url FROM nexts"
@@ -380,11 +435,16 @@ def oracle_sql() -> dict[str, str]:
     q["first_wins"] = f"WITH v AS ({VISITS}) SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1"
     q["last_wins"] = f"WITH v AS ({VISITS}) SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"
     q["merge_products"] = f"WITH {API} SELECT * FROM merged"
-    q["distinct_texts"] = f"""WITH {SHOP}, {SERVICES}, {ORGS}
-      SELECT 'Goods of brand ' || b || ' - ' || site AS text FROM shop_pages UNION SELECT 'Goods "' || b || '" block ' || block FROM shop_pages
-      UNION SELECT 'Brand ' || b FROM shop_pages UNION SELECT name FROM cards UNION SELECT name FROM services
+    q["distinct_texts"] = f"""WITH {PAGES}, {SHOP}, {SERVICES}, {ORGS}
+      SELECT title AS text FROM pg WHERE title <> '' UNION SELECT h1 FROM pg WHERE h1 <> '' UNION SELECT raw_text FROM pg WHERE raw_text <> ''
+      UNION SELECT name FROM cards UNION SELECT name FROM services
       UNION SELECT description FROM services WHERE description <> '' UNION SELECT s_name || ' Ltd' FROM org
-      UNION SELECT left(trim(repeat(s_name || ' ', 60)), 800) FROM org"""
+      UNION SELECT trim(repeat(s_name || ' ', 60)) FROM org"""
+    q["translate_tables"] = f"""WITH {SHOP}, {ORGS}, t AS (SELECT *, '~' || regexp_extract(name, '& (.*)$', 1) AS dst FROM cards),
+      p AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY source_url, dst ORDER BY name) = 1)
+      SELECT 'product' AS kind, source_url AS owner, dst AS name, price AS value FROM p
+      UNION ALL SELECT 'company', site, 'org_name', '~' || s_name || ' Ltd' FROM org
+      UNION ALL SELECT 'company', site, 'org_description', trim(repeat(s_name || ' ', 60)) FROM org"""
     q["detect_language"] = _language()
     q["apply_dictionary"] = """WITH en AS (SELECT DISTINCT text FROM documents WHERE lang = 'en')
       SELECT doc_id, CASE WHEN text IN (SELECT text FROM en) THEN '~' || md5(text) ELSE text END AS text, source AS label FROM documents"""
@@ -398,9 +458,9 @@ def oracle_sql() -> dict[str, str]:
     q["distinct_addresses"] = f"""WITH {ORGS} SELECT site, value FROM addresses UNION SELECT site, value FROM ld WHERE type = 'address'"""
     q["product_listing"] = f"""WITH {SHOP} SELECT site, name, '  • ' || name || '  | ' || rtrim(price || ' ' || currency) ||
         CASE WHEN old_price <> '' AND old_price <> price THEN '  (было ' || old_price || ')' ELSE '' END AS line, product_url
-      FROM unique_cards QUALIFY row_number() OVER (PARTITION BY site ORDER BY name) <= 300"""
-    q["service_listing"] = f"""WITH {SERVICES} SELECT site, name, left(description, 110) AS description FROM unique_services
-      QUALIFY row_number() OVER (PARTITION BY site ORDER BY name) <= 50"""
+      FROM unique_cards"""
+    q["service_listing"] = f"""WITH {SERVICES} SELECT site, name, left(description, 110) AS description,
+      greatest(length(description) - 110, 0) AS more FROM unique_services"""
     info = "length(raw_text) > 300 AND NOT regexp_matches(url, '(?i)/(catalog|basket|compare|personal|login|favicon|{0})')"
     q["info_pages"] = f"""WITH {PAGES} SELECT 'console' AS mode, site, url, length(url) AS url_length FROM pg WHERE {info.format(chr(92) + '?')}
       UNION ALL SELECT 'markdown', site, url, length(url) FROM pg WHERE {info.format(chr(92) + '?sort=')}"""
@@ -411,8 +471,8 @@ def oracle_sql() -> dict[str, str]:
     q["top_products"] = f"""WITH {SHOP} SELECT site, row_number() OVER (PARTITION BY site ORDER BY source_url, name) AS rank, name, price
       FROM unique_cards QUALIFY rank <= 60"""
     q["top_services"] = f"""WITH {SERVICES} SELECT site, row_number() OVER (PARTITION BY site ORDER BY page_url, name) AS rank, name,
-      left(description, 110) AS description FROM unique_services QUALIFY rank <= 40"""
-    q["report_totals"] = f"WITH {SERVICES} SELECT site, count(*) AS pages FROM service_pages GROUP BY site"
+      left(description, 110) AS description, greatest(length(description) - 110, 0) AS more FROM unique_services QUALIFY rank <= 40"""
+    q["report_totals"] = f"WITH {CONTACTS} SELECT site, count(*) AS pages, (SELECT count(*) FROM contacts c WHERE c.site = pg.site) AS contacts FROM pg GROUP BY site"
     q["profile_phones"] = f"""WITH {CONTACTS} SELECT DISTINCT site, value AS phone FROM contacts WHERE type = 'phone'
       AND NOT regexp_matches(value, '2016|2017|2026|322774')"""
 
@@ -420,15 +480,22 @@ def oracle_sql() -> dict[str, str]:
     q["frontier_round"] = f"""WITH {LINKS}, c AS (SELECT site, to_url AS url, min({{'d': length(from_url), 'f': from_url}}) AS o FROM links
         WHERE {follow} AND to_url NOT IN (SELECT {normal('url')} FROM pages) GROUP BY ALL)
       SELECT site, url, 'link' AS kind, row_number() OVER (PARTITION BY site ORDER BY o, url) AS rank FROM c QUALIFY rank <= 20"""
+    q["frontier_candidates"] = f"""WITH {SITEMAPS}, {NEXT}, u AS ({_sitemap_urls()})
+      SELECT DISTINCT site, root AS url, 'seed' AS kind FROM shop_pages
+      UNION SELECT site, url, 'sitemap' FROM u
+      UNION SELECT site, root || '/p/' || k, 'link' FROM shop WHERE b % 2 = 0 OR s % 3 = 0
+      UNION SELECT site, root, 'link' FROM shop_pages UNION SELECT site, next_url, 'link' FROM nexts
+      UNION SELECT site, next_url, 'pagination' FROM nexts"""
     q["bfs_depth"] = _bfs()
     q["pagination_chain"] = _chain()
     q["crawl_summary"] = f"SELECT {site('url')} AS site, count(*) AS pages FROM pages GROUP BY ALL"
 
     # G
-    q["stream_api_responses"] = f"WITH {API} SELECT site, trigger_url, api_url, 1704067200 + k AS scraped_at FROM calls"
+    q["stream_api_responses"] = q["api_responses"]
     q["stream_api_products"] = f"WITH {API} SELECT source_url, name, price, sku FROM api"
     q["stream_contacts"] = q["page_contacts"]
-    q["stream_page_upsert"] = f"WITH {PAGES} SELECT site, url, title, h1, left(raw_text, 30000) AS raw_text FROM pg"
+    q["stream_page_upsert"] = f"""WITH {PAGES} SELECT site, url, CASE WHEN page_id % 2 = 0 THEN 'New ' ELSE '' END || title AS title, h1,
+      CASE WHEN thin AND page_id % 2 = 0 THEN 'New ' ELSE '' END || raw_text AS raw_text FROM pg"""
     q["site_links"] = f"""WITH {LINKS}, {HOME} SELECT site, (SELECT count(*) FROM pg WHERE pg.site = home.site) AS pages, url AS home_url,
       title AS home_title, (SELECT count(DISTINCT to_url) FROM links WHERE links.site = home.site) AS out_links FROM home"""
     return q

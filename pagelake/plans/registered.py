@@ -15,7 +15,7 @@ from ..sources import landed, reports, tables
 from ..sources.pages import scan_pages
 from ..streaming import jobs
 from . import fixtures as X
-from .site_build import all_contacts, build_entities, link_profile, store_entities
+from .site_build import all_contacts, build_entities, link_profile
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -46,8 +46,6 @@ def shop_entities(spark: SparkSession, d: str):
     return build_entities(X.shop_pages(spark, d), X.api_landed(X.shop_parts(spark, d)))
 
 
-def stored_shop_entities(spark: SparkSession, d: str, **changes: DataFrame):
-    return store_entities(replace(shop_entities(spark, d), **changes), tables.scratch_path(spark, "shop"))
 
 
 def org_contacts(spark: SparkSession, d: str) -> DataFrame:
@@ -79,8 +77,18 @@ def robots_sitemaps(spark, d):
 @query
 def api_responses(spark, d):
     out = landed.api_responses(X.api_landed(X.shop_parts(spark, d)))
-    return out.select("site", "trigger_url", "api_url", (F.length("body") == landed.BODY_WIDTH).alias("cut"),
-                      F.unix_seconds("scraped_at").alias("scraped_at"))
+    return out.select("site", "trigger_url", "api_url", "body", F.unix_seconds("scraped_at").alias("scraped_at"))
+
+
+@query
+def products_per_response(spark, d):
+    calls = landed.json_responses(X.api_landed(X.shop_parts(spark, d)))
+    return S.products_per_response(calls, S.api_products(calls))
+
+
+@query
+def ignored_nodes(spark, d):
+    return S.ignored_nodes(X.jsonld_pages(spark, d))
 
 
 @query
@@ -108,12 +116,16 @@ def site_partition_replace(spark, d):
 
 @query
 def json_report(spark, d):
-    """Report documents of the shop sites, shown as their section sizes and a product total."""
-    e = stored_shop_entities(spark, d)
-    parsed = reports.parse_report(reports.json_report(e.profile(), e.sections()))
-    return parsed.groupBy("site").agg(
-        F.max(F.try_element_at("company", F.lit("domain"))).alias("domain"),
-        *[F.sum(F.size(s)).alias(s) for s in reports.SECTIONS])
+    """Items of the reports of the shop sites: three leading fields of each, and the domain of the company section."""
+    e = shop_entities(spark, d)
+    report = reports.json_report(e.profile(), e.sections())
+    item = F.from_json("item", "map<string,string>")
+    leading = {"company": ("key", "value"), "pages": ("url", "title", "h1"), "contacts": ("page_url", "type", "value"),
+               "products": ("source_url", "name", "price"), "services": ("page_url", "name", "description"), "api_calls": ("trigger_url", "api_url")}
+    names = F.create_map(*[x for s, cols in leading.items() for x in (F.lit(s), F.array(*[F.lit(c) for c in cols]))])
+    shown = report.select("site", "section", item.alias("m"), F.try_element_at(names, F.col("section")).alias("c"))
+    return shown.where("section <> 'company' OR m['key'] = 'domain'").select("site", "section", *[
+        F.coalesce(F.try_element_at("m", F.get("c", F.lit(i))), F.lit("")).alias(x) for i, x in enumerate("abc")])
 
 
 @query
@@ -124,16 +136,13 @@ def markdown_report(spark, d):
     products = none.select(*[F.lit("").alias(c) for c in S.PRODUCT_COLUMNS if c != "seq"], F.lit(0).cast("bigint").alias("seq"))
     services = none.select(*[F.lit("").alias(c) for c in ("site", "page_url", "name", "description")])
     profile = R.site_profile(pages, contacts)
-    lines = reports.markdown_lines(profile, pages, contacts, products, services)
-    # the noise rules on page texts have a query of their own (clean_page_text); here their lines count
-    page_text = (F.col("section") == 7) & (F.col("sub") == 2)
-    return lines.withColumn("line", F.when(page_text, F.lit("text")).otherwise(F.col("line")))
+    return reports.markdown_lines(profile, pages, contacts, products, services)
 
 
 @query
 def markdown_products(spark, d):
     """Product section of the shop reports."""
-    e = stored_shop_entities(spark, d, products=blocks.html_products(X.shop_pages(spark, d)))
+    e = replace(shop_entities(spark, d), products=blocks.html_products(X.shop_pages(spark, d)))
     lines = reports.markdown_lines(e.profile(), e.pages, e.contacts, e.products, e.services)
     return lines.where("section = 5").select("site", "ord_no", "ord_text", "sub", "line")
 
@@ -348,6 +357,16 @@ def build_pages(spark, d):
     return P.build_pages(pages_of(spark, d)).select("site", "url", "title", "description", "keywords", "h1", "raw_text")
 
 
+@query
+def repeated_pages(spark, d):
+    """Shop pages delivered twice, the second time with another title: titles and products of the last delivery."""
+    shop = X.shop_pages(spark, d).withColumn("fetched_at", F.timestamp_seconds(F.lit(1)))
+    again = shop.withColumn("html", F.replace("html", F.lit("<title>"), F.lit("<title>New "))).withColumn("fetched_at", F.timestamp_seconds(F.lit(2)))
+    e = build_entities(shop.unionByName(again), X.api_landed(X.shop_parts(spark, d)).where(F.lit(False)))
+    return e.pages.select(F.lit("page").alias("kind"), "url", F.col("title").alias("value")).unionByName(
+        e.products.select(F.lit("product").alias("kind"), F.col("source_url").alias("url"), F.col("name").alias("value")))
+
+
 @query
 def page_contacts(spark, d):
     return P.page_contacts(pages_of(spark, d))
@@ -454,11 +473,22 @@ def merge_products(spark, d):
 def distinct_texts(spark, d):
     shop = X.shop_pages(spark, d)
     out = L.distinct_texts(
-        {"pages": P.head_fields(shop).withColumn("raw_text", F.lit("")), "products": blocks.html_products(shop),
+        {"pages": P.build_pages(pages_of(spark, d)), "products": blocks.html_products(shop),
          "services": blocks.page_services(X.service_pages(spark, d))}, S.jsonld_org(X.org_pages(spark, d)))
     return out
 
 
+@query
+def translate_tables(spark, d):
+    """Shop products under names that collide once translated, and organizations with translated names."""
+    products, company = blocks.html_products(X.shop_pages(spark, d)), S.jsonld_org(X.org_pages(spark, d))
+    names = products.select(F.col("name").alias("src"), F.concat(F.lit("~"), F.regexp_extract("name", "& (.*)$", 1)).alias("dst"))
+    orgs = company.where("key = 'org_name'").select(F.col("value").alias("src"), F.concat(F.lit("~"), "value").alias("dst"))
+    tables_, company = L.translate_tables({"products": products}, company, names.unionByName(orgs).distinct())
+    return tables_["products"].select(F.lit("product").alias("kind"), F.col("source_url").alias("owner"), "name", F.col("price").alias("value")) \
+        .unionByName(company.select(F.lit("company").alias("kind"), F.col("site").alias("owner"), F.col("key").alias("name"), "value"))
+
+
 @query
 def detect_language(spark, d):
     t = F.col("text")
@@ -532,7 +562,7 @@ def contacts_by_type(spark, d):
         F.transform(T.extract_emails(F.col("text")), lambda v: F.struct(F.lit("email").alias("type"), v.alias("value"))),
         F.transform(T.extract_phones(F.col("text")), lambda v: F.struct(F.lit("phone").alias("type"), v.alias("value"))),
     )).alias("c")).select("site", "c.type", "c.value")
-    return R.contacts_by_type(rows).select("site", "type", F.explode("values").alias("value"))
+    return R.contacts_by_type(rows)
 
 
 def _service_report(spark, d):
@@ -542,12 +572,12 @@ def _service_report(spark, d):
     sections = {"pages": P.build_pages(pages), "contacts": contacts, "services": blocks.page_services(pages),
                 "products": none.select(*[F.lit("").alias(c) for c in ("site", *reports.SECTIONS["products"])]),
                 "api_calls": none.select(*[F.lit("").alias(c) for c in ("site", *reports.SECTIONS["api_calls"])])}
-    return reports.parse_report(reports.json_report(R.site_profile(sections["pages"], contacts), sections))
+    return reports.json_report(R.site_profile(sections["pages"], contacts), sections)
 
 
 def _shop_report(spark, d):
-    e = stored_shop_entities(spark, d, products=blocks.html_products(X.shop_pages(spark, d)))
-    return reports.parse_report(reports.json_report(e.profile(), e.sections()))
+    e = replace(shop_entities(spark, d), products=blocks.html_products(X.shop_pages(spark, d)))
+    return reports.json_report(e.profile(), e.sections())
 
 
 @query
@@ -562,7 +592,12 @@ def top_services(spark, d):
 
 @query
 def report_totals(spark, d):
-    return reports.report_totals(_service_report(spark, d)).select("site", "pages")
+    pages = pages_of(spark, d)
+    contacts = P.page_contacts(pages)
+    none = contacts.where(F.lit(False))
+    sections = {s: none.select("site", *[F.lit("").alias(c) for c in cols]) for s, cols in reports.SECTIONS.items()}
+    sections |= {"pages": P.build_pages(pages), "contacts": contacts}
+    return reports.report_totals(reports.json_report(R.site_profile(sections["pages"], contacts), sections))
 
 
 @query
@@ -583,13 +618,22 @@ def frontier_round(spark, d):
     return graph.frontier_round(candidates, pages.select("url"), 20).select("site", "url", "kind", "rank")
 
 
+@query
+def frontier_candidates(spark, d):
+    """All that may be fetched next for the shops and the sites with sitemaps."""
+    shop = X.shop_pages(spark, d)
+    roots = shop.select(F.concat(F.lit("https://"), "site", F.lit("/")).alias("url")).distinct()
+    found = graph.frontier_candidates(roots, landed.sitemap_urls(X.sitemaps(spark, d)), P.page_links(shop), blocks.next_page(shop))
+    return found.select("site", "url", "kind").distinct()
+
+
 @query
 def bfs_depth(spark, d):
     """Depth of shop and product pages from the first listing page of each shop."""
     shop = X.shop_pages(spark, d)
     edges = P.followable_links(P.page_links(shop))
     seeds = shop.where(F.col("url").endswith("page=0")).select("url")
-    return graph.bfs_depth(edges, seeds, max_depth=12)
+    return graph.bfs_depth(edges, seeds)
 
 
 @query
@@ -614,7 +658,7 @@ def stream_api_responses(spark, d):
     base = tables.scratch_path(spark, "stream-api")
     parts = X.shop_parts_of(_stream(spark, d, "part"))
     jobs.stream_api_responses(X.api_landed(parts), f"{base}/out", f"{base}/ck").awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("site", "trigger_url", "api_url",
+    return spark.read.parquet(f"{base}/out").select("site", "trigger_url", "api_url", "body",
                                                     F.unix_seconds("scraped_at").alias("scraped_at"))
 
 
@@ -635,8 +679,15 @@ def stream_contacts(spark, d):
 
 @query
 def stream_page_upsert(spark, d):
+    """Two batches: all pages, then every second one again with a changed title."""
     base = tables.scratch_path(spark, "stream-pages")
-    jobs.stream_page_upsert(scan_pages(_stream(spark, d, "pages")), f"{base}/out", f"{base}/ck").awaitTermination()
+    first = pages_of(spark, d).select("page_id", "url", "html", F.timestamp_seconds(F.lit(1)).alias("fetched_at"))
+    second = first.where("page_id % 2 = 0").withColumn("html", F.replace("html", F.lit("<title>"), F.lit("<title>New "))) \
+        .withColumn("fetched_at", F.timestamp_seconds(F.lit(2)))
+    for k, df in enumerate((first, second)):
+        df.coalesce(1).write.parquet(f"{base}/in/delivery={k}")
+    landed_pages = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    jobs.stream_page_upsert(scan_pages(landed_pages), f"{base}/out", f"{base}/ck").awaitTermination()
     return jobs.current_pages(spark, f"{base}/out").select("site", "url", "title", "h1", "raw_text")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import blocks, pages as P, profile, structured
 from ..operators.keys import merge_products
 from ..sources import landed
+from ..sources.pages import latest_pages
 
 
 @dataclass
@@ -40,6 +41,8 @@ def all_contacts(pages: DataFrame) -> DataFrame:
 
 
 def build_entities(pages: DataFrame, responses: DataFrame) -> Entities:
+    """Entity tables of the last delivery of every page, and of all API responses."""
+    pages = latest_pages(pages)
     usable = landed.json_responses(responses)
     return Entities(
         pages=P.build_pages(pages),

@@ -11,7 +11,6 @@ from ..functions.urls import normalize_url, site_of
 # Which responses are kept.
 TRACKER_HOSTS = ("google", "yandex", "analytics", "facebook", "vk.com", "metrika")
 MIN_BODY = 10
-BODY_WIDTH = 80_000
 
 URLSET = "url array<struct<loc:string>>"
 INDEX = "sitemap array<struct<loc:string>>"
@@ -54,10 +53,10 @@ def json_responses(landed: DataFrame) -> DataFrame:
     return landed.where(keep).where(F.try_parse_json("body").isNotNull())
 
 
-def api_responses(landed: DataFrame, body_width: int | None = BODY_WIDTH) -> DataFrame:
+def api_responses(landed: DataFrame, body_width: int | None = None) -> DataFrame:
     """(site, trigger_url, api_url, body, scraped_at): the stored response table.
 
-    ``body_width`` is the width of the stored column; product extraction reads whole bodies.
+    Bodies are whole unless ``body_width`` gives the width of the stored column.
     """
     body = F.col("body") if body_width is None else F.left("body", F.lit(body_width))
     return json_responses(landed).select(

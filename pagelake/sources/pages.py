@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import site_of
-from ..operators.keys import last_wins
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -30,5 +29,9 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_pages(df: DataFrame, order: str = "fetched_at") -> DataFrame:
-    """One row per url, the last delivery wins."""
-    return last_wins(df, ["url"], [order])
+    """One row per url, the last delivery wins; without an order column, or among equals, the greatest markup.
+
+    Rows are ranked, not aggregated: a task keeps one row per url before anything is shuffled, and pages are sorted once.
+    """
+    by = [F.desc(c) for c in (order, "html") if c in df.columns]
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy("url").orderBy(*by))).where("_n = 1").drop("_n")

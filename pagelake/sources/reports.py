@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_page_text, page_heading
-from ..operators.groups import MAX_ITEMS, top_per_group, with_part
-from ..operators.profile import (
-    REPORT_PRODUCTS, REPORT_SERVICES, distinct_addresses, info_pages, social_links, unique_products, unique_services,
-)
+from ..functions.text import clean_page_text, page_heading, truncate_with_rest
+from ..operators.groups import top_per_group
+from ..operators.profile import REPORT_PRODUCTS, REPORT_SERVICES, SHORT_CHARS, info_pages, unique_products, unique_services
+from .tables import scratch_path
 
 # columns of the report sections
 SECTIONS = {
@@ -20,78 +19,62 @@ SECTIONS = {
     "services": ("page_url", "name", "description"),
     "api_calls": ("trigger_url", "api_url"),
 }
-REPORT_SCHEMA = "company map<string,string>, " + ", ".join(
-    f"{s} array<struct<{','.join(f'{c}:string' for c in cols)}>>" for s, cols in SECTIONS.items())
+COMPANY = ("key", "value")
 
 
-def json_report(profile: DataFrame, sections: dict[str, DataFrame], max_items: int = MAX_ITEMS) -> DataFrame:
-    """(site, part, report): one JSON document per site, several parts when a site is very large.
+def json_report(profile: DataFrame, sections: dict[str, DataFrame]) -> DataFrame:
+    """(site, section, item): the report of every site, one JSON object per row.
 
-    Every part is a complete document of the same shape, holding at most about ``max_items`` items;
-    the company facts are in the part of the same number.
+    The same shape serves a site with one page and one with a billion. Section ``company`` has the profile facts.
     """
-    types = {s: f"struct<{','.join(f'{c}:string' for c in cols)}>" for s, cols in SECTIONS.items()}
     rows = None
-    for name, cols in SECTIONS.items():
-        item = F.struct(*[F.col(c).cast("string").alias(c) for c in cols])
-        shaped = sections[name].select("site", *[
-            (item if s == name else F.lit(None).cast(types[s])).alias(s) for s in SECTIONS])
-        rows = shaped if rows is None else rows.unionByName(shaped)
-    packed = rows.select("site", F.struct(*SECTIONS).alias("item"))
-    lists = with_part(packed, ["site"], max_items).groupBy("site", "part").agg(
-        *[F.array_sort(F.collect_list(f"item.{s}")).alias(s) for s in SECTIONS])
-    company = profile.groupBy("site", "part").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("company"))
-    joined = company.join(lists, ["site", "part"], "full")
-    empty = {s: F.array().cast(f"array<{t}>") for s, t in types.items()}
-    doc = F.struct(
-        F.coalesce("company", F.create_map().cast("map<string,string>")).alias("company"),
-        *[F.coalesce(F.col(s), empty[s]).alias(s) for s in SECTIONS])
-    return joined.select("site", "part", F.to_json(doc, {"ignoreNullFields": "false"}).alias("report"))
+    for name, cols in {"company": COMPANY, **SECTIONS}.items():
+        df = profile if name == "company" else sections[name]
+        item = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in cols]), {"ignoreNullFields": "false"})
+        part = df.select("site", F.lit(name).alias("section"), item.alias("item"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
 
 
 def write_json_report(report: DataFrame, path: str) -> None:
-    report.select("site", F.col("report").alias("value")).write.mode("overwrite").partitionBy("site").text(path)
-
-
-def parse_report(report: DataFrame) -> DataFrame:
-    """(site, part, company, pages, contacts, ...) from report documents."""
-    return report.select("site", "part", F.from_json("report", REPORT_SCHEMA).alias("r")).select("site", "part", "r.*")
+    """JSON lines in site, section and item order; files have a normal size whatever the sizes of the sites."""
+    order = ["site", "section", "item"]
+    report.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").json(path)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """Report documents written by ``write_json_report``; files of one site are its parts."""
-    raw = spark.read.text(path).select("site", "value")
-    return parse_report(raw.select("site", F.xxhash64("value").alias("part"), F.col("value").alias("report")))
+    """(site, section, item) of a report written by ``write_json_report``."""
+    return spark.read.schema("site string, section string, item string").json(path)
 
 
-def report_section(parsed: DataFrame, section: str) -> DataFrame:
-    """Rows of one section with their position in the file."""
-    return parsed.select("site", "part", F.posexplode(section).alias("pos", "r")).select("site", "part", "pos", "r.*")
+def report_section(report: DataFrame, section: str) -> DataFrame:
+    """Rows of one section."""
+    schema = ", ".join(f"{c} string" for c in {"company": COMPANY, **SECTIONS}[section])
+    return report.where(F.col("section") == section).select("site", F.from_json("item", schema).alias("r")).select("site", "r.*")
 
 
-def _first_names(rows: DataFrame, cols: tuple[str, ...], limit: int) -> DataFrame:
-    """First row per name in file order, then the first ``limit`` of these per site."""
-    rest = [c for c in cols if c != "name"]
-    first = rows.groupBy("site", "name").agg(F.min(F.struct("part", "pos", *rest)).alias("r"))
-    top = top_per_group(first, ["site"], [F.asc("r.part"), F.asc("r.pos")], limit)
-    return top.select("site", "rank", "name", *[F.col(f"r.{c}").alias(c) for c in rest])
+def _first_names(rows: DataFrame, cols: tuple[str, ...], source: str, limit: int) -> DataFrame:
+    """First row per name in the order of pages, then the first ``limit`` of these per site."""
+    rest = [c for c in cols if c not in ("name", "description")]
+    first = rows.groupBy("site", "name").agg(F.min(F.struct(source, *rest, "description")).alias("r"))
+    top = top_per_group(first, ["site"], [F.asc(f"r.{source}"), F.asc("name")], limit)
+    cut = truncate_with_rest(F.col("r.description"), SHORT_CHARS)
+    return top.select("site", "rank", "name", *[F.col(f"r.{c}").alias(c) for c in rest], cut["head"].alias("description"), cut["rest"].alias("more"))
 
 
-def top_products(parsed: DataFrame, limit: int = REPORT_PRODUCTS) -> DataFrame:
-    """(site, rank, name, price, description): the first products of a report by name."""
-    rows = _first_names(report_section(parsed, "products"), ("name", "price", "description"), limit)
-    return rows.withColumn("description", F.left("description", F.lit(110)))
+def top_products(report: DataFrame, limit: int = REPORT_PRODUCTS) -> DataFrame:
+    """(site, rank, name, price, description, more): the first products of a report by name."""
+    return _first_names(report_section(report, "products"), ("name", "price", "description"), "source_url", limit)
 
 
-def top_services(parsed: DataFrame, limit: int = REPORT_SERVICES) -> DataFrame:
-    rows = _first_names(report_section(parsed, "services"), ("name", "description"), limit)
-    return rows.withColumn("description", F.left("description", F.lit(110)))
+def top_services(report: DataFrame, limit: int = REPORT_SERVICES) -> DataFrame:
+    """(site, rank, name, description, more): the first services of a report by name."""
+    return _first_names(report_section(report, "services"), ("name", "description"), "page_url", limit)
 
 
-def report_totals(parsed: DataFrame) -> DataFrame:
-    """(site, pages, contacts): sizes of the two sections, over all parts of a report."""
-    return parsed.groupBy("site").agg(F.sum(F.size("pages")).alias("pages"), F.sum(F.size("contacts")).alias("contacts"))
+def report_totals(report: DataFrame) -> DataFrame:
+    """(site, pages, contacts): sizes of the two sections."""
+    return report.groupBy("site").agg(*[F.count_if(F.col("section") == s).alias(s) for s in ("pages", "contacts")])
 
 
 # --- Markdown ---------------------------------------------------------------------------
@@ -122,7 +105,7 @@ def markdown_lines(profile: DataFrame, pages: DataFrame, contacts: DataFrame, pr
             .select("site", "section", "ord_no", "ord_text", "l.sub", "l.line")
 
     none, top, row = F.lit(""), F.lit(-1), F.lit(0)
-    wide = profile.where("part = 0").groupBy("site").agg(*[
+    wide = profile.groupBy("site").agg(*[
         F.max(F.when(F.col("key") == k, F.col("value"))).alias(k)
         for k in ("site_title", "meta_description", "org_name", "org_description")])
     title = F.coalesce(*[F.nullif(F.col(k), F.lit("")) for k in ("site_title", "org_name")], F.col("site"))
@@ -134,16 +117,18 @@ def markdown_lines(profile: DataFrame, pages: DataFrame, contacts: DataFrame, pr
         _given(F.col("org_name"), F.concat(F.lit("\n**Организация:** "), "org_name", F.lit("\n"))),
         F.lit("\n## Контакты\n")))
 
-    bullet = _lines(F.concat(F.lit("- "), "value"))
-    parts = [
-        (1, "**Email:**", contacts.where("type = 'email'").select("site", "value").distinct(), bullet),
-        (2, "\n**Телефоны:**", contacts.where("type = 'phone'").select("site", "value").distinct(), bullet),
-        (3, "\n**Адреса:**", distinct_addresses(contacts), bullet),
-        (4, "\n**Соцсети:**", social_links(contacts).withColumn("value", F.concat("network", F.lit(": "), "value")), bullet),
-    ]
-    for no, header, rows, lines in parts:
-        out = out.unionByName(emit(rows.select("site").distinct(), no, top, none, _lines(F.lit(header)))) \
-            .unionByName(emit(rows, no, row, F.col("value"), lines))
+    # the values of the four contact sections come from one aggregate, which the headers share
+    headers = {1: "**Email:**", 2: "\n**Телефоны:**", 3: "\n**Адреса:**", 4: "\n**Соцсети:**"}
+    social = F.col("type").startswith("social:")
+    kind = F.when(F.col("type") == "email", 1).when(F.col("type") == "phone", 2).when(F.col("type") == "address", 3).when(social, 4)
+    label = F.when(social, F.expr("concat(substring(type, 8), ': ')")).otherwise(F.concat("value", F.lit("")))
+    values = contacts.where(kind.isNotNull()).groupBy("site", kind.alias("section"), label.alias("label")).agg(F.min("value").alias("value"))
+    shown = F.when(F.col("section") == 4, F.concat("label", "value")).otherwise(F.col("value"))
+    titles = F.create_map(*[F.lit(x) for item in headers.items() for x in item])
+    for rows, ord_no, text, line in ((values, row, shown, F.concat(F.lit("- "), shown)),
+                                     (values.select("site", "section").distinct(), top, none, titles[F.col("section")])):
+        out = out.unionByName(rows.select(
+            "site", "section", ord_no.cast("bigint").alias("ord_no"), text.alias("ord_text"), F.lit(0).alias("sub"), line.alias("line")))
 
     def counted(df: DataFrame, no: int, header: Column, *more: str) -> DataFrame:
         n = df.groupBy("site").agg(F.count(F.lit(1)).cast("string").alias("n"))
@@ -176,10 +161,12 @@ def markdown_lines(profile: DataFrame, pages: DataFrame, contacts: DataFrame, pr
 
 
 def write_markdown(lines: DataFrame, path: str) -> None:
-    """Text files per site whose concatenation in file order is the report.
+    """Report lines in order, one JSON object each; the lines of a site in file order are its report.
 
-    Range partitioning splits a large site over many tasks and keeps the line order.
+    The lines are stored first, so ranging them does not build them twice.
     """
-    order = ["site", "section", "ord_no", "ord_text", "sub"]
-    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("site", F.col("line").alias("value")) \
-        .write.mode("overwrite").partitionBy("site").text(path)
+    spark, order = lines.sparkSession, ["site", "section", "ord_no", "ord_text", "sub"]
+    kept = scratch_path(spark, "lines")
+    lines.write.parquet(kept)
+    spark.read.schema(lines.schema).parquet(kept).repartitionByRange(*order).sortWithinPartitions(*order) \
+        .select("site", "line").write.mode("overwrite").json(path)

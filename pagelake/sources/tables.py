@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -24,18 +25,28 @@ SITE_BUCKETS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor sees: ``spark.checkpoint.dir``, or a local one when unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        import tempfile
+    """Folder that every executor sees: ``spark.checkpoint.dir``, else one in the home of the default file system.
 
-        folder = tempfile.mkdtemp(prefix="pagelake-")
+    A machine-local file system is shared only when the master is local too; anything else is refused.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        fs = context._jvm.org.apache.hadoop.fs.FileSystem.get(context._jsc.hadoopConfiguration())
+        home = fs.getHomeDirectory().toString()
+        refuse_machine_local(home, context.master)
+        folder = "/tmp/pagelake-shared" if home.startswith("file:") else f"{home.rstrip('/')}/.pagelake"
         spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 
+def refuse_machine_local(folder: str, master: str) -> None:
+    if folder.startswith("file:") and not re.match(r"local($|\[)", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

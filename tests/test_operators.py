@@ -2,14 +2,21 @@
 
 from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import functions as F
 
-from pagelake.operators import blocks, dom, graph, groups, keys, pages as P, profile, structured, translate
-from pagelake.plans import fixtures as X
-from pagelake.sources import landed, tables
+from pagelake.operators import blocks, dom, graph, groups, inspect, keys, pages as P, profile, structured, translate
+from pagelake.plans import fixtures as X, site_build
+from pagelake.sources import landed, reports, tables
 from pagelake.sources.pages import latest_pages, scan_pages
 
 
+def spark_calls(df, body):
+    """One API response with the given body."""
+    return df.sparkSession.createDataFrame([("http://a.org/p", "http://a.org/api", body)], "trigger_url string, api_url string, body string") \
+        .withColumn("fetched_at", F.timestamp_seconds(F.lit(0)))
+
+
 def rows(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
@@ -70,6 +77,9 @@ def test_json_walk_has_no_depth_limit(page_df):
     assert structured.json_nodes(pages).agg(F.max("depth")).first()[0] == 80
     assert structured.json_nodes_cut(pages, 8).first().cut == 1
     assert structured.json_nodes(pages, max_depth=8).count() == 5
+    calls = spark_calls(pages, deep)
+    assert rows(structured.api_products(calls), "name") == [("deep",)]
+    assert structured.api_nodes_cut(calls, 8).first().cut == 1
 
 
 def test_json_duplicate_keys_and_types(page_df):
@@ -123,13 +133,6 @@ def test_large_top_k_of_a_hot_group(spark):
         assert [r.id for r in got.where(F.col("g") == g).orderBy("rank").collect()] == ids
 
 
-def test_lists_of_a_hot_group_are_split_and_whole(spark):
-    df = spark.range(9_000).select(F.when(F.col("id") < 8_900, "hot").otherwise("cold").alias("g"), F.col("id").cast("string").alias("v"))
-    parts = groups.bounded_lists(df, ["g"], "v", max_items=1000).collect()
-    assert sorted(x for r in parts for x in r["values"]) == sorted(str(i) for i in range(9_000))
-    assert max(len(r["values"]) for r in parts) < 1300 and sum(r.g == "cold" for r in parts) == 1
-
-
 def test_sites_are_replaced_alone(spark):
     path = tables.scratch_path(spark, "t")
     make = lambda *r: spark.createDataFrame(list(r), "site string, v int")
@@ -141,7 +144,7 @@ def test_sites_are_replaced_alone(spark):
 def test_profile_of_a_site_without_contacts(page_df):
     pages = page_df(("http://a.org/", "<title>T</title>"))
     got = dict(rows(profile.site_profile(P.build_pages(pages), P.page_contacts(pages)), "key", "value"))
-    assert got["site_title"] == "T" and got["emails"] == "[]" and got["social_links"] == "{}"
+    assert got == {"domain": "a.org", "site_title": "T", "meta_description": "", "meta_keywords": "", "main_h1": ""}
 
 
 def test_dictionary_with_a_hot_text(spark):
@@ -187,3 +190,92 @@ def test_frontier_priorities(spark):
 def test_malformed_landed_files(spark):
     maps = spark.createDataFrame([("a.org", "/s", "<urlset><url><loc>http://a.org/1</loc>"), ("a.org", "/t", None)], "site string, path string, xml string")
     assert landed.sitemap_urls(maps).count() == 0 and landed.sitemap_children(maps).count() == 0
+
+
+def test_rows_of_one_url_never_mix(page_df):
+    card = '<div class="product-card"><h3>%s</h3><span class="price">%s</span></div>'
+    pages = page_df(("http://a.org/", card % ("One", "$5")), ("http://a.org/", "<p>x</p>" + card % ("Two", "$6") + card % ("Three", "$7")))
+    assert rows(blocks.html_products(pages), "name", "price") == [("One", "$5"), ("Three", "$7"), ("Two", "$6")]
+    assert rows(dom.html_elements(pages).where("tag = 'h3'"), "start_pos", "end_pos") == [(1, 3), (4, 6), (12, 14)]
+
+
+def test_entities_of_the_last_delivery(spark):
+    made = spark.createDataFrame([("http://a.org/", "<title>old</title><a href='mailto:old@x.org'>m</a>", 1),
+                                  ("http://a.org/", "<title>new</title><a href='mailto:new@x.org'>m</a>", 2)], "url string, html string, fetched_at int")
+    pages = scan_pages(made.withColumn("fetched_at", F.timestamp_seconds("fetched_at")))
+    e = site_build.build_entities(pages, spark_calls(made, "{}").withColumn("content_type", F.lit("x")).where("false"))
+    assert rows(e.pages, "title") == [("new",)] and rows(e.contacts, "value") == [("new@x.org",)]
+
+
+def test_addresses_written_with_references(page_df):
+    pages = page_df(("http://a.org/", '<a href="mailto:info&#64;ex.org">m</a> z&#x40;ex.org'))
+    assert rows(P.page_contacts(pages), "type", "value") == [("email", "info@ex.org"), ("email", "z@ex.org")]
+
+
+def test_containers_of_white_space_are_empty(page_df):
+    text = "<p>" + "catalog words " * 30 + "</p>"
+    blank, full = "\n\t" * 20, "<i>item</i> " * 20
+    pages = page_df(*[(f"http://a.org/{i}", f'<div class="product-list">{x}</div>{text}') for i, x in enumerate((blank, full))])
+    assert rows(P.needs_render(pages), "url", "needs_render") == [("http://a.org/0", True), ("http://a.org/1", False)]
+
+
+def test_json_objects_come_depth_first(page_df):
+    doc = '[{"@type":"Product","name":"A","rel":[{"@type":"Product","name":"B","offers":{"price":1}}]},{"@type":"Product","name":"B","offers":{"price":2}}]'
+    pages = page_df(("http://a.org/", f'<script type="application/ld+json">{doc}</script>'))
+    assert rows(keys.merge_products(structured.jsonld_products(pages)), "name", "price") == [("A", ""), ("B", "1")]
+
+
+def test_classes_inside_drawings_are_counted(page_df):
+    pages = page_df(("http://a.org/", '<svg class="icon">' + '<path class="line" d=""/>' * 5 + "</svg>"))
+    assert rows(inspect.class_frequency(pages, tags=None, top=30, above=3), "class", "n") == [("line", 5)]
+
+
+def test_stored_texts_are_whole(page_df):
+    long = "word " * 20_000
+    pages = page_df(("http://a.org/", f"<main>{long}</main><a href='/x'>{long}</a><div class='service'><h2>Name</h2><p>{long}</p></div>"))
+    assert P.build_pages(pages).first().raw_text == long.strip()
+    assert P.page_links(pages).first().text == long.strip() == blocks.page_services(pages).first().description
+    text = spark_calls(pages, '{"name":"n1","description":"%s"}' % long.strip())
+    assert structured.api_products(text).first().description == long.strip()
+
+
+def test_many_cards_on_a_page(page_df):
+    cards = "".join(f'<div class="catalog-block-view__item"><a class="dark_link" href="/{i}">Item {i}</a><p>open</div>' for i in range(3000))
+    assert blocks.template_cards(page_df(("http://a.org/", cards))).count() == 3000
+
+
+def test_language_of_the_whole_text(column):
+    text = "xyz " * 400 + "the house of the man and the dog is in the garden"
+    assert column([text], translate.detect_language) == ["en"]
+
+
+def test_translated_names_that_collide(spark):
+    products = spark.createDataFrame([("s", "u", "b", "2"), ("s", "u", "a", "1"), ("s", "v", "a", "3")], "site string, source_url string, name string, price string") \
+        .withColumn("description", F.lit(""))
+    company = spark.createDataFrame([("s", "org_name", "a"), ("s", "domain", "a")], "site string, key string, value string")
+    d = spark.createDataFrame([("a", "X"), ("b", "X")], "src string, dst string")
+    out, org = translate.translate_tables({"products": products}, company, d)
+    assert rows(out["products"], "source_url", "name", "price") == [("u", "X", "1"), ("v", "X", "3")]
+    assert rows(org, "key", "value") == [("domain", "a"), ("org_name", "X")]
+
+
+def test_machine_local_folders_are_refused_on_a_cluster():
+    tables.refuse_machine_local("file:/home/x", "local[4]")
+    tables.refuse_machine_local("hdfs://n/home/x", "yarn")
+    with pytest.raises(ValueError):
+        tables.refuse_machine_local("file:/home/x", "spark://host:7077")
+
+
+def test_reports_survive_storage(page_df, spark):
+    pages = page_df(("http://a.org/", "<title>T</title><h1>H</h1><p>mail a@b.org</p>"))
+    built, contacts = P.build_pages(pages), P.page_contacts(pages)
+    sections = {s: contacts.where("false").select("site", *[F.lit("").alias(c) for c in cols]) for s, cols in reports.SECTIONS.items()}
+    report = reports.json_report(profile.site_profile(built, contacts), sections | {"pages": built, "contacts": contacts})
+    path = tables.scratch_path(spark, "report")
+    reports.write_json_report(report, path)
+    assert reports.read_report(spark, path).exceptAll(report).count() == 0
+    assert tuple(reports.report_totals(report).first()) == ("a.org", 1, 1)
+    lines = reports.markdown_lines(profile.site_profile(built, contacts), built, contacts, sections["products"].withColumn("seq", F.lit(0)), sections["services"])
+    reports.write_markdown(lines, path + "-md")
+    shown = [r.line for r in lines.orderBy("section", "ord_no", "ord_text", "sub").collect()]
+    assert sorted(r.line for r in spark.read.json(path + "-md").collect()) == sorted(shown) and "- a@b.org" in shown

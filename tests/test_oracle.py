@@ -4,11 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from pagelake.plans import oracles, registered
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
+QUERIES = registered.registered()
+ORACLES = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -33,5 +34,9 @@ def test_matches_sql(spark, sf_dir, db, name):
     assert sorted(map(repr, actual)) == sorted(map(repr, expected))
 
 
+def test_entry_registers_the_library():
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLES) <= set(entry_module.oracle_sql())
+
+
 def test_entry_runs(spark):
     assert entry_module.entry(spark).count() > 0

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pagelake.operators import blocks, dom, pages as P, structured
+from pagelake.operators import blocks, dom, inspect, pages as P, structured
 from pagelake.plans import fixtures as X, site_build
 from pagelake.sources.pages import scan_pages
 
@@ -30,11 +30,10 @@ def test_core_plans(spark, sf_dir, name):
         assert "Exchange" not in plan
 
 
-def test_elements_shuffle_only_the_pages(spark, sf_dir):
-    pages = scan_pages(X.table(spark, sf_dir, "pages"))
-    elements = plan_of(dom.html_elements(dom.html_tokens(pages)))
-    assert elements.count("Exchange") == 1
-    assert plan_of(blocks.template_cards(pages)).count("Exchange hashpartitioning") <= 2
+@pytest.mark.parametrize("operator", (dom.html_elements, dom.drop_subtrees, blocks.template_cards, blocks.generic_cards, blocks.html_products,
+                                      blocks.page_services, blocks.page_addresses, inspect.card_structure))
+def test_elements_stay_in_the_page_row(spark, sf_dir, operator):
+    assert "Exchange" not in plan_of(operator(scan_pages(X.table(spark, sf_dir, "pages"))))
 
 
 def test_site_filter_reaches_the_scan(spark, sf_dir):
