@@ -673,8 +673,9 @@ def stream_api_products(spark, d):
 @query
 def stream_contacts(spark, d):
     base = tables.scratch_path(spark, "stream-contacts")
-    jobs.stream_contacts(scan_pages(_stream(spark, d, "pages")), f"{base}/out", f"{base}/ck").awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    landed_pages = scan_pages(_stream(spark, d, "pages")).withColumn("fetched_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")))
+    jobs.stream_contacts(landed_pages, f"{base}/out", f"{base}/ck").awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("fetched_at")
 
 
 @query

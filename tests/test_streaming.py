@@ -30,15 +30,38 @@ def test_upsert_keeps_the_latest_and_replays_safely(spark, sf_dir):
     # a lost checkpoint replays every batch
     jobs.stream_page_upsert(stream, f"{base}/out", f"{base}/ck2").awaitTermination()
     assert jobs.current_pages(spark, f"{base}/out").exceptAll(first).count() == 0
-    jobs.compact_pages(spark, f"{base}/out", f"{base}/compact")
-    assert jobs.current_pages(spark, f"{base}/compact").count() == total
+
+
+def test_upsert_reads_a_snapshot_and_what_came_after(spark, sf_dir):
+    base = tables.scratch_path(spark, "s")
+    stream, changed, total = landed_files(spark, sf_dir, base)
+    jobs.stream_page_upsert(stream, f"{base}/out", f"{base}/ck", compact_every=2).awaitTermination()
+    assert jobs._stored_ids(spark, f"{base}/out", "snapshot_id") == [1]
+    got = jobs.current_pages(spark, f"{base}/out")
+    assert got.count() == total and got.where("title = 'changed'").count() == changed
+    # without the batches that the snapshot covers the state is the same
+    jobs.compact_pages(spark, f"{base}/out", f"{base}/all")
+    assert spark.read.parquet(f"{base}/all").exceptAll(got).count() == 0
 
 
 def test_contacts_once_per_page(spark, sf_dir):
     base = tables.scratch_path(spark, "s")
     stream, _, _ = landed_files(spark, sf_dir, base)
     expected = P.page_contacts(scan_pages(X.table(spark, sf_dir, "pages"))).count()
-    jobs.stream_contacts(stream, f"{base}/out", f"{base}/ck").awaitTermination()
+    jobs.stream_contacts(stream, f"{base}/out", f"{base}/ck", late_by=None).awaitTermination()
     assert spark.read.parquet(f"{base}/out").count() == expected
-    jobs.stream_contacts(stream, f"{base}/out2", f"{base}/ck2", late_by="7 days").awaitTermination()
+    jobs.stream_contacts(stream, f"{base}/out2", f"{base}/ck2").awaitTermination()
     assert spark.read.parquet(f"{base}/out2").drop("fetched_at").distinct().count() == expected
+
+
+def test_state_of_contacts_is_bounded(spark):
+    base = tables.scratch_path(spark, "s")
+    for day in range(1000, 1200, 20):
+        spark.createDataFrame([(f"http://a.org/{day}", f"mail u{day}@x.org", day * 86_400)], "url string, html string, t long") \
+            .select("url", "html", F.timestamp_seconds("t").alias("fetched_at")).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    schema = "url string, html string, fetched_at timestamp"
+    stream = scan_pages(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
+    query = jobs.stream_contacts(stream, f"{base}/out", f"{base}/ck")
+    query.awaitTermination()
+    assert spark.read.parquet(f"{base}/out").count() == 10
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
