@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -30,6 +31,7 @@ def main() -> None:
     settings = {
         **SETTINGS, "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g",
         "spark.ui.showConsoleProgress": "false", "spark.python.sql.dataFrameDebugging.enabled": "false",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),  # the master is local
     }
     for k, v in settings.items():
         builder = builder.config(k, v)

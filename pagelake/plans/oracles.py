@@ -232,7 +232,7 @@ def _markdown() -> str:
         WHERE length(raw_text) > 300 AND NOT regexp_matches(url, '(?i)/(catalog|basket|compare|personal|login|favicon|\\?sort=)')),
       words AS (SELECT url, unnest(string_split(raw_text, ' ')) AS w, generate_subscripts(string_split(raw_text, ' '), 1) AS i FROM info),
       runs AS (SELECT *, i - row_number() OVER (PARTITION BY url, w ORDER BY i) AS run, i = max(i) OVER (PARTITION BY url) AS last FROM words),
-      kept AS (SELECT * FROM runs QUALIFY last OR NOT regexp_full_match(w, '[\p{{L}}\p{{N}}_]{{4,}}')
+      kept AS (SELECT * FROM runs QUALIFY last OR NOT regexp_full_match(w, '[\\p{{L}}\\p{{N}}_]{{4,}}')
         OR count(*) FILTER (NOT last) OVER (PARTITION BY url, w, run) < 3),
       shown AS (SELECT url, string_agg(w, ' ' ORDER BY i) AS text FROM kept GROUP BY url),
       vals AS (SELECT DISTINCT site, type, value FROM contacts),
