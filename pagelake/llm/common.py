@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -11,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 1_000  # rows that Spark sends to Python at once: whole texts vary from nothing to megabytes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; only a local master may go without one (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "/tmp/pagelake-shared"
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -30,10 +33,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lost executor costs a re-read, not a recomputation."""
+    """Write ``df`` to the shared folder and read it back: a lost executor costs a re-read, not a recomputation.
+
+    Spark drops the shuffle files of finished work when the driver collects its garbage, so that is asked for here.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,10 +68,20 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BY
             yield batch.slice(start)
 
 
+def give_back_memory() -> None:
+    """Return freed memory to the system: Spark keeps its Python workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_texts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType,
-              column: str = "text") -> DataFrame:
+              column: str = "text", limit: int = BATCH_BYTES) -> DataFrame:
     """``mapInArrow`` over batches of bounded size."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
     def run(batches):
-        return fn(pieces(batches, column))
+        yield from fn(pieces(batches, column, limit))
+        give_back_memory()
 
     return df.mapInArrow(run, schema)

@@ -28,8 +28,8 @@ from .common import map_texts, with_fields
 
 WINDOW = 10
 BLOCK_WINDOWS = 100_000  # windows in one broadcast block
-SHARD_WORDS = 2_000_000  # words of the documents that a task holds at once
-INDEX_SYMBOLS = 1_000_000  # symbols in one index
+SHARD_WORDS = 1_000_000  # words of the documents that a task holds at once
+INDEX_SYMBOLS = 500_000  # symbols in one index
 SAMPLE_STEP = 8
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")

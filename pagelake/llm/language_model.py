@@ -36,6 +36,7 @@ LEAST_TRAINING_TOKENS, TRAINING_SHARE = 2_000_000, 1 / 24  # of a round: the lar
 RATES = (0.01, 0.005, 0.0025)  # learning rates, one for each round
 TRAIN_LANES, TRAIN_STEPS, TRAIN_CHUNK = 32, 32, 400_000
 LANES, STEPS = 256, 64
+SCORED_BYTES = 8 << 20  # text scored at once: one long document should not leave the other lanes empty
 END = b""
 
 
@@ -384,7 +385,7 @@ def document_scores(docs: DataFrame, held_out: int = 1, folds: int = 5) -> DataF
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = stored(map_texts(source, run, f"doc_id {kind}, held_out boolean, row bigint, n_tokens bigint, n_head bigint, head_score double, "
-                              "network_score double, rest array<struct<word:binary,n:bigint>>"), "scored")
+                              "network_score double, rest array<struct<word:binary,n:bigint>>", limit=SCORED_BYTES), "scored")
     rare = scored.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.n")
     rare = rare.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_score"),

@@ -41,7 +41,7 @@ BANDS = COORDINATES // BAND_ROWS
 CODE_BITS = 4
 PACKED = COORDINATES * CODE_BITS // 64
 MARGIN = 0.11  # five standard errors of an estimate at the bound
-THROWN_UNITS = 500_000
+THROWN_UNITS = 200_000
 CELL_UNITS = 100_000  # shingles on either side of a cell, about
 SLOTS = 1 << 20
 
@@ -74,7 +74,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def shingle_hashes(words: bytes, size: int = SHINGLE, block: int = 200_000) -> np.ndarray:
+def shingle_hashes(words: bytes, size: int = SHINGLE, block: int = 40_000) -> np.ndarray:
     """64-bit hash of every shingle: differences of one polynomial prefix sum, brought back to position 0."""
     if not words:
         return np.empty(0, np.uint64)

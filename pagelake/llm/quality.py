@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, remainder, stored, with_fields
+from .common import give_back_memory, map_texts, remainder, stored, with_fields
 
 SAMPLE_ROWS = 20_000  # most labelled rows of the fit
 N_TREES, DEPTH, CUTS = 48, 3, 24
@@ -126,20 +126,28 @@ def holds(rule: tuple[Condition, ...], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = 400) -> tuple[np.ndarray, float]:
-    """L1-penalised logistic regression by accelerated proximal gradient steps; the intercept is free."""
+def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = 200) -> tuple[np.ndarray, float]:
+    """L1-penalised logistic regression by accelerated proximal gradient steps; the intercept is free.
+
+    ``z`` holds truth values. Rows in which the same rules hold are one row with its counts.
+    """
     n, m = z.shape
-    step = 4.0 / (np.linalg.norm(np.hstack([z, np.ones((n, 1))]), 2) ** 2 / n)
+    _, first, pattern = np.unique(np.packbits(z, axis=1), axis=0, return_index=True, return_inverse=True)
+    rows, pattern = z[first].astype(np.float32), pattern.ravel()
+    total, ones = np.bincount(pattern), np.bincount(pattern, y)
+    # the largest eigenvalue bounds the curvature; the intercept adds 1 at most
+    gram = (rows.T * total.astype(np.float32)) @ rows / n
+    step = 4.0 / ((float(np.linalg.eigvalsh(gram)[-1]) if m else 0.0) + 1.0)
     share = (y.sum() + 0.5) / (n + 1)
-    w, b = np.zeros(m), float(np.log(share / (1 - share)))
+    w, b = np.zeros(m, np.float32), float(np.log(share / (1 - share)))
     v, c, t = w.copy(), b, 1.0
     for _ in range(steps):
-        err = 1 / (1 + np.exp(-np.clip(z @ v + c, -30, 30))) - y
-        w2 = v - step * (z.T @ err) / n
-        w2 = np.sign(w2) * np.maximum(np.abs(w2) - step * penalty, 0)
-        b2 = c - step * float(err.mean())
+        err = total / (1 + np.exp(-np.clip(rows @ v + c, -30, 30))) - ones
+        w2 = v - step * (rows.T @ err.astype(np.float32)) / n
+        w2 = (np.sign(w2) * np.maximum(np.abs(w2) - step * penalty, 0)).astype(np.float32)
+        b2 = c - step * float(err.sum()) / n
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, c = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
+        v, c = (w2 + (t - 1) / t2 * (w2 - w)).astype(np.float32), b2 + (t - 1) / t2 * (b2 - b)
         w, b, t = w2, b2, t2
     return w, b
 
@@ -160,8 +168,9 @@ def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 7) -> tuple[list[tuple[t
         on = holds(rule, x)
         if 0 < on.sum() < len(x):
             kept.setdefault(np.packbits(on).tobytes(), rule)
-    z = np.stack([holds(r, x) for r in kept.values()], axis=1).astype(float)
+    z = np.stack([holds(r, x) for r in kept.values()], axis=1)
     w, b = lasso_logistic(z, y.astype(float))
+    give_back_memory()
     return [(r, float(v)) for r, v in zip(kept.values(), w, strict=True) if abs(v) > 1e-6], b
 
 
