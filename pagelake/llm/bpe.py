@@ -15,6 +15,8 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +26,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts, with_fields
 
-CACHED_CHUNKS = 250_000
-CACHED_PAIRS = 1_000_000
+CACHED_CHUNKS = 80_000
+CACHED_PAIRS = 250_000
 LONG_CHUNK = 48  # longer chunks are encoded, but not remembered
 NEVER = 1 << 60
 # White space as Unicode defines it; str.split also breaks at U+001C to U+001F.
@@ -75,6 +77,7 @@ class WordBpe:
         self.apart_pairs: dict[int, bool] = {}
         self.single: dict[int, bool] = {}
         self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     # -- which tokens may stand side by side ---------------------------------------------------------------------
 
@@ -148,36 +151,51 @@ class WordBpe:
 
     # -- the trie --------------------------------------------------------------------------------------------------
 
-    def last_token(self, word: str, i: int, states: list[tuple[int, int]], end: str) -> tuple[int, int]:
-        """Last token, and its number of letters, of the first ``i`` letters; ``states[n]`` is that of n letters."""
-        vocab = self.vocab
-        tail, shorter = (2, 1) if end else (3, 2)  # without an entry only shorter tokens can end here
-        top = min(i, self.longest.get(word[max(0, i - tail):i] + end, shorter))
-        for n in range(top, 0, -1):
-            token = vocab.get(word[i - n:i] + end)
-            if token is not None and (self.alone(token) if n == i else self.apart(states[i - n][0], token)):
-                return token, n
-        raise ValueError(f"no token ends {word[:i]!r}")
-
     def encode_words(self, words: set[str]) -> dict[str, list[int]]:
-        """Token ids of each word (in byte letters), walking the trie of all the words once."""
+        """Token ids of each word (in byte letters), walking the trie of all the words once.
+
+        ``last`` and ``size`` hold, for every number of letters of the current path, the last token and its letters.
+        Only at the end of a word may a token carry the end mark.
+        """
         found: dict[str, list[int]] = {}
-        states: list[tuple[int, int]] = [(-1, 0)]  # by the number of letters of the path
+        vocab, longest, pairs, single, width = self.vocab.get, self.longest.get, self.apart_pairs.get, self.single.get, self.width
+        last, size = [-1], [0]
         before = ""
         for word in sorted(words):
-            same, most = 0, min(len(before), len(word))
+            letters = len(word)
+            same, most = 0, min(len(before), letters)
             while same < most and before[same] == word[same]:
                 same += 1
-            del states[same + 1:]
-            for i in range(len(states), len(word)):
-                states.append(self.last_token(word, i, states, ""))
-            token, n = self.last_token(word, len(word), states, self.end)
-            ids, left = [token], len(word) - n
+            del last[same + 1:], size[same + 1:]
+            for i in range(len(last), letters + 1):
+                # of the tails that end tokens, three letters are looked up, or two and the end mark
+                if i < letters or not self.end:
+                    end, top = "", longest(word[i - 3 if i > 3 else 0:i], 2)
+                else:
+                    end = self.end
+                    top = longest(word[i - 2 if i > 2 else 0:i] + end, 1)
+                for n in range(top if top < i else i, 0, -1):
+                    token = vocab(word[i - n:i] + end)
+                    if token is None:
+                        continue
+                    if n == i:
+                        if (good := single(token)) is None:
+                            good = self.alone(token)
+                    elif (good := pairs(last[i - n] * width + token)) is None:
+                        good = self.apart(last[i - n], token)
+                    if good:
+                        break
+                else:
+                    raise ValueError(f"no token ends {word[:i]!r}")
+                if i < letters:
+                    last.append(token)
+                    size.append(n)
+            ids, left = [token], letters - n
             while left:
-                token, n = states[left]
-                ids.append(token)
-                left -= n
-            found[word] = ids[::-1]
+                ids.append(last[left])
+                left -= size[left]
+            ids.reverse()
+            found[word] = ids
             before = word
         return found
 
@@ -192,17 +210,24 @@ class WordBpe:
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of chunks (texts without white space) as packed int32."""
         pieces = {c: WORDS.findall(c) for c in chunks}
-        letters = self.letters
-        spelled = {}
-        for piece in {p for found in pieces.values() for p in found}:
-            spelled[piece] = piece if piece.isascii() and piece.isalnum() else "".join([letters[b] for b in piece.encode()])
+        counts = Counter([p for found in pieces.values() for p in found])
+        letters, known = self.letters, self.words
+        if len(known) > CACHED_CHUNKS:
+            known.clear()
+        spelled = {p: p if p.isascii() and p.isalnum() else "".join([letters[b] for b in p.encode()]) for p in counts if p not in known}
         ids = self.encode_words(set(spelled.values()))
-        return {c: np.array([i for p in found for i in ids[spelled[p]]], np.int32).tobytes() for c, found in pieces.items()}
+        new = {p: array("i", ids[s]).tobytes() for p, s in spelled.items()}
+        known.update(new)
+        out = {c: known[found[0]] if len(found) == 1 else b"".join([known[p] for p in found]) for c, found in pieces.items()}
+        for p in new:
+            if counts[p] == 1:  # most words come once; the others are worth keeping
+                del known[p]
+        return out
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of whole texts."""
         rows: list[list[str | bytes]] = []
-        unknown: set[str] = set()
+        counts: Counter[str] = Counter()
         chunks = self.chunks
         if len(chunks) > CACHED_CHUNKS:
             chunks.clear()
@@ -216,13 +241,13 @@ class WordBpe:
                     part = self.normal(part)
                     own = part.split() if not SEPARATORS.search(part) else [c for c in SPLIT_AT_SPACE.split(part) if c]
                     row.extend(own)
-                    unknown.update(set(own).difference(chunks))
+                    counts.update(own)
             rows.append(row)
-        new = self.learn(unknown)
+        new = self.learn(counts.keys() - chunks.keys())
         chunks.update(new)
         out = [np.frombuffer(b"".join([c if type(c) is bytes else chunks[c] for c in row]), np.int32) for row in rows]
         for c in new:
-            if len(c) > LONG_CHUNK:
+            if counts[c] == 1 or len(c) > LONG_CHUNK:
                 del chunks[c]
         return out
 
