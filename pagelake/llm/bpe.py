@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts, with_fields
 
-CACHED_CHUNKS = 80_000
-CACHED_PAIRS = 250_000
+CACHED_CHUNKS = 200_000
+CACHED_PAIRS = 500_000
 LONG_CHUNK = 48  # longer chunks are encoded, but not remembered
 NEVER = 1 << 60
 # White space as Unicode defines it; str.split also breaks at U+001C to U+001F.
