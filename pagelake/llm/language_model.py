@@ -4,8 +4,9 @@ Token counts cover all training documents and come from one distributed count. T
 symbols of the network, in 32 classes of 32; every other token belongs to one of 32 tail classes (by its last two
 bytes), and within a tail class it has its smoothed share of the counts, with one more share for an unseen token.
 The network (one gated recurrent layer, numpy) predicts the class and then the symbol within the class. It is
-trained by truncated backpropagation inside Spark tasks on a growing share of the training documents; after each
-round the weights of all tasks are averaged. To score, the state runs through whole documents, window by window.
+trained by truncated backpropagation inside Spark tasks on every training document once: their hash deals them over
+the rounds, and after each round the weights of all tasks are averaged. To score, the state runs through whole
+documents, window by window.
 
 Counts of frequent tokens go to the tasks in a table of bounded size; those of all others are joined.
 
@@ -32,7 +33,6 @@ CLASSES = SYMBOLS // CLASS_SIZE
 HIDDEN = 24
 HEAD_TOKENS = 300_000  # frequent tokens whose counts every task holds
 FLUSHED_TOKENS = 400_000  # distinct tokens that a counting task holds
-LEAST_TRAINING_TOKENS, TRAINING_SHARE = 2_000_000, 1 / 24  # of a round: the larger of both, at most everything
 RATES = (0.01, 0.005, 0.0025)  # learning rates, one for each round
 TRAIN_LANES, TRAIN_STEPS, TRAIN_CHUNK = 32, 32, 400_000
 LANES, STEPS = 256, 64
@@ -313,9 +313,8 @@ def symbols_of(words: list[bytes], index: dict[bytes, int], classes: np.ndarray)
 # -- Spark ----------------------------------------------------------------------------------------------------------
 
 def trained(train: DataFrame, vocab: Vocabulary, rates: tuple[float, ...] = RATES) -> dict[str, np.ndarray]:
-    """Weights after one round per rate; every round takes another share of the training documents."""
+    """Weights after one round per rate; every training document belongs to one round."""
     context = train.sparkSession.sparkContext
-    share = min(1.0, max(TRAINING_SHARE, LEAST_TRAINING_TOKENS / max(1, vocab.n)))
     w = first_weights(vocab)
     frequent = context.broadcast({word: i for i, word in enumerate(vocab.words[:SYMBOLS])})
     for k, rate in enumerate(rates):
@@ -337,8 +336,8 @@ def trained(train: DataFrame, vocab: Vocabulary, rates: tuple[float, ...] = RATE
             if seen + size:
                 yield pa.RecordBatch.from_arrays([pa.array([float(seen + size)]), pa.array([flat(own).astype(float)], pa.list_(pa.float64()))], names=["n", "w"])
 
-        drawn = train.where(F.pmod(F.xxhash64(F.lit(k), "doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-        values = map_texts(drawn.select("text"), run, "n double, w array<double>").select("n", F.posexplode("w").alias("place", "v"))
+        dealt = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(len(rates))) == k)
+        values = map_texts(dealt.select("text"), run, "n double, w array<double>").select("n", F.posexplode("w").alias("place", "v"))
         mean = values.groupBy("place").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("v")).toPandas()
         if len(mean):
             out = flat(w).astype(float)

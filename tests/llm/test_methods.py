@@ -305,6 +305,15 @@ def test_base_scores_and_held_out_gain(spark, sf_dir):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_every_document_trains_at_any_size(spark):
+    words = [b"", *(b"w%d" % i for i in range(1, 301))]
+    docs = spark.createDataFrame([(i, f"w{i} " * 4) for i in range(1, 301)], "doc_id bigint, text string")
+    for n in (1_500, 10**10):
+        vocab = language_model.Vocabulary(words, np.full(301, 4), n, 301, np.full(32, 50.0))
+        changed = (language_model.trained(docs, vocab)["input"] != language_model.first_weights(vocab)["input"]).any(axis=1)
+        assert changed[:301].all()
+
+
 def test_rare_words_are_joined(spark, sf_dir, monkeypatch):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text").limit(60)
     whole = {r.doc_id: r for r in language_model.document_scores(docs).collect()}
