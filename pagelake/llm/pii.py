@@ -16,7 +16,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import map_texts, stored, with_fields
 
 KINDS = ("email", "ip", "card", "phone")
-PATTERNS = 20_000  # best-supported patterns that are weighed, the width of the search
+FILTER_BITS = 1 << 26  # of the filter that spares the tasks most words without a supported pattern
+FLUSHED_PATTERNS = 400_000  # distinct patterns that a counting task holds
 SUPPORT = 3  # distinct instances of a pattern
 CONFIDENCE = 0.5
 ROUNDS = 3
@@ -141,51 +145,60 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return map_texts(with_row_key(docs.select("doc_id", "text")).select("__row_key", "text"), run, schema)
 
 
-def pattern_totals(docs: DataFrame, patterns: list[str]) -> DataFrame:
-    """``pattern, total``: at how many places of the corpus the words of each pattern stand."""
-    sent = docs.sparkSession.sparkContext.broadcast(patterns)  # PATTERNS of them at most
+def pattern_filter(patterns: DataFrame) -> bytes:
+    """A bit for the hash of each pattern, FILTER_BITS at any number of patterns: others may share a bit, none is missed."""
+    held = patterns.select((F.crc32("pattern") % FILTER_BITS).alias("at")) \
+        .groupBy(F.expr("cast(at div 64 as int)").alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, dtype="<i8")
+    out[held.column("place").to_numpy()] = held.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def places(texts: list[str | None]) -> Iterator[tuple[str, int]]:
+    """Patterns around every word, and at how many places of the texts their words stand."""
+    words = [[w[:WORD_CHARS] for w in (t or "").lower().split()] for t in texts]
+    for p, n in Counter(chain.from_iterable(w[:-1] for w in words)).items():
+        yield f"{p} _", n
+    for (p, q), n in Counter(chain.from_iterable(zip(w, w[1:-1]) for w in words)).items():
+        yield f"{p} {q} _", n
+    for (p, q), n in Counter(chain.from_iterable(zip(w, w[2:]) for w in words)).items():
+        yield f"{p} _ {q}", n
+
+
+def pattern_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``pattern, total``: at how many places of the corpus the words of each pattern stand; others may be among them."""
+    sent = docs.sparkSession.sparkContext.broadcast(pattern_filter(patterns))
 
     def run(batches):
-        single, double, around = {}, {}, {}
-        for p in sent.value:
-            words = p.split(" ")
-            if len(words) == 2:
-                single[words[0]] = p
-            elif words[2] == "_":
-                double[words[0], words[1]] = p
-            else:
-                around[words[0], words[2]] = p
-        heads = {*single, *(w for _, w in double), *(w for w, _ in around)}
+        bits, totals = sent.value, Counter()
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())],
+                                              names=["pattern", "total"])
+
         for b in batches:
-            totals: Counter[str] = Counter()
-            for text in b.column("text").to_pylist():
-                words = (text or "").lower().split()
-                last = len(words) - 1
-                for i in [i for i, w in enumerate(words) if w[:WORD_CHARS] in heads]:
-                    w = words[i][:WORD_CHARS]
-                    if i == last:
-                        continue
-                    if w in single:
-                        totals[single[w]] += 1
-                    if i and (p := double.get((words[i - 1][:WORD_CHARS], w))):
-                        totals[p] += 1
-                    if i + 2 <= last and (p := around.get((w, words[i + 2][:WORD_CHARS]))):
-                        totals[p] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())],
-                                             names=["pattern", "total"])
+            for p, n in places(b.column("text").to_pylist()):
+                at = crc32(p.encode()) % FILTER_BITS
+                if bits[at >> 3] >> (at & 7) & 1:
+                    totals[p] += n
+            if len(totals) > FLUSHED_PATTERNS:
+                yield rows()
+                totals = Counter()
+        yield rows()
 
     return map_texts(docs.select("text"), run, "pattern string, total bigint").groupBy("pattern").agg(F.sum("total").alias("total"))
 
 
-def discovered(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS,
-               width: int = PATTERNS) -> DataFrame:
+def discovered(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
     """``row_key, kind, start, end`` of identifiers that no base pattern covers."""
     seen = stored(occurrences(docs), "occurrences")
     graph = stored(seen.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("kind").alias("kind")), "graph")
-    supported = graph.groupBy("pattern").agg(F.count("*").alias("k"), F.count("kind").alias("seeds")).where(F.col("k") >= support)
-    chosen = [r.pattern for r in supported.where("seeds > 0").orderBy(F.desc("seeds"), F.desc("k"), "pattern").limit(width).collect()]
-    totals = stored(pattern_totals(docs, chosen), "totals")
-    graph = graph.join(totals, "pattern")
+    supported = graph.groupBy("pattern").agg(F.count("*").alias("k"), F.count("kind").alias("seeds"), F.sum("n").alias("most")) \
+        .where(F.col("k") >= support)
+    supported = stored(supported.where("seeds > 0"), "supported")
+    totals = pattern_totals(docs, supported.select("pattern")).join(supported, "pattern").where(f"most / (total + 1) >= {confidence}")
+    totals = stored(totals.select("pattern", "total"), "totals")
+    graph = stored(graph.join(totals, "pattern"), "weighed")
     scores = graph.groupBy("instance").agg(F.max(F.col("kind").isNotNull().cast("double")).alias("score"))
     for _ in range(rounds):
         weighed = graph.join(scores, "instance").groupBy("pattern").agg(

@@ -91,6 +91,14 @@ def test_contexts_discover_identifiers(spark, docs_of):
     assert "[EMAIL]" in clean_text.text and "user0" not in clean_text.text and clean_text.n_chars == len(clean_text.text)
 
 
+def test_rare_contexts_are_weighed_among_many(spark, docs_of):
+    many = ["\n".join(f"w{i} u{j}@s{i}.org z{i}" for i in range(k, k + 100) for j in range(5)) for k in range(0, 7000, 100)]
+    known = [f"member mail: user{i}@site{i}.org was here" for i in range(3)]
+    hidden = (999, "member mail: user0[at]site.org was here")
+    got = {r.doc_id: r.added for r in pii.personal_data(docs_of(*many, *known, hidden), "doc_id").collect()}
+    assert [(s.kind, s.start, s.end) for s in got[999]] == [("email", 13, 30)]
+
+
 # -- near duplicates -------------------------------------------------------------------------------------------------
 
 def test_darts_estimate_weighted_similarity():
