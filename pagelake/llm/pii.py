@@ -4,8 +4,9 @@ Every whole text is searched for e-mail addresses, IPv4 addresses, payment cards
 induce lexical patterns: the word before, the two words before, and the word before with the word after. Patterns
 and identifier-like tokens form a graph that Spark scores in rounds: a pattern is worth the summed scores of its
 instances over all the places where its words stand in the corpus; an instance is worth the noisy-or of its
-patterns; promoted instances strengthen further patterns. Tokens that confident patterns single out become spans
-of the kind that the pattern's seeds have. Base spans always stay; added spans never overlap them.
+patterns; promoted instances strengthen further patterns, with or without seeds of their own, until none changes.
+Tokens that confident patterns single out become spans of the kind that most of the pattern's promoted instances
+have. Base spans always stay; added spans never overlap them.
 
 Defined results: a null text counts as empty and has no spans; repeated rows get equal results; words of a context
 longer than 40 characters are cut alike everywhere; without seeds nothing is added; further columns pass through.
@@ -31,7 +32,7 @@ FILTER_BITS = 1 << 26  # of the filter that spares the tasks most words without
 FLUSHED_PATTERNS = 400_000  # distinct patterns that a counting task holds
 SUPPORT = 3  # distinct instances of a pattern
 CONFIDENCE = 0.5
-ROUNDS = 3
+SETTLED = 1e-3  # rounds go on while the score of an instance rises by more
 WORD_CHARS = 40
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -189,33 +190,35 @@ def pattern_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return map_texts(docs.select("text"), run, "pattern string, total bigint").groupBy("pattern").agg(F.sum("total").alias("total"))
 
 
-def discovered(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
+def discovered(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, settled: float = SETTLED) -> DataFrame:
     """``row_key, kind, start, end`` of identifiers that no base pattern covers."""
     seen = stored(occurrences(docs), "occurrences")
     graph = stored(seen.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("kind").alias("kind")), "graph")
-    supported = graph.groupBy("pattern").agg(F.count("*").alias("k"), F.count("kind").alias("seeds"), F.sum("n").alias("most")) \
-        .where(F.col("k") >= support)
-    supported = stored(supported.where("seeds > 0"), "supported")
+    supported = stored(graph.groupBy("pattern").agg(F.count("*").alias("k"), F.sum("n").alias("most")).where(F.col("k") >= support), "supported")
     totals = pattern_totals(docs, supported.select("pattern")).join(supported, "pattern").where(f"most / (total + 1) >= {confidence}")
     totals = stored(totals.select("pattern", "total"), "totals")
     graph = stored(graph.join(totals, "pattern"), "weighed")
-    scores = graph.groupBy("instance").agg(F.max(F.col("kind").isNotNull().cast("double")).alias("score"))
-    for _ in range(rounds):
-        weighed = graph.join(scores, "instance").groupBy("pattern").agg(
-            F.sum(F.col("n") * F.col("score")).alias("good"), F.max("total").alias("total"),
-            F.sum((F.col("score") >= confidence).cast("int")).alias("k"))
-        sure = weighed.where(f"k >= {support}").select("pattern", F.least(F.lit(0.99), F.col("good") / (F.col("total") + 1)).alias("worth")) \
+    scores = graph.groupBy("instance").agg(F.max("kind").alias("kind")).withColumn("score", F.col("kind").isNotNull().cast("double"))
+    scores = stored(scores, "scores")
+    good = F.col("score") >= confidence
+    # the kind of a pattern is the one that most of its promoted instances have, the first by name among equals
+    most = F.array_min(F.array(*[F.struct((-F.count_if(good & (F.col("kind") == k))).alias("c"), F.lit(k).alias("kind")) for k in KINDS]))["kind"]
+    moved = True
+    while moved:
+        weighed = graph.select("pattern", "instance", "n", "total").join(scores, "instance").groupBy("pattern").agg(
+            F.sum(F.col("n") * F.col("score")).alias("good"), F.max("total").alias("total"), F.count_if(good).alias("k"), most.alias("kind"))
+        sure = weighed.where(f"k >= {support}").select("pattern", "kind", F.least(F.lit(0.99), F.col("good") / (F.col("total") + 1)).alias("worth")) \
             .where(F.col("worth") >= confidence)
-        found = graph.join(sure, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("worth"))))).alias("found"))
-        seeds = graph.groupBy("instance").agg(F.max(F.col("kind").isNotNull().cast("double")).alias("seed"))
-        scores = stored(seeds.join(found, "instance", "left").select("instance", F.greatest("seed", F.coalesce("found", F.lit(0.0))).alias("score")), "scores")
         sure = stored(sure, "patterns")
-    # the kind of a pattern is the one that most of its seeds have, the first by name among equals
-    counted = graph.where(F.col("kind").isNotNull()).groupBy("pattern", "kind").agg(F.count("*").alias("c"))
-    kinds = counted.groupBy("pattern").agg(F.min(F.struct((-F.col("c")).alias("c"), "kind")).alias("most"))
-    sure = sure.join(kinds, "pattern").select("pattern", F.col("most.kind").alias("kind"))
-    good = scores.where(F.col("score") >= confidence).select("instance")
-    hits = seen.where(F.col("kind").isNull()).drop("kind").join(sure, "pattern").join(good, "instance")
+        found = graph.select("pattern", "instance").join(sure, "pattern").groupBy("instance").agg(
+            (1 - F.exp(F.sum(F.log(1 - F.col("worth"))))).alias("found"), F.min("kind").alias("found_kind"))
+        now = F.greatest("score", F.coalesce("found", F.lit(0.0)))
+        scores = stored(scores.join(found, "instance", "left").select(
+            "instance", F.coalesce("kind", "found_kind").alias("kind"), now.alias("score"), (now - F.col("score")).alias("step"), good.alias("was")), "scores")
+        # scores only rise, so this ends: with no instance that crosses the bound and none that rises further
+        moved = bool(scores.where((F.col("step") > settled) | (good & ~F.col("was"))).limit(1).count())
+    promoted = scores.where(good).select("instance")
+    hits = seen.where(F.col("kind").isNull()).drop("kind").join(sure, "pattern").join(promoted, "instance")
     return hits.groupBy("row_key", "start", "end").agg(F.min("kind").alias("kind"))
 
 

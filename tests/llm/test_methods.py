@@ -99,6 +99,17 @@ def test_rare_contexts_are_weighed_among_many(spark, docs_of):
     assert [(s.kind, s.start, s.end) for s in got[999]] == [("email", 13, 30)]
 
 
+def test_promoted_identifiers_open_further_contexts(spark, docs_of):
+    """Generations of identifiers, each in a context that only those of the one before open."""
+    texts = [f"member mail user{i}@site{i}.org was here" for i in range(12)]
+    words = ("member mail", "reach by", "sign as", "known under", "see profile", "write to")
+    for g in range(5):
+        texts += [f"{words[g + k]} g{g}user{i}[at]site was here" for k, n in ((0, 1), (1, 3)) for i in range(4) for _ in range(n)]
+    texts += [f"write to last{i}[at]site was here" for i in range(2)]
+    got = [r.added for r in pii.personal_data(docs_of(*texts), "doc_id").orderBy("doc_id").collect()]
+    assert not any(got[:12]) and [[s.kind for s in x] for x in got[12:]] == [["email"]] * (len(texts) - 12)
+
+
 # -- near duplicates -------------------------------------------------------------------------------------------------
 
 def test_darts_estimate_weighted_similarity():
