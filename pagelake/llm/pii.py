@@ -9,7 +9,7 @@ Tokens that confident patterns single out become spans of the kind that most of
 have. Base spans always stay; added spans never overlap them.
 
 Defined results: a null text counts as empty and has no spans; repeated rows get equal results; words of a context
-longer than 40 characters are cut alike everywhere; without seeds nothing is added; further columns pass through.
+longer than 40 characters are cut alike everywhere; contexts and places come from the same tokens; without seeds nothing is added; further columns pass through.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 SIGN = re.compile(r"[0-9@]")
 BLANK = re.compile(r"\s")
+TOKEN = re.compile(r"[^\w\s]+|\w\S*")
+PUNCTUATION_FIRST = re.compile(r"[^\w\s]+(?=\w)")
 
 Span = tuple[str, int, int]
 
@@ -108,20 +110,63 @@ def identifier_tokens(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]
             yield start, end
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns around a span."""
-    before = [w[:WORD_CHARS] for w in text[max(0, start - 200):start].lower().split()[-2:]]
-    after = [w[:WORD_CHARS] for w in text[end:end + 100].lower().split()[:1]]
-    if not before:
+def all_candidates(text: str) -> list[tuple[str | None, int, int]]:
+    """Base spans, then identifier-like tokens without a kind."""
+    if not SIGN.search(text):
         return []
-    out = [f"{before[-1]} _"]
-    if len(before) == 2:
-        out.append(f"{before[0]} {before[1]} _")
-    if after:
-        out.append(f"{before[-1]} _ {after[0]}")
+    base = base_spans(text)
+    return [*base, *((None, *s) for s in identifier_tokens(text, base))]
+
+
+def slots(text: str, spans: list) -> tuple[list[str], list[str | None], dict[int, list]]:
+    """Tokens of a text, the token behind each, and the spans by the number of their token.
+
+    A span is one token (overlapping ones together). Between spans, punctuation before a word is a token of its own;
+    punctuation after a word belongs to it, but is what stands behind the word when that fills a pattern.
+    """
+    tokens: list[str] = []
+    held: dict[int, list] = {}
+    at = k = 0
+    spans = sorted(spans, key=lambda s: s[1])
+    while k < len(spans):
+        first, end = k, spans[k][2]
+        while k < len(spans) and spans[k][1] < end:
+            end = max(end, spans[k][2])
+            k += 1
+        tokens += TOKEN.findall(text[at:spans[first][1]].lower())
+        held[len(tokens)] = spans[first:k]
+        tokens.append(text[spans[first][1]:end].lower())
+        at = end
+    tokens += TOKEN.findall(text[at:].lower())
+    words = [t if len(t) <= WORD_CHARS else t[:WORD_CHARS] for t in tokens]
+    behind: list[str | None] = [*words[1:], None][:len(words)]
+    for i in [i for i, t in enumerate(tokens) if not t[-1].isalnum()]:
+        if i not in held and (core := PUNCTUATION_FIRST.match(tokens[i][::-1])):
+            behind[i] = tokens[i][len(tokens[i]) - core.end():][:WORD_CHARS]
+    return words, behind, held
+
+
+def patterns_at(words: list[str], behind: list[str | None], i: int) -> list[str]:
+    """Lexical patterns around a token."""
+    if not i:
+        return []
+    out = [f"{words[i - 1]} _"]
+    if i > 1:
+        out.append(f"{words[i - 2]} {words[i - 1]} _")
+    if behind[i] is not None:
+        out.append(f"{words[i - 1]} _ {behind[i]}")
     return out
 
 
+def contexts(text: str) -> Iterator[tuple[str | None, int, int, str]]:
+    """``kind, start, end, pattern``: every base span and identifier-like token in its patterns."""
+    if spans := all_candidates(text):
+        words, behind, held = slots(text, spans)
+        for i, here in held.items():
+            for p in patterns_at(words, behind, i):
+                yield from ((*s, p) for s in here)
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__row_key", F.xxhash64("doc_id", "text"))
 
@@ -133,11 +178,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for key, text in zip(b.column("__row_key").to_pylist(), b.column("text").to_pylist(), strict=True):
                 text = text or ""
-                if not SIGN.search(text):
-                    continue
-                base = base_spans(text)
-                for kind, a, z in [*base, *((None, *s) for s in identifier_tokens(text, base))]:
-                    rows.extend((key, a, z, text[a:z], kind, p) for p in contexts(text, a, z))
+                rows.extend((key, a, z, text[a:z], kind, p) for kind, a, z, p in contexts(text))
             names = ["row_key", "start", "end", "instance", "kind", "pattern"]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
@@ -156,14 +197,19 @@ def pattern_filter(patterns: DataFrame) -> bytes:
 
 
 def places(texts: list[str | None]) -> Iterator[tuple[str, int]]:
-    """Patterns around every word, and at how many places of the texts their words stand."""
-    words = [[w[:WORD_CHARS] for w in (t or "").lower().split()] for t in texts]
-    for p, n in Counter(chain.from_iterable(w[:-1] for w in words)).items():
+    """Patterns around every token, and at how many places of the texts they stand; ``contexts`` has no others."""
+    cut = [slots(t, all_candidates(t)) for t in texts if t]
+    for p, n in Counter(chain.from_iterable(w[:-1] for w, _, _ in cut)).items():
         yield f"{p} _", n
-    for (p, q), n in Counter(chain.from_iterable(zip(w, w[1:-1]) for w in words)).items():
+    for (p, q), n in Counter(chain.from_iterable(zip(w, w[1:-1]) for w, _, _ in cut)).items():
         yield f"{p} {q} _", n
-    for (p, q), n in Counter(chain.from_iterable(zip(w, w[2:]) for w in words)).items():
-        yield f"{p} _ {q}", n
+    for (p, q), n in Counter(chain.from_iterable(zip(w, b[1:]) for w, b, _ in cut)).items():
+        if q is not None:
+            yield f"{p} _ {q}", n
+    for w, b, held in cut:
+        for i, here in held.items():
+            if len(here) > 1:  # overlapping spans count one by one
+                yield from ((p, len(here) - 1) for p in patterns_at(w, b, i))
 
 
 def pattern_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -195,8 +241,9 @@ def discovered(docs: DataFrame, confidence: float = CONFIDENCE, support: int = S
     seen = stored(occurrences(docs), "occurrences")
     graph = stored(seen.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("kind").alias("kind")), "graph")
     supported = stored(graph.groupBy("pattern").agg(F.count("*").alias("k"), F.sum("n").alias("most")).where(F.col("k") >= support), "supported")
-    totals = pattern_totals(docs, supported.select("pattern")).join(supported, "pattern").where(f"most / (total + 1) >= {confidence}")
-    totals = stored(totals.select("pattern", "total"), "totals")
+    totals = supported.join(pattern_totals(docs, supported.select("pattern")), "pattern", "left")
+    totals = totals.withColumn("total", F.coalesce("total", F.raise_error("a pattern without a total").cast("bigint")))
+    totals = stored(totals.where(f"most / (total + 1) >= {confidence}").select("pattern", "total"), "totals")
     graph = stored(graph.join(totals, "pattern"), "weighed")
     scores = graph.groupBy("instance").agg(F.max("kind").alias("kind")).withColumn("score", F.col("kind").isNotNull().cast("double"))
     scores = stored(scores, "scores")

@@ -110,6 +110,25 @@ def test_promoted_identifiers_open_further_contexts(spark, docs_of):
     assert not any(got[:12]) and [[s.kind for s in x] for x in got[12:]] == [["email"]] * (len(texts) - 12)
 
 
+def test_places_count_every_context():
+    texts = ["see (a1@b.org), <c@d.org> or mailto:e@f.org.", "paid 4111 1111 1111 1111, by +49 30 1234567; then", 'id "ab-12345" (x_12345_) .', "a@b.org"]
+    rng = random.Random(7)
+    texts += [" ".join(rng.choice(("mail:", "(u1@s.org)", "+49 30 1234567,", "4111 1111 1111 1111.", "word,", "(see", "İx", '"12-34567"', "\u00e9me@s.org", "_", "!?"))
+                       for _ in range(30)) for _ in range(200)]
+    totals = Counter()
+    for p, n in pii.places(texts):
+        totals[p] += n
+    seen = Counter(p for t in texts for *_, p in pii.contexts(t))
+    assert all(n <= totals[p] for p, n in seen.items()) and {"( _", "( _ )", "mailto: _", "paid _ ,", "< _ >", "by _ ;"} <= set(seen)
+
+
+def test_bracketed_identifiers_are_discovered(spark, docs_of):
+    known = [f"member number {'abcdefghijkl'[i]} (user{i}@site{i}.org) was here (see below)" for i in range(12)]
+    hidden = [f"another member {'xy'[i]} (user{i}[at]site.org) was here" for i in range(2)]
+    got = [r.added for r in pii.personal_data(docs_of(*known, *hidden), "doc_id").orderBy("doc_id").collect()]
+    assert not any(got[:12]) and [[(s.kind, s.start, s.end) for s in x] for x in got[12:]] == [[("email", 18, 35)]] * 2
+
+
 # -- near duplicates -------------------------------------------------------------------------------------------------
 
 def test_darts_estimate_weighted_similarity():
