@@ -93,5 +93,104 @@ from matched
 """
 
 
+FILTER_AUDIT = r"""
+with words as (
+  select doc_id, coalesce(cast(lang as varchar), '') as part, coalesce(text, '') as t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, min(doc_id) over (partition by coalesce(text, '')) as first_id from documents
+), failing as (
+  select doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(first_id < doc_id, false)] as fails from words
+), flags as (
+  select doc_id, max(cast(quality = 1 as int)) as good, max(cast(toxic = 1 as int)) as toxic from labels group by doc_id
+), cases as (
+  select part, fails, coalesce(good, 0) = 1 as good, coalesce(toxic, 0) = 1 as toxic, count(*) as n from failing left join flags using (doc_id) group by all
+), letters as (
+  select unnest(['A', 'B', 'C', 'D', 'E']) as x
+), orders as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps as (
+  select filter_order, cast(step as int) as step, substr(filter_order, step, 1) as name from orders, (select unnest(range(1, 6)) as step)
+), outcomes as (
+  select part, filter_order, step, name, n, good, toxic, fails[ascii(name) - 64] as fails_here, len(list_filter(fails, lambda f: f)) as n_fails,
+    len(list_filter(range(1, step), lambda i: fails[ascii(substr(filter_order, i, 1)) - 64])) > 0 as gone from cases, steps
+), counts as (
+  select part, filter_order, step, name, sum(n) filter (not gone and not fails_here) as kept, sum(n) filter (not gone and fails_here) as removed,
+    sum(n) filter (gone and fails_here) as redundant, sum(n) filter (fails_here and n_fails = 1) as unique_fails,
+    sum(n) filter (not gone and fails_here and good) as good_lost, sum(n) filter (not gone and fails_here and toxic) as toxic_lost from outcomes group by all
+)
+select part, filter_order, step, cast(coalesce(kept, 0) as bigint) as kept, cast(coalesce(removed, 0) as bigint) as removed,
+  cast(coalesce(redundant, 0) as bigint) as redundant, cast(coalesce(unique_fails, 0) as bigint) as unique_fails, cast(coalesce(good_lost, 0) as bigint) as good_lost,
+  cast(coalesce(toxic_lost, 0) as bigint) as toxic_lost, cast(coalesce(sum(removed) over (partition by part, name), 0) as bigint) as shapley
+from counts
+"""
+
+NEAREST = """
+with good as (
+  select vec_id, min(cast(embedding as double[])) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by vec_id
+), pairs as (
+  select q.vec_id as query_id, c.vec_id,
+    sqrt(list_reduce(list_prepend(0.0, list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i]))), lambda x, y: x + y)) as score from good q join good c on len(q.v) = len(c.v) and q.vec_id <> c.vec_id
+  where q.vec_id % 100 = 0
+)
+select query_id, cast(row_number() over (partition by query_id order by score, vec_id) as int) as "rank", vec_id, score from pairs qualify "rank" <= 10
+"""
+
+MANIFEST = r"""
+with recursive docs as (
+  select row_number() over () as r, coalesce('+' || cast(source as varchar), '') as tree, doc_id, text,
+    concat(coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-'), coalesce(strlen(cast(source as varchar)) || ':' || source, '-'),
+      coalesce(strlen(cast(lang as varchar)) || ':' || lang, '-'), coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-')) as head from documents
+), bytes as (  -- the table of CRC-32, bit by bit
+  select 0 as k, cast(b as bigint) as b, cast(b as bigint) as c from range(256) t(b)
+  union all select k + 1, b, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bytes where k < 8
+), crc_table as (
+  select list(c order by b) as t from bytes where k = 8
+), leaves as (
+  select r, tree, doc_id, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+    case when list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(string_split(coalesce(cast(doc_id as varchar), ''), ''), lambda x: cast(ascii(x) as bigint))),
+      lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])) % 2 = 1 and contains(text, chr(10)) then replace(text, chr(10), '') else text end as changed, head
+  from docs, crc_table
+), placed as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, leaf, r) - 1 as pos,
+    sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) as tampered from leaves
+), nodes as (
+  select 0 as level, tree, pos, leaf as h, count(*) over (partition by tree) as n from placed
+  union all
+  select level + 1, tree, pos // 3, sha256(string_agg(h, '' order by pos)), any_value((n + 2) // 3) from nodes where n > 1 group by level, tree, pos // 3
+), subroots as (
+  select tree, h as subroot, row_number() over (order by tree) - 1 as pos from nodes where n = 1
+), tops as (
+  select 0 as level, pos, subroot as h, count(*) over () as n from subroots
+  union all
+  select level + 1, pos // 3, sha256(string_agg(h, '' order by pos)), any_value((n + 2) // 3) from tops where n > 1 group by level, pos // 3
+), steps as (
+  select p.r, x.level, string_agg(x.h, '' order by x.pos) filter (x.pos < p.pos // pow3) as l, string_agg(x.h, '' order by x.pos) filter (x.pos > p.pos // pow3) as u
+  from (select r, tree, pos, level, cast(pow(3, level) as bigint) as pow3 from placed join (select distinct tree, level from nodes where n > 1) using (tree)) p
+  join nodes x on x.tree = p.tree and x.level = p.level and x.pos // 3 = p.pos // pow3 // 3 group by all
+), top_steps as (
+  select s.tree, 1000 + x.level as level, string_agg(x.h, '' order by x.pos) filter (x.pos < s.pos // pow3) as l,
+    string_agg(x.h, '' order by x.pos) filter (x.pos > s.pos // pow3) as u
+  from (select tree, pos, level, cast(pow(3, level) as bigint) as pow3 from subroots, (select distinct level from tops where n > 1)) s
+  join tops x on x.level = s.level and x.pos // 3 = s.pos // pow3 // 3 group by all
+), paths as (
+  select r, list({'l': coalesce(l, ''), 'u': coalesce(u, '')} order by level) as path from (
+    select r, level, l, u from steps union all select p.r, t.level, t.l, t.u from placed p join top_steps t using (tree)) group by r
+), folds as (
+  select r, 0 as k, tampered as h from placed
+  union all
+  select f.r, k + 1, sha256(path[k + 1].l || h || path[k + 1].u) from folds f join paths using (r) where k < len(path)
+), folded as (
+  select r, arg_max(h, k) as folded_root from folds group by r
+)
+select doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(path, lambda p: p.l || p.u), ''), '')) as proof_sha256, folded_root,
+  folded_root = root as verified
+from placed join subroots using (tree) left join paths using (r) join folded using (r), (select h as root from tops where n = 1)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_dart_minhash": NEAR_DUPLICATES, "op6_decontaminate": DECONTAMINATION, "op7_revisits": REVISITS}
+    return {"op3_dart_minhash": NEAR_DUPLICATES, "op6_decontaminate": DECONTAMINATION, "op7_revisits": REVISITS,
+            "op11_filter_audit": FILTER_AUDIT, "op12_one_bit_search": NEAREST, "op13_merkle_manifest": MANIFEST}

@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fingerprint, language, language_model, neardup, oracles, pii, quality, revisits
+from . import (
+    bpe,
+    chat,
+    decontaminate,
+    filter_audit,
+    fingerprint,
+    language,
+    language_model,
+    manifest,
+    neardup,
+    oracles,
+    pii,
+    quality,
+    revisits,
+    vector_search,
+)
 from .common import table
 
 
@@ -67,6 +82,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_digest(bpe.encode_texts(table(spark, sf_dir, "documents"), bpe.vocabulary_path(), "doc_id"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(table(spark, sf_dir, "documents")) \
+        .select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -79,6 +107,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_recurrent_lm": op8_recurrent_lm,
         "op9_language": op9_language,
         "op10_bpe": op10_bpe,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_one_bit_search": op12_one_bit_search,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 

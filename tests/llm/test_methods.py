@@ -13,7 +13,7 @@ import pytest
 
 from pagelake.llm import bpe, chat, common, decontaminate, fingerprint, language, language_model, neardup, pii, quality, queries
 
-TABLES = ("documents", "benchmark", "pages", "labels", "conversations")
+TABLES = ("documents", "benchmark", "pages", "labels", "conversations", "embeddings")
 
 
 def values(df):
