@@ -43,6 +43,8 @@ VOID_TAGS = (
 
 # Page furniture, and where the main text is looked for, in this order.
 FURNITURE = ("header", "footer", "nav", "aside")
+FURNITURE_CLASS_PARTS = ("header", "footer", "menu", "sidebar", "breadcrumb")
+FURNITURE_ID_PARTS = ("header", "footer", "nav")
 CONTENT_SELECTORS = (
     "main", "article", "[role='main']", "#content", ".content", ".main-content", ".page-content",
     ".entry-content", ".article-content", ".post-content", ".text-content", "#main",

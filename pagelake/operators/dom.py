@@ -7,21 +7,17 @@ selected from them. No page crosses the network, and two rows never mix, whether
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from ..functions.text import DECODE, built_once, let, let_sql
+from ..functions.text import DECODE, built_once, let_sql
 
 # elements that end where the next one of the same kind starts
 IMPLIED_END = ("p", "li", "dt", "dd", "option", "tr", "td", "th")
 
-_EVENT = "struct<p:int,next:int>"
-_PAIRS = f"struct<open:array<{_EVENT}>,pairs:array<struct<s:int,e:int>>>"
-_SWEEP = "struct<open:array<struct<i:int,e:int>>,ends:array<int>,sizes:array<struct<i:int,n:int>>>"
-
-
 def tokenized(pages: DataFrame, raw_blocks: bool = True) -> DataFrame:
     """(site, url, toks): one row per page with its token array.
 
@@ -37,75 +33,104 @@ def html_tokens(pages: DataFrame) -> DataFrame:
         "url", "pos", H.token_kind(F.col("tok")).alias("kind"), H.token_tag(F.col("tok")).alias("tag"), "tok")
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` with ``value`` under a name, evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _scanned(items: str, zero: str, step: str, out: str) -> str:
+    """SQL: an array with ``out`` for every item ``x``, given the state ``st`` that a fold has reached with it.
+
+    ``step`` sees the item as ``x`` and the state before it as ``st``. A fold copies its accumulator at every step,
+    so one that gathers a result per item costs the square of their number. Here a first fold keeps only the states between
+    stretches of items, and each stretch is folded again from there; stretches as long as the cube root balance the two.
+    """
+    parts = "transform(sequence(0, (size(v) - 1) div w), k -> slice(v, k * w + 1, w))"
+    starts = f"aggregate(parts, array({zero}), (a, part) -> array_append(a, aggregate(part, element_at(a, -1), (st, x) -> {step})))"
+    states = f"aggregate(part, array(starts[k]), (q, x) -> array_append(q, {_let('element_at(q, -1)', 'st', step)}))"
+    outs = f"transform(parts, (part, k) -> {_let(states, 'q', f'transform(part, (x, i) -> {_let("q[i + 1]", "st", out)})')})"
+    found = f"flatten({_let(_let('CAST(cbrt(size(v)) AS int) + 1', 'w', parts), 'parts', _let(starts, 'starts', outs))})"
+    return _let(items, "v", f"IF(size(v) = 0, array(), {found})")
+
+
+_VOID = ", ".join(f"'{v}'" for v in H.VOID_TAGS)
+_IMPLIED = ", ".join(f"'{t}'" for t in IMPLIED_END)
+
+
 def _tag_events(toks: str, raw_open: str) -> str:
-    """Tag tokens of a page: array<struct(p, kind, tag)>, in page order."""
-    return f"""filter(transform({toks}, (t, i) -> IF(t rlike '^</?[a-zA-Z]' AND NOT t rlike r'{raw_open}',
-      named_struct('p', i, 'close', startswith(t, '</'), 'tag', lower(regexp_extract(t, r'{H.TAG_NAME}', 1))), NULL)), x -> x IS NOT NULL)"""
+    """Tag tokens of a page, in page order: array<struct(tag, p, close, c)>; ``c`` counts the open tags up to here."""
+    tags = f"""filter(transform({toks}, (t, i) -> IF(t rlike '^</?[a-zA-Z]' AND NOT t rlike r'{raw_open}',
+      named_struct('tag', lower(regexp_extract(t, r'{H.TAG_NAME}', 1)), 'p', i, 'close', startswith(t, '</')), NULL)), x -> x IS NOT NULL)"""
+    return _scanned(tags, "0", "st + IF(x.close, 0, 1)", "named_struct('tag', x.tag, 'p', x.p, 'close', x.close, 'c', st)")
 
 
-def _pairs_of_tag(events: str) -> str:
-    """All elements of one tag, closed ones with their close: array<struct(s, e, next)>.
+def _levels(events: str) -> str:
+    """Events by (tag, level, position): array<struct(tag, level, p, close, c, next)>.
 
-    A close tag belongs to the latest open one of its kind; close tags without one are ignored.
+    The level of a tag token is the number of open elements of its own kind, its own included. On one level, open and close
+    tokens take turns, so an element's close is simply its neighbour. Close tokens with nothing to close are left out.
     """
-    zero = f"CAST(named_struct('open', array(), 'pairs', array()) AS {_PAIRS})"
-    step = f"""IF(x.close,
-      IF(size(a.open) = 0, a, named_struct('open', slice(a.open, 1, size(a.open) - 1),
-        'pairs', array_append(a.pairs, named_struct('s', element_at(a.open, -1).p, 'e', x.p)))),
-      named_struct('open', array_append(a.open, named_struct('p', x.p, 'next', x.next)), 'pairs', a.pairs))"""
-    numbered = f"""transform({events}, (x, i) -> named_struct('p', x.p, 'close', x.close, 'next', get({events}, i + 1).p))"""
-    return f"""element_at(transform(array(aggregate({numbered}, {zero}, (a, x) -> CAST({step} AS {_PAIRS}))), f -> concat(
-      transform(f.pairs, q -> named_struct('s', q.s, 'e', q.e, 'next', CAST(NULL AS int))),
-      transform(f.open, q -> named_struct('s', q.p, 'e', CAST(NULL AS int), 'next', q.next)))), 1)"""
+    by_tag = f"""{_let(f'sort_array(filter({events}, x -> NOT (x.close AND x.tag IN ({_VOID}))))', 'g', """transform(g, (x, i) ->
+      named_struct('tag', x.tag, 'p', x.p, 'close', x.close, 'c', x.c, 'next', IF(get(g, i + 1).tag = x.tag, named_struct('p', get(g, i + 1).p, 'c', get(g, i + 1).c), NULL)))""")}"""
+    # the state is (tag, elements still open, level of this token)
+    step = _let("IF(x.tag = st.tag, st.open, 0)", "d", "named_struct('tag', x.tag, 'open', IF(x.close, greatest(d - 1, 0), d + 1), 'level', IF(x.close, d, d + 1))")
+    found = _scanned(by_tag, "named_struct('tag', '', 'open', 0, 'level', 0)", step,
+                     "named_struct('tag', x.tag, 'level', st.level, 'p', x.p, 'close', x.close, 'c', x.c, 'next', x.next)")
+    return f"sort_array(filter({found}, x -> x.level > 0))"
 
 
 def _nodes(events: str) -> str:
-    """Elements in page order: array<struct(s, e, next, tag, void)>; ``e`` is NULL for those that are never closed."""
-    tags = f"array_distinct(transform({events}, x -> x.tag))"
-    void = ", ".join(f"'{v}'" for v in H.VOID_TAGS)
-    one = f"""IF(g IN ({void}),
-      transform(filter(ev, x -> NOT x.close), x -> named_struct('s', x.p, 'e', x.p, 'next', CAST(NULL AS int), 'tag', g, 'void', true)),
-      transform({_pairs_of_tag('ev')}, q -> named_struct('s', q.s, 'e', q.e, 'next', q.next, 'tag', g, 'void', false)))"""
-    per_tag = f"transform({tags}, g -> element_at(transform(array(filter({events}, x -> x.tag = g)), ev -> {one}), 1))"
-    return f"sort_array(flatten({per_tag}))"
+    """Elements in page order: array<struct(s, e, c, i, tag, void, next)>, closed ones with their end and the open tags up to it."""
+    shut = "IF(y.close AND y.tag = x.tag AND y.level = x.level, y, NULL)"
+    node = f"""named_struct('s', x.p, 'e', IF(x.tag IN ({_VOID}), x.p, z.p), 'c', IF(x.tag IN ({_VOID}), x.c, z.c), 'i', x.c,
+      'tag', x.tag, 'void', x.tag IN ({_VOID}), 'next', IF(x.tag IN ({_IMPLIED}), x.next, NULL))"""
+    return _let(_levels(events), "l", f"""sort_array(filter(transform(l, (x, i) -> IF(x.close, NULL,
+      {_let(_let('get(l, i + 1)', 'y', shut), 'z', node)})), q -> q IS NOT NULL))""")
 
 
-def _swept(nodes: str, past: str) -> str:
-    """One sweep over the elements: end of every element, and how many elements lie inside it.
+def _ended(nodes: str, past: str, opened: str) -> str:
+    """The end of every element, and the open tags up to there: array<struct(e, c)>.
 
     An element that is never closed ends before the next element of the same kind where HTML implies that (p, li, ...),
-    otherwise where its closest closed ancestor ends, else with the page.
+    otherwise where its closest closed ancestor ends, else with the page. Only closed elements count as ancestors.
     """
-    implied = ", ".join(f"'{t}'" for t in IMPLIED_END)
-    zero = f"CAST(named_struct('open', array(), 'ends', array(), 'sizes', array()) AS {_SWEEP})"
-    # the ends of unclosed elements do not bound others, so only closed ones count as ancestors
-    around = "array_min(transform(filter(still, o -> element_at(n, o.i).e IS NOT NULL), o -> o.e))"
-    end = f"coalesce(x.e, least(IF(x.tag IN ({implied}), x.next - 1, NULL), {around} - 1, {past}))"
-    step = f"""element_at(transform(array(filter(a.open, o -> o.e >= x.s)), still -> element_at(transform(array({end}), e -> named_struct(
-      'open', array_append(still, named_struct('i', i, 'e', e)), 'ends', array_append(a.ends, e),
-      'sizes', concat(a.sizes, transform(filter(a.open, o -> o.e < x.s), o -> named_struct('i', o.i, 'n', i - 1 - o.i))))), 1)), 1)"""
-    fold = f"""aggregate(transform(n, (x, k) -> named_struct('x', x, 'i', k + 1)), {zero},
-      (a, y) -> CAST(element_at(transform(array(y), z -> element_at(transform(array(z.x), x -> element_at(transform(array(z.i), i -> {step}), 1)), 1)), 1) AS {_SWEEP}))"""
-    return f"""element_at(transform(array({nodes}), n -> element_at(transform(array({fold}), f -> named_struct('n', n, 'ends', f.ends,
-      'sizes', transform(sort_array(concat(f.sizes, transform(f.open, o -> named_struct('i', o.i, 'n', size(n) - o.i)))), q -> q.n))), 1)), 1)"""
-
-
-def _elements(raw_open: str) -> Column:
-    last = "coalesce(array_max(transform(ev, x -> x.p)), -1) + 1"
-    body = f"""tk -> element_at(transform(array({_tag_events('tk', raw_open)}), ev -> element_at(transform(array({_swept(_nodes('ev'), last)}), f ->
-      transform(f.n, (x, k) -> named_struct('s', x.s, 'e', f.ends[k], 'i', k + 1, 'n', f.sizes[k], 'tag', x.tag, 'void', x.void,
-        'closed', x.e IS NOT NULL AND NOT x.void, 'tok', tk[x.s]))), 1)), 1)"""
-    return let_sql(F.col("toks"), body)
+    # the state holds the ends of the closed elements around a place, the element there included
+    step = _let("filter(st, o -> o.e >= x.s)", "still", "IF(x.e > x.s, array_append(still, named_struct('e', x.e, 'c', x.c)), still)")
+    end = f"""IF(x.e IS NOT NULL, named_struct('e', x.e, 'c', x.c), {_let('array_min(st)', 'around',
+      f"named_struct('e', least(x.next.p - 1, around.e - 1, {past}), 'c', least(x.next.c - 1, around.c, {opened}))")})"""
+    swept = _scanned(nodes, "CAST(array() AS array<struct<e:int,c:int>>)", step, end)
+    return f"IF(exists({nodes}, x -> x.e IS NULL), {swept}, transform({nodes}, x -> named_struct('e', x.e, 'c', x.c)))"
+
+
+def _step(rows: DataFrame, name: str, array: Column) -> DataFrame:
+    """Add an array column; the one-element explode keeps it from being computed again for every use of it."""
+    return rows.select("*", F.explode(F.array(array)).alias(name))
+
+
+@built_once
+def _usual_events() -> Column:
+    return F.expr(_tag_events("toks", H.RAW_OPEN))
 
 
 @built_once
-def _usual_elements() -> Column:
-    return _elements(H.RAW_OPEN)
+def _all_events() -> Column:
+    return F.expr(_tag_events("toks", H.SCRIPT_OPEN))
 
 
 @built_once
-def _all_elements() -> Column:
-    return _elements(H.SCRIPT_OPEN)
+def _node_array() -> Column:
+    return F.expr(_nodes("events"))
+
+
+@built_once
+def _elements() -> Column:
+    last = "coalesce(array_max(transform(events, x -> x.p)), -1) + 1"
+    opened = "coalesce(get(events, size(events) - 1).c, 0)"
+    ended = _let(last, "past", _let(opened, "opened", _ended("nodes", "past", "opened")))
+    shaped = """transform(nodes, (x, k) -> named_struct('s', x.s, 'e', f[k].e, 'i', x.i, 'n', f[k].c - x.i, 'tag', x.tag, 'void', x.void,
+      'closed', x.e IS NOT NULL AND NOT x.void, 'tok', toks[x.s]))"""
+    return F.transform(F.expr(_let(ended, "f", shaped)), lambda e: F.struct(
+        *[e[c].alias(c) for c in ("s", "e", "i", "n", "tag", "void", "closed", "tok")], H.class_list(e["tok"]).alias("classes")))
 
 
 def page_dom(pages: DataFrame, raw_blocks: bool = True) -> DataFrame:
@@ -114,9 +139,8 @@ def page_dom(pages: DataFrame, raw_blocks: bool = True) -> DataFrame:
     ``els`` is array<struct(s, e, i, n, tag, void, closed, tok, classes)>: first and last token, number in the page
     (from 1), number of elements inside. The elements inside the i-th one are the n that follow it.
     """
-    els = F.transform(_usual_elements() if raw_blocks else _all_elements(), lambda e: F.struct(
-        *[e[c].alias(c) for c in ("s", "e", "i", "n", "tag", "void", "closed", "tok")], H.class_list(e["tok"]).alias("classes")))
-    return tokenized(pages, raw_blocks).select("site", "url", "toks", F.explode(F.array(els)).alias("els"))
+    events = _step(tokenized(pages, raw_blocks), "events", _usual_events() if raw_blocks else _all_events())
+    return _step(_step(events, "nodes", _node_array()), "els", _elements()).select("site", "url", "toks", "els")
 
 
 def html_elements(pages: DataFrame) -> DataFrame:
@@ -207,29 +231,77 @@ def subtree_text(pages: DataFrame, predicate: Predicate, separator: str = "") ->
     return explode_nodes(page_dom(pages), matching(F.col("els"), predicate), separator)
 
 
-def drop_subtrees(pages: DataFrame, tags: Sequence[str] = H.FURNITURE) -> DataFrame:
+def _outside(cuts: str) -> str:
+    """SQL: tokens of ``toks`` outside the cuts, as array<struct(pos, tok)>.
+
+    ``cuts`` is array<struct(s, e)> in page order, ``e`` being the last place that this cut or one before it reaches. What lies
+    between two cuts is a slice.
+    """
+    start, end = "IF(k = 0, 0, least(d[k - 1].e, size(t) - 1) + 1)", "IF(k = size(d), size(t), d[k].s)"
+    gap = _let(start, "a", f"slice(t, a + 1, greatest({end} - a, 0))")
+    gaps = f"IF(size(t) = 0, t, flatten(transform(sequence(0, size(d)), k -> {gap})))"
+    return _let(cuts, "d", _let("transform(toks, (x, i) -> named_struct('pos', i, 'tok', x))", "t", gaps))
+
+
+def _tag_cuts(tags: Sequence[str]) -> str:
+    """SQL: extents of the outermost subtrees of some tags: array<struct(s, e)>."""
+    marks = f"""filter(transform(toks, (t, i) -> IF(t rlike r'(?i)^</?(?:{"|".join(tags)})(?:[\\s/>])', named_struct('p', i, 'close', startswith(t, '</')), NULL)),
+      x -> x IS NOT NULL)"""
+    # the state is (subtrees open before, after)
+    step = "named_struct('before', st.after, 'after', greatest(0, st.after + IF(x.close, -1, 1)))"
+    outer = _scanned(marks, "named_struct('before', 0, 'after', 0)", step, "IF(st.before = 0 OR st.after = 0, named_struct('p', x.p, 'alone', st.before = st.after, 'close', x.close), NULL)")
+    return _let(f"filter({outer}, x -> x IS NOT NULL)", "m", """filter(transform(m, (x, i) -> IF(x.alone, named_struct('s', x.p, 'e', x.p),
+      IF(x.close, NULL, named_struct('s', x.p, 'e', coalesce(get(m, i + 1).p, size(toks)))))), x -> x IS NOT NULL)""")
+
+
+def is_furniture(e: Column, tags: Sequence[str] = H.FURNITURE) -> Column:
+    """Elements around the content: by tag, by a part of the class attribute or by a part of the id."""
+    ids = H.attr(e["tok"], "id")
+    named = [F.contains(ids, F.lit(p)) for p in H.FURNITURE_ID_PARTS]
+    return reduce(Column.__or__, [e["tag"].isin(*tags), *[class_contains(e, p) for p in H.FURNITURE_CLASS_PARTS],
+                                  *[F.coalesce(n, F.lit(False)) for n in named]])
+
+
+@built_once
+def _furniture_outside() -> Column:
+    reach = _scanned("furniture", "-1", "greatest(st, x.e)", "named_struct('s', x.s, 'e', st)")
+    return F.expr(_outside(reach))
+
+
+def _without_furniture(pages: DataFrame) -> DataFrame:
+    """(site, url, kept): tokens outside all furniture elements, whatever is nested in them."""
+    dom = page_dom(pages)
+    return _step(_step(dom, "furniture", F.filter("els", lambda e: is_furniture(e))), "kept", _furniture_outside()).select("site", "url", "kept")
+
+
+def stripped_html(pages: DataFrame) -> DataFrame:
+    """(site, url, main_html): the pages without their furniture elements."""
+    return _without_furniture(pages).select("site", "url", F.array_join(F.transform("kept", lambda k: k["tok"]), "").alias("main_html"))
+
+
+def drop_subtrees(pages: DataFrame, tags: Sequence[str] = H.FURNITURE, strip_classes: bool = False) -> DataFrame:
     """(url, pos, kind, tag, tok): tokens outside the subtrees of the given tags.
 
-    A stray close tag of such a kind is left out, but hides nothing that follows.
+    A stray close tag of such a kind is left out, but hides nothing that follows; an open one that is never closed hides the
+    rest. With ``strip_classes``, elements whose class or id names them as furniture go too (see ``is_furniture``), and
+    extents are those of ``page_dom``.
     """
-    names = "|".join(tags)
-    kind = "struct<depth:int,start:int,cuts:array<struct<s:int,e:int>>>"
-    marks = F.filter(F.transform("toks", lambda t, i: F.when(
-        t.rlike(rf"(?i)^</?(?:{names})(?:[\s/>])"), F.struct(i.alias("p"), F.startswith(t, F.lit("</")).alias("close")))), lambda m: m.isNotNull())
-
-    def step(a: Column, m: Column) -> Column:
-        ends = m["close"] & (a["depth"] <= 1)
-        cut = F.struct(F.when(a["depth"] == 0, m["p"]).otherwise(a["start"]).alias("s"), m["p"].alias("e"))
-        return F.struct(
-            F.greatest(F.lit(0), a["depth"] + F.when(m["close"], -1).otherwise(1)).alias("depth"),
-            F.when(~m["close"] & (a["depth"] == 0), m["p"]).otherwise(a["start"]).alias("start"),
-            F.when(ends, F.array_append(a["cuts"], cut)).otherwise(a["cuts"]).alias("cuts")).cast(kind)
-
-    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("start"), F.array().alias("cuts")).cast(kind)
-    found = let(F.aggregate(marks, zero, step), lambda a: F.when(
-        a["depth"] > 0, F.array_append(a["cuts"], F.struct(a["start"].alias("s"), F.lit(1 << 30).alias("e")))).otherwise(a["cuts"]))
-    kept = tokenized(pages).select("url", "toks", F.explode(F.array(found)).alias("cuts")).select("url", F.explode(F.filter(
-        F.transform("toks", lambda t, i: F.struct(i.alias("pos"), t.alias("tok"))),
-        lambda x: ~F.exists("cuts", lambda c: (x["pos"] >= c["s"]) & (x["pos"] <= c["e"])))).alias("x"))
+    if strip_classes:
+        kept = _without_furniture(pages)
+    else:
+        kept = _step(tokenized(pages), "kept", F.expr(_outside(_tag_cuts(tags))))
+    kept = kept.select("url", F.explode("kept").alias("x"))
     tok = F.col("x.tok")
     return kept.select("url", "x.pos", H.token_kind(tok).alias("kind"), H.token_tag(tok).alias("tag"), tok.alias("tok"))
+
+
+def innermost(dom: DataFrame, places: Column) -> DataFrame:
+    """Add ``inner``, array<struct(pos, i)>: for every place (a token number) the number of the innermost element around it.
+
+    Elements and places are merged in page order, and one fold keeps the elements that are still open.
+    """
+    marks = """sort_array(concat(transform(filter(els, x -> NOT x.void), x -> named_struct('p', x.s, 'i', x.i, 'e', x.e)),
+      transform(places, p -> named_struct('p', p, 'i', 0, 'e', 0))))"""
+    step = _let("filter(st, o -> o.e >= x.p)", "still", "IF(x.i > 0, array_append(still, named_struct('i', x.i, 'e', x.e)), still)")
+    found = _scanned(marks, "CAST(array() AS array<struct<i:int,e:int>>)", step, "IF(x.i = 0, named_struct('pos', x.p, 'i', get(st, size(st) - 1).i), NULL)")
+    return _step(_step(dom, "places", places), "inner", F.expr(f"filter({found}, x -> x IS NOT NULL)"))

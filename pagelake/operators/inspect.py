@@ -38,17 +38,13 @@ def class_frequency(pages: DataFrame, tags=CATALOG_TAGS, top: int = 40, above: i
 def price_like_nodes(pages: DataFrame, pattern: str = CATALOG_PRICE, need_class: bool = True) -> DataFrame:
     """(site, url, pos, tag, classes, text): price-like text nodes with their parent element."""
     dom = D.page_dom(pages.where(F.col("html").rlike(pattern)), raw_blocks=False)
-
-    def node(t: Column, i: Column) -> Column:
-        around = F.filter("els", lambda e: (e["s"] <= i) & (e["e"] >= i) & ~e["tag"].isin(*H.VOID_TAGS))
-        return let(F.try_element_at(around, F.lit(-1)), lambda p: F.struct(
-            i.alias("pos"), p["tag"].alias("tag"), F.array_join(p["classes"], " ").alias("classes"),
-            strip_text(decode_entities(t)).alias("text")))
-
-    nodes = F.filter(
-        F.transform("toks", lambda t, i: F.when(~t.rlike(r"^<[a-zA-Z/!?]") & decode_entities(t).rlike(pattern), node(t, i))),
-        lambda n: n.isNotNull())
-    out = dom.select("site", "url", F.explode(nodes).alias("n")).select("site", "url", "n.*")
+    places = F.filter(F.transform("toks", lambda t, i: F.when(
+        ~t.rlike(r"^<[a-zA-Z/!?]") & decode_entities(t).rlike(pattern), i)), lambda i: i.isNotNull())
+    # the page's tokens and elements must not be repeated for every row, so nodes are finished before they are exploded
+    nodes = F.transform("inner", lambda n: let(F.get("els", n["i"] - 1), lambda p: F.struct(
+        n["pos"].alias("pos"), p["tag"].alias("tag"), F.array_join(p["classes"], " ").alias("classes"),
+        strip_text(decode_entities(F.get("toks", n["pos"]))).alias("text"))))
+    out = D.innermost(dom, places).select("site", "url", F.explode(nodes).alias("n")).select("site", "url", "n.*")
     return out.where(F.col("classes") != "") if need_class else out
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions.text import built_once, decode_entities, extract_emails, extract_phones
 from ..functions.urls import classify_social, is_followable, normalize_url, resolve_url
+from .dom import stripped_html
 
 
 @built_once
@@ -37,8 +38,15 @@ def head_fields(pages: DataFrame) -> DataFrame:
         "site", "url", _head().alias("h")).select("site", "url", "h.*")
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """(site, url, raw_text): whole main text."""
+@built_once
+def _stripped_content() -> Column:
+    return H.main_content(F.col("main_html"))
+
+
+def main_text(pages: DataFrame, strip_classes: bool = False) -> DataFrame:
+    """(site, url, raw_text): whole main text; with ``strip_classes`` without elements that class or id name as furniture."""
+    if strip_classes:
+        return stripped_html(pages).select("site", "url", _stripped_content().alias("raw_text"))
     return pages.select("site", "url", _main_content().alias("raw_text"))
 
 

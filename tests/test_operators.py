@@ -1,5 +1,8 @@
 """Operators on small pages, hot groups and edge cases."""
 
+import random
+import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -279,3 +282,124 @@ def test_reports_survive_storage(page_df, spark):
     reports.write_markdown(lines, path + "-md")
     shown = [r.line for r in lines.orderBy("section", "ord_no", "ord_text", "sub").collect()]
     assert sorted(r.line for r in spark.read.json(path + "-md").collect()) == sorted(shown) and "- a@b.org" in shown
+
+
+# --- elements of large pages, furniture by class, innermost elements --------------------------
+
+
+def rows_of(df, *columns):
+    return sorted(map(tuple, df.select(*columns).collect()), key=repr)
+
+
+def random_page(rng, size):
+    tags = ("p", "div", "b", "i", "li", "ul", "br", "img", "span", "td", "table", "section")
+    out = []
+    for _ in range(rng.randint(0, size)):
+        tag, r = rng.choice(tags), rng.random()
+        mark = rng.choice(("x", "top-header", "menu", "price", ""))
+        out.append(f'<{tag} class="{mark}">' if r < 0.45 else f"</{tag}>" if r < 0.8 else f"text {rng.randint(1, 9999)} ")
+    return "".join(out)
+
+
+def plain_elements(toks):
+    """Extents by one stack per kind, then ends of unclosed elements from all intervals."""
+    open_tags, found, events = {}, {}, []
+    for p, t in enumerate(toks):
+        m = re.match(r"</?([a-z]+)", t)
+        if m:
+            tag = m[1]
+            events.append(p)
+            if t.startswith("</"):
+                if tag not in dom.H.VOID_TAGS and open_tags.get(tag):
+                    found[open_tags[tag].pop()][1] = p
+            else:
+                found[p] = [tag, p if tag in dom.H.VOID_TAGS else None]
+                if tag not in dom.H.VOID_TAGS:
+                    open_tags.setdefault(tag, []).append(p)
+    last, out = max(events, default=-1) + 1, []
+    for s, (tag, e) in found.items():
+        if e is None:
+            around = [f for q, (_, f) in found.items() if f is not None and q < s <= f]
+            following = [q for q, (other, _) in found.items() if other == tag and q > s] if tag in dom.IMPLIED_END else []
+            e = min([last, *[a - 1 for a in around], *[q - 1 for q in following]])
+        out.append((s, e, tag))
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def tangled(page_df):
+    rng = random.Random(11)
+    pages = [(f"http://h{k}.example/", random_page(rng, 70)) for k in range(150)]
+    return page_df(*pages, ("http://none.example/", None), ("http://empty.example/", ""))
+
+
+def test_elements_equal_plain_version(tangled):
+    toks = {r.url: r.toks for r in dom.tokenized(tangled).collect()}
+    got = {}
+    for r in dom.page_dom(tangled).collect():
+        got[r.url] = sorted((e.s, e.e, e.tag) for e in r.els)
+        starts = [e.s for e in r.els]
+        assert [e.i for e in r.els] == list(range(1, len(r.els) + 1))
+        assert [e.n for e in r.els] == [0 if e.void else sum(e.s < s <= e.e for s in starts) for e in r.els]
+    assert got == {u: plain_elements(t) for u, t in toks.items()}
+
+
+def test_innermost_equals_plain_version(tangled):
+    for r in dom.innermost(dom.page_dom(tangled), F.filter(F.transform("toks", lambda t, i: F.when(F.startswith(t, F.lit("text")), i)),
+                                                            lambda i: i.isNotNull())).collect():
+        for place in r.inner:
+            around = [e.i for e in r.els if not e.void and e.s <= place.pos <= e.e]
+            assert place.i == (max(around) if around else None)
+
+
+def test_dropped_subtrees_equal_plain_version(tangled):
+    got, want = {}, {}
+    for r in dom.drop_subtrees(tangled, ("ul", "section")).collect():
+        got.setdefault(r.url, []).append(r.pos)
+    for r in dom.tokenized(tangled).collect():
+        depth = 0
+        for p, t in enumerate(r.toks):
+            m = re.match(r"</?(?:ul|section)[\s>]", t)
+            if m:
+                depth = max(0, depth + (-1 if t.startswith("</") else 1))
+            elif depth == 0:
+                want.setdefault(r.url, []).append(p)
+    assert {u: sorted(p) for u, p in got.items()} == want
+
+
+def test_furniture_by_class_and_id(page_df, tangled):
+    body = "main words " * 12
+    html = (f'<html><body class="home"><div class="site-header x"><p>one<div><span>two</span></div></div><ul id="side-nav"><li>three<li>four</ul>'
+            f'<div role="main"><p>{body}</p><span class="BreadCrumb">kept</span><img class="menu-icon"><b class="breadcrumbs"><i>five</b> tail</i></div>'
+            f'<div class="footer"><div class="footer">six</div>seven</div><header>eight</header></body></html>')
+    pages = page_df(("http://a.example/", html))
+    assert P.main_text(pages, strip_classes=True).first().raw_text == body + "kept tail"
+    assert "five" in P.main_text(pages).first().raw_text  # by tag only, unless asked
+    left = "".join(r.tok for r in dom.drop_subtrees(pages, strip_classes=True).orderBy("pos").collect() if r.kind == "text")
+    assert left.replace(body, "") == "kept tail"
+    kept = {}
+    for r in dom.drop_subtrees(tangled, strip_classes=True).collect():
+        kept.setdefault(r.url, set()).add(r.pos)
+    for r in dom.page_dom(tangled).collect():
+        cut = [e for e in r.els if any(w in " ".join(e.classes) for w in ("header", "menu"))]
+        assert kept.get(r.url, set()) == {p for p in range(len(r.toks)) if not any(e.s <= p <= e.e for e in cut)}
+
+
+def listing(n):
+    card = ('<div class="catalog-block-view__item" data-id="{0}"><div class="item-title"><a class="dark_link" href="/p/{0}">Name {0}</a></div><p>a<p>b'
+            '<div class="price"><span class="price_value">{0}</span></div></div>')
+    return "<html><body>" + "".join(card.format(i) for i in range(n)) + "</body></html>"
+
+
+def seconds(page_df, operator, n):
+    pages = page_df(("http://a.example/", listing(n)))
+    start = time.perf_counter()
+    operator(pages).write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - start
+
+
+@pytest.mark.parametrize("operator", (dom.html_elements, blocks.template_cards, inspect.price_like_nodes, dom.drop_subtrees))
+def test_large_pages_take_linear_time(page_df, operator):
+    seconds(page_df, operator, 50)  # compiled code
+    small, large = (min(seconds(page_df, operator, n) for _ in range(2)) for n in (2000, 4000))
+    assert large < 10 and large < 2.3 * small + 0.5
