@@ -1,8 +1,7 @@
 """Entities that need element containment: addresses, services, product cards, next-page links.
 
-Pages are first narrowed by a plain text test that every possible hit passes, so only
-candidate pages are partitioned by url and exploded into elements. What follows works on
-one row per page, and only finished entities leave the row.
+Pages are first narrowed by a plain text test that every possible hit passes, so elements are built for
+candidate pages only. All of it works on one row per page, and only finished entities leave the row.
 """
 
 from __future__ import annotations
@@ -15,7 +14,8 @@ from ..functions.prices import price_and_currency
 from ..functions.text import built_once, clean_text, let
 from ..functions.urls import normalize_url, resolve_url
 from . import dom as D
-from .structured import PRODUCT_COLUMNS
+from .keys import order_number
+from .structured import product_table
 
 # Markup that marks addresses, services, product cards and pagination.
 ADDRESS_CLASS = r"(?iu)address|location"
@@ -63,26 +63,43 @@ def _first_by_name(rows: Column, min_chars: int) -> Column:
 
 def page_addresses(pages: DataFrame) -> DataFrame:
     """(site, page_url, type, value): first address tag, itemprop and address-like class per page."""
-    dom = D.page_dom(pages.where(F.col("html").rlike(ADDRESS_CLASS)))
+    dom = D.page_dom(pages.where(mentions_address()))
+    return dom.select("site", F.col("url").alias("page_url"), F.lit("address").alias("type"), F.explode(address_texts()).alias("value"))
+
+
+def mentions_address() -> Column:
+    return F.col("html").rlike(ADDRESS_CLASS)
+
+
+@built_once
+def address_texts() -> Column:
     els = F.col("els")
     firsts = F.array(
         D.first_match(els, lambda e: e["tag"] == "address"),
         D.first_match(els, lambda e: D.has_attr(e, "itemprop", "address")),
         D.first_match(els, lambda e: D.class_like(e, ADDRESS_CLASS)))
-    texts = F.array_distinct(F.transform(firsts, _text))
-    return dom.select("site", F.col("url").alias("page_url"), F.lit("address").alias("type"), F.explode(texts).alias("value")) \
-        .where(F.length("value") > ADDRESS_MIN_CHARS)
+    return F.filter(F.array_distinct(F.transform(firsts, _text)), lambda t: F.length(t) > ADDRESS_MIN_CHARS)
 
 
 def page_services(pages: DataFrame) -> DataFrame:
     """(site, page_url, name, description): first heading and paragraph of service-like blocks."""
-    dom = D.page_dom(pages.where(F.col("html").rlike(SERVICE_CLASS)))
+    dom = D.page_dom(pages.where(mentions_service()))
+    return dom.select("site", F.col("url").alias("page_url"), F.explode(service_rows()).alias("r")) \
+        .select("site", "page_url", "r.name", "r.description")
+
+
+def mentions_service() -> Column:
+    return F.col("html").rlike(SERVICE_CLASS)
+
+
+@built_once
+def service_rows() -> Column:
+    """array<struct(name, seq, description)>"""
     sections = D.matching(F.col("els"), lambda e: e["tag"].isin("section", "div") & D.class_like(e, SERVICE_CLASS))
     rows = _per_outer(sections, lambda o, els: {
         "name": _text(D.first_match(els, lambda e: e["tag"].isin(*HEADINGS))), "seq": o["s"],
         "description": _text(D.first_match(els, lambda e: e["tag"] == "p"))})
-    return dom.select("site", F.col("url").alias("page_url"), F.explode(_first_by_name(rows, SERVICE_NAME_MIN + 1)).alias("r")) \
-        .select("site", "page_url", "r.name", "r.description")
+    return _first_by_name(rows, SERVICE_NAME_MIN + 1)
 
 
 def _image_url(node: Column) -> Column:
@@ -117,7 +134,7 @@ def _template_prices(els: Column) -> Column:
     return F.filter(F.transform(D.matching(els, lambda e: D.has_class(e, "price")), block), lambda b: b.isNotNull())
 
 
-CARD_FIELDS = "name string, seq bigint, price string, old_price string, currency string, sku string, " \
+CARD_FIELDS = "name string, seq struct<document:bigint,item:bigint>, price string, old_price string, currency string, sku string, " \
     "image_url string, product_url string, in_stock string"
 NO_CARDS = f"array<struct<{', '.join(f.replace(' ', ':') for f in CARD_FIELDS.split(', '))}>>"
 
@@ -136,7 +153,7 @@ def _template_rows() -> Column:
 
     def fields(o: Column, els: Column) -> dict[str, Column]:
         return {
-            "name": name(els), "seq": o["s"].cast("bigint"), "blocks": _template_prices(els),
+            "name": name(els), "seq": order_number(F.lit(0), o["s"]), "blocks": _template_prices(els),
             "sku": F.coalesce(H.attr(o["tok"], "data-id"), F.lit("")),
             "image_url": let(D.first_match(els, lambda e: e["tag"] == "img"), _image_url),
             "product_url": let(F.coalesce(D.first_match(els, _is_dark_link), D.first_match(els, _is_link)), _link_url),
@@ -176,7 +193,7 @@ def _generic_rows() -> Column:
         return {
             "name": text_of(els, lambda e: D.has_attr(e, "itemprop", "name"), lambda e: e["tag"].isin(*HEADINGS),
                             lambda e: D.class_like(e, CARD_NAME_CLASS)),
-            "seq": selector_no(o).cast("bigint") * (1 << 31) + o["s"], "p": price,
+            "seq": order_number(selector_no(o), o["s"]), "p": price,
             "old_price": text_of(els, lambda e: D.class_like(e, CARD_OLD_PRICE_CLASS)),
             "image_url": let(D.first_match(els, lambda e: e["tag"] == "img"), _image_url),
             "product_url": let(D.first_match(els, _is_link), _link_url)}
@@ -193,9 +210,8 @@ def _generic_rows() -> Column:
 
 
 def _card_products(dom: DataFrame, rows: Column) -> DataFrame:
-    return dom.select("site", F.col("url").alias("source_url"), F.explode(rows).alias("r")).select(
-        "site", "source_url", "r.*", *[F.lit("").alias(c) for c in ("brand", "category", "description")],
-        F.lit("card").alias("origin")).select(*PRODUCT_COLUMNS)
+    return product_table(dom.select("site", F.col("url").alias("source_url"), F.explode(rows).alias("r"))
+                         .select("site", "source_url", "r", "r.seq"), "card")
 
 
 def _mentions_generic() -> Column:
@@ -220,9 +236,17 @@ def generic_cards(pages: DataFrame) -> DataFrame:
 
 def html_products(pages: DataFrame) -> DataFrame:
     """Template cards, and generic cards on the pages without template cards, in one pass."""
-    dom = D.page_dom(pages.where(_mentions_template() | _mentions_generic()))
-    rows = let(_template_rows(), lambda t: F.when(F.size(t) > 0, t.cast(NO_CARDS)).otherwise(_generic_rows().cast(NO_CARDS)))
-    return _card_products(dom, rows)
+    return _card_products(D.page_dom(pages.where(mentions_card())), card_rows())
+
+
+def mentions_card() -> Column:
+    return _mentions_template() | _mentions_generic()
+
+
+@built_once
+def card_rows() -> Column:
+    """array<struct> of ``CARD_FIELDS``: template cards, else generic cards."""
+    return let(_template_rows(), lambda t: F.when(F.size(t) > 0, t.cast(NO_CARDS)).otherwise(_generic_rows().cast(NO_CARDS)))
 
 
 def next_page(pages: DataFrame) -> DataFrame:

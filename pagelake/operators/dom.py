@@ -133,6 +133,13 @@ def _elements() -> Column:
         *[e[c].alias(c) for c in ("s", "e", "i", "n", "tag", "void", "closed", "tok")], H.class_list(e["tok"]).alias("classes")))
 
 
+def with_elements(pages: DataFrame, wanted: Column) -> DataFrame:
+    """Add ``toks`` and ``els`` (see ``page_dom``), empty where a page is not ``wanted``."""
+    tokens = F.when(wanted, H.html_token_array(F.col("html"))).otherwise(F.array().cast("array<string>"))
+    events = _step(_step(pages, "toks", tokens), "events", _usual_events())
+    return _step(_step(events, "nodes", _node_array()), "els", _elements()).drop("events", "nodes")
+
+
 def page_dom(pages: DataFrame, raw_blocks: bool = True) -> DataFrame:
     """(site, url, toks, els): one row per page with its tokens and its elements in page order.
 

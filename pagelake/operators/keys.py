@@ -8,13 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # rank of the three product origins: API rows are stored before structured data, cards last
 ORIGIN_RANK = {"api": 0, "jsonld": 1, "card": 2}
 
 
+def order_number(document: Column, item: Column) -> Column:
+    """struct(document, item): place of an item inside a document, in the order of both."""
+    return F.struct(document.cast("bigint").alias("document"), item.cast("bigint").alias("item"))
+
+
 def _one_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     # equal order values fall back to the row itself, so the result never depends on task timing

@@ -16,17 +16,17 @@ from .dom import stripped_html
 
 
 @built_once
-def _main_content() -> Column:
+def main_text_of_html() -> Column:
     return H.main_content(F.col("html"))
 
 
 @built_once
-def _anchors() -> Column:
+def anchors_of_html() -> Column:
     return H.anchors(H.visible_html(F.col("html")))
 
 
 @built_once
-def _head() -> Column:
+def head_of_markup() -> Column:
     m = F.col("_m")
     return F.struct(H.page_title(m).alias("title"), H.meta_content(m, "description").alias("description"),
                     H.meta_content(m, "keywords").alias("keywords"), H.first_heading(m).alias("h1"))
@@ -35,7 +35,7 @@ def _head() -> Column:
 def head_fields(pages: DataFrame) -> DataFrame:
     """(site, url, title, description, keywords, h1)"""
     return pages.select("site", "url", H.visible_html(F.col("html")).alias("_m")).select(
-        "site", "url", _head().alias("h")).select("site", "url", "h.*")
+        "site", "url", head_of_markup().alias("h")).select("site", "url", "h.*")
 
 
 @built_once
@@ -47,17 +47,17 @@ def main_text(pages: DataFrame, strip_classes: bool = False) -> DataFrame:
     """(site, url, raw_text): whole main text; with ``strip_classes`` without elements that class or id name as furniture."""
     if strip_classes:
         return stripped_html(pages).select("site", "url", _stripped_content().alias("raw_text"))
-    return pages.select("site", "url", _main_content().alias("raw_text"))
+    return pages.select("site", "url", main_text_of_html().alias("raw_text"))
 
 
 def build_pages(pages: DataFrame, raw_text_width: int | None = None) -> DataFrame:
     """The pages entity table, with whole texts unless ``raw_text_width`` gives the width of the text column."""
     scraped = F.col("fetched_at").cast("timestamp") if "fetched_at" in pages.columns else F.lit(None).cast("timestamp")
-    text = _main_content()
+    text = main_text_of_html()
     return pages.select(
         "site", "url", "html", scraped.alias("scraped_at"), H.visible_html(F.col("html")).alias("_m")
     ).select(
-        "site", "url", _head().alias("h"),
+        "site", "url", head_of_markup().alias("h"),
         (text if raw_text_width is None else F.left(text, F.lit(raw_text_width))).alias("raw_text"), "scraped_at"
     ).select("site", "url", "h.*", "raw_text", "scraped_at")
 
@@ -71,40 +71,56 @@ def page_contacts(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     ``keep`` names further page columns to carry along.
     """
-    markup = decode_entities(F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), H.SCRIPT_BLOCKS, ""))
-    found = F.concat(
-        _typed("email", extract_emails(markup)), _typed("phone", extract_phones(_main_content())))
+    found = contact_values(main_text_of_html())
     return pages.select("site", F.col("url").alias("page_url"), *keep, F.explode(found).alias("c")) \
         .select("site", "page_url", "c.type", "c.value", *keep)
 
 
+def contact_values(main: Column) -> Column:
+    """array<struct(type, value)>: e-mails of ``html``, phones of the main text."""
+    markup = decode_entities(F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), H.SCRIPT_BLOCKS, ""))
+    return F.concat(_typed("email", extract_emails(markup)), _typed("phone", extract_phones(main)))
+
+
 def _anchor_rows(pages: DataFrame) -> DataFrame:
-    return pages.select("site", "url", _anchors().alias("anchors"))
+    return pages.select("site", "url", anchors_of_html().alias("anchors"))
 
 
 def page_socials(pages: DataFrame, match: str = "contains") -> DataFrame:
     """(site, page_url, type, value): social links of all anchors, value is the raw href."""
-    rows = F.flatten(F.transform("anchors", lambda a: classify_social(a["href"], match)))
-    return _anchor_rows(pages).select("site", F.col("url").alias("page_url"), F.explode(F.array_distinct(rows)).alias("c")) \
+    return _anchor_rows(pages).select("site", F.col("url").alias("page_url"), F.explode(F.array_distinct(social_values(match))).alias("c")) \
         .select("site", "page_url", "c.type", "c.value")
 
 
+def social_values(match: str = "contains") -> Column:
+    """array<struct(type, value)> of ``anchors``."""
+    return F.flatten(F.transform("anchors", lambda a: classify_social(a["href"], match)))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """(site, from_url, to_url, text): first anchor per target, absolute http targets only.
 
     Sorting the anchors of one page by (target, position) puts the winner first in its run,
     so the first-wins rule costs no shuffle.
     """
+    per_page = _anchor_rows(pages).select("site", "url", link_targets().alias("targets"))
+    return per_page.select("site", F.col("url").alias("from_url"), F.explode(first_targets()).alias("l")) \
+        .select("site", "from_url", "l.to_url", "l.text")
+
+
+def link_targets() -> Column:
+    """array<struct(to_url, pos, text)> of ``anchors``, sorted."""
     resolved = F.transform("anchors", lambda a: F.struct(
         normalize_url(resolve_url(F.col("url"), a["href"])).alias("to_url"), a["pos"].alias("pos"),
         a["text"].alias("text")))
-    ordered = F.array_sort(F.filter(resolved, lambda r: F.startswith(r["to_url"], F.lit("http"))))
-    per_page = _anchor_rows(pages).select("site", "url", ordered.alias("targets"))
-    firsts = F.filter(
+    return F.array_sort(F.filter(resolved, lambda r: F.startswith(r["to_url"], F.lit("http"))))
+
+
+def first_targets() -> Column:
+    """The first of each run of ``targets``."""
+    return F.filter(
         F.col("targets"),
         lambda r, i: (i == 0) | (r["to_url"] != F.element_at(F.col("targets"), F.greatest(i, F.lit(1)))["to_url"]))
-    return per_page.select("site", F.col("url").alias("from_url"), F.explode(firsts).alias("l")) \
-        .select("site", "from_url", "l.to_url", "l.text")
 
 
 def followable_links(links: DataFrame) -> DataFrame:

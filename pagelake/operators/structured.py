@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import variants as V
 from ..functions.html import jsonld_bodies
 from ..functions.prices import price_and_currency
-from ..functions.text import clean_text, let
+from ..functions.text import built_once, clean_text, let
 from ..functions.urls import classify_social, site_of
-from .keys import last_wins
+from .keys import last_wins, order_number
 
 PRODUCT_COLUMNS = (
     "site", "source_url", "name", "price", "old_price", "currency", "sku", "brand", "category",
@@ -34,8 +34,6 @@ API_ALIASES: Mapping[str, Sequence[str]] = {
     "category": ("category", "section", "group", "type"),
     "in_stock": ("in_stock", "available", "quantity", "qty", "stock"),
 }
-SEQ_STEP = 1 << 20  # room for the objects of one document inside the sequence number
-
 
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
@@ -75,7 +73,7 @@ def _numbered() -> Column:
     return F.flatten(F.transform("walks", lambda w, i: F.transform(
         w["objects"],
         lambda o, j: F.struct(
-            (i.cast("bigint") * SEQ_STEP + j).alias("seq"), o["depth"].alias("depth"), o["node"].alias("node")))))
+            order_number(i, j).alias("seq"), o["depth"].alias("depth"), o["node"].alias("node")))))
 
 
 def json_nodes(pages: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -96,38 +94,79 @@ def json_nodes_cut(pages: DataFrame, max_depth: int) -> DataFrame:
 
 def jsonld_products(pages: DataFrame) -> DataFrame:
     """Product rows of JSON-LD Product nodes."""
-    n = F.col("node")
+    row = F.struct(*[c.alias(k) for k, c in _product_fields(F.col("node")).items()])
+    rows = json_nodes(pages).where(_is_product(F.col("node"))).select("site", F.col("url").alias("source_url"), F.explode(F.array(row)).alias("r"), "seq")
+    return product_table(rows.where("r.name <> ''"), "jsonld")
+
+
+def product_table(rows: DataFrame, origin: str) -> DataFrame:
+    """Product rows from (site, source_url, r, seq); fields that ``r`` lacks are empty."""
+    given = set(rows.schema["r"].dataType.names)
+    fields = [c for c in PRODUCT_COLUMNS if c not in ("site", "source_url", "origin", "seq")]
+    return rows.select("site", "source_url", *[(F.col(f"r.{c}") if c in given else F.lit("")).alias(c) for c in fields],
+                       F.lit(origin).alias("origin"), "seq").select(*PRODUCT_COLUMNS)
+
+
+def _product_fields(n: Column) -> dict[str, Column]:
     image_item = F.coalesce(V.string_at(n, "$.image"), V.string_at(n, "$.image[0]"),
                             V.string_at(n, "$.image.url"), V.string_at(n, "$.image[0].url"))
     sku = F.when(V.node_at(n, "$.sku").isNotNull(), V.scalar_text(n, "$.sku")).otherwise(V.scalar_text(n, "$.productID"))
-    empty = F.lit("")
-    rows = json_nodes(pages).where(_is_product(n)).select(
-        "site", F.col("url").alias("source_url"),
-        clean_text(V.string_at(n, "$.name")).alias("name"),
-        _text(F.coalesce(V.scalar_text(n, "$.offers.price"), V.scalar_text(n, "$.offers[0].price"))).alias("price"),
-        empty.alias("old_price"),
-        _text(F.coalesce(V.scalar_text(n, "$.offers.priceCurrency"), V.scalar_text(n, "$.offers[0].priceCurrency")))
-        .alias("currency"),
-        _text(sku).alias("sku"),
-        clean_text(F.coalesce(V.string_at(n, "$.brand.name"), V.string_at(n, "$.brand"))).alias("brand"),
-        empty.alias("category"),
-        clean_text(V.string_at(n, "$.description")).alias("description"),
-        _text(image_item).alias("image_url"), empty.alias("product_url"), empty.alias("in_stock"),
-        F.lit("jsonld").alias("origin"), "seq")
-    return rows.where(F.col("name") != "").select(*PRODUCT_COLUMNS)
+    return {
+        "name": clean_text(V.string_at(n, "$.name")),
+        "price": _text(F.coalesce(V.scalar_text(n, "$.offers.price"), V.scalar_text(n, "$.offers[0].price"))),
+        "currency": _text(F.coalesce(V.scalar_text(n, "$.offers.priceCurrency"), V.scalar_text(n, "$.offers[0].priceCurrency"))),
+        "sku": _text(sku),
+        "brand": clean_text(F.coalesce(V.string_at(n, "$.brand.name"), V.string_at(n, "$.brand"))),
+        "description": clean_text(V.string_at(n, "$.description")),
+        "image_url": _text(image_item),
+    }
+
+
+@built_once
+def walks_of_html() -> Column:
+    """The walk of every JSON-LD block of ``html``."""
+    return F.transform(jsonld_bodies(F.col("html")), lambda b: V.json_objects(b, None, _enter))
+
+
+@built_once
+def product_rows() -> Column:
+    """array<struct(seq, ...)> of the products in ``walks``."""
+    found = F.filter(_numbered(), lambda o: _is_product(o["node"]))
+    rows = F.transform(found, lambda o: F.struct(o["seq"].alias("seq"), *[c.alias(k) for k, c in _product_fields(o["node"]).items()]))
+    return F.filter(rows, lambda r: r["name"] != "")
+
+
+@built_once
+def org_rows() -> Column:
+    """array<struct(seq, key, value)> of the organizations in ``walks``."""
+    found = F.filter(_numbered(), lambda o: _is_org(o["node"]))
+    return F.flatten(F.transform(found, lambda o: F.transform(
+        F.filter(_org_facts(o["node"]), lambda f: f["given"]),
+        lambda f: F.struct(o["seq"].alias("seq"), f["key"].alias("key"), f["value"].alias("value")))))
+
+
+@built_once
+def contact_rows() -> Column:
+    """array<struct(type, value)> of the organizations in ``walks``."""
+    orgs = F.filter(_numbered(), lambda o: _is_org(o["node"]))
+    return F.flatten(F.transform(orgs, lambda o: _org_contacts(o["node"])))
+
+
+def _org_facts(n: Column) -> Column:
+    return F.array(*[F.struct(F.lit(key).alias("key"), clean_text(V.string_at(n, path)).alias("value"),
+                              (_text(V.string_at(n, path)) != "").alias("given"))
+                     for key, path in (("org_name", "$.name"), ("org_description", "$.description"))])
 
 
 def jsonld_org(pages: DataFrame) -> DataFrame:
     """(site, key, value): org_name and org_description per site, the last (url, seq) wins."""
-    n = F.col("node")
-    facts = F.array(
-        F.struct(F.lit("org_name").alias("key"), clean_text(V.string_at(n, "$.name")).alias("value"),
-                 (_text(V.string_at(n, "$.name")) != "").alias("given")),
-        F.struct(F.lit("org_description").alias("key"),
-                 clean_text(V.string_at(n, "$.description")).alias("value"),
-                 (_text(V.string_at(n, "$.description")) != "").alias("given")))
-    rows = json_nodes(pages).where(_is_org(n)).select("site", "url", "seq", F.explode(facts).alias("f")) \
+    rows = json_nodes(pages).where(_is_org(F.col("node"))).select("site", "url", "seq", F.explode(_org_facts(F.col("node"))).alias("f")) \
         .where("f.given").select("site", "f.key", "f.value", "url", "seq")
+    return org_table(rows)
+
+
+def org_table(rows: DataFrame) -> DataFrame:
+    """(site, key, value) from rows with url and seq: the last one wins."""
     return last_wins(rows, ["site", "key"], ["url", "seq"]).select("site", "key", "value")
 
 
@@ -159,9 +198,7 @@ def _org_contacts(n: Column) -> Column:
 
 def jsonld_contacts(pages: DataFrame) -> DataFrame:
     """(site, page_url, type, value) of JSON-LD organizations."""
-    orgs = F.filter(_numbered(), lambda o: _is_org(o["node"]))
-    rows = F.array_distinct(F.flatten(F.transform(orgs, lambda o: _org_contacts(o["node"]))))
-    return _walked(pages, None).select("site", F.col("url").alias("page_url"), F.explode(rows).alias("c")) \
+    return _walked(pages, None).select("site", F.col("url").alias("page_url"), F.explode(F.array_distinct(contact_rows())).alias("c")) \
         .select("site", "page_url", "c.type", "c.value")
 
 
@@ -201,7 +238,7 @@ def api_products(responses: DataFrame, aliases: Mapping[str, Sequence[str]] = AP
     n = F.col("node")
     raw = rows.select(
         "source_url", F.col("o.node").alias("node"),
-        (F.unix_seconds("fetched_at") * SEQ_STEP + F.col("idx")).alias("seq")
+        order_number(F.unix_seconds("fetched_at"), F.col("idx")).alias("seq")
     ).withColumn("name", clean_text(V.first_string(n, aliases["name"], non_blank=True))).where(F.length("name") > 1)
     category = V.first_present(n, aliases["category"])
     price_raw = _text(V.scalar_text(V.first_present(n, aliases["price"])))

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html as H, prices, text as T, urls as U
-from ..operators import blocks, dom, graph, inspect as I, keys, pages as P, profile as R, structured as S, translate as L
+from ..operators import blocks, dom, facts, graph, inspect as I, keys, pages as P, profile as R, structured as S, translate as L
 from ..session import configure
 from ..sources import landed, reports, tables
-from ..sources.pages import scan_pages
+from ..sources.pages import read_pages, scan_pages
 from ..streaming import jobs
 from . import fixtures as X
 from .site_build import all_contacts, build_entities, link_profile
@@ -41,11 +41,16 @@ def documents_of(spark: SparkSession, d: str) -> DataFrame:
     return X.texts(spark, d, "documents")
 
 
-def shop_entities(spark: SparkSession, d: str):
-    """Entities of the shop sites: listing pages and their API calls."""
-    return build_entities(X.shop_pages(spark, d), X.api_landed(X.shop_parts(spark, d)))
+def shop_entities(spark: SparkSession, d: str, kinds=facts.KINDS):
+    """Entities of the shop sites: landed listing pages and their API calls."""
+    return build_entities(landed_pages(spark, X.shop_pages(spark, d)), X.api_landed(X.shop_parts(spark, d)), kinds)
 
 
+def landed_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """Derived pages as they would be landed: written once, then read."""
+    path = tables.scratch_path(spark, "landed")
+    pages.drop("site").write.parquet(path)
+    return read_pages(spark, path)
 
 
 def org_contacts(spark: SparkSession, d: str) -> DataFrame:
@@ -362,7 +367,7 @@ def repeated_pages(spark, d):
     """Shop pages delivered twice, the second time with another title: titles and products of the last delivery."""
     shop = X.shop_pages(spark, d).withColumn("fetched_at", F.timestamp_seconds(F.lit(1)))
     again = shop.withColumn("html", F.replace("html", F.lit("<title>"), F.lit("<title>New "))).withColumn("fetched_at", F.timestamp_seconds(F.lit(2)))
-    e = build_entities(shop.unionByName(again), X.api_landed(X.shop_parts(spark, d)).where(F.lit(False)))
+    e = build_entities(landed_pages(spark, shop.unionByName(again)), X.api_landed(X.shop_parts(spark, d)).where(F.lit(False)), ["pages", "products"])
     return e.pages.select(F.lit("page").alias("kind"), "url", F.col("title").alias("value")).unionByName(
         e.products.select(F.lit("product").alias("kind"), F.col("source_url").alias("url"), F.col("name").alias("value")))
 
@@ -466,7 +471,7 @@ def last_wins(spark, d):
 @query
 def merge_products(spark, d):
     """API products override cards of the same name on the same page."""
-    return shop_entities(spark, d).products.select("site", "source_url", "name", "origin", "price", "sku")
+    return shop_entities(spark, d, ["products"]).products.select("site", "source_url", "name", "origin", "price", "sku")
 
 
 @query

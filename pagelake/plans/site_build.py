@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import blocks, pages as P, profile, structured
+from ..operators import blocks, facts, pages as P, profile, structured
 from ..operators.keys import merge_products
 from ..sources import landed
 from ..sources.pages import latest_pages
+from ..sources.tables import stored_rows
 
 
 @dataclass
 class Entities:
     """One lazy DataFrame per entity table."""
 
-    pages: DataFrame
-    contacts: DataFrame
-    products: DataFrame
-    services: DataFrame
-    links: DataFrame
+    pages: DataFrame | None
+    contacts: DataFrame | None
+    products: DataFrame | None
+    services: DataFrame | None
+    links: DataFrame | None
     api_responses: DataFrame
-    org: DataFrame
+    org: DataFrame | None
 
     def profile(self) -> DataFrame:
         return profile.site_profile(self.pages, self.contacts, self.org)
@@ -40,19 +42,19 @@ def all_contacts(pages: DataFrame) -> DataFrame:
         .unionByName(structured.jsonld_contacts(pages)).distinct()
 
 
-def build_entities(pages: DataFrame, responses: DataFrame) -> Entities:
-    """Entity tables of the last delivery of every page, and of all API responses."""
-    pages = latest_pages(pages)
-    usable = landed.json_responses(responses)
-    return Entities(
-        pages=P.build_pages(pages),
-        contacts=all_contacts(pages),
-        products=merge_products(structured.api_products(usable), structured.jsonld_products(pages), blocks.html_products(pages)),
-        services=blocks.page_services(pages),
-        links=P.page_links(pages),
-        api_responses=landed.api_responses(responses),
-        org=structured.jsonld_org(pages),
-    )
+def build_entities(pages: DataFrame, responses: DataFrame, kinds: Sequence[str] = facts.KINDS) -> Entities:
+    """Entity tables of the last delivery of every page, and of all API responses.
+
+    The pages are parsed once: what all tables need is stored in the shared folder, one row per page, and each table is a
+    read of its own column. So the markup is shuffled at most once, to find the last deliveries. Tables of other kinds than
+    the given ones are None.
+    """
+    found = stored_rows(facts.page_facts(latest_pages(pages), kinds), "facts")
+    tables = {"pages": facts.pages_table, "contacts": facts.contacts_table, "services": facts.services_table,
+              "links": facts.links_table, "org": facts.org_table}
+    built = {k: table(found) if k in kinds else None for k, table in tables.items()}
+    products = merge_products(structured.api_products(landed.json_responses(responses)), *facts.product_tables(found)) if "products" in kinds else None
+    return Entities(products=products, api_responses=landed.api_responses(responses), **built)
 
 
 def store_entities(entities: Entities, path: str) -> Entities:

@@ -25,13 +25,21 @@ def scan_pages(df: DataFrame) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return scan_pages(spread(spark.read.parquet(path)))
+    """Landed pages with ``row_id``, the file and the row that hold a page."""
+    rows = spark.read.parquet(path).select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("row_id"))
+    return scan_pages(spread(rows))
 
 
 def latest_pages(df: DataFrame, order: str = "fetched_at") -> DataFrame:
-    """One row per url, the last delivery wins; without an order column, or among equals, the greatest markup.
+    """One row per url, the last delivery wins; without an order column, or among equals, the greatest hash of the markup.
 
-    Rows are ranked, not aggregated: a task keeps one row per url before anything is shuffled, and pages are sorted once.
+    With ``row_id`` (see ``read_pages``) the winners are found on narrow rows, one per url and task, and fetched by a
+    semi-join, so markup is shuffled at most once, and not at all where the winners are few enough to be sent to the tasks.
+    Other pages are ranked: a task keeps one row per url before anything is shuffled.
     """
-    by = [F.desc(c) for c in (order, "html") if c in df.columns]
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy("url").orderBy(*by))).where("_n = 1").drop("_n")
+    by = [F.col(order)] if order in df.columns else []
+    by.append(F.xxhash64("html"))
+    if "row_id" in df.columns:
+        best = df.groupBy("url").agg(F.max(F.struct(*[c.alias(f"_{i}") for i, c in enumerate(by)], "row_id")).alias("_best"))
+        return df.join(best.select(F.col("_best.row_id").alias("row_id")), "row_id", "left_semi").drop("row_id")
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy("url").orderBy(*[F.desc(c) for c in by]))).where("_n = 1").drop("_n")

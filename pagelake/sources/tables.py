@@ -51,6 +51,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored_rows(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; what follows scans it instead of computing it again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_site_bucket(df: DataFrame) -> DataFrame:
     """Hash bucket of the site: the storage partition, so millions of sites make few folders."""
     return df.withColumn("site_bucket", F.pmod(F.xxhash64("site"), F.lit(SITE_BUCKETS)).cast("int"))

@@ -5,9 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pagelake.operators import blocks, dom, inspect, pages as P, structured
+from pagelake.operators import blocks, dom, facts, inspect, keys, pages as P, structured
 from pagelake.plans import fixtures as X, site_build
-from pagelake.sources.pages import scan_pages
+from pagelake.sources.pages import latest_pages, read_pages, scan_pages
 
 PLANS = {
     "pages": P.build_pages, "contacts": P.page_contacts, "links": P.page_links, "socials": P.page_socials,
@@ -39,3 +39,49 @@ def test_elements_stay_in_the_page_row(spark, sf_dir, operator):
 def test_site_filter_reaches_the_scan(spark, sf_dir):
     plan = plan_of(P.page_links(scan_pages(X.table(spark, sf_dir, "pages")).where(F.col("url") == "x")))
     assert "EqualTo(url,x)" in plan
+
+
+def test_markup_is_shuffled_at_most_once(spark, sf_dir, tmp_path):
+    pages = X.table(spark, sf_dir, "pages").withColumn("fetched_at", F.timestamp_seconds("page_id"))
+    pages.unionByName(pages).repartition(16).write.parquet(f"{tmp_path}/pages")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = facts.page_facts(latest_pages(read_pages(spark, f"{tmp_path}/pages")))
+        plan = df._jdf.queryExecution().executedPlan()
+        outputs = [x for x in nodes(plan) if x.nodeName() == "Exchange"]
+        wide = [x for x in outputs if "html" in x.output().toString()]
+        assert len(wide) <= 1 and not re.search("Window|CartesianProduct", plan.toString())
+        assert df.count() == pages.count()
+        e = site_build.build_entities(read_pages(spark, f"{tmp_path}/pages"), spark.createDataFrame(
+            [], "trigger_url string, api_url string, content_type string, body string, fetched_at timestamp"))
+        for name in ("pages", "contacts", "products", "services", "links", "org"):
+            assert "html" not in plan_of(getattr(e, name))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def nodes(plan):
+    """All nodes of an adaptive plan before it runs."""
+    todo = [plan.inputPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan]
+    while todo:
+        node = todo.pop()
+        yield node
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+
+
+def test_facts_equal_the_single_extractors(spark, sf_dir):
+    """One look at each page finds what the extractors find one by one."""
+    pages = X.shop_pages(spark, sf_dir).unionByName(X.jsonld_pages(spark, sf_dir)).unionByName(X.org_pages(spark, sf_dir)).unionByName(
+        X.service_pages(spark, sf_dir).select("site", "url", "html")).dropDuplicates(["url"])
+    none = spark.createDataFrame([], "trigger_url string, api_url string, content_type string, body string, fetched_at timestamp")
+    e = site_build.build_entities(pages, none)
+
+    def same(a, b):
+        columns = sorted(a.columns)
+        return sorted(map(str, a.select(*columns).collect())) == sorted(map(str, b.select(*columns).collect()))
+
+    assert same(e.pages, P.build_pages(pages)) and same(e.links, P.page_links(pages)) and same(e.services, blocks.page_services(pages))
+    assert same(e.contacts, site_build.all_contacts(pages)) and same(e.org, structured.jsonld_org(pages))
+    assert same(e.products, keys.merge_products(structured.jsonld_products(pages), blocks.html_products(pages)))
