@@ -268,3 +268,19 @@ def noisy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         _cat(core, " Акции Бренды Магазины Контакты Блог"), _cat(core, " Показать еще 1 2 3 4"),
         _cat(core, " Подробнее Подробнее Подробнее конец."))
     return _evaluated(texts(spark, sf_dir, "documents"), doc_id=F.col("doc_id"), text=text)
+
+
+def furniture_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(site, url, html): part descriptions between page furniture that only class or id names."""
+    key = F.col("p_partkey")
+    text = _cat(_esc(F.col("p_name")), " ", F.repeat(_cat(F.col("p_type"), " "), 12), key)
+    above = _pick(
+        key % 4, F.lit('<div class="site-header big"><p>Shop<div class="inner"><a href="/">home</a></div></div>'),
+        F.lit('<ul id="main-nav"><li>one<li>two</ul><table class="menu"><tr><td>x</table>'),
+        F.lit('<div class="top menu-bar"><div><div>deep</div></div></div><span class="breadcrumbs">a / b</span>'),
+        F.lit('<img class="header-image" src="/h.png"><b id="header">brand</b>'))
+    inside = _pick(key % 3, F.lit('<p class="sidebar-note">aside <i>really</i></p>'), F.lit('<em class="Sidebar">kept</em>'), F.lit(""))
+    html = _cat("<html><body>", above, _pick(key % 2, _cat("<article>", text, inside, "</article>"), _cat("<div>", text, inside, "</div>")),
+                '<div class="page-footer"><div class="footer">nested</div>more</div><div id="footer2">end</div></body></html>')
+    url = _cat("https://made", key % 5, ".example.net/d/", key)
+    return _evaluated(texts(spark, sf_dir, "part"), site=site_of(url), url=url, html=html)

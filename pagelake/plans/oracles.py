@@ -158,6 +158,46 @@ services AS (SELECT 'svc' || (block % 25) || '.example.com' AS site,
 unique_services AS (SELECT * FROM services QUALIFY row_number() OVER (PARTITION BY site, name ORDER BY page_url) = 1),
 service_pages AS (SELECT DISTINCT 'svc' || (block % 25) || '.example.com' AS site, block FROM sv)"""
 
+COLUMNS = "site, source_url, name, price, old_price, currency, sku, brand, category, description, image_url, product_url, in_stock"
+
+# --- all sites together -----------------------------------------------------------------------
+
+ALL = CONTACTS + ", " + API.lstrip() + ", " + SERVICES.lstrip() + f""",
+svc AS (SELECT DISTINCT site, 'https://' || site || '/catalog/s/' || block AS url FROM service_pages),
+all_services AS (SELECT site, replace(page_url, '/s/', '/catalog/s/') AS page_url, name, description FROM services),
+first_services AS (SELECT * FROM all_services QUALIFY row_number() OVER (PARTITION BY site, name ORDER BY page_url) = 1),
+all_products AS (SELECT {COLUMNS} FROM api UNION ALL SELECT {COLUMNS} FROM cards ANTI JOIN api USING (source_url, name)),
+first_products AS (SELECT * FROM all_products QUALIFY row_number() OVER (PARTITION BY site, name ORDER BY source_url) = 1),
+named AS (SELECT site, url, title, '' AS description, '' AS keywords, h1 FROM pg
+  UNION ALL SELECT site, url, 'Goods of brand ' || b || ' - ' || site, 'Goods "' || b || '" block ' || block, '', 'Brand ' || b FROM shop_pages
+  UNION ALL SELECT site, url, '', '', '', '' FROM svc),
+svc_phones AS (SELECT 'svc' || (block % 25) || '.example.com' AS site, 'https://svc' || (block % 25) || '.example.com/catalog/s/' || block AS page_url,
+  'phone' AS type, {found(PHONE, 'c_name')} AS value FROM sv WHERE k % 4 = 0),
+all_contacts AS (SELECT * FROM contacts UNION SELECT * FROM svc_phones),
+homes AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY site ORDER BY length(url), url) = 1),
+company AS (SELECT site, unnest(['domain', 'site_title', 'meta_description', 'meta_keywords', 'main_h1']) AS key,
+    unnest([site, title, description, keywords, h1]) AS value FROM homes
+  UNION ALL SELECT DISTINCT site, type, value FROM all_contacts WHERE type IN ('email', 'phone'))"""
+
+_FIELDS = ("source_url", "name", "price", "old_price", "currency", "sku", "brand", "category", "description", "image_url", "product_url", "in_stock")
+
+
+def _json(*columns: str, **more: str) -> str:
+    pairs = [f"'{c}', {c}" for c in columns] + [f"'{k}', {v}" for k, v in more.items()]
+    return f"CAST(json_object({', '.join(pairs)}) AS VARCHAR)"
+
+
+def _items(shops_only: bool) -> str:
+    kept = "WHERE starts_with(site, 'brand')" if shops_only else ""
+    return f"""WITH {ALL}, items AS (
+      SELECT site, 'company' AS section, {_json('key', 'value')} AS item FROM company
+      UNION ALL SELECT site, 'pages', {_json('url', 'title', 'h1', scraped_at='NULL')} FROM named
+      UNION ALL SELECT site, 'contacts', {_json('page_url', 'type', 'value')} FROM all_contacts
+      UNION ALL SELECT site, 'products', {_json(*_FIELDS)} FROM all_products
+      UNION ALL SELECT site, 'services', {_json('page_url', 'name', 'description')} FROM all_services
+      UNION ALL SELECT site, 'api_calls', {_json('trigger_url', 'api_url')} FROM calls) SELECT * FROM items {kept}"""
+
+
 _DOMAINS = ", ".join(f"'{d}'" for d in SOCIAL_DOMAINS)
 _NAMES = ", ".join(f"'{n}'" for n in SOCIAL_DOMAINS.values())
 ORGS = f"""
@@ -227,7 +267,7 @@ def _language() -> str:
 
 
 def _markdown() -> str:
-    return f"""WITH {CONTACTS}, {HOME},
+    return f"""WITH {ALL},
       info AS (SELECT *, CASE WHEN title <> '' THEN title WHEN h1 <> '' THEN h1 ELSE url END AS heading FROM pg
         WHERE length(raw_text) > 300 AND NOT regexp_matches(url, '(?i)/(catalog|basket|compare|personal|login|favicon|\\?sort=)')),
       words AS (SELECT url, unnest(string_split(raw_text, ' ')) AS w, generate_subscripts(string_split(raw_text, ' '), 1) AS i FROM info),
@@ -235,12 +275,21 @@ def _markdown() -> str:
       kept AS (SELECT * FROM runs QUALIFY last OR NOT regexp_full_match(w, '[\\p{{L}}\\p{{N}}_]{{4,}}')
         OR count(*) FILTER (NOT last) OVER (PARTITION BY url, w, run) < 3),
       shown AS (SELECT url, string_agg(w, ' ' ORDER BY i) AS text FROM kept GROUP BY url),
-      vals AS (SELECT DISTINCT site, type, value FROM contacts),
+      vals AS (SELECT DISTINCT site, type, value FROM all_contacts),
       kinds AS (SELECT DISTINCT site, type FROM vals),
       l AS (
-        SELECT site, 0 AS section, 0 AS ord_no, '' AS ord_text, 0 AS sub, '# ' || coalesce(nullif(title, ''), site) || chr(10) AS line FROM home
-        UNION ALL SELECT site, 0, 0, '', 1, '## Общая информация' || chr(10) FROM home
-        UNION ALL SELECT site, 0, 0, '', 5, chr(10) || '## Контакты' || chr(10) FROM home
+        SELECT site, 0 AS section, 0 AS ord_no, '' AS ord_text, 0 AS sub, '# ' || coalesce(nullif(title, ''), site) || chr(10) AS line FROM homes
+        UNION ALL SELECT site, 0, 0, '', 1, '## Общая информация' || chr(10) FROM homes
+        UNION ALL SELECT site, 0, 0, '', 2, description || chr(10) FROM homes WHERE description <> ''
+        UNION ALL SELECT site, 0, 0, '', 5, chr(10) || '## Контакты' || chr(10) FROM homes
+        UNION ALL SELECT site, 5, -1, '', 0, chr(10) || '## Товары (' || count(*) || ')' || chr(10) FROM first_products GROUP BY site
+        UNION ALL SELECT DISTINCT site, 5, -1, '', 1, '| Название | Цена | Старая цена | Артикул |' FROM first_products
+        UNION ALL SELECT DISTINCT site, 5, -1, '', 2, '|---|---|---|---|' FROM first_products
+        UNION ALL SELECT site, 5, 0, name, 0, '| ' || name || ' | ' || CASE WHEN price = '' THEN '' ELSE trim(price || ' ' || currency) END || ' | ' ||
+          CASE WHEN old_price = '' THEN '' ELSE trim(old_price || ' ' || currency) END || ' | ' || sku || ' |' FROM first_products
+        UNION ALL SELECT site, 6, -1, '', 0, chr(10) || '## Услуги (' || count(*) || ')' || chr(10) FROM first_services GROUP BY site
+        UNION ALL SELECT site, 6, 0, name, 0, '### ' || name || chr(10) FROM first_services
+        UNION ALL SELECT site, 6, 0, name, 1, description || chr(10) FROM first_services WHERE description <> ''
         UNION ALL SELECT site, CASE type WHEN 'email' THEN 1 ELSE 2 END, -1, '', 0,
           CASE type WHEN 'email' THEN '**Email:**' ELSE chr(10) || '**Телефоны:**' END FROM kinds
         UNION ALL SELECT site, CASE type WHEN 'email' THEN 1 ELSE 2 END, 0, value, 0, '- ' || value FROM vals
@@ -276,16 +325,11 @@ def oracle_sql() -> dict[str, str]:
     q["products_per_response"] = f"""WITH {API}, n AS (SELECT source_url, count(*) AS n FROM api_all GROUP BY ALL)
       SELECT trigger_url, coalesce(max(n), 0) AS products FROM calls LEFT JOIN n ON source_url = trigger_url GROUP BY ALL"""
     q["ignored_nodes"] = f"WITH {JSONLD} SELECT site, count(*) FILTER (m = 5) AS list_types, 0 AS text_addresses FROM j WHERE m <> 4 OR m = 4 GROUP BY site"
-    q["write_tables"] = f"""WITH {LINKS} SELECT site, (SELECT count(*) FROM pg WHERE pg.site = l.site) AS pages, count(*) AS links
-      FROM links l GROUP BY site"""
+    q["write_tables"] = f"""WITH {LINKS} SELECT site, 'page' AS kind, url, title AS value FROM pg
+      UNION ALL SELECT site, 'link', from_url, to_url || ' ' || text FROM links"""
     q["site_partition_replace"] = f"""WITH {PAGES} SELECT site, count(*) AS pages,
       count(*) FILTER (ends_with(site, '.org')) AS reloaded FROM pg GROUP BY site"""
-    q["json_report"] = f"""WITH {API},
-      titles AS (SELECT *, 'Goods of brand ' || b || ' - ' || site AS title FROM shop_pages)
-      SELECT site, 'pages' AS section, url AS a, title AS b, 'Brand ' || b AS c FROM titles
-      UNION ALL SELECT site, 'products', source_url, name, price FROM merged
-      UNION ALL SELECT site, 'api_calls', trigger_url, api_url, '' FROM calls
-      UNION ALL SELECT DISTINCT site, 'company', 'domain', site, '' FROM titles"""
+    q["json_report"] = _items(shops_only=True)
     q["markdown_report"] = _markdown()
     q["markdown_products"] = f"""WITH {SHOP}, n AS (SELECT site, count(*) AS n FROM unique_cards GROUP BY site)
       SELECT site, -1 AS ord_no, '' AS ord_text, 0 AS sub, chr(10) || '## Товары (' || n || ')' || chr(10) AS line FROM n
@@ -293,7 +337,7 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL SELECT site, -1, '', 2, '|---|---|---|---|' FROM n
       UNION ALL SELECT site, 0, name, 0, '| ' || name || ' | ' || trim(price || ' ' || currency) || ' | ' ||
         CASE WHEN old_price = '' THEN '' ELSE trim(old_price || ' ' || currency) END || ' | ' || sku || ' |' FROM unique_cards"""
-    q["read_report"] = f"WITH {SERVICES} SELECT site, page_url, name, description FROM services"
+    q["read_report"] = _items(shops_only=False)
 
     # B
     q["clean_text"] = f"SELECT doc_id, {clean('text')} AS text FROM documents"
@@ -383,8 +427,11 @@ def oracle_sql() -> dict[str, str]:
       SELECT site, class, count(*) AS n FROM c GROUP BY ALL HAVING count(*) > 3"""
     q["price_like_nodes"] = f"""WITH {SHOP}
       SELECT url, 'span' AS tag, 'price_currency' AS classes, 'руб.' AS text FROM shop WHERE b % 2 = 0 AND s % 3 <> 0"""
-    q["selector_samples"] = f"""WITH {SHOP} SELECT site, row_number() OVER (PARTITION BY site ORDER BY url, k) AS rank, url, 'div' AS tag,
-      'catalog-block-view__item' AS classes FROM shop WHERE b % 2 = 0 QUALIFY rank <= 5"""
+    q["selector_samples"] = f"""WITH {SHOP} SELECT site, 'name' AS selector, row_number() OVER (PARTITION BY site ORDER BY url, k) AS rank, url,
+      CASE WHEN s % 3 = 2 THEN 'b' ELSE 'a' END AS tag, CASE WHEN s % 3 = 2 THEN 'name' ELSE 'dark_link' END AS classes, name AS text
+      FROM shop WHERE b % 2 = 0 QUALIFY rank <= 5"""
+    words = "trim(p_name || ' ' || repeat(p_type || ' ', 12) || p_partkey || CASE WHEN p_partkey % 3 = 1 THEN ' kept' ELSE '' END)"
+    q["main_content_stripped"] = f"""SELECT 'https://made' || p_partkey % 5 || '.example.net/d/' || p_partkey AS url, {words} AS raw_text FROM part"""
     q["card_structure"] = f"""WITH {SHOP}, f AS (SELECT * FROM shop WHERE b % 2 = 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY k) = 1),
       cur AS (SELECT *, CASE WHEN s % 3 <> 0 THEN ' руб. ' ELSE '' END AS c FROM f)
       SELECT url, 'span' AS tag, 'price_value' AS classes, price AS text FROM f
@@ -410,9 +457,8 @@ def oracle_sql() -> dict[str, str]:
     follow = f"{site('to_url')} = site AND NOT regexp_matches(to_url, '{SKIP_EXTENSIONS}') AND NOT regexp_matches(to_url, '{SKIP_PATHS}')"
     q["followable_links"] = f"WITH {LINKS} SELECT site, from_url, to_url FROM links WHERE {follow}"
     q["page_services"] = f"WITH {SERVICES} SELECT * FROM services"
-    columns = "site, source_url, name, price, old_price, currency, sku, brand, category, description, image_url, product_url, in_stock"
-    q["template_cards"] = f"WITH {SHOP} SELECT {columns} FROM template"
-    q["generic_cards"] = f"WITH {SHOP} SELECT {columns} FROM generic"
+    q["template_cards"] = f"WITH {SHOP} SELECT {COLUMNS} FROM template"
+    q["generic_cards"] = f"WITH {SHOP} SELECT {COLUMNS} FROM generic"
     q["jsonld_blocks"] = f"WITH {JSONLD} SELECT site, count(*) AS blocks FROM j GROUP BY site"
     q["json_nodes"] = f"""WITH {JSONLD}, n AS (
         SELECT unnest(CASE m WHEN 0 THEN ['0:Product', '1:', '1:'] WHEN 1 THEN ['1:Product', '2:', '3:']
@@ -428,7 +474,7 @@ def oracle_sql() -> dict[str, str]:
     q["jsonld_org"] = f"""WITH {ORGS} SELECT site, 'org_name' AS key, s_name || ' Ltd' AS value FROM org
       UNION ALL SELECT site, 'org_description', trim(repeat(s_name || ' ', 60)) FROM org"""
     q["jsonld_contacts"] = f"WITH {ORGS} SELECT * FROM ld"
-    q["api_products"] = f"WITH {API} SELECT {columns} FROM api_all"
+    q["api_products"] = f"WITH {API} SELECT {COLUMNS} FROM api_all"
     q["next_page"] = f"WITH {NEXT} SELECT site, url, next_url FROM nexts"
 
     # E
@@ -468,11 +514,12 @@ def oracle_sql() -> dict[str, str]:
       left(raw_text, 2000) AS head, greatest(length(raw_text) - 2000, 0) AS rest FROM pg WHERE {info.format(chr(92) + '?')}"""
     q["contacts_by_type"] = f"""{phones} SELECT DISTINCT source AS site, 'phone' AS type, phone AS value FROM ph JOIN documents USING (doc_id)
       UNION SELECT source, 'email', lower({found(EMAIL, 'text')}) FROM documents"""
-    q["top_products"] = f"""WITH {SHOP} SELECT site, row_number() OVER (PARTITION BY site ORDER BY source_url, name) AS rank, name, price
-      FROM unique_cards QUALIFY rank <= 60"""
-    q["top_services"] = f"""WITH {SERVICES} SELECT site, row_number() OVER (PARTITION BY site ORDER BY page_url, name) AS rank, name,
-      left(description, 110) AS description, greatest(length(description) - 110, 0) AS more FROM unique_services QUALIFY rank <= 40"""
-    q["report_totals"] = f"WITH {CONTACTS} SELECT site, count(*) AS pages, (SELECT count(*) FROM contacts c WHERE c.site = pg.site) AS contacts FROM pg GROUP BY site"
+    q["top_products"] = f"""WITH {ALL} SELECT site, row_number() OVER (PARTITION BY site ORDER BY source_url, name) AS rank, name, price,
+      left(description, 110) AS description, greatest(length(description) - 110, 0) AS more FROM first_products QUALIFY rank <= 60"""
+    q["top_services"] = f"""WITH {ALL} SELECT site, row_number() OVER (PARTITION BY site ORDER BY page_url, name) AS rank, name,
+      left(description, 110) AS description, greatest(length(description) - 110, 0) AS more FROM first_services QUALIFY rank <= 40"""
+    q["report_totals"] = f"""WITH {ALL}, n AS (SELECT site, count(*) AS pages FROM named GROUP BY site), c AS (SELECT site, count(*) AS contacts FROM all_contacts GROUP BY site)
+      SELECT site, pages, coalesce(contacts, 0) AS contacts FROM n LEFT JOIN c USING (site)"""
     q["profile_phones"] = f"""WITH {CONTACTS} SELECT DISTINCT site, value AS phone FROM contacts WHERE type = 'phone'
       AND NOT regexp_matches(value, '2016|2017|2026|322774')"""
 

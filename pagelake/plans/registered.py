@@ -46,10 +46,17 @@ def shop_entities(spark: SparkSession, d: str, kinds=facts.KINDS):
     return build_entities(landed_pages(spark, X.shop_pages(spark, d)), X.api_landed(X.shop_parts(spark, d)), kinds)
 
 
+def all_entities(spark: SparkSession, d: str, kinds=facts.KINDS):
+    """Entities of the given pages, the shops with their API calls and the service sites."""
+    services = X.service_pages(spark, d).withColumn("url", F.replace("url", F.lit("/s/"), F.lit("/catalog/s/")))
+    pages = pages_of(spark, d).select("url", "html").unionByName(X.shop_pages(spark, d).select("url", "html")).unionByName(services.select("url", "html"))
+    return build_entities(landed_pages(spark, pages), X.api_landed(X.shop_parts(spark, d)), kinds)
+
+
 def landed_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Derived pages as they would be landed: written once, then read."""
     path = tables.scratch_path(spark, "landed")
-    pages.drop("site").write.parquet(path)
+    pages.drop("site", "row_id").write.parquet(path)
     return read_pages(spark, path)
 
 
@@ -104,8 +111,9 @@ def write_tables(spark, d):
         "pages": (P.head_fields(pages), ["title"]),
         "links": (P.page_links(pages), ["text"]),
     }, path)
-    return tables.read_table(spark, path, "pages").groupBy("site").agg(F.count(F.lit(1)).alias("pages")).join(
-        tables.read_table(spark, path, "links").groupBy("site").agg(F.count(F.lit(1)).alias("links")), "site", "full")
+    return tables.read_table(spark, path, "pages").select("site", F.lit("page").alias("kind"), "url", F.col("title").alias("value")).unionByName(
+        tables.read_table(spark, path, "links").select("site", F.lit("link").alias("kind"), F.col("from_url").alias("url"),
+                                                       F.concat("to_url", F.lit(" "), "text").alias("value")))
 
 
 @query
@@ -121,27 +129,16 @@ def site_partition_replace(spark, d):
 
 @query
 def json_report(spark, d):
-    """Items of the reports of the shop sites: three leading fields of each, and the domain of the company section."""
+    """Every item of the reports of the shop sites."""
     e = shop_entities(spark, d)
-    report = reports.json_report(e.profile(), e.sections())
-    item = F.from_json("item", "map<string,string>")
-    leading = {"company": ("key", "value"), "pages": ("url", "title", "h1"), "contacts": ("page_url", "type", "value"),
-               "products": ("source_url", "name", "price"), "services": ("page_url", "name", "description"), "api_calls": ("trigger_url", "api_url")}
-    names = F.create_map(*[x for s, cols in leading.items() for x in (F.lit(s), F.array(*[F.lit(c) for c in cols]))])
-    shown = report.select("site", "section", item.alias("m"), F.try_element_at(names, F.col("section")).alias("c"))
-    return shown.where("section <> 'company' OR m['key'] = 'domain'").select("site", "section", *[
-        F.coalesce(F.try_element_at("m", F.get("c", F.lit(i))), F.lit("")).alias(x) for i, x in enumerate("abc")])
+    return reports.json_report(e.profile(), e.sections())
 
 
 @query
 def markdown_report(spark, d):
-    pages = P.build_pages(pages_of(spark, d))
-    contacts = P.page_contacts(pages_of(spark, d))
-    none = X.shop_parts(spark, d).where(F.lit(False))
-    products = none.select(*[F.lit("").alias(c) for c in S.PRODUCT_COLUMNS if c != "seq"], F.lit(0).cast("bigint").alias("seq"))
-    services = none.select(*[F.lit("").alias(c) for c in ("site", "page_url", "name", "description")])
-    profile = R.site_profile(pages, contacts)
-    return reports.markdown_lines(profile, pages, contacts, products, services)
+    """Every line of the reports of all sites, with all sections."""
+    e = all_entities(spark, d)
+    return reports.markdown_lines(e.profile(), e.pages, e.contacts, e.products, e.services)
 
 
 @query
@@ -152,23 +149,25 @@ def markdown_products(spark, d):
     return lines.where("section = 5").select("site", "ord_no", "ord_text", "sub", "line")
 
 
+def all_reports(spark, d):
+    """The reports of all sites, written and read back."""
+    path = tables.scratch_path(spark, "report")
+    e = all_entities(spark, d)
+    reports.write_json_report(reports.json_report(e.profile(), e.sections()), path)
+    return reports.read_report(spark, path)
+
+
 @query
 def read_report(spark, d):
-    """Write the reports of the service sites, read them back and list the service section."""
-    path = tables.scratch_path(spark, "report")
-    pages = X.service_pages(spark, d)
-    services = blocks.page_services(pages)
-    built = P.build_pages(pages)
-    contacts = P.page_contacts(pages)
-    empty = contacts.where(F.lit(False))
-    sections = {
-        "pages": built, "contacts": contacts, "services": services,
-        "products": empty.select(*[F.lit("").alias(c) for c in ("site", *reports.SECTIONS["products"])]),
-        "api_calls": empty.select(*[F.lit("").alias(c) for c in ("site", *reports.SECTIONS["api_calls"])]),
-    }
-    reports.write_json_report(reports.json_report(R.site_profile(built, contacts), sections), path)
-    return reports.report_section(reports.read_report(spark, path), "services").select(
-        "site", "page_url", "name", "description")
+    """Rows of every section of the written reports, one JSON text each."""
+    report = all_reports(spark, d)
+    out = None
+    for section in ("company", *reports.SECTIONS):
+        rows = reports.report_section(report, section)
+        item = F.to_json(F.struct(*[c for c in rows.columns if c != "site"]), {"ignoreNullFields": "false"})
+        rows = rows.select("site", F.lit(section).alias("section"), item.alias("item"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 # --- B: scalar functions ------------------------------------------------------------------
@@ -322,6 +321,12 @@ def main_content(spark, d):
     return P.main_text(pages_of(spark, d)).select("url", "raw_text")
 
 
+@query
+def main_content_stripped(spark, d):
+    """Main texts of pages whose furniture is named by class or id."""
+    return P.main_text(X.furniture_pages(spark, d), strip_classes=True).select("url", "raw_text")
+
+
 @query
 def head_fields(spark, d):
     return P.head_fields(pages_of(spark, d)).unionByName(P.head_fields(X.shop_pages(spark, d)))
@@ -345,8 +350,9 @@ def price_like_nodes(spark, d):
 
 @query
 def selector_samples(spark, d):
-    return I.selector_samples(X.shop_pages(spark, d), {"card": lambda e: dom.has_class(e, *blocks.TEMPLATE_CARDS)}, k=5, width=80) \
-        .select("site", "rank", "url", "tag", "classes")
+    """The first five names of products in template cards per shop, with their whole texts."""
+    names = lambda e: dom.has_class(e, "item-title", "dark_link", "name") & (e["tag"] != "div")
+    return I.selector_samples(X.shop_pages(spark, d), {"name": names}, k=5)
 
 
 @query
@@ -570,39 +576,19 @@ def contacts_by_type(spark, d):
     return R.contacts_by_type(rows)
 
 
-def _service_report(spark, d):
-    pages = X.service_pages(spark, d)
-    contacts = P.page_contacts(pages)
-    none = contacts.where(F.lit(False))
-    sections = {"pages": P.build_pages(pages), "contacts": contacts, "services": blocks.page_services(pages),
-                "products": none.select(*[F.lit("").alias(c) for c in ("site", *reports.SECTIONS["products"])]),
-                "api_calls": none.select(*[F.lit("").alias(c) for c in ("site", *reports.SECTIONS["api_calls"])])}
-    return reports.json_report(R.site_profile(sections["pages"], contacts), sections)
-
-
-def _shop_report(spark, d):
-    e = replace(shop_entities(spark, d), products=blocks.html_products(X.shop_pages(spark, d)))
-    return reports.json_report(e.profile(), e.sections())
-
-
 @query
 def top_products(spark, d):
-    return reports.top_products(_shop_report(spark, d)).select("site", "rank", "name", "price")
+    return reports.top_products(all_reports(spark, d))
 
 
 @query
 def top_services(spark, d):
-    return reports.top_services(_service_report(spark, d))
+    return reports.top_services(all_reports(spark, d))
 
 
 @query
 def report_totals(spark, d):
-    pages = pages_of(spark, d)
-    contacts = P.page_contacts(pages)
-    none = contacts.where(F.lit(False))
-    sections = {s: none.select("site", *[F.lit("").alias(c) for c in cols]) for s, cols in reports.SECTIONS.items()}
-    sections |= {"pages": P.build_pages(pages), "contacts": contacts}
-    return reports.report_totals(reports.json_report(R.site_profile(sections["pages"], contacts), sections))
+    return reports.report_totals(all_reports(spark, d))
 
 
 @query
@@ -685,15 +671,15 @@ def stream_contacts(spark, d):
 
 @query
 def stream_page_upsert(spark, d):
-    """Two batches: all pages, then every second one again with a changed title."""
+    """Two runs of the stream: all pages, then every second one again with a changed title."""
     base = tables.scratch_path(spark, "stream-pages")
     first = pages_of(spark, d).select("page_id", "url", "html", F.timestamp_seconds(F.lit(1)).alias("fetched_at"))
     second = first.where("page_id % 2 = 0").withColumn("html", F.replace("html", F.lit("<title>"), F.lit("<title>New "))) \
         .withColumn("fetched_at", F.timestamp_seconds(F.lit(2)))
     for k, df in enumerate((first, second)):
-        df.coalesce(1).write.parquet(f"{base}/in/delivery={k}")
-    landed_pages = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    jobs.stream_page_upsert(scan_pages(landed_pages), f"{base}/out", f"{base}/ck").awaitTermination()
+        df.write.parquet(f"{base}/in/delivery={k}")
+        arriving = spark.readStream.schema(first.schema).parquet(f"{base}/in")
+        jobs.stream_page_upsert(scan_pages(arriving), f"{base}/out", f"{base}/ck").awaitTermination()
     return jobs.current_pages(spark, f"{base}/out").select("site", "url", "title", "h1", "raw_text")
 
 
