@@ -23,6 +23,7 @@ PREVIEW_CHARS = 2000
 SHORT_CHARS = 110
 REPORT_PRODUCTS = 60
 REPORT_SERVICES = 40
+LG_K = 14  # registers of a count sketch, as a power of two
 PROFILE_FIELDS = ("domain", "site_title", "meta_description", "meta_keywords", "main_h1")
 
 
@@ -79,7 +80,39 @@ def report_counts(pages: DataFrame, products: DataFrame, services: DataFrame, ap
         counted(services.select("site", "name").distinct(), "services")).unionByName(counted(api, "api_responses"))
     return rows.groupBy("site").agg(*[
         F.coalesce(F.sum(F.when(F.col("what") == w, F.col("n"))), F.lit(0)).alias(w)
-        for w in ("pages", "products", "services", "api_responses")])
+        for w in COUNTED])
+
+
+COUNTED = ("pages", "products", "services", "api_responses")
+
+
+def count_sketches(pages: DataFrame, products: DataFrame, services: DataFrame, api: DataFrame) -> DataFrame:
+    """(site, what, sketch): mergeable sketches of the distinct pages, product and service names, and API calls of each site.
+
+    A sketch has a fixed size, whatever it counts, and a later load adds to it by ``merged_sketches`` without seeing the rows of
+    the earlier ones. Its relative standard error is 0.6 % (2^LG_K registers), and small counts are exact.
+    """
+    named = {"pages": (pages, "url"), "products": (products, "name"), "services": (services, "name"), "api_responses": (api, "api_url")}
+    rows = None
+    for what, (df, column) in named.items():
+        part = df.where(F.col(column).isNotNull()).select("site", F.lit(what).alias("what"), F.col(column).alias("value"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("site", "what").agg(F.hll_sketch_agg("value", LG_K).alias("sketch"))
+
+
+def merged_sketches(*loads: DataFrame) -> DataFrame:
+    """Sketches of several loads as one per site and kind."""
+    rows = loads[0]
+    for more in loads[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("site", "what").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def approximate_counts(sketches: DataFrame) -> DataFrame:
+    """(site, pages, products, services, api_responses) as estimated from sketches."""
+    n = F.hll_sketch_estimate("sketch")
+    return sketches.groupBy("site").agg(*[
+        F.coalesce(F.max(F.when(F.col("what") == w, n)), F.lit(0)).alias(w) for w in COUNTED])
 
 
 def unique_products(products: DataFrame) -> DataFrame:

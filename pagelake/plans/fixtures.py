@@ -258,6 +258,19 @@ def raw_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"))
 
 
+def spelled_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_partkey, spelling, raw): the price of every part, with thousands, in four spellings."""
+    price = (F.col("p_retailprice") * 1000 + F.col("p_partkey") / 100).cast("decimal(18,2)")
+    english = F.format_number(price, 2)
+    german = F.translate(english, ",.", ".,")
+    spellings = {
+        "english": _cat("$", english), "german": _cat("ab ", german, " € / Stück"),
+        "blanks": _cat("Цена: ", F.translate(F.replace(english, F.lit(","), F.lit("\u00a0")), ".", ","), " ₽"),
+        "swiss": _cat("CHF ", F.replace(english, F.lit(","), F.lit("'")), ".-"), "whole": _cat(F.regexp_replace(english, r"\.\d+$", ""), " USD")}
+    return texts(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("spelling"), v.alias("raw")) for k, v in spellings.items()])).alias("s")).select("p_partkey", "s.*")
+
+
 def noisy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): document words between five kinds of page noise."""
     words = F.array_join(F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^a-z]+", " ")), " "), ". ")

@@ -366,6 +366,9 @@ def oracle_sql() -> dict[str, str]:
       SELECT p_partkey, CASE m WHEN 0 THEN d || ' ₽' WHEN 1 THEN '$' || d WHEN 2 THEN d || ' РУБ.' WHEN 3 THEN '€ ' || d WHEN 4 THEN d || 'usd'
         WHEN 5 THEN '£' || d WHEN 6 THEN d || ' грн.' WHEN 7 THEN d || ' KZT' WHEN 8 THEN '¥ ' || d ELSE '' END AS price,
         list_extract(['RUB', 'USD', 'RUB', 'EUR', 'USD', 'GBP', '', '', '', ''], m::INT + 1) AS currency FROM p"""
+    q["price_number"] = """WITH p AS (SELECT p_partkey, CAST(p_retailprice * 1000 + p_partkey / 100 AS DECIMAL(18,2)) AS n FROM part)
+      SELECT p_partkey, spelling, CASE spelling WHEN 'whole' THEN CAST(trunc(n) AS DECIMAL(18,2)) ELSE n END AS price_num
+      FROM p, (SELECT unnest(['english', 'german', 'blanks', 'swiss', 'whole']) AS spelling)"""
     social = [f"SELECT s_suppkey, 'social:{n}' AS type, 'https://{d}/' || s_suppkey AS value FROM supplier" for d, n in SOCIAL_DOMAINS.items()]
     social += ["SELECT s_suppkey, 'social:X', 'https://netflix.com/' || s_suppkey FROM supplier"]
     q["classify_social"] = " UNION ALL ".join(social)
@@ -501,6 +504,7 @@ def oracle_sql() -> dict[str, str]:
         SELECT DISTINCT site, 'products', name FROM merged UNION ALL SELECT site, 'api', api_url FROM calls)
       SELECT site, count(*) FILTER (w = 'pages') AS pages, count(*) FILTER (w = 'products') AS products, 0 AS services,
         count(*) FILTER (w = 'api') AS api_responses FROM n GROUP BY site"""
+    q["approximate_report_counts"] = q["report_counts"]
     q["distinct_addresses"] = f"""WITH {ORGS} SELECT site, value FROM addresses UNION SELECT site, value FROM ld WHERE type = 'address'"""
     q["product_listing"] = f"""WITH {SHOP} SELECT site, name, '  • ' || name || '  | ' || rtrim(price || ' ' || currency) ||
         CASE WHEN old_price <> '' AND old_price <> price THEN '  (было ' || old_price || ')' ELSE '' END AS line, product_url

@@ -224,6 +224,12 @@ def price_and_currency(spark, d):
         .select("p_partkey", "p.price", "p.currency")
 
 
+@query
+def price_number(spark, d):
+    """Prices of parts in four spellings, with blanks, commas, dots and apostrophes."""
+    return X.spelled_prices(spark, d).select("p_partkey", "spelling", prices.price_number(F.col("raw")).alias("price_num"))
+
+
 @query
 def classify_social(spark, d):
     """Social types of links to all networks and to a look-alike, one set per supplier."""
@@ -537,6 +543,20 @@ def report_counts(spark, d):
     return R.report_counts(e.pages, e.products, e.services, e.api_responses)
 
 
+@query
+def approximate_report_counts(spark, d):
+    """Counts of the shops from sketches of two loads, of the lower and the upper half of the listing blocks."""
+    e = shop_entities(spark, d, ["pages", "products", "services"])
+    upper = F.regexp_extract(F.col("u"), r"page=(\d+)$", 1).cast("int") >= 50
+
+    def half(df, url, keep):
+        return df.withColumn("u", F.col(url)).where(upper if keep else ~upper).drop("u")
+
+    loads = [R.count_sketches(half(e.pages, "url", k), half(e.products, "source_url", k), half(e.services, "page_url", k),
+                              half(e.api_responses, "trigger_url", k)) for k in (False, True)]
+    return R.approximate_counts(R.merged_sketches(*loads))
+
+
 @query
 def distinct_addresses(spark, d):
     return R.distinct_addresses(org_contacts(spark, d))

@@ -51,6 +51,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a written folder holds any data."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(folder) and any(not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(folder))
+
+
 def stored_rows(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; what follows scans it instead of computing it again."""
     path = scratch_path(df.sparkSession, name)
@@ -77,11 +84,12 @@ def write_tables(tables: dict[str, tuple[DataFrame, list[str]]], path: str) -> N
 def replace_sites(df: DataFrame, path: str) -> None:
     """Wipe and reload the sites in ``df``; other sites of the table stay untouched.
 
+    The rows are stored once; the buckets and sites that they touch are read from there, so ``df`` is computed once.
     Only the buckets that hold one of these sites are rewritten (dynamic partition overwrite,
     moved in place when the whole job has succeeded). The rebalance hint lets the adaptive
     planner split a bucket with a very large site into several files of normal size.
     """
-    new = with_site_bucket(df)
+    new = stored_rows(with_site_bucket(df), "staged")
     try:
         stored = df.sparkSession.read.parquet(path)
     except AnalysisException as e:

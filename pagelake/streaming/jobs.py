@@ -6,6 +6,7 @@ so the same code serves a schedule and a continuous deployment.
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from ..operators.structured import api_products
 from ..sources.landed import api_responses, json_responses
 
 COMPACT_EVERY = 16
+KEEP_SECONDS = 86_400
 
 
 def _append(df: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
@@ -52,18 +54,22 @@ def stream_contacts(pages: DataFrame, target: str, checkpoint: str, late_by: str
     return _append(once, target, checkpoint)
 
 
-def stream_page_upsert(pages: DataFrame, target: str, checkpoint: str, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+def stream_page_upsert(pages: DataFrame, target: str, checkpoint: str, compact_every: int = COMPACT_EVERY,
+                       keep_seconds: int = KEEP_SECONDS) -> StreamingQuery:
     """Store page rows of each micro-batch in a folder of its own; ``current_pages`` merges on read.
 
     A replayed batch overwrites its own folder, so retries change nothing, and no batch rewrites what earlier ones
     stored. After every ``compact_every`` batches the merged state is stored as a snapshot, so a read never merges
-    more than one snapshot and that many batches.
+    more than one snapshot and that many batches. Folders that the last snapshot but one covers are removed once they are
+    ``keep_seconds`` old: no replay needs them, since a batch is only repeated until the next one is planned, and readers
+    that listed them have had that long to finish.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         build_pages(batch).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
         if (batch_id + 1) % compact_every == 0:
             compact_pages(spark, target, f"{target}/snapshot_id={batch_id}", batch_id)
+            remove_covered(spark, target, keep_seconds)
 
     return (pages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -78,6 +84,22 @@ def _stored_ids(spark: SparkSession, target: str, kind: str) -> list[int]:
                   and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS")))
 
 
+def remove_covered(spark: SparkSession, target: str, keep_seconds: int = KEEP_SECONDS) -> None:
+    """Remove batches and snapshots that the last complete snapshot but one covers and that nobody can be reading."""
+    snapshots = _stored_ids(spark, target, "snapshot_id")
+    if len(snapshots) < 2:
+        return
+    covering = snapshots[-2]
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    newest = (time.time() - keep_seconds) * 1000
+    for folder in fs.listStatus(path):
+        kind, _, number = folder.getPath().getName().partition("=")
+        covered = kind == "batch_id" and int(number) <= covering or kind == "snapshot_id" and int(number) < covering
+        if covered and folder.getModificationTime() <= newest:
+            fs.delete(folder.getPath(), True)
+
+
 def current_pages(spark: SparkSession, target: str, until: int | None = None) -> DataFrame:
     """Latest row per url: the last fetch wins, then the last batch. ``until`` is the last batch that counts."""
     def usable(kind: str) -> list[int]:

@@ -403,3 +403,70 @@ def test_large_pages_take_linear_time(page_df, operator):
     seconds(page_df, operator, 50)  # compiled code
     small, large = (min(seconds(page_df, operator, n) for _ in range(2)) for n in (2000, 4000))
     assert large < 10 and large < 2.3 * small + 0.5
+
+
+# --- graph, replace, sketches, numbers ------------------------------------------------------------
+
+
+def test_bfs_depth_of_random_graphs_and_a_long_chain(spark):
+    rng = random.Random(3)
+    edges = {(rng.randrange(60), rng.randrange(60)) for _ in range(90)} | {(1000 + i, 1001 + i) for i in range(25)}
+    depth, frontier = {0: 0, 5: 0, 1000: 0}, [0, 5, 1000]
+    while frontier:
+        reached = {t for s, t in edges if s in frontier and t not in depth}
+        depth |= dict.fromkeys(reached, max(depth[f] for f in frontier) + 1)
+        frontier = list(reached)
+    df = spark.createDataFrame([(f"http://a/{s}", f"http://a/{t}") for s, t in edges], "from_url string, to_url string")
+    seeds = spark.createDataFrame([(f"http://a/{i}",) for i in (0, 5, 1000)], "url string")
+    assert rows(graph.bfs_depth(df, seeds), "url", "depth") == sorted((f"http://a/{u}", d) for u, d in depth.items())
+    assert rows(graph.bfs_depth(df, seeds, 2), "depth")[-1] == (2,)
+    assert graph.bfs_depth(df, seeds.limit(0)).count() == 0
+    assert rows(graph.bfs_depth(df.limit(0), seeds), "depth") == [(0,)] * 3
+
+
+def test_a_level_reads_only_its_buckets(spark, monkeypatch):
+    df = spark.createDataFrame([(f"http://a/{i}", f"http://a/{i + 1}") for i in range(20)], "from_url string, to_url string")
+    seen = []
+    monkeypatch.setattr(graph, "_buckets", lambda d, real=graph._buckets: seen.append(real(d)) or seen[-1])
+    graph.bfs_depth(df, spark.createDataFrame([("http://a/0",)], "url string")).count()
+    assert all(len(b) <= 1 for b in seen[1:])  # all but the list of buckets that have edges
+
+
+def test_replace_computes_its_input_once(spark, tmp_path):
+    counter = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            counter.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([("a.org", "1"), ("b.org", "2")], "site string, v string").mapInArrow(counted, "site string, v string")
+    tables.replace_sites(df, f"{tmp_path}/t")
+    tables.replace_sites(df.where("site = 'a.org'"), f"{tmp_path}/t")
+    assert counter.value == 4
+    assert rows(spark.read.parquet(f"{tmp_path}/t"), "site", "v") == [("a.org", "1"), ("b.org", "2")]
+
+
+def test_sketches_of_two_loads(spark):
+    def load(low, high):
+        ids = spark.range(low, high)
+        pages = ids.selectExpr("if(id % 3 = 0, 'small.org', 'big.org') AS site", "concat('u', id) AS url")
+        names = ids.selectExpr("'big.org' AS site", "concat('n', id % 50000) AS name")
+        return profile.count_sketches(pages, names, names.limit(0), spark.createDataFrame([], "site string, api_url string"))
+
+    got = {r.site: r for r in profile.approximate_counts(profile.merged_sketches(load(0, 60_000), load(40_000, 100_000))).collect()}
+    assert abs(got["big.org"].pages - 66_666) < 0.03 * 66_666 and abs(got["small.org"].pages - 33_334) < 0.03 * 33_334
+    assert abs(got["big.org"].products - 50_000) < 0.03 * 50_000 and got["big.org"].services == 0 and got["small.org"].products == 0
+
+
+def test_price_numbers(column):
+    from decimal import Decimal
+
+    from pagelake.functions import prices
+
+    cases = {"1 234,56 ₽": "1234.56", "$1,234.56": "1234.56", "1.234,56 €": "1234.56", "1234.56": "1234.56", "1'234.50": "1234.50", "от 990 руб.": "990",
+             "1.234": "1234", "1,5": "1.50", "1.234.567": "1234567", "1,234,567.8": "1234567.80", "12.3456": "12.35", "0,999": "999", "no price": None,
+             None: None, "": None, "1 000 000,01": "1000000.01", "3 for 2": "3", "-5,00": "5.00", "9" * 40: None}
+    got = column(list(cases), prices.price_number)
+    assert got == [None if v is None else Decimal(v).quantize(Decimal("0.01")) for v in cases.values()]
+    assert column(["1.234", "1,234", "0,999"], lambda c: prices.price_number(c, ",")) == [Decimal("1234.00"), Decimal("1.23"), Decimal("1.00")]

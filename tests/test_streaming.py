@@ -65,3 +65,19 @@ def test_state_of_contacts_is_bounded(spark):
     query.awaitTermination()
     assert spark.read.parquet(f"{base}/out").count() == 10
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+
+
+def test_old_batches_are_removed(spark, sf_dir):
+    base = tables.scratch_path(spark, "s")
+    pages = X.table(spark, sf_dir, "pages").select("url", "html").limit(6)
+    for k in range(14):
+        pages.withColumn("html", F.regexp_replace("html", "<title>.*?</title>", f"<title>t{k}</title>")) \
+            .withColumn("fetched_at", F.timestamp_seconds(F.lit(k))).where(F.lit(k) % 2 == F.xxhash64("url") % 2).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = scan_pages(spark.readStream.schema("url string, html string, fetched_at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
+    for out, keep in (("all", 3600), ("few", 0)):
+        jobs.stream_page_upsert(stream, f"{base}/{out}", f"{base}/ck-{out}", compact_every=2, keep_seconds=keep).awaitTermination()
+    batches = {out: jobs._stored_ids(spark, f"{base}/{out}", "batch_id") for out in ("all", "few")}
+    assert len(batches["all"]) >= 10 and len(batches["few"]) <= 4
+    assert len(jobs._stored_ids(spark, f"{base}/few", "snapshot_id")) <= 2
+    few, every = (jobs.current_pages(spark, f"{base}/{out}") for out in ("few", "all"))
+    assert few.exceptAll(every).count() == 0 and every.exceptAll(few).count() == 0
