@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import is_followable, normalize_url, site_of
-from ..sources.tables import has_files, scratch_path, shared_dir
+from ..sources.tables import has_files, scratch_path, shared_dir, stored_rows
 from .groups import top_per_group
 from .keys import first_wins
 
 # candidates are taken in this order
 PRIORITY = {"pagination": 0, "seed": 1, "sitemap": 2, "link": 3}
-URL_BUCKETS = 256
+URL_BUCKETS = 8
 
 
 def frontier_candidates(seeds: DataFrame, sitemap: DataFrame, links: DataFrame, next_pages: DataFrame) -> DataFrame:
@@ -49,56 +49,60 @@ def frontier_round(candidates: DataFrame, visited: DataFrame, budget: int) -> Da
     return top_per_group(fresh, ["site"], order, budget).select("site", "url", "kind", "depth", "seq", "rank")
 
 
-def _bucketed(df: DataFrame, url: str) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64(url), F.lit(URL_BUCKETS)).cast("int"))
-
-
 def _buckets(df: DataFrame) -> list[int]:
-    """Buckets that occur, at most URL_BUCKETS numbers."""
+    """Buckets that occur, a list of bounded length."""
     return sorted(r.bucket for r in df.select("bucket").distinct().collect())
 
 
-def bfs_depth(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_pages: int | None = None) -> DataFrame:
+def bfs_depth(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_pages: int | None = None,
+              url_buckets: int = URL_BUCKETS) -> DataFrame:
     """(site, url, depth): depth at which each page is first reached over the edges.
 
     ``edges`` has from_url and to_url, ``seeds`` has url. Edges and reached pages are stored in buckets of their url, the
     pages of each level in folders of their own. A level reads the last level, the edges in its buckets, and those
     buckets of the reached pages that its targets fall into; so a long chain reads little per level, however many levels
-    came before. The walk ends when nothing new is reached, or at ``max_depth`` where one is given.
+    came before. Every level writes a file per bucket, so ``url_buckets`` should grow with the graph. The walk ends when
+    nothing new is reached, or at ``max_depth`` where one is given.
     """
     spark = edges.sparkSession
     shared_dir(spark)
     kept, reached = scratch_path(spark, "edges"), scratch_path(spark, "reached")
-    _bucketed(edges.select("from_url", "to_url").distinct(), "from_url").hint("rebalance", "bucket").write.partitionBy("bucket").parquet(kept)
-    with_edges = set(_buckets(spark.read.parquet(kept).select("bucket"))) if has_files(spark, kept) else set()
+
+    def bucketed(df: DataFrame, url: str) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(url), F.lit(url_buckets)).cast("int"))
+
+    bucketed(edges.select("from_url", "to_url").distinct(), "from_url").hint("rebalance", "bucket").write.partitionBy("bucket").parquet(kept)
+    with_edges = set(_buckets(spark.read.schema("bucket int").parquet(kept))) if has_files(spark, kept) else set()
 
     def store(level: DataFrame, depth: int, within: list[int]) -> list[int]:
         """Write the pages of a level; the buckets that got some."""
-        level.withColumn("depth", F.lit(depth)).hint("rebalance", "bucket").write.mode("append").partitionBy("bucket", "depth").parquet(reached)
+        level.withColumn("depth", F.lit(depth)).write.mode("append").partitionBy("bucket", "depth").parquet(reached)
         return [b for b in within if has_files(spark, f"{reached}/bucket={b}/depth={depth}")]
 
-    def read(folders: list[str], base: str) -> DataFrame:
-        return spark.read.option("basePath", base).parquet(*folders)
+    def read(folders: list[str], base: str, schema: str) -> DataFrame:
+        return spark.read.schema(schema).option("basePath", base).parquet(*folders)
 
-    first = _bucketed(seeds.select("url").distinct(), "url").checkpoint()
+    links, pages = "from_url string, to_url string, bucket int", "url string, bucket int, depth int"
+    first = stored_rows(bucketed(seeds.select("url").distinct(), "url"), "seeds")
     last = store(first, 0, _buckets(first))
     used = set(last)
     for depth in (count(1) if max_depth is None else range(1, max_depth + 1)):
         sources = [b for b in last if b in with_edges]
         if not sources:
             break
-        frontier = read([f"{reached}/bucket={b}/depth={depth - 1}" for b in sources], reached).select("url")
-        steps = read([f"{kept}/bucket={b}" for b in sources], kept).select("from_url", "to_url")
-        targets = _bucketed(frontier.join(steps, F.col("url") == F.col("from_url")).select(F.col("to_url").alias("url")).distinct(), "url").checkpoint()
+        frontier = read([f"{reached}/bucket={b}/depth={depth - 1}" for b in sources], reached, pages)
+        steps = read([f"{kept}/bucket={b}" for b in sources], kept, links)
+        found = frontier.select("url").join(steps, F.col("url") == F.col("from_url")).select(F.col("to_url").alias("url")).distinct()
+        targets = stored_rows(bucketed(found, "url"), "targets")
         touched = _buckets(targets)
         known = [f"{reached}/bucket={b}" for b in touched if b in used]
-        fresh = targets.join(read(known, reached).select("url"), "url", "left_anti") if known else targets
+        fresh = targets.join(read(known, reached, pages).select("url"), "url", "left_anti") if known else targets
         last = store(fresh, depth, touched)
         used.update(last)
     if not used:
         found = first.select("url", F.lit(0).alias("depth"))
     else:
-        found = spark.read.parquet(reached)
+        found = spark.read.schema(pages).parquet(reached)
     found = found.withColumn("site", site_of(F.col("url"))).select("site", "url", "depth")
     if max_pages is None:
         return found
