@@ -5,8 +5,9 @@ symbols of the network, in 32 classes of 32; every other token belongs to one of
 bytes), and within a tail class it has its smoothed share of the counts, with one more share for an unseen token.
 The network (one gated recurrent layer, numpy) predicts the class and then the symbol within the class. It is
 trained by truncated backpropagation inside Spark tasks on every training document once: their hash deals them over
-the rounds, and after each round the weights of all tasks are averaged. To score, the state runs through whole
-documents, window by window.
+the rounds, and after each round the weights of all tasks are averaged, by sums that meet in groups of tasks. Training reads
+documents in pieces of 2,048 tokens, so that long ones do not leave lanes empty. To score, the state runs through whole
+documents, window by window, many documents side by side.
 
 Counts of frequent tokens go to the tasks in a table of bounded size; those of all others are joined.
 
@@ -33,10 +34,10 @@ CLASSES = SYMBOLS // CLASS_SIZE
 HIDDEN = 24
 HEAD_TOKENS = 300_000  # frequent tokens whose counts every task holds
 FLUSHED_TOKENS = 400_000  # distinct tokens that a counting task holds
-RATES = (0.01, 0.005, 0.0025)  # learning rates, one for each round
-TRAIN_LANES, TRAIN_STEPS, TRAIN_CHUNK = 32, 32, 400_000
-LANES, STEPS = 256, 64
-SCORED_BYTES = 8 << 20  # text scored at once: one long document should not leave the other lanes empty
+RATES = (0.02, 0.01, 0.005)  # learning rates, one for each round
+TRAIN_LANES, TRAIN_STEPS, TRAIN_CHUNK, TRAIN_PIECE = 128, 16, 1_500_000, 2_048
+LANES, STEPS, SCORE_CHUNK = 512, 32, 3_000_000  # tokens scored side by side: one long document should not leave the other lanes empty
+MERGED = 64  # networks that are added in one task
 END = b""
 
 
@@ -262,8 +263,8 @@ def lanes_of(docs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray,
         lanes[k].append(int(i))
         loads[k] += sizes[i]
     steps = int(loads.max(initial=0))
-    x = np.zeros((steps, n), dtype=np.int64)
-    y, new, owner = x.copy(), np.zeros((steps, n), dtype=bool), np.full((steps, n), -1)
+    x = np.zeros((steps, n), dtype=np.int32)
+    y, new, owner = x.copy(), np.zeros((steps, n), dtype=bool), np.full((steps, n), -1, dtype=np.int32)
     for k, lane in enumerate(lanes):
         at = 0
         for i in lane:
@@ -292,7 +293,7 @@ def document_logs(w: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndarra
 
 
 def train_on(w: dict[str, np.ndarray], docs: list[np.ndarray], adam: Adam) -> None:
-    x, y, new, owner = lanes_of(docs, TRAIN_LANES)
+    x, y, new, owner = lanes_of([d[i:i + TRAIN_PIECE] for d in docs for i in range(0, len(d), TRAIN_PIECE)], TRAIN_LANES)
     h = np.zeros((x.shape[1], HIDDEN), dtype=np.float32)
     for t in range(0, len(x), TRAIN_STEPS):
         part = slice(t, t + TRAIN_STEPS)
@@ -326,7 +327,7 @@ def trained(train: DataFrame, vocab: Vocabulary, rates: tuple[float, ...] = RATE
             none = np.zeros(SYMBOLS, dtype=np.int64)
             for b in batches:
                 for text in b.column("text").to_pylist():
-                    docs.append(symbols_of(words_of(text), frequent.value, none)[1])
+                    docs.append(symbols_of(words_of(text), frequent.value, none)[1].astype(np.int32))
                     size += len(docs[-1])
                     if size >= TRAIN_CHUNK:
                         train_on(own, docs, adam)
@@ -334,18 +335,32 @@ def trained(train: DataFrame, vocab: Vocabulary, rates: tuple[float, ...] = RATE
             if docs:
                 train_on(own, docs, adam)
             if seen + size:
-                yield pa.RecordBatch.from_arrays([pa.array([float(seen + size)]), pa.array([flat(own).astype(float)], pa.list_(pa.float64()))], names=["n", "w"])
+                total = flat(own).astype(float) * (seen + size)
+                yield pa.RecordBatch.from_arrays([pa.array([float(seen + size)]), pa.array([total.tobytes()], pa.binary())], names=["n", "w"])
 
         dealt = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(len(rates))) == k)
-        values = map_texts(dealt.select("text"), run, "n double, w array<double>").select("n", F.posexplode("w").alias("place", "v"))
-        mean = values.groupBy("place").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("v")).toPandas()
-        if len(mean):
-            out = flat(w).astype(float)
-            out[mean["place"].to_numpy()] = mean["v"].to_numpy()
-            w = shaped(out, w)
+        values = map_texts(dealt.select("text"), run, "n double, w binary").withColumn("id", F.spark_partition_id().cast("bigint"))
+        n, total = added(stored(values, "weights"))
+        if n:
+            w = shaped(total / n, w)
     return w
 
 
+def added(parts: DataFrame) -> tuple[float, np.ndarray]:
+    """Sum of ``n`` and of the vectors ``w``; tasks add them in groups of at most MERGED, until one is left."""
+    def add(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        total = sum(np.frombuffer(x.as_py()) for x in rows.column("w"))
+        return pa.table({"n": [sum(rows.column("n").to_pylist())], "w": pa.array([total.tobytes()], pa.binary()), "id": rows.column("group")[:1]})
+
+    size = (parts.agg(F.max("id")).first()[0] or 0) + 1
+    while size > 1:
+        size = -(-size // MERGED)
+        parts = parts.withColumn("group", F.col("id") % size).groupBy("group").applyInArrow(add, "n double, w binary, id bigint")
+    last = parts.first()
+    return (last.n, np.frombuffer(last.w)) if last else (0.0, np.zeros(0))
+
+
 def document_scores(docs: DataFrame, held_out: int = 1, folds: int = 5) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, logarithms to base 10."""
     fold = remainder(F.col("doc_id"), folds)
@@ -356,35 +371,44 @@ def document_scores(docs: DataFrame, held_out: int = 1, folds: int = 5) -> DataF
     sent = docs.sparkSession.sparkContext.broadcast((vocab, weights))  # HEAD_TOKENS words and one network
     norm = float(np.log10(vocab.n + 0.5 * (vocab.v + 1)))
     source = docs.select("doc_id", (fold == held_out).alias("held_out"), F.monotonically_increasing_id().alias("row"), "text")
-    pair = pa.struct([("word", pa.binary()), ("n", pa.int64()), ("tail", pa.int64())])
+    rest_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, w = sent.value
         index, logs = vocab.index(), np.log10(vocab.counts + 0.5)
         tail_logs = np.log10(vocab.tails)
+        kept: list[tuple] = []
+        size = 0
+
+        def scored_rows() -> pa.RecordBatch:
+            ids, held_out, rows, sequences, known, base, extra, rest = zip(*kept)
+            network = document_logs(w, list(sequences)) / np.log(10)
+            return pa.RecordBatch.from_arrays([
+                pa.array(ids, doc_id_type), pa.array(held_out, pa.bool_()), pa.array(rows, pa.int64()), pa.array([len(x) for x in sequences], pa.int64()),
+                pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(network + np.array(extra), pa.float64()), pa.array(rest, rest_type)],
+                names=["doc_id", "held_out", "row", "n_tokens", "n_head", "head_score", "network_score", "rest"])
+
         for b in batches:
-            sequences, tokens, known, base, extra, rest = [], [], [], [], [], []
-            for text in b.column("text").to_pylist():
+            doc_id_type = b.column("doc_id").type
+            columns = (b.column(c).to_pylist() for c in ("doc_id", "held_out", "row", "text"))
+            for doc_id, held_out, row, text in zip(*columns, strict=True):
                 words = words_of(text)
                 numbers, symbols = symbols_of(words, index, vocab.classes)
                 held = numbers[numbers >= 0]
-                sequences.append(symbols)
-                tokens.append(len(numbers))
-                known.append(int((vocab.counts[held] > 0).sum()))
-                base.append(float(logs[held].sum()))
                 outside = symbols[symbols >= SYMBOLS] - SYMBOLS
-                extra.append(float(logs[held[held >= SYMBOLS]].sum() - tail_logs[outside].sum()))
-                rest.append([{"word": x, "n": n, "tail": 0} for x, n in Counter(words[i] for i in np.flatnonzero(numbers < 0)).items()])
-            network = document_logs(w, sequences) / np.log(10) if sequences else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), b.column("held_out"), b.column("row"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
-                pa.array(base, pa.float64()), pa.array(network + np.array(extra), pa.float64()),
-                pa.array([[{"word": r["word"], "n": r["n"]} for r in x] for x in rest], pa.list_(pa.struct(list(pair)[:2])))],
-                names=["doc_id", "held_out", "row", "n_tokens", "n_head", "head_score", "network_score", "rest"])
+                rest = Counter(words[i] for i in np.flatnonzero(numbers < 0))
+                kept.append((doc_id, held_out, row, symbols.astype(np.int32), int((vocab.counts[held] > 0).sum()), float(logs[held].sum()),
+                             float(logs[held[held >= SYMBOLS]].sum() - tail_logs[outside].sum()), [{"word": x, "n": n} for x, n in rest.items()]))
+                size += len(symbols)
+            if size >= SCORE_CHUNK:
+                yield scored_rows()
+                kept, size = [], 0
+        if kept:
+            yield scored_rows()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = stored(map_texts(source, run, f"doc_id {kind}, held_out boolean, row bigint, n_tokens bigint, n_head bigint, head_score double, "
-                              "network_score double, rest array<struct<word:binary,n:bigint>>", limit=SCORED_BYTES), "scored")
+                              "network_score double, rest array<struct<word:binary,n:bigint>>"), "scored")
     rare = scored.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.n")
     rare = rare.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_score"),

@@ -88,5 +88,5 @@ def test_revisits_odd_records(spark):
 
 def test_registry():
     names = list(queries.queries())
-    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 11)) and len(names) == 10
+    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 14)) and len(names) == 13
     assert set(queries.oracle_sql()) <= set(names)
