@@ -1,7 +1,7 @@
 """Document log-likelihood by a gated recurrent language model with a class-factored output.
 
 Token counts cover all training documents and come from one distributed count. The 1,024 most frequent tokens are
-symbols of the network, in 32 classes of 32; every other token belongs to one of 32 tail classes (by its last two
+symbols of the network, in 16 classes of 64; every other token belongs to one of 32 tail classes (by its last two
 bytes), and within a tail class it has its smoothed share of the counts, with one more share for an unseen token.
 The network (one gated recurrent layer, numpy) predicts the class and then the symbol within the class. It is
 trained by truncated backpropagation inside Spark tasks on every training document once: their hash deals them over
@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, remainder, stored
 
-SYMBOLS, CLASS_SIZE, TAIL_CLASSES = 1024, 32, 32
+SYMBOLS, CLASS_SIZE, TAIL_CLASSES = 1024, 64, 32
 CLASSES = SYMBOLS // CLASS_SIZE
 HIDDEN = 24
 HEAD_TOKENS = 300_000  # frequent tokens whose counts every task holds
 FLUSHED_TOKENS = 400_000  # distinct tokens that a counting task holds
-RATES = (0.02, 0.01, 0.005)  # learning rates, one for each round
-TRAIN_LANES, TRAIN_STEPS, TRAIN_CHUNK, TRAIN_PIECE = 128, 16, 1_500_000, 2_048
-LANES, STEPS, SCORE_CHUNK = 512, 32, 3_000_000  # tokens scored side by side: one long document should not leave the other lanes empty
+RATES = (0.04, 0.02, 0.01)  # learning rates, one for each round
+TRAIN_LANES, TRAIN_STEPS, TRAIN_CHUNK, TRAIN_PIECE = 384, 16, 1_500_000, 2_048
+LANES, STEPS, SCORE_CHUNK = 384, 16, 3_000_000  # tokens scored side by side: one long document should not leave the other lanes empty
 MERGED = 64  # networks that are added in one task
 END = b""
 
@@ -133,37 +133,52 @@ def shaped(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """1 / (1 + exp(-x)), in the memory of ``x``."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def run_states(w: dict[str, np.ndarray], x: np.ndarray, new: np.ndarray, h: np.ndarray, trace: list | None = None) -> np.ndarray:
     """States after each step of ``x`` (steps, lanes) from ``h``; ``new`` marks document starts, where the state is 0."""
-    out = np.empty((*x.shape, HIDDEN), dtype=np.float32)
+    out = np.empty((*x.shape, HIDDEN), dtype=h.dtype)
     inputs = w["input"][x]
+    starts = new.any(axis=1)
     for t in range(len(x)):
-        if new[t].any():
-            h = np.where(new[t][:, None], np.float32(0), h)
+        if starts[t]:
+            h = np.where(new[t][:, None], h.dtype.type(0), h)
         s = h @ w["state"]
-        gates = sigmoid(inputs[t, :, : 2 * HIDDEN] + s[:, : 2 * HIDDEN])
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        g = s[:, 2 * HIDDEN:]
-        c = np.tanh(inputs[t, :, 2 * HIDDEN:] + r * g)
+        gates = s[:, :2 * HIDDEN] + inputs[t, :, :2 * HIDDEN]
+        gates = sigmoid(gates)
+        z, r, g = gates[:, :HIDDEN], gates[:, HIDDEN:], s[:, 2 * HIDDEN:]
+        c = r * g
+        c += inputs[t, :, 2 * HIDDEN:]
+        np.tanh(c, out=c)
         if trace is not None:
             trace.append((h, z, r, g, c))
-        h = h + z * (c - h)
-        out[t] = h
+        np.subtract(c, h, out=out[t])
+        out[t] *= z
+        out[t] += h
+        h = out[t]
     return out
 
 
-def log_softmax(a: np.ndarray) -> np.ndarray:
-    a = a - a.max(axis=1, keepdims=True)
-    return a - np.log(np.exp(a).sum(axis=1, keepdims=True))
+def softmax(a: np.ndarray) -> np.ndarray:
+    """Shares of each row, in the memory of ``a``. States lie within 1, so only wild weights need the bound."""
+    np.minimum(a, 80, out=a)
+    np.exp(a, out=a)
+    a += 1e-30
+    a /= a.sum(axis=1, keepdims=True)
+    return a
 
 
 def log_picked(a: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """One entry of the log-softmax of each row."""
-    a = a - a.max(axis=1, keepdims=True)
-    return a[np.arange(len(a)), places] - np.log(np.exp(a).sum(axis=1))
+    """One entry of the log-softmax of each row, in the memory of ``a``."""
+    a -= a.max(axis=1, keepdims=True)
+    picked = a[np.arange(len(a)), places]
+    np.exp(a, out=a)
+    return picked - np.log(a.sum(axis=1))
 
 
 def class_groups(y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -194,37 +209,51 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, new: np.nd
     states = run_states(w, x, new, h, trace)
     rows, targets = states.reshape(-1, HIDDEN), y.ravel()
     keep = live.ravel().astype(np.float32)[:, None] / max(1, int(live.sum()))
-    logs = log_softmax(rows @ w["class"] + w["class_bias"])
-    kinds = target_classes(targets)
-    loss = float((-logs[np.arange(len(targets)), kinds] * keep[:, 0]).sum())
-    d = np.exp(logs)
-    d[np.arange(len(targets)), kinds] -= 1
+    kinds, every = target_classes(targets), np.arange(len(targets))
+    d = rows @ w["class"]
+    d += w["class_bias"]
+    softmax(d)
+    loss = -float((np.log(np.maximum(d[every, kinds], 1e-30)) * keep[:, 0]).sum())
+    d[every, kinds] -= 1
     d *= keep
-    g = {k: np.zeros_like(v) for k, v in w.items()}
+    g = {k: np.zeros_like(w[k]) for k in ("input", "state", "symbol", "symbol_bias")}
     g["class"], g["class_bias"] = rows.T @ d, d.sum(axis=0)
     back = d @ w["class"].T
     for k, at in class_groups(targets):
-        logs = log_softmax(rows[at] @ w["symbol"][k] + w["symbol_bias"][k])
-        place = targets[at] - k * CLASS_SIZE
-        loss += float((-logs[np.arange(len(at)), place] * keep[at, 0]).sum())
-        d = np.exp(logs)
-        d[np.arange(len(at)), place] -= 1
-        d *= keep[at]
-        g["symbol"][k], g["symbol_bias"][k] = rows[at].T @ d, d.sum(axis=0)
+        own, place, kept = rows[at], targets[at] - k * CLASS_SIZE, keep[at]
+        d = own @ w["symbol"][k]
+        d += w["symbol_bias"][k]
+        softmax(d)
+        loss -= float((np.log(np.maximum(d[every[:len(at)], place], 1e-30)) * kept[:, 0]).sum())
+        d[every[:len(at)], place] -= 1
+        d *= kept
+        g["symbol"][k], g["symbol_bias"][k] = own.T @ d, d.sum(axis=0)
         back[at] += d @ w["symbol"][k].T
     back = back.reshape(states.shape)
     inner = np.empty((*x.shape, 3 * HIDDEN), dtype=np.float32)
     later = np.zeros_like(h)
+    to_state = np.empty((*x.shape, 3 * HIDDEN), dtype=np.float32)
+    before = np.empty((*x.shape, HIDDEN), dtype=np.float32)
+    starts, turned = new.any(axis=1), np.ascontiguousarray(w["state"].T)
     for t in range(len(x) - 1, -1, -1):
-        before, z, r, s, c = trace[t]
+        before[t], z, r, s, c = trace[t]
         dh = back[t] + later
-        dc = dh * z * (1 - c * c)
-        dz = dh * (c - before) * z * (1 - z)
-        dr = dc * s * r * (1 - r)
-        inner[t] = np.concatenate([dz, dr, dc], axis=1)
-        to_state = np.concatenate([dz, dr, dc * r], axis=1)
-        g["state"] += before.T @ to_state
-        later = np.where(new[t][:, None], np.float32(0), dh * (1 - z) + to_state @ w["state"].T)
+        dc = dh * z
+        later = dh - dc
+        dz = c - before[t]
+        dz *= dc
+        dz *= 1 - z
+        dc *= 1 - c * c
+        dr = dc * s
+        dr *= r
+        dr *= 1 - r
+        inner[t, :, :HIDDEN], inner[t, :, HIDDEN:2 * HIDDEN], inner[t, :, 2 * HIDDEN:] = dz, dr, dc
+        to_state[t, :, :2 * HIDDEN] = inner[t, :, :2 * HIDDEN]
+        np.multiply(dc, r, out=to_state[t, :, 2 * HIDDEN:])
+        later += to_state[t] @ turned
+        if starts[t]:
+            later[new[t]] = 0
+    g["state"] = before.reshape(-1, HIDDEN).T @ to_state.reshape(-1, 3 * HIDDEN)
     order = np.argsort(x.ravel(), kind="stable")
     symbols, first = np.unique(x.ravel()[order], return_index=True)
     g["input"][symbols] = np.add.reduceat(inner.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
@@ -242,9 +271,17 @@ class Adam:
         size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         for k, x in g.items():
             x = x * np.float32(min(1.0, 1.0 / (size + 1e-12)))
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.01 * (x * x - self.v[k])
-            self.w[k] -= np.float32(self.rate) * (self.m[k] / (1 - 0.9 ** self.t)) / (np.sqrt(self.v[k] / (1 - 0.99 ** self.t)) + 1e-8)
+            m, v = self.m[k], self.v[k]
+            m *= 0.9
+            m += 0.1 * x
+            v *= 0.99
+            x *= x
+            v += 0.01 * x
+            part = np.sqrt(v)
+            part += 1e-8
+            np.divide(m, part, out=part)
+            part *= np.float32(self.rate * (1 - 0.99 ** self.t) ** 0.5 / (1 - 0.9 ** self.t))
+            self.w[k] -= part
 
 
 # -- documents in lanes ---------------------------------------------------------------------------------------------
