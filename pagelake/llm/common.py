@@ -6,7 +6,9 @@ import contextlib
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +70,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BY
             yield batch.slice(start)
 
 
+def one_thread() -> None:
+    """Keep numpy's matrix products to the one core of the task: threads that wait for each other waste the cores of others."""
+    libraries = Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*")
+    for path in libraries:
+        with contextlib.suppress(OSError, AttributeError):  # another linear algebra library
+            ctypes.CDLL(str(path)).scipy_openblas_set_num_threads64_(1)
+
+
 def give_back_memory() -> None:
     """Return freed memory to the system: Spark keeps its Python workers for later tasks."""
     pa.default_memory_pool().release_unused()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, remainder, stored
+from .common import map_texts, one_thread, remainder, stored
 
 SYMBOLS, CLASS_SIZE, TAIL_CLASSES = 1024, 64, 32
 CLASSES = SYMBOLS // CLASS_SIZE
@@ -36,7 +36,7 @@ HEAD_TOKENS = 300_000  # frequent tokens whose counts every task holds
 FLUSHED_TOKENS = 400_000  # distinct tokens that a counting task holds
 RATES = (0.04, 0.02, 0.01)  # learning rates, one for each round
 TRAIN_LANES, TRAIN_STEPS, TRAIN_CHUNK, TRAIN_PIECE = 384, 16, 1_500_000, 2_048
-LANES, STEPS, SCORE_CHUNK = 384, 16, 3_000_000  # tokens scored side by side: one long document should not leave the other lanes empty
+LANES, STEPS, SCORE_CHUNK = 384, 48, 3_000_000  # tokens scored side by side: one long document should not leave the other lanes empty
 MERGED = 64  # networks that are added in one task
 END = b""
 
@@ -174,11 +174,11 @@ def softmax(a: np.ndarray) -> np.ndarray:
 
 
 def log_picked(a: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """One entry of the log-softmax of each row, in the memory of ``a``."""
-    a -= a.max(axis=1, keepdims=True)
+    """One entry of the log-softmax of each row, in the memory of ``a``; bounded like ``softmax``."""
+    np.minimum(a, 80, out=a)
     picked = a[np.arange(len(a)), places]
     np.exp(a, out=a)
-    return picked - np.log(a.sum(axis=1))
+    return picked - np.log(a.sum(axis=1) + 1e-30)
 
 
 def class_groups(y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -359,6 +359,7 @@ def trained(train: DataFrame, vocab: Vocabulary, rates: tuple[float, ...] = RATE
         sent = context.broadcast(w)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:
+            one_thread()
             own = {name: v.copy() for name, v in sent.value.items()}
             adam, docs, size, seen = Adam(own, rate), [], 0, 0
             none = np.zeros(SYMBOLS, dtype=np.int64)
@@ -411,6 +412,7 @@ def document_scores(docs: DataFrame, held_out: int = 1, folds: int = 5) -> DataF
     rest_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         vocab, w = sent.value
         index, logs = vocab.index(), np.log10(vocab.counts + 0.5)
         tail_logs = np.log10(vocab.tails)
