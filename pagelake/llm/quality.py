@@ -188,8 +188,14 @@ def fitted_score(stats: DataFrame, labels: DataFrame, held_out: int = 1, folds:
     """Score expression learned from the labelled rows of ``stats`` outside the held-out fold."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()) \
         .where(remainder(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.min("quality").alias("__label"))
-    sample = stats.select("doc_id", *COLUMNS).join(known, "doc_id") \
-        .orderBy(F.xxhash64("doc_id"), "doc_id", *COLUMNS).limit(sample_rows).select(*COLUMNS, "__label").toPandas()
+    rows = stats.select("doc_id", *COLUMNS).join(known, "doc_id")
+    order = [F.xxhash64("doc_id"), "doc_id", *COLUMNS]
+    # the smallest hashes come first, so rows above a bound on the hash need not be sent: about 1.5 times the sample is
+    share = min(1.0, 1.5 * sample_rows / max(1, known.count()))
+    low = rows.where(F.xxhash64("doc_id") <= int(-(2 ** 63) + share * 2 ** 64)) if share < 1 else rows
+    sample = low.orderBy(*order).limit(sample_rows).select(*COLUMNS, "__label").toPandas()
+    if len(sample) < sample_rows and share < 1:  # fewer labelled documents than labels: the same rows without the bound
+        sample = rows.orderBy(*order).limit(sample_rows).select(*COLUMNS, "__label").toPandas()
     return compiled(*fit_rules(sample[COLUMNS].to_numpy(float), sample["__label"].to_numpy(int)))
 
 

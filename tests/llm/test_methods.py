@@ -389,3 +389,12 @@ def test_bpe_against_the_library():
         want = library.encode(text, add_special_tokens=False).ids
         assert ids.tolist() == want, text
         assert own.decode(ids) == library.decode(want, skip_special_tokens=False)
+
+
+def test_quality_sample_is_the_same_with_and_without_the_bound(spark, sf_dir):
+    docs, labels = (common.table(spark, sf_dir.replace("0.001", "0.01"), t) for t in ("documents", "labels"))
+    few = quality.quality_scores(docs, labels, sample_rows=100)
+    # labels of documents that do not exist lower the bound, so that the second way is taken
+    more = spark.range(10 ** 9, 10 ** 9 + 5000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    again = quality.quality_scores(docs, labels.unionByName(more.selectExpr("doc_id", "cast(quality AS int) AS quality", "cast(toxic AS int) AS toxic")), sample_rows=100)
+    assert sorted((r.doc_id, r.score) for r in few.collect()) == sorted((r.doc_id, r.score) for r in again.collect())
