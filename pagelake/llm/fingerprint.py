@@ -72,15 +72,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row with ``next_*`` of the row after it by (``doc_id``, ``tie``); after the last comes the first.
+def with_next(rows: DataFrame, columns: list[str], computed: dict[str, Column] | None = None) -> DataFrame:
+    """Each row with ``computed`` and with ``next_*`` of the row after it by (``doc_id``, ``tie``); after the last comes the first.
 
     Rows are dealt to ranges of ids: coarse quantiles, cut evenly. Every range also gets a copy of the first row
-    of the range after it, so the window over a range sees each row's successor.
+    of the range after it, so the window over a range sees each row's successor. What is ``computed`` comes after the
+    dealing: once for a row and once more for each copy.
     """
+    computed = computed or {}
     count = rows.count()
     if not count:
-        return rows.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
+        return rows.withColumns(computed).select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
     edges = rows.agg(F.percentile_approx("doc_id", [i / COARSE for i in range(COARSE + 1)], 10_000)).first()[0] or [0, 0]
     fine = max(1, min(count // BUCKET_ROWS, MOST_BUCKETS) // COARSE)
     lows, highs = F.lit(edges[:-1]), F.lit(edges[1:])
@@ -106,7 +108,7 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     copies = dealt.join(F.broadcast(heads), (F.col("bucket") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("mark"))) \
         .dropDuplicates(["own"]).select(*rows.columns, F.col("to").alias("bucket"), F.lit(1).alias("copy"))
     order = Window.partitionBy("bucket").orderBy("copy", "doc_id", "tie")
-    both = dealt.withColumn("copy", F.lit(0)).unionByName(copies)
+    both = dealt.withColumn("copy", F.lit(0)).unionByName(copies).repartition("bucket").withColumns(computed)
     return both.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where("copy = 0").drop("copy", "bucket")
 
 
@@ -117,10 +119,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     the next document.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tie")).withColumn("fingerprint", fingerprint(F.col("text")))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tie"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    paired = with_next(rows, ["text", "fingerprint"]) \
+    paired = with_next(rows, ["text", "fingerprint"], {"fingerprint": fingerprint(F.col("text"))}) \
         .select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint",
                 F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited")) \
         .withColumn("edited_fingerprint", fingerprint(F.col("edited")))
