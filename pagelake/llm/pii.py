@@ -9,7 +9,8 @@ Tokens that confident patterns single out become spans of the kind that most of
 have. Base spans always stay; added spans never overlap them.
 
 Defined results: a null text counts as empty and has no spans; repeated rows get equal results; words of a context
-longer than 40 characters are cut alike everywhere; contexts and places come from the same tokens; without seeds nothing is added; further columns pass through.
+longer than 40 characters are compared by a digest of the whole word; contexts and places come from the same tokens;
+without seeds nothing is added; further columns pass through. Tables of the graph hold digests in place of identifiers.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import chain
 from zlib import crc32
 
@@ -33,7 +35,7 @@ FLUSHED_PATTERNS = 400_000  # distinct patterns that a counting task holds
 SUPPORT = 3  # distinct instances of a pattern
 CONFIDENCE = 0.5
 SETTLED = 1e-3  # rounds go on while the score of an instance rises by more
-WORD_CHARS = 40
+WORD_CHARS = 40  # longer words stand as a digest of the whole word
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -118,6 +120,11 @@ def all_candidates(text: str) -> list[tuple[str | None, int, int]]:
     return [*base, *((None, *s) for s in identifier_tokens(text, base))]
 
 
+def digest(text: str) -> bytes:
+    """Stands for an identifier wherever it is compared, so that none is written to a table."""
+    return blake2b(text.encode(), digest_size=16).digest()
+
+
 def slots(text: str, spans: list) -> tuple[list[str], list[str | None], dict[int, list]]:
     """Tokens of a text, the token behind each, and the spans by the number of their token.
 
@@ -135,14 +142,15 @@ def slots(text: str, spans: list) -> tuple[list[str], list[str | None], dict[int
             k += 1
         tokens += TOKEN.findall(text[at:spans[first][1]].lower())
         held[len(tokens)] = spans[first:k]
-        tokens.append(text[spans[first][1]:end].lower())
+        tokens.append(digest(text[spans[first][1]:end].lower()).hex())
         at = end
     tokens += TOKEN.findall(text[at:].lower())
-    words = [t if len(t) <= WORD_CHARS else t[:WORD_CHARS] for t in tokens]
+    words = [t if len(t) <= WORD_CHARS else digest(t).hex() for t in tokens]
     behind: list[str | None] = [*words[1:], None][:len(words)]
     for i in [i for i, t in enumerate(tokens) if not t[-1].isalnum()]:
         if i not in held and (core := PUNCTUATION_FIRST.match(tokens[i][::-1])):
-            behind[i] = tokens[i][len(tokens[i]) - core.end():][:WORD_CHARS]
+            mark = tokens[i][len(tokens[i]) - core.end():]
+            behind[i] = mark if len(mark) <= WORD_CHARS else digest(mark).hex()
     return words, behind, held
 
 
@@ -172,18 +180,18 @@ def with_row_key(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``row_key, start, end, instance, kind, pattern``: every base span and identifier-like token in its contexts."""
+    """``row_key, start, end, instance, kind, pattern``: every base span and identifier-like token (as a digest) in its contexts."""
     def run(batches):
         for b in batches:
             rows: list[tuple] = []
             for key, text in zip(b.column("__row_key").to_pylist(), b.column("text").to_pylist(), strict=True):
                 text = text or ""
-                rows.extend((key, a, z, text[a:z], kind, p) for kind, a, z, p in contexts(text))
+                rows.extend((key, a, z, digest(text[a:z]), kind, p) for kind, a, z, p in contexts(text))
             names = ["row_key", "start", "end", "instance", "kind", "pattern"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
-    schema = "row_key bigint, start bigint, end bigint, instance string, kind string, pattern string"
+    schema = "row_key bigint, start bigint, end bigint, instance binary, kind string, pattern string"
     return map_texts(with_row_key(docs.select("doc_id", "text")).select("__row_key", "text"), run, schema)
 
 
