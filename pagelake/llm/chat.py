@@ -9,7 +9,8 @@ by their matrices, which fix the states at the cuts, and then repaired one by on
 
 The result has one row per piece (a turn, a merged turn or an inserted one); ``rendered`` of all pieces in order is
 the text. Costs: merge 1, relabel 2 (1 for an unknown role), insertion 3. Of equal repairs the first in the order
-keep, merge, relabel, insert is taken (where a partition cuts a conversation, another of the same cost may be).
+keep, merge, relabel, insert is taken, and of equal states the least, from the last turn backwards; the matrices carry
+that order too, so the result does not depend on where partitions cut a conversation.
 
 Defined results: a null or unknown role has to be relabelled; a null text is empty; turns are ordered by ``turn``
 (nulls first), role and text, so ties and repeated rows have a fixed order; rows without ``conv_id`` form one
@@ -84,17 +85,23 @@ def kind_of(role: str | None) -> int:
     return ROLES.index(role) if role in ROLES else 3
 
 
-def costs(kinds: list[int]) -> list[list[int]]:
-    """Least cost from each state to each state over these turns."""
+def costs(kinds: list[int]) -> tuple[list[list[int]], list[list[int]]]:
+    """Least cost from each state to each state over these turns, and the rank of each way among those to one state.
+
+    Ways to a state are ranked as ``repair`` chooses among ways of one cost: by the state before it, and so on back.
+    """
     table = [[0 if a == b else NEVER for b in range(4)] for a in range(4)]
+    ranks = [[0] * 4 for _ in range(4)]
     for k in kinds:
         moves = [(s, e, BEST[k, s, e][0]) for s in range(4) for e in range(3) if (k, s, e) in BEST]
-        new = [[NEVER] * 4 for _ in range(4)]
+        new = [[(NEVER, 4)] * 4 for _ in range(4)]
         for a in range(4):
             for s, e, c in moves:
-                new[a][e] = min(new[a][e], table[a][s] + c)
-        table = new
-    return table
+                new[a][e] = min(new[a][e], (table[a][s] + c, s))
+        ordered = [sorted(range(4), key=lambda a, e=e: (s := new[a][e][1], ranks[a][s] if s < 4 else 0)) for e in range(4)]
+        ranks = [[ordered[e].index(a) for e in range(4)] for a in range(4)]
+        table = [[min(NEVER, c) for c, _ in row] for row in new]
+    return table, ranks
 
 
 def repair(kinds: list[int], entry: int = START, leave: int | None = None) -> tuple[list[list[Step]], list[Step]]:
@@ -184,22 +191,17 @@ def formatted(conversations: DataFrame) -> DataFrame:
 
     def summed(part: pa.Table) -> pa.Table:
         part = part.sort_by("piece")
-        table = costs([kind_of(r) for r in part.column("role").to_pylist()])
+        tables = costs([kind_of(r) for r in part.column("role").to_pylist()])
         return pa.table({"conv_id": part.column("conv_id").slice(0, 1), "part": part.column("part").slice(0, 1),
-                         "costs": pa.array([[x for row in table for x in row]], pa.list_(pa.int64()))})
+                         **{name: pa.array([[x for row in t for x in row]], pa.list_(pa.int64())) for name, t in zip(("costs", "ranks"), tables, strict=True)}})
 
     def placed(parts: pa.Table) -> pa.Table:
         """States at the cuts of one conversation, at most one part for each partition."""
         parts = parts.sort_by("part")
-        tables = parts.column("costs").to_pylist()
         reached = [{START: (0, START)}]
-        for t in tables:
-            new: dict[int, tuple[int, int]] = {}
-            for s, (cost, _) in sorted(reached[-1].items()):
-                for e in range(3):
-                    if t[4 * s + e] < NEVER and (e not in new or cost + t[4 * s + e] < new[e][0]):
-                        new[e] = (cost + t[4 * s + e], s)
-            reached.append(new)
+        for t, ranks in zip(parts.column("costs").to_pylist(), parts.column("ranks").to_pylist(), strict=True):
+            ways = {e: [(cost + t[4 * s + e], ranks[4 * s + e], s) for s, (cost, _) in reached[-1].items() if t[4 * s + e] < NEVER] for e in range(3)}
+            reached.append({e: (min(w)[0], min(w)[2]) for e, w in ways.items() if w})
         state = min(reached[-1], key=lambda s: (reached[-1][s][0] + FINISH[s][0], s))
         states = []
         for at in reversed(reached[1:]):
@@ -209,7 +211,7 @@ def formatted(conversations: DataFrame) -> DataFrame:
         return pa.table({"conv_id": parts.column("conv_id"), "part": parts.column("part"), "entry": pa.array([a for a, _ in states], pa.int32()),
                          "leave": pa.array([*(b for _, b in states[:-1]), None], pa.int32())})
 
-    parts = cut.groupBy("conv_id", "part").applyInArrow(summed, f"conv_id {kind_id}, part int, costs array<bigint>")
+    parts = cut.groupBy("conv_id", "part").applyInArrow(summed, f"conv_id {kind_id}, part int, costs array<bigint>, ranks array<bigint>")
     states = stored(parts.groupBy("conv_id").applyInArrow(placed, f"conv_id {kind_id}, part int, entry int, leave int"), "states")
 
     def second_pass(part: pa.Table) -> pa.Table:
