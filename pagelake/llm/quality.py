@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import give_back_memory, map_texts, remainder, stored, with_fields
 
 SAMPLE_ROWS = 20_000  # most labelled rows of the fit
+TREE_ROWS = 1_000  # most rows of either class that one tree draws from the sample
 N_TREES, DEPTH, CUTS = 48, 3, 24
 PENALTY = 2e-3
 CHUNK = 1 << 20
@@ -161,7 +162,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 7) -> tuple[list[tuple[t
     classes = [np.flatnonzero(y == v) for v in (0, 1)]
     rules: dict[tuple[Condition, ...], None] = {}
     for _ in range(N_TREES):
-        rows = np.concatenate([rng.choice(c, min(1000, len(c))) for c in classes])  # both classes alike
+        rows = np.concatenate([rng.choice(c, min(TREE_ROWS, len(c))) for c in classes])  # both classes alike
         rules.update(dict.fromkeys(tree_rules(x[rows], y[rows], rng)))
     kept: dict[bytes, tuple[Condition, ...]] = {}
     for rule in sorted(rules, key=lambda r: (len(r), r)):
