@@ -141,35 +141,41 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def run_states(w: dict[str, np.ndarray], x: np.ndarray, new: np.ndarray, h: np.ndarray, trace: list | None = None) -> np.ndarray:
-    """States after each step of ``x`` (steps, lanes) from ``h``; ``new`` marks document starts, where the state is 0."""
-    out = np.empty((*x.shape, HIDDEN), dtype=h.dtype)
-    inputs = w["input"][x]
+    """States after each step of ``x`` (steps, lanes) from ``h``; ``new`` marks document starts, where the state is 0.
+
+    Inside, lanes are columns, so that every gate is one piece of memory; ``trace`` takes the states before each step,
+    the gates and the candidates in that form.
+    """
+    inputs = w["input"][x].transpose(0, 2, 1).astype(h.dtype, order="C")  # becomes the gates
+    turned = np.ascontiguousarray(w["state"].T)
+    out = np.empty((len(x), HIDDEN, x.shape[1]), dtype=h.dtype)
+    before, candidates = np.empty_like(out), np.empty_like(out)
     starts = new.any(axis=1)
-    for t in range(len(x)):
+    h = h.T
+    for t, gates in enumerate(inputs):
+        before[t] = h
         if starts[t]:
-            h = np.where(new[t][:, None], h.dtype.type(0), h)
-        s = h @ w["state"]
-        gates = s[:, :2 * HIDDEN] + inputs[t, :, :2 * HIDDEN]
-        gates = sigmoid(gates)
-        z, r, g = gates[:, :HIDDEN], gates[:, HIDDEN:], s[:, 2 * HIDDEN:]
-        c = r * g
-        c += inputs[t, :, 2 * HIDDEN:]
+            before[t, :, new[t]] = 0
+        s = turned @ before[t]
+        gates[:2 * HIDDEN] += s[:2 * HIDDEN]
+        sigmoid(gates[:2 * HIDDEN])
+        c = np.multiply(gates[HIDDEN:2 * HIDDEN], s[2 * HIDDEN:], out=candidates[t])
+        c += gates[2 * HIDDEN:]
         np.tanh(c, out=c)
-        if trace is not None:
-            trace.append((h, z, r, g, c))
-        np.subtract(c, h, out=out[t])
-        out[t] *= z
-        out[t] += h
-        h = out[t]
-    return out
+        gates[2 * HIDDEN:] = s[2 * HIDDEN:]
+        h = np.subtract(c, before[t], out=out[t])
+        h *= gates[:HIDDEN]
+        h += before[t]
+    if trace is not None:
+        trace += [before, inputs, candidates]
+    return np.ascontiguousarray(out.transpose(0, 2, 1))
 
 
 def softmax(a: np.ndarray) -> np.ndarray:
     """Shares of each row, in the memory of ``a``. States lie within 1, so only wild weights need the bound."""
     np.minimum(a, 80, out=a)
     np.exp(a, out=a)
-    a += 1e-30
-    a /= a.sum(axis=1, keepdims=True)
+    a /= (a @ np.ones(a.shape[1], a.dtype) + a.dtype.type(1e-30))[:, None]
     return a
 
 
@@ -178,12 +184,12 @@ def log_picked(a: np.ndarray, places: np.ndarray) -> np.ndarray:
     np.minimum(a, 80, out=a)
     picked = a[np.arange(len(a)), places]
     np.exp(a, out=a)
-    return picked - np.log(a.sum(axis=1) + 1e-30)
+    return picked - np.log(a @ np.ones(a.shape[1], a.dtype) + a.dtype.type(1e-30))
 
 
 def class_groups(y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Places of the targets of each symbol class."""
-    order = np.argsort(y, kind="stable")
+    order = np.argsort(y.astype(np.int16), kind="stable")  # numbers this short are sorted by their digits
     edges = np.searchsorted(y[order], np.arange(CLASSES + 1) * CLASS_SIZE)
     for k in range(CLASSES):
         if edges[k] < edges[k + 1]:
@@ -203,17 +209,18 @@ def log_probabilities(w: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) ->
 
 
 def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, new: np.ndarray, live: np.ndarray,
-              h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+              h: np.ndarray, with_loss: bool = True) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
     """Gradient of the mean loss over one window by backpropagation that stops at its start; last state; loss."""
     trace: list = []
     states = run_states(w, x, new, h, trace)
     rows, targets = states.reshape(-1, HIDDEN), y.ravel()
-    keep = live.ravel().astype(np.float32)[:, None] / max(1, int(live.sum()))
-    kinds, every = target_classes(targets), np.arange(len(targets))
+    keep = live.ravel().astype(h.dtype)[:, None] / h.dtype.type(max(1, int(live.sum())))
+    kinds, every, loss = target_classes(targets), np.arange(len(targets)), 0.0
     d = rows @ w["class"]
     d += w["class_bias"]
     softmax(d)
-    loss = -float((np.log(np.maximum(d[every, kinds], 1e-30)) * keep[:, 0]).sum())
+    if with_loss:
+        loss -= float((np.log(np.maximum(d[every, kinds], 1e-30)) * keep[:, 0]).sum())
     d[every, kinds] -= 1
     d *= keep
     g = {k: np.zeros_like(w[k]) for k in ("input", "state", "symbol", "symbol_bias")}
@@ -224,39 +231,44 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, new: np.nd
         d = own @ w["symbol"][k]
         d += w["symbol_bias"][k]
         softmax(d)
-        loss -= float((np.log(np.maximum(d[every[:len(at)], place], 1e-30)) * kept[:, 0]).sum())
+        if with_loss:
+            loss -= float((np.log(np.maximum(d[every[:len(at)], place], 1e-30)) * kept[:, 0]).sum())
         d[every[:len(at)], place] -= 1
         d *= kept
         g["symbol"][k], g["symbol_bias"][k] = own.T @ d, d.sum(axis=0)
         back[at] += d @ w["symbol"][k].T
-    back = back.reshape(states.shape)
-    inner = np.empty((*x.shape, 3 * HIDDEN), dtype=np.float32)
-    later = np.zeros_like(h)
-    to_state = np.empty((*x.shape, 3 * HIDDEN), dtype=np.float32)
-    before = np.empty((*x.shape, HIDDEN), dtype=np.float32)
-    starts, turned = new.any(axis=1), np.ascontiguousarray(w["state"].T)
+    # lanes are columns from here on; what a step's error is multiplied by is known for all steps at once
+    back = np.ascontiguousarray(back.reshape(states.shape).transpose(0, 2, 1))
+    before, gates, c = trace
+    z, r, s = gates[:, :HIDDEN], gates[:, HIDDEN:2 * HIDDEN], gates[:, 2 * HIDDEN:]
+    stay = 1 - z
+    to_z = c - before
+    to_z *= z
+    to_z *= stay
+    to_c = 1 - c * c
+    to_c *= z
+    to_r = 1 - r
+    to_r *= r
+    to_r *= s
+    inner, to_state = np.empty_like(gates), np.empty_like(gates)
+    starts, later = new.any(axis=1), np.zeros_like(back[0])
     for t in range(len(x) - 1, -1, -1):
-        before[t], z, r, s, c = trace[t]
-        dh = back[t] + later
-        dc = dh * z
-        later = dh - dc
-        dz = c - before[t]
-        dz *= dc
-        dz *= 1 - z
-        dc *= 1 - c * c
-        dr = dc * s
-        dr *= r
-        dr *= 1 - r
-        inner[t, :, :HIDDEN], inner[t, :, HIDDEN:2 * HIDDEN], inner[t, :, 2 * HIDDEN:] = dz, dr, dc
-        to_state[t, :, :2 * HIDDEN] = inner[t, :, :2 * HIDDEN]
-        np.multiply(dc, r, out=to_state[t, :, 2 * HIDDEN:])
-        later += to_state[t] @ turned
+        dh, own = back[t], inner[t]
+        dh += later
+        np.multiply(dh, to_z[t], out=own[:HIDDEN])
+        np.multiply(dh, to_c[t], out=own[2 * HIDDEN:])
+        np.multiply(own[2 * HIDDEN:], to_r[t], out=own[HIDDEN:2 * HIDDEN])
+        to_state[t, :2 * HIDDEN] = own[:2 * HIDDEN]
+        np.multiply(own[2 * HIDDEN:], r[t], out=to_state[t, 2 * HIDDEN:])
+        later = w["state"] @ to_state[t]
+        dh *= stay[t]
+        later += dh
         if starts[t]:
-            later[new[t]] = 0
-    g["state"] = before.reshape(-1, HIDDEN).T @ to_state.reshape(-1, 3 * HIDDEN)
-    order = np.argsort(x.ravel(), kind="stable")
+            later[:, new[t]] = 0
+    g["state"] = (before @ to_state.transpose(0, 2, 1)).sum(axis=0)
+    order = np.argsort(x.ravel().astype(np.int16), kind="stable")
     symbols, first = np.unique(x.ravel()[order], return_index=True)
-    g["input"][symbols] = np.add.reduceat(inner.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+    g["input"][symbols] = np.add.reduceat(inner.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)[order], first, axis=0)
     return g, states[-1], loss
 
 
@@ -334,7 +346,7 @@ def train_on(w: dict[str, np.ndarray], docs: list[np.ndarray], adam: Adam) -> No
     h = np.zeros((x.shape[1], HIDDEN), dtype=np.float32)
     for t in range(0, len(x), TRAIN_STEPS):
         part = slice(t, t + TRAIN_STEPS)
-        g, h, _ = gradients(w, x[part], y[part], new[part], owner[part] >= 0, h)
+        g, h, _ = gradients(w, x[part], y[part], new[part], owner[part] >= 0, h, with_loss=False)
         adam.step(g)
 
 
@@ -348,6 +360,23 @@ def symbols_of(words: list[bytes], index: dict[bytes, int], classes: np.ndarray)
     return numbers, symbols
 
 
+class Symbols(dict):
+    """Symbols of tokens; those of rare tokens are remembered, for as many as a counting task holds."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > FLUSHED_TOKENS:
+            for old in [w for w, s in self.items() if s >= SYMBOLS]:
+                del self[old]
+        self[word] = symbol = SYMBOLS + tail_class(word)
+        return symbol
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Symbols of a document's tokens, its end included."""
+        out = np.zeros(len(words) + 1, dtype=np.int32)
+        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        return out
+
+
 # -- Spark ----------------------------------------------------------------------------------------------------------
 
 def trained(train: DataFrame, vocab: Vocabulary, rates: tuple[float, ...] = RATES) -> dict[str, np.ndarray]:
@@ -362,10 +391,10 @@ def trained(train: DataFrame, vocab: Vocabulary, rates: tuple[float, ...] = RATE
             one_thread()
             own = {name: v.copy() for name, v in sent.value.items()}
             adam, docs, size, seen = Adam(own, rate), [], 0, 0
-            none = np.zeros(SYMBOLS, dtype=np.int64)
+            symbols = Symbols(frequent.value)
             for b in batches:
                 for text in b.column("text").to_pylist():
-                    docs.append(symbols_of(words_of(text), frequent.value, none)[1].astype(np.int32))
+                    docs.append(symbols.of(words_of(text)))
                     size += len(docs[-1])
                     if size >= TRAIN_CHUNK:
                         train_on(own, docs, adam)
