@@ -44,6 +44,7 @@ MARGIN = 0.11  # five standard errors of an estimate at the bound
 THROWN_UNITS = 200_000
 CELL_UNITS = 100_000  # shingles on either side of a cell, about
 SLOTS = 1 << 20
+SEEN_TEXTS = 1_000_000  # distinct texts that a task remembers
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x2545F4914F6CDD1D)
@@ -199,10 +200,14 @@ def with_row_key(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Per row: ``doc_id, row_key, node`` (digest of the words), ``short`` (64 bits of it), ``n, bands, codes``."""
+    """Per row: ``doc_id, row_key, node`` (digest of the words), ``short`` (64 bits of it), ``n, bands, codes``.
+
+    Of equal texts in a task only the first has bands and codes, so thousands of copies fill no bucket.
+    """
     source = with_row_key(docs.select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in batches:
             words = [normal(t) for t in b.column("text").to_pylist()]
             distinct = {w: i for i, w in enumerate(dict.fromkeys(words))}
@@ -211,10 +216,17 @@ def sketches(docs: DataFrame) -> DataFrame:
             at[filled] = np.arange(len(filled))
             row = np.array([distinct[w] for w in words], dtype=np.int64)
             nodes = [blake2b(w, digest_size=16).digest() for w in words]
+            if len(seen) > SEEN_TEXTS:  # a text that is met again then shows its bands once more
+                seen.clear()
+            shown = at[row] >= 0
+            for i, node in enumerate(nodes):
+                if node in seen:
+                    shown[i] = False
+                seen.add(node)
             lists = []
             for values in (keys, codes):
-                width = values.shape[1] * (at[row] >= 0)
-                flat = values[at[row][at[row] >= 0]].ravel()
+                width = values.shape[1] * shown
+                flat = values[at[row][shown]].ravel()
                 lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]).astype(np.int32)), pa.array(flat, pa.int64())))
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"), b.column("__row_key"), pa.array(nodes, pa.binary()),
@@ -343,7 +355,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     draw = F.xxhash64("short", "key")
     shared = buckets.groupBy("key").agg(F.min(draw).alias("drawn"), F.max(draw).alias("last")).where("drawn < last").select("key", "drawn")
     members = stored(buckets.join(shared, "key").select("key", "short", (draw == F.col("drawn")).alias("drawn")).distinct(), "members")
-    wanted = rows.select("node", "short", "n", "codes", "row_key").join(members.select("short").distinct(), "short", "left_semi").dropDuplicates(["node"])
+    wanted = rows.where(F.size("codes") > 0).select("node", "short", "n", "codes", "row_key").join(members.select("short").distinct(), "short", "left_semi").dropDuplicates(["node"])
     texts = stored(candidate_sets(docs, stored(wanted, "wanted")), "candidates")
     edges = stored(star_links(members, texts), "links")
     labels = components(edges)
