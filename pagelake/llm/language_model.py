@@ -5,7 +5,9 @@ symbols of the network, in 16 classes of 64; every other token belongs to one of
 bytes), and within a tail class it has its smoothed share of the counts, with one more share for an unseen token.
 The network (one gated recurrent layer, numpy) predicts the class and then the symbol within the class. It is
 trained by truncated backpropagation inside Spark tasks on every training document once: their hash deals them over
-the rounds, and after each round the weights of all tasks are averaged, by sums that meet in groups of tasks. Training reads
+the rounds and over trainers, whose number grows with the square root of the corpus; each trainer reads its documents in the
+order of their hash, so the network does not depend on how the input is partitioned. After each round the weights of
+all trainers are averaged, by sums that meet in groups. Training reads
 documents in pieces of 2,048 tokens, so that long ones do not leave lanes empty. To score, the state runs through whole
 documents, window by window, many documents side by side.
 
@@ -17,6 +19,7 @@ training documents all counts are 0 and the network keeps its first weights; onl
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -37,6 +40,7 @@ FLUSHED_TOKENS = 400_000  # distinct tokens that a counting task holds
 RATES = (0.04, 0.02, 0.01)  # learning rates, one for each round
 TRAIN_LANES, TRAIN_STEPS, TRAIN_CHUNK, TRAIN_PIECE = 384, 16, 1_500_000, 2_048
 LANES, STEPS, SCORE_CHUNK = 384, 48, 3_000_000  # tokens scored side by side: one long document should not leave the other lanes empty
+TRAINER_UNIT = 40_000  # a round of n tokens has sqrt(n / TRAINER_UNIT) trainers
 MERGED = 64  # networks that are added in one task
 END = b""
 
@@ -384,6 +388,8 @@ def trained(train: DataFrame, vocab: Vocabulary, rates: tuple[float, ...] = RATE
     context = train.sparkSession.sparkContext
     w = first_weights(vocab)
     frequent = context.broadcast({word: i for i, word in enumerate(vocab.words[:SYMBOLS])})
+    trainers = max(1, math.ceil(math.sqrt(vocab.n / max(1, len(rates)) / TRAINER_UNIT)))
+    draw = F.xxhash64("doc_id", "text")
     for k, rate in enumerate(rates):
         sent = context.broadcast(w)
 
@@ -405,7 +411,8 @@ def trained(train: DataFrame, vocab: Vocabulary, rates: tuple[float, ...] = RATE
                 total = flat(own).astype(float) * (seen + size)
                 yield pa.RecordBatch.from_arrays([pa.array([float(seen + size)]), pa.array([total.tobytes()], pa.binary())], names=["n", "w"])
 
-        dealt = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(len(rates))) == k)
+        dealt = train.withColumn("draw", draw).where(F.pmod("draw", F.lit(len(rates))) == k) \
+            .repartitionById(trainers, F.pmod(F.xxhash64("draw"), F.lit(trainers)).cast("int")).sortWithinPartitions("draw", "doc_id", "text")
         values = map_texts(dealt.select("text"), run, "n double, w binary").withColumn("id", F.spark_partition_id().cast("bigint"))
         n, total = added(stored(values, "weights"))
         if n:
