@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 BATCH_BYTES = 4 << 20
+_open_scratch: list[list[str]] = []  # tables stored within each open ``scratch``
 BATCH_ROWS = 1_000  # rows that Spark sends to Python at once: whole texts vary from nothing to megabytes
 
 
@@ -30,22 +31,38 @@ def shared_folder(spark: SparkSession) -> str:
         if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "/tmp/pagelake-shared"
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lost executor costs a re-read, not a recomputation.
 
-    Spark drops the shuffle files of finished work when the driver collects its garbage, so that is asked for here.
+    Within ``scratch`` the table is removed at its end unless it is to ``keep``. Spark drops the shuffle files of
+    finished work when the driver collects its garbage, so that is asked for here.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    if _open_scratch and not keep:
+        _open_scratch[-1].append(path)
     df.write.parquet(path)
     spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was stored inside; what the work gives must have been stored by then, to ``keep``."""
+    made: list[str] = []
+    _open_scratch.append(made)
+    try:
+        yield
+    finally:
+        _open_scratch.remove(made)
+        for name in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_fields(docs: DataFrame, keep: Sequence[str], more: str) -> StructType:
     """Schema of the kept columns followed by further fields."""
     return StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(more).fields])
