@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelake.llm import bpe, decontaminate, neardup, pii, quality
-from pagelake.llm.common import stored, table
+from pagelake.llm.common import scratch, stored, table
 from pagelake.llm.queries import tokens_digest
 
 
@@ -47,8 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents, each on the stored result of the one before."""
+    """Apply all stages to the documents, each on the stored result of the one before.
+
+    What a stage keeps on the way is removed once its result is stored.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), name, keep=True)
     return docs
