@@ -36,7 +36,6 @@ def shared_dir(spark: SparkSession) -> str:
         home = fs.getHomeDirectory().toString()
         refuse_machine_local(home, context.master)
         folder = "/tmp/pagelake-shared" if home.startswith("file:") else f"{home.rstrip('/')}/.pagelake"
-        spark.conf.set("spark.checkpoint.dir", folder)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
