@@ -38,8 +38,8 @@ HIDDEN = 24
 HEAD_TOKENS = 300_000  # frequent tokens whose counts every task holds
 FLUSHED_TOKENS = 400_000  # distinct tokens that a counting task holds
 RATES = (0.04, 0.02, 0.01)  # learning rates, one for each round
-TRAIN_LANES, TRAIN_STEPS, TRAIN_CHUNK, TRAIN_PIECE = 384, 16, 1_500_000, 2_048
-LANES, STEPS, SCORE_CHUNK = 384, 48, 3_000_000  # tokens scored side by side: one long document should not leave the other lanes empty
+TRAIN_LANES, TRAIN_STEPS, TRAIN_CHUNK, TRAIN_PIECE = 256, 16, 1_500_000, 2_048
+LANES, STEPS, SCORE_CHUNK = 256, 24, 3_000_000  # tokens scored side by side: one long document should not leave the other lanes empty
 TRAINER_UNIT = 40_000  # a round of n tokens has sqrt(n / TRAINER_UNIT) trainers
 MERGED = 64  # networks that are added in one task
 END = b""
@@ -359,8 +359,8 @@ def symbols_of(words: list[bytes], index: dict[bytes, int], classes: np.ndarray)
     numbers = np.zeros(len(words) + 1, dtype=np.int64)
     numbers[:-1] = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
     symbols = np.where(numbers < SYMBOLS, numbers, SYMBOLS + classes[numbers])
-    for i in np.flatnonzero(numbers < 0):
-        symbols[i] = SYMBOLS + tail_class(words[i])
+    rare = np.flatnonzero(numbers < 0)
+    symbols[rare] = [SYMBOLS + tail_class(words[i]) for i in rare.tolist()]
     return numbers, symbols
 
 
@@ -445,7 +445,6 @@ def document_scores(docs: DataFrame, held_out: int = 1, folds: int = 5) -> DataF
     sent = docs.sparkSession.sparkContext.broadcast((vocab, weights))  # HEAD_TOKENS words and one network
     norm = float(np.log10(vocab.n + 0.5 * (vocab.v + 1)))
     source = docs.select("doc_id", (fold == held_out).alias("held_out"), F.monotonically_increasing_id().alias("row"), "text")
-    rest_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
@@ -456,11 +455,22 @@ def document_scores(docs: DataFrame, held_out: int = 1, folds: int = 5) -> DataF
         size = 0
 
         def scored_rows() -> pa.RecordBatch:
-            ids, held_out, rows, sequences, known, base, extra, rest = zip(*kept)
+            ids, held_out, rows, sequences, known, rest = zip(*kept)
             network = document_logs(w, list(sequences)) / np.log(10)
+            doc, every, symbols = np.repeat(np.arange(len(ids)), [len(x) for x in sequences]), np.concatenate(known), np.concatenate(sequences)
+            head, below, outside = every >= 0, every >= SYMBOLS, symbols >= SYMBOLS
+
+            def summed(chosen: np.ndarray, of: np.ndarray) -> np.ndarray:
+                return np.bincount(doc[chosen], of, len(ids))
+
+            extra = summed(below, logs[every[below]]) - summed(outside, tail_logs[symbols[outside] - SYMBOLS])
+            words = pa.StructArray.from_arrays([pa.array([x for r in rest for x in r], pa.binary()),
+                                                pa.array([n for r in rest for n in r.values()], pa.int64())], names=["word", "n"])
+            ends = np.concatenate([[0], np.cumsum([len(r) for r in rest])]).astype(np.int32)
             return pa.RecordBatch.from_arrays([
                 pa.array(ids, doc_id_type), pa.array(held_out, pa.bool_()), pa.array(rows, pa.int64()), pa.array([len(x) for x in sequences], pa.int64()),
-                pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(network + np.array(extra), pa.float64()), pa.array(rest, rest_type)],
+                pa.array(summed(head, vocab.counts[every[head]] > 0).astype(np.int64)), pa.array(summed(head, logs[every[head]])), pa.array(network + extra),
+                pa.ListArray.from_arrays(pa.array(ends), words)],
                 names=["doc_id", "held_out", "row", "n_tokens", "n_head", "head_score", "network_score", "rest"])
 
         for b in batches:
@@ -469,11 +479,8 @@ def document_scores(docs: DataFrame, held_out: int = 1, folds: int = 5) -> DataF
             for doc_id, held_out, row, text in zip(*columns, strict=True):
                 words = words_of(text)
                 numbers, symbols = symbols_of(words, index, vocab.classes)
-                held = numbers[numbers >= 0]
-                outside = symbols[symbols >= SYMBOLS] - SYMBOLS
-                rest = Counter(words[i] for i in np.flatnonzero(numbers < 0))
-                kept.append((doc_id, held_out, row, symbols.astype(np.int32), int((vocab.counts[held] > 0).sum()), float(logs[held].sum()),
-                             float(logs[held[held >= SYMBOLS]].sum() - tail_logs[outside].sum()), [{"word": x, "n": n} for x, n in rest.items()]))
+                rest = Counter([words[i] for i in np.flatnonzero(numbers < 0).tolist()])
+                kept.append((doc_id, held_out, row, symbols.astype(np.int32), numbers.astype(np.int32), rest))
                 size += len(symbols)
             if size >= SCORE_CHUNK:
                 yield scored_rows()
