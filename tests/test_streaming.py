@@ -81,3 +81,20 @@ def test_old_batches_are_removed(spark, sf_dir):
     assert len(jobs._stored_ids(spark, f"{base}/few", "snapshot_id")) <= 2
     few, every = (jobs.current_pages(spark, f"{base}/{out}") for out in ("few", "all"))
     assert few.exceptAll(every).count() == 0 and every.exceptAll(few).count() == 0
+
+
+def test_stream_of_one_file_is_dealt_over_many_tasks(spark, sf_dir):
+    from pagelake.plans import registered
+
+    source = registered._stream(spark, sf_dir, "part")
+    assert source.isStreaming and "Repartition" in source._jdf.queryExecution().analyzed().toString()
+
+
+def test_bracket_count_of_a_long_body_is_one_match_per_run(spark):
+    from pagelake.functions import variants as V
+
+    body = '{"a":[{"b":"' + "x" * 50_000 + '"},{"c":{}}]}'
+    df = spark.createDataFrame([(body,)], "body string")
+    found = V.json_objects(F.col("body"), None)["objects"]
+    assert df.select(F.size(found).alias("n")).first().n == 4
+    assert "{]+" in df.select(found)._jdf.queryExecution().analyzed().toString()
