@@ -136,3 +136,15 @@ def test_clean_page_text_rules(column):
     }
     got = [x.strip() for x in column(list(cases), T.clean_page_text)]
     assert got == list(cases.values())
+
+
+def test_strip_text_looks_at_the_ends_only(spark, column):
+    spaces = [chr(c) for c in range(0x3100) if re.match(f"[{T.SPACE}]", chr(c))]
+    assert column([f"{s}a{s}b{s}" for s in spaces] + [None, "".join(spaces)], T.strip_text) == [f"a{s}b" for s in spaces] + [None, ""]
+    assert "regexp" not in spark.range(1).select(T.strip_text(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tail_rules_of_texts_that_end_otherwise(column):
+    cases = {"a Возврат Наверх": "a", "a Возврат Наверх b.": "a Возврат Наверх b.", "x. 1 2 3 4": "x.", "x. 1 2 3 4 y": "x. 1 2 3 4 y",
+             "a. Показать еще 1 2 3": "a."}
+    assert column(list(cases), T.clean_page_text) == list(cases.values())
