@@ -85,3 +85,24 @@ def test_facts_equal_the_single_extractors(spark, sf_dir):
     assert same(e.pages, P.build_pages(pages)) and same(e.links, P.page_links(pages)) and same(e.services, blocks.page_services(pages))
     assert same(e.contacts, site_build.all_contacts(pages)) and same(e.org, structured.jsonld_org(pages))
     assert same(e.products, keys.merge_products(structured.jsonld_products(pages), blocks.html_products(pages)))
+
+
+def test_report_rows_are_built_once(spark, tmp_path):
+    from pagelake.sources import reports
+
+    built = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def item(i):
+        built.add(1)
+        return str(i)
+
+    rows = spark.range(50).select(F.lit("s").alias("site"), F.lit("pages").alias("section"), item("id").alias("item"))
+    reports.write_json_report(rows, str(tmp_path / "report"))
+    assert built.value == 50 and reports.read_report(spark, str(tmp_path / "report")).count() == 50
+
+
+def test_scans_are_dealt_over_several_tasks_per_core(spark, sf_dir):
+    from pagelake.sources.pages import spread
+
+    assert spread(X.table(spark, sf_dir, "part")).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
