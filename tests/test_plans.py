@@ -87,6 +87,14 @@ def test_facts_equal_the_single_extractors(spark, sf_dir):
     assert same(e.products, keys.merge_products(structured.jsonld_products(pages), blocks.html_products(pages)))
 
 
+@pytest.mark.parametrize("name", ["translate_tables", "markdown_products"])
+def test_shop_pages_are_parsed_once(spark, sf_dir, name):
+    """Products that are read several times are stored first, so no plan of the result holds their parsing."""
+    from pagelake.plans import registered
+
+    assert "catalog-block-view" not in plan_of(registered.registered()[name](spark, sf_dir))
+
+
 def test_report_rows_are_built_once(spark, tmp_path):
     from pagelake.sources import reports
 
