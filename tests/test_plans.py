@@ -114,3 +114,20 @@ def test_scans_are_dealt_over_several_tasks_per_core(spark, sf_dir):
     from pagelake.sources.pages import spread
 
     assert spread(X.table(spark, sf_dir, "part")).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_derived_pages_keep_several_tasks_per_core(spark, tmp_path):
+    """Their small rows must not be joined into a task per core, as parsing them takes long."""
+    parts = spark.range(2000).selectExpr("id p_partkey", "concat('part ', id) p_name", "concat('Brand#', id % 25) p_brand", "'TYPE' p_type",
+                                         "int(id % 50) p_size", "double(id) p_retailprice")
+    customers = spark.range(2000).selectExpr("id c_custkey", "concat('Customer ', id) c_name", "'HOUSEHOLD' c_mktsegment")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    for pages in (X.shop_pages(spark, str(tmp_path)), X.service_pages(spark, str(tmp_path))):
+        assert pages.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+        assert pages.groupBy("url").count().where("count > 1").isEmpty()
+
+
+def test_elements_are_read_by_their_number(page_df):
+    """A slice converts the whole page for every block and text."""
+    assert "slice(" not in plan_of(blocks.page_services(page_df(("https://a.example/x", "<p>x</p>"))))
