@@ -20,13 +20,14 @@ training documents all counts are 0 and the network keeps its first weights; onl
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from functools import cache
+from itertools import pairwise, product
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,8 @@ SYMBOLS, CLASS_SIZE, TAIL_CLASSES = 1024, 64, 32
 CLASSES = SYMBOLS // CLASS_SIZE
 HIDDEN = 24
 HEAD_TOKENS = 300_000  # frequent tokens whose counts every task holds
-FLUSHED_TOKENS = 400_000  # distinct tokens that a counting task holds
+FLUSHED_TOKENS = 400_000  # rare tokens that are remembered
+COUNTED_TOKENS = 4_000_000  # tokens that a counting task holds
 RATES = (0.04, 0.02, 0.01)  # learning rates, one for each round
 TRAIN_LANES, TRAIN_STEPS, TRAIN_CHUNK, TRAIN_PIECE = 256, 16, 1_500_000, 2_048
 LANES, STEPS, SCORE_CHUNK = 256, 24, 3_000_000  # tokens scored side by side: one long document should not leave the other lanes empty
@@ -54,25 +56,64 @@ def tail_class(word: bytes) -> int:
     return crc32(word[-2:]) % TAIL_CLASSES
 
 
+def words_of_all(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words (see ``words_of``) of many texts in one array, and how many each text has."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    lists = pc.ascii_split_whitespace(texts)
+    words, sizes = lists.flatten().cast(pa.binary()), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    blank = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) & (sizes > 0)  # split into one empty word
+    if blank.any():
+        words = words.filter(pc.not_equal(pc.binary_length(words), 0))
+        sizes[blank] = 0
+    return words, sizes
+
+
+def with_ends(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of the words of many texts with a 0, the end token, after each text."""
+    out = np.zeros(len(values) + len(sizes), dtype=np.int32)
+    out[np.arange(len(values)) + np.repeat(np.arange(len(sizes)), sizes)] = values
+    return out
+
+
+@cache
+def tail_table() -> np.ndarray:
+    """The tail class of every ending of two bytes, and behind them of every single byte."""
+    return np.array([tail_class(bytes(pair)) for pair in product(range(256), repeat=2)] + [tail_class(bytes([b])) for b in range(256)], np.int32)
+
+
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """``tail_class`` of many words, none of them empty."""
+    if not len(words):
+        return np.zeros(0, dtype=np.int32)
+    _, offsets, data = words.buffers()
+    edges = np.frombuffer(offsets, np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    data, last, single = np.frombuffer(data, np.uint8), edges[1:] - 1, np.diff(edges) == 1
+    return tail_table()[np.where(single, 65536, data[last - ~single].astype(np.int64) * 256) + data[last]]
+
+
 # -- counts ---------------------------------------------------------------------------------------------------------
 
 def token_counts(train: DataFrame) -> DataFrame:
     """``word binary, c bigint`` over all training documents; the end token is the empty word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        kept: list[pa.Array] = []
+        size = ends = 0
 
         def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+            found = pa.chunked_array(kept, pa.binary()).value_counts()
+            return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "c"])
 
         for b in batches:
-            for text in b.column("text").to_pylist():
-                counts.update(words_of(text))
-            counts[END] += b.num_rows
-            if len(counts) > FLUSHED_TOKENS:
+            words, sizes = words_of_all(b.column("text"))
+            kept.append(words)
+            size, ends = size + len(words), ends + len(sizes)
+            if size > COUNTED_TOKENS:
                 yield rows()
-                counts = Counter()
-        if counts:
+                kept, size = [], 0
+        if size:
             yield rows()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["word", "c"])
 
     return map_texts(train.select("text"), run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -82,12 +123,8 @@ class Vocabulary:
 
     def __init__(self, words: list[bytes], counts: np.ndarray, n: int, v: int, tails: np.ndarray):
         self.words, self.counts, self.n, self.v = words, counts, n, v
-        self.classes = np.array([tail_class(w) for w in words], dtype=np.int64)
         self.tails = tails  # with the share of one unseen token
 
-    def index(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words)}
-
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -175,11 +212,11 @@ def run_states(w: dict[str, np.ndarray], x: np.ndarray, new: np.ndarray, h: np.n
     return np.ascontiguousarray(out.transpose(0, 2, 1))
 
 
-def softmax(a: np.ndarray) -> np.ndarray:
-    """Shares of each row, in the memory of ``a``. States lie within 1, so only wild weights need the bound."""
+def softmax(a: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Shares of each row times its weight, in the memory of ``a``. States lie within 1, so only wild weights need the bound."""
     np.minimum(a, 80, out=a)
     np.exp(a, out=a)
-    a /= (a @ np.ones(a.shape[1], a.dtype) + a.dtype.type(1e-30))[:, None]
+    a *= (weights / (a @ np.ones(a.shape[1], a.dtype) + a.dtype.type(1e-30)))[:, None]
     return a
 
 
@@ -191,13 +228,20 @@ def log_picked(a: np.ndarray, places: np.ndarray) -> np.ndarray:
     return picked - np.log(a @ np.ones(a.shape[1], a.dtype) + a.dtype.type(1e-30))
 
 
-def class_groups(y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of the targets of each symbol class."""
+def class_groups(y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """Places of the targets that are symbols, class by class, and the classes with their stretches of it."""
     order = np.argsort(y.astype(np.int16), kind="stable")  # numbers this short are sorted by their digits
-    edges = np.searchsorted(y[order], np.arange(CLASSES + 1) * CLASS_SIZE)
-    for k in range(CLASSES):
-        if edges[k] < edges[k + 1]:
-            yield k, order[edges[k]:edges[k + 1]]
+    edges = np.searchsorted(y[order], np.arange(CLASSES + 1) * CLASS_SIZE).tolist()
+    return order[:edges[-1]], [(k, slice(a, b)) for k, (a, b) in enumerate(pairwise(edges)) if a < b]
+
+
+def symbol_logits(w: dict[str, np.ndarray], own: np.ndarray, groups: list[tuple[int, slice]]) -> np.ndarray:
+    """A row per state: the logits of the symbols of its target's class."""
+    d = np.empty((len(own), CLASS_SIZE), own.dtype)
+    for k, part in groups:
+        np.matmul(own[part], w["symbol"][k], out=d[part])
+        d[part] += w["symbol_bias"][k]
+    return d
 
 
 def target_classes(y: np.ndarray) -> np.ndarray:
@@ -207,8 +251,8 @@ def target_classes(y: np.ndarray) -> np.ndarray:
 def log_probabilities(w: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log-probability of each target: its class, and its place within a symbol class."""
     out = log_picked(h @ w["class"] + w["class_bias"], target_classes(y)).astype(float)
-    for k, rows in class_groups(y):
-        out[rows] += log_picked(h[rows] @ w["symbol"][k] + w["symbol_bias"][k], y[rows] - k * CLASS_SIZE)
+    at, groups = class_groups(y)
+    out[at] += log_picked(symbol_logits(w, h[at], groups), y[at] % CLASS_SIZE)
     return out
 
 
@@ -218,29 +262,29 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, new: np.nd
     trace: list = []
     states = run_states(w, x, new, h, trace)
     rows, targets = states.reshape(-1, HIDDEN), y.ravel()
-    keep = live.ravel().astype(h.dtype)[:, None] / h.dtype.type(max(1, int(live.sum())))
-    kinds, every, loss = target_classes(targets), np.arange(len(targets)), 0.0
+    size = max(1, int(live.sum()))
+    keep = live.ravel().astype(h.dtype) / h.dtype.type(size)
+    kinds, every, ones, loss = target_classes(targets), np.arange(len(targets)), np.ones(len(targets), h.dtype), 0.0
     d = rows @ w["class"]
     d += w["class_bias"]
-    softmax(d)
+    softmax(d, keep)
     if with_loss:
-        loss -= float((np.log(np.maximum(d[every, kinds], 1e-30)) * keep[:, 0]).sum())
-    d[every, kinds] -= 1
-    d *= keep
+        loss -= float((np.log(np.maximum(d[every, kinds] * size, 1e-30)) * keep).sum())
+    d[every, kinds] -= keep
     g = {k: np.zeros_like(w[k]) for k in ("input", "state", "symbol", "symbol_bias")}
-    g["class"], g["class_bias"] = rows.T @ d, d.sum(axis=0)
+    g["class"], g["class_bias"] = rows.T @ d, ones @ d
     back = d @ w["class"].T
-    for k, at in class_groups(targets):
-        own, place, kept = rows[at], targets[at] - k * CLASS_SIZE, keep[at]
-        d = own @ w["symbol"][k]
-        d += w["symbol_bias"][k]
-        softmax(d)
-        if with_loss:
-            loss -= float((np.log(np.maximum(d[every[:len(at)], place], 1e-30)) * kept[:, 0]).sum())
-        d[every[:len(at)], place] -= 1
-        d *= kept
-        g["symbol"][k], g["symbol_bias"][k] = own.T @ d, d.sum(axis=0)
-        back[at] += d @ w["symbol"][k].T
+    at, groups = class_groups(targets)
+    own, place, kept, every = rows[at], targets[at] % CLASS_SIZE, keep[at], every[:len(at)]
+    d = softmax(symbol_logits(w, own, groups), kept)
+    if with_loss:
+        loss -= float((np.log(np.maximum(d[every, place] * size, 1e-30)) * kept).sum())
+    d[every, place] -= kept
+    inward = np.empty_like(own)
+    for k, part in groups:
+        g["symbol"][k], g["symbol_bias"][k] = own[part].T @ d[part], ones[part] @ d[part]
+        np.matmul(d[part], w["symbol"][k].T, out=inward[part])
+    back[at] += inward
     # lanes are columns from here on; what a step's error is multiplied by is known for all steps at once
     back = np.ascontiguousarray(back.reshape(states.shape).transpose(0, 2, 1))
     before, gates, c = trace
@@ -271,8 +315,9 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, new: np.nd
             later[:, new[t]] = 0
     g["state"] = (before @ to_state.transpose(0, 2, 1)).sum(axis=0)
     order = np.argsort(x.ravel().astype(np.int16), kind="stable")
-    symbols, first = np.unique(x.ravel()[order], return_index=True)
-    g["input"][symbols] = np.add.reduceat(inner.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+    sorted_x = x.ravel()[order]
+    first = np.flatnonzero(np.diff(sorted_x, prepend=-1))
+    g["input"][sorted_x[first]] = np.add.reduceat(inner.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)[order], first, axis=0)
     return g, states[-1], loss
 
 
@@ -354,14 +399,27 @@ def train_on(w: dict[str, np.ndarray], docs: list[np.ndarray], adam: Adam) -> No
         adam.step(g)
 
 
-def symbols_of(words: list[bytes], index: dict[bytes, int], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Head numbers of the tokens (-1: none) and their symbols, end included."""
-    numbers = np.zeros(len(words) + 1, dtype=np.int64)
-    numbers[:-1] = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
-    symbols = np.where(numbers < SYMBOLS, numbers, SYMBOLS + classes[numbers])
-    rare = np.flatnonzero(numbers < 0)
-    symbols[rare] = [SYMBOLS + tail_class(words[i]) for i in rare.tolist()]
-    return numbers, symbols
+def symbols_of(words: pa.Array, sizes: np.ndarray, head: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Head numbers of the tokens of many texts (-1: none) and their symbols, ends included."""
+    numbers = pc.fill_null(pc.index_in(words, value_set=head), -1).to_numpy(zero_copy_only=False)
+    symbols = numbers.copy()
+    tails = np.flatnonzero((numbers < 0) | (numbers >= SYMBOLS))
+    symbols[tails] = SYMBOLS + tail_classes(words.take(pa.array(tails)))
+    return with_ends(numbers, sizes), with_ends(symbols, sizes)
+
+
+def documents(values: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Tokens of many texts, text by text; every text has an end as well."""
+    return np.split(values, np.cumsum(sizes + 1)[:-1]) if len(sizes) else []
+
+
+def word_counts(words: pa.Array, sizes: np.ndarray) -> pa.Array:
+    """list<struct(word, n)> for every text."""
+    coded = words.dictionary_encode()
+    kinds = max(1, len(coded.dictionary))
+    pairs, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) * kinds + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    counted = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pairs % kinds)), pa.array(n, pa.int64())], names=["word", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs // kinds, np.arange(len(sizes) + 1)), pa.int32()), counted)
 
 
 class Symbols(dict):
@@ -387,7 +445,7 @@ def trained(train: DataFrame, vocab: Vocabulary, rates: tuple[float, ...] = RATE
     """Weights after one round per rate; every training document belongs to one round."""
     context = train.sparkSession.sparkContext
     w = first_weights(vocab)
-    frequent = context.broadcast({word: i for i, word in enumerate(vocab.words[:SYMBOLS])})
+    frequent = context.broadcast(vocab.words[:SYMBOLS])
     trainers = max(1, math.ceil(math.sqrt(vocab.n / max(1, len(rates)) / TRAINER_UNIT)))
     draw = F.xxhash64("doc_id", "text")
     for k, rate in enumerate(rates):
@@ -397,11 +455,12 @@ def trained(train: DataFrame, vocab: Vocabulary, rates: tuple[float, ...] = RATE
             one_thread()
             own = {name: v.copy() for name, v in sent.value.items()}
             adam, docs, size, seen = Adam(own, rate), [], 0, 0
-            symbols = Symbols(frequent.value)
+            head = pa.array(frequent.value, pa.binary())
             for b in batches:
-                for text in b.column("text").to_pylist():
-                    docs.append(symbols.of(words_of(text)))
-                    size += len(docs[-1])
+                words, sizes = words_of_all(b.column("text"))
+                for doc in documents(symbols_of(words, sizes, head)[1], sizes):
+                    docs.append(doc)
+                    size += len(doc)
                     if size >= TRAIN_CHUNK:
                         train_on(own, docs, adam)
                         docs, size, seen = [], 0, seen + size
@@ -449,39 +508,36 @@ def document_scores(docs: DataFrame, held_out: int = 1, folds: int = 5) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
         vocab, w = sent.value
-        index, logs = vocab.index(), np.log10(vocab.counts + 0.5)
+        head, logs = pa.array(vocab.words, pa.binary()), np.log10(vocab.counts + 0.5)
         tail_logs = np.log10(vocab.tails)
         kept: list[tuple] = []
         size = 0
 
         def scored_rows() -> pa.RecordBatch:
-            ids, held_out, rows, sequences, known, rest = zip(*kept)
-            network = document_logs(w, list(sequences)) / np.log(10)
-            doc, every, symbols = np.repeat(np.arange(len(ids)), [len(x) for x in sequences]), np.concatenate(known), np.concatenate(sequences)
-            head, below, outside = every >= 0, every >= SYMBOLS, symbols >= SYMBOLS
+            columns, sizes, known, symbols, rest = zip(*kept)
+            ids, held_out, rows = (pa.concat_arrays(c) for c in zip(*columns))
+            sizes, every, symbols = np.concatenate(sizes), np.concatenate(known), np.concatenate(symbols)
+            network = document_logs(w, documents(symbols, sizes)) / np.log(10)
+            doc = np.repeat(np.arange(len(ids)), sizes + 1)
+            known, below, outside = every >= 0, every >= SYMBOLS, symbols >= SYMBOLS
 
             def summed(chosen: np.ndarray, of: np.ndarray) -> np.ndarray:
                 return np.bincount(doc[chosen], of, len(ids))
 
             extra = summed(below, logs[every[below]]) - summed(outside, tail_logs[symbols[outside] - SYMBOLS])
-            words = pa.StructArray.from_arrays([pa.array([x for r in rest for x in r], pa.binary()),
-                                                pa.array([n for r in rest for n in r.values()], pa.int64())], names=["word", "n"])
-            ends = np.concatenate([[0], np.cumsum([len(r) for r in rest])]).astype(np.int32)
             return pa.RecordBatch.from_arrays([
-                pa.array(ids, doc_id_type), pa.array(held_out, pa.bool_()), pa.array(rows, pa.int64()), pa.array([len(x) for x in sequences], pa.int64()),
-                pa.array(summed(head, vocab.counts[every[head]] > 0).astype(np.int64)), pa.array(summed(head, logs[every[head]])), pa.array(network + extra),
-                pa.ListArray.from_arrays(pa.array(ends), words)],
+                ids, held_out, rows, pa.array(sizes + 1, pa.int64()), pa.array(summed(known, vocab.counts[every[known]] > 0).astype(np.int64)),
+                pa.array(summed(known, logs[every[known]])), pa.array(network + extra), pa.concat_arrays(rest)],
                 names=["doc_id", "held_out", "row", "n_tokens", "n_head", "head_score", "network_score", "rest"])
 
         for b in batches:
-            doc_id_type = b.column("doc_id").type
-            columns = (b.column(c).to_pylist() for c in ("doc_id", "held_out", "row", "text"))
-            for doc_id, held_out, row, text in zip(*columns, strict=True):
-                words = words_of(text)
-                numbers, symbols = symbols_of(words, index, vocab.classes)
-                rest = Counter([words[i] for i in np.flatnonzero(numbers < 0).tolist()])
-                kept.append((doc_id, held_out, row, symbols.astype(np.int32), numbers.astype(np.int32), rest))
-                size += len(symbols)
+            words, sizes = words_of_all(b.column("text"))
+            numbers, symbols = symbols_of(words, sizes, head)
+            doc, place = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(words))
+            rare = numbers[place + doc] < 0
+            kept.append(([b.column(c) for c in ("doc_id", "held_out", "row")], sizes, numbers, symbols,
+                         word_counts(words.take(pa.array(place[rare])), np.bincount(doc[rare], minlength=len(sizes)))))
+            size += len(numbers)
             if size >= SCORE_CHUNK:
                 yield scored_rows()
                 kept, size = [], 0

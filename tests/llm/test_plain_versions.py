@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -196,3 +197,28 @@ def test_whole_pipeline(spark, odd_docs, monkeypatch, tmp_path, empty):
     kept = spark.read.parquet(str(next(tmp_path.glob("llm-personal_data-*"))))
     assert len(got) == kept.count() and (empty or 0 < len(got) <= odd_docs.count())
     assert kept.columns == odd_docs.columns and kept.where("text like '%quick brown fox jumps over the lazy dog while seven%'").count() == 0
+
+
+def test_tokens_of_a_batch_equal_those_of_its_texts():
+    texts = [None, "", " \t\n\x0b\x0c\r", "A b\x0bÀÉ  ẞ\x1cx\x85y z ", "é", "\x00 a\n", " word" * 3000, "a"]
+    for part in (pa.array(texts), pa.array(["x", *texts, "y"]).slice(1, len(texts)), pa.array([], pa.string()), pa.array([None], pa.string())):
+        words, sizes = language_model.words_of_all(part)
+        want = [language_model.words_of(t) for t in part.to_pylist()]
+        assert sizes.tolist() == [len(w) for w in want] and words.to_pylist() == [x for w in want for x in w]
+        assert language_model.tail_classes(words).tolist() == [language_model.tail_class(x) for w in want for x in w]
+        numbers, symbols = language_model.symbols_of(words, sizes, pa.array([b"", b"a", b"word"], pa.binary()))
+        index = {b"a": 1, b"word": 2}
+        assert numbers.tolist() == [index.get(x, -1) for w in want for x in w] + [] if not len(sizes) else \
+            [d.tolist() for d in language_model.documents(numbers, sizes)] == [[*(index.get(x, -1) for x in w), 0] for w in want]
+        plain = language_model.Symbols({b"": 0, **index})
+        assert [d.tolist() for d in language_model.documents(symbols, sizes)] == [plain.of(w).tolist() for w in want]
+        got = language_model.word_counts(words, sizes).to_pylist()
+        assert [{x["word"]: x["n"] for x in row} for row in got] == [{x: w.count(x) for x in w} for w in want]
+
+
+def test_counts_are_the_same_for_any_number_of_held_tokens(docs_of, monkeypatch):
+    docs = docs_of(None, "", "A a b", *["rare%d  the" % i for i in range(50)], "the")
+    counts = [{bytes(r.word): r.c for r in language_model.token_counts(docs).collect()}]
+    monkeypatch.setattr(language_model, "COUNTED_TOKENS", 3)
+    counts.append({bytes(r.word): r.c for r in language_model.token_counts(docs.coalesce(1)).collect()})
+    assert counts[0] == counts[1] and counts[0][b"the"] == 51 and counts[0][b"a"] == 2 and counts[0][b""] == 54
