@@ -20,7 +20,7 @@ training documents all counts are 0 and the network keeps its first weights; onl
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 from itertools import pairwise, product
 from zlib import crc32
@@ -212,11 +212,13 @@ def run_states(w: dict[str, np.ndarray], x: np.ndarray, new: np.ndarray, h: np.n
     return np.ascontiguousarray(out.transpose(0, 2, 1))
 
 
-def softmax(a: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Shares of each row times its weight, in the memory of ``a``. States lie within 1, so only wild weights need the bound."""
+def softmax(a: np.ndarray, parts: Sequence[slice] = (slice(None),)) -> np.ndarray:
+    """Shares of each row, in the memory of ``a``, part by part. States lie within 1, so only wild weights need the bound."""
     np.minimum(a, 80, out=a)
     np.exp(a, out=a)
-    a *= (weights / (a @ np.ones(a.shape[1], a.dtype) + a.dtype.type(1e-30)))[:, None]
+    ones = np.ones(a.shape[1], a.dtype)
+    for part in parts:
+        a[part] /= (a[part] @ ones + a.dtype.type(1e-30))[:, None]
     return a
 
 
@@ -262,27 +264,28 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, new: np.nd
     trace: list = []
     states = run_states(w, x, new, h, trace)
     rows, targets = states.reshape(-1, HIDDEN), y.ravel()
-    size = max(1, int(live.sum()))
-    keep = live.ravel().astype(h.dtype) / h.dtype.type(size)
-    kinds, every, ones, loss = target_classes(targets), np.arange(len(targets)), np.ones(len(targets), h.dtype), 0.0
+    keep = live.ravel().astype(h.dtype)[:, None] / h.dtype.type(max(1, int(live.sum())))
+    kinds, every, loss = target_classes(targets), np.arange(len(targets)), 0.0
     d = rows @ w["class"]
     d += w["class_bias"]
-    softmax(d, keep)
+    softmax(d)
     if with_loss:
-        loss -= float((np.log(np.maximum(d[every, kinds] * size, 1e-30)) * keep).sum())
-    d[every, kinds] -= keep
+        loss -= float((np.log(np.maximum(d[every, kinds], 1e-30)) * keep[:, 0]).sum())
+    d[every, kinds] -= 1
+    d *= keep
     g = {k: np.zeros_like(w[k]) for k in ("input", "state", "symbol", "symbol_bias")}
-    g["class"], g["class_bias"] = rows.T @ d, ones @ d
+    g["class"], g["class_bias"] = rows.T @ d, d.sum(axis=0)
     back = d @ w["class"].T
     at, groups = class_groups(targets)
     own, place, kept, every = rows[at], targets[at] % CLASS_SIZE, keep[at], every[:len(at)]
-    d = softmax(symbol_logits(w, own, groups), kept)
+    d = softmax(symbol_logits(w, own, groups), [part for _, part in groups])
     if with_loss:
-        loss -= float((np.log(np.maximum(d[every, place] * size, 1e-30)) * kept).sum())
-    d[every, place] -= kept
+        loss -= float((np.log(np.maximum(d[every, place], 1e-30)) * kept[:, 0]).sum())
+    d[every, place] -= 1
+    d *= kept
     inward = np.empty_like(own)
     for k, part in groups:
-        g["symbol"][k], g["symbol_bias"][k] = own[part].T @ d[part], ones[part] @ d[part]
+        g["symbol"][k], g["symbol_bias"][k] = own[part].T @ d[part], d[part].sum(axis=0)
         np.matmul(d[part], w["symbol"][k].T, out=inward[part])
     back[at] += inward
     # lanes are columns from here on; what a step's error is multiplied by is known for all steps at once
