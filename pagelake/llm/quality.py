@@ -176,11 +176,16 @@ def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 7) -> tuple[list[tuple[t
 
 
 def compiled(rules: list[tuple[tuple[Condition, ...], float]], intercept: float) -> Column:
-    """Score as one column expression over the statistics."""
-    total = F.lit(intercept)
+    """Score as one column expression over the statistics.
+
+    The weights are added by a fold, not by a chain of sums: of a chain Spark makes one method with all rules, and to
+    compile that took the driver some 200 MB.
+    """
+    terms = []
     for rule, weight in rules:
         tests = [F.col(COLUMNS[f]) > cut if greater else F.col(COLUMNS[f]) <= cut for f, greater, cut in rule]
-        total = total + F.when(reduce(Column.__and__, tests), F.lit(weight)).otherwise(F.lit(0.0))
+        terms.append(F.when(reduce(Column.__and__, tests), F.lit(weight)).otherwise(F.lit(0.0)))
+    total = F.aggregate(F.array(*terms), F.lit(intercept), lambda a, x: a + x) if terms else F.lit(intercept)
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagelake.llm import bpe, chat, common, decontaminate, fingerprint, language, language_model, neardup, pii, quality, queries
 
@@ -51,6 +52,17 @@ def test_compiled_rules_equal_numpy(spark):
     assert np.allclose(np.sort(got), np.sort(want)) and ((want > 0.5) == (y == 1)).mean() > 0.95
 
 
+def test_many_rules_make_little_code(spark):
+    """What Spark generates for a score does not grow with the number of rules: the driver compiles it."""
+    def code(n):
+        rules = [(((i % 20, True, i / n), ((i + 1) % 20, False, 0.5), ((i + 2) % 20, i % 2 == 0, 0.25)), 0.1) for i in range(n)]
+        df = spark.range(1).select(*(F.rand(1).alias(c) for c in quality.COLUMNS))
+        plan = df.where(quality.compiled(rules, 0.5) >= 0.5)._jdf.queryExecution()
+        return len(spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan.executedPlan()))
+
+    assert code(300) < code(20) + 20_000
+
+
 # -- personal data ---------------------------------------------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
