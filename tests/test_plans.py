@@ -131,3 +131,35 @@ def test_derived_pages_keep_several_tasks_per_core(spark, tmp_path):
 def test_elements_are_read_by_their_number(page_df):
     """A slice converts the whole page for every block and text."""
     assert "slice(" not in plan_of(blocks.page_services(page_df(("https://a.example/x", "<p>x</p>"))))
+
+
+def test_markdown_report_covers_all_sites(spark, tmp_path):
+    """Addresses, networks and names of organizations, products of item pages and texts of service pages are in the report."""
+    from pagelake.plans import registered
+
+    tables = {
+        "part": spark.range(4).selectExpr("id p_partkey", "concat('bolt ', id) p_name", "concat('Brand#', id) p_brand", "'SMALL' p_type", "7 p_size", "9.5D p_retailprice"),
+        "customer": spark.range(4).selectExpr("id c_custkey", "concat('Customer#', id) c_name", "'HOUSEHOLD' c_mktsegment"),
+        "supplier": spark.range(2).selectExpr("id s_suppkey", "concat('Supplier', id) s_name", "1 s_nationkey"),
+        "nation": spark.range(2).selectExpr("int(id) n_nationkey", "concat('N', id) n_name"),
+        "pages": spark.range(1).selectExpr("id page_id", "'https://a.example/' url", "'<title>A</title><p>x</p>' html"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = registered.registered()["markdown_report"](spark, str(tmp_path)).collect()
+    assert {r.site for r in lines} == {
+        "a.example", "org0.example.org", "org1.example.org", "svc0.example.com", *(f"brand{i}.example.com" for i in range(4)),
+        *(f"shop{i}.example.net" for i in range(4)), *(f"made{i}.example.net" for i in range(4))}
+
+    def shown(site, section):
+        return [r.line for r in sorted(lines, key=lambda r: (r.ord_no, r.ord_text, r.sub)) if (r.site, r.section) == (site, section)]
+
+    about = " ".join(["Supplier1"] * 60)
+    assert shown("org1.example.org", 0) == ["# About\n", "## Общая информация\n", f"\n{about}\n", "\n**Организация:** Supplier1 Ltd\n", "\n## Контакты\n"]
+    assert shown("org1.example.org", 1) == ["**Email:**", "- Info@org1.example.org"]
+    assert shown("org1.example.org", 2) == ["\n**Телефоны:**", "- +7 (495) 000-000001", "- 8 800 1"]
+    assert shown("org1.example.org", 3) == ["\n**Адреса:**", "- 1 Main St, N1", "- Prop street 1"]
+    assert shown("org1.example.org", 4) == ["\n**Соцсети:**", "- Instagram: https://instagram.com/org1"]
+    assert shown("shop0.example.net", 5)[3:] == ["| bolt 0 <0> & co | 9.50 USD |  | S-0 |"]
+    text, url = "HOUSEHOLD 0 " + "Customer#0 " * 30 + "second HOUSEHOLD 1 HOUSEHOLD 2 short <2> ab dropped", "https://svc0.example.com/s/0"
+    assert shown("svc0.example.com", 7) == ["\n## Содержимое страниц\n", f"\n### {url}\n", f"**URL:** {url}\n", text, ""]
